@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, quality, token_output
+from . import embeddings, language_id, minhash, mixing, quality, substrings, suffixes, token_output
 from .common import ship
 
 
@@ -21,6 +21,10 @@ def _of(f: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, st
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix": _of(mixing.op1_mix, "documents"),
+        "op2_suffixes": _of(suffixes.op2_suffixes, "documents"),
+        "op3_embeddings": _of(embeddings.op3_embeddings, "embeddings"),
+        "op5_minhash": _of(minhash.op5_minhash, "documents"),
+        "op6_substrings": _of(substrings.op6_substrings, "documents"),
         "op7_token_output": _of(token_output.op7_token_output, "documents"),
         "op8_quality_rules": _of(quality.op8_quality_rules, "documents", "labels"),
         "op9_language_id": _of(language_id.op9_language_id, "documents"),
@@ -28,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_embeddings": embeddings.ORACLE_SQL, "op5_minhash": minhash.ORACLE_SQL}

@@ -21,9 +21,11 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,11 +34,22 @@ from .common import cut, pick
 
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _UNIT = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-#: Units kept per Python worker; beyond it the cache starts anew.
-CACHE_UNITS = 400_000
+#: How byte-level BPE cuts a text before merging (its published pattern, a fixed value).
+_CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Units of other characters go through the library's own cutting.
+_LATIN = re.compile("[\t\n\r -~¡-ɏ]*")
+#: Units, and words in them, kept per Python worker; beyond it that cache starts anew.
+CACHE_UNITS, CACHE_WORDS = 400_000, 1_000_000
 _loaded: dict[str, tuple] = {}
 
 
+def byte_chars() -> dict[int, str]:
+    """Byte-level BPE's printable character for each byte: itself, or 256 and up in order."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
 def units(text: str) -> list[str]:
     """Pieces of a text that byte-level BPE encodes independently: a space belongs to the next word."""
     if "  " in text:
@@ -51,38 +64,51 @@ def _tokenizer(path: str):
 
         t = Tokenizer.from_file(path)
         special = [x.content for x in t.get_added_tokens_decoder().values()]
-        _loaded[path] = (t, special, {})
+        _loaded[path] = (t, special, {}, {})
     return _loaded[path]
 
 
 def encoder(path: str):
     """A function list of texts -> list of ids as little-endian uint32 bytes.
 
-    Repeated units are looked up; texts that hold the string of a special token
-    go through the library whole.
+    Units and words met before are looked up; a new word goes to the library's BPE
+    model, a new unit of other than Latin characters or a text that holds the
+    string of a special token to the library whole.
     """
-    tok, special, cache = _tokenizer(path)
+    tok, special, cache, words = _tokenizer(path)
+    model, table = tok.model, byte_chars()
+    latin1 = bytes(range(256)).decode("latin-1")
+    mapped = str.maketrans(latin1, "".join(table[i] for i in range(256)))
+
+    def raw(text: str) -> bytes:
+        return array("I", tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def word(w: str) -> bytes:
+        ids = words.get(w)
+        if ids is None:
+            got = model.tokenize(w.encode().decode("latin-1").translate(mapped))
+            ids = words[w] = array("I", [t.id for t in got]).tobytes()
+        return ids
 
-    def raw(batch: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in tok.encode_batch_fast(batch, add_special_tokens=False)]
+    def unit(u: str) -> bytes:
+        return b"".join(map(word, _CUT.findall(u))) if _LATIN.fullmatch(u) else raw(u)
 
     def encode(texts: list[str]) -> list[bytes]:
-        if len(cache) > CACHE_UNITS:
-            cache.clear()
         out: list[bytes] = []
         for text in texts:
+            if len(cache) > CACHE_UNITS:
+                cache.clear()
+            if len(words) > CACHE_WORDS:
+                words.clear()
             if not text:
                 out.append(b"")
             elif any(s in text for s in special):
-                out += raw([text])
+                out.append(raw(text))
             else:
                 us = units(text)
-                try:
-                    out.append(b"".join(map(cache.__getitem__, us)))
-                except KeyError:
-                    new = list({u for u in us if u not in cache})
-                    cache.update(zip(new, raw(new), strict=True))
-                    out.append(b"".join(map(cache.__getitem__, us)))
+                for u in set(us).difference(cache):
+                    cache[u] = unit(u)
+                out.append(b"".join(map(cache.__getitem__, us)))
         return out
 
     return encode
