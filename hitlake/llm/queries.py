@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, language_id, minhash, mixing, quality, substrings, suffixes, token_output
+from . import embeddings, language_id, minhash, mixing, pieces, quality, secrets, substrings, suffixes, token_output
 from .common import ship
 
 
@@ -23,11 +23,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mix": _of(mixing.op1_mix, "documents"),
         "op2_suffixes": _of(suffixes.op2_suffixes, "documents"),
         "op3_embeddings": _of(embeddings.op3_embeddings, "embeddings"),
+        "op4_secrets": _of(secrets.op4_secrets, "documents"),
         "op5_minhash": _of(minhash.op5_minhash, "documents"),
         "op6_substrings": _of(substrings.op6_substrings, "documents"),
         "op7_token_output": _of(token_output.op7_token_output, "documents"),
         "op8_quality_rules": _of(quality.op8_quality_rules, "documents", "labels"),
         "op9_language_id": _of(language_id.op9_language_id, "documents"),
+        "op10_pieces": _of(pieces.op10_pieces, "documents"),
     }
 
 

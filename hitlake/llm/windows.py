@@ -24,8 +24,9 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: spreads every bit."""
+    x = np.array(x, "u8", ndmin=1) if np.ndim(x) == 0 else x
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
     x *= np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
