@@ -5,7 +5,7 @@ keeps its smallest hash, and an empty bin borrows from a bin that its own hash
 sequence picks (optimal densification). Documents with equal shingle sets are one
 class and only its first document goes on, so copies make no pairs. Classes that
 agree on a band share a bucket; a pair at similarity 0.8 misses all buckets with
-probability (1 - 0.8**ROWS)**BANDS, about 2e-8.
+probability (1 - 0.8**ROWS)**BANDS, about 4e-8.
 
 Candidate edges are stars: each bucket links its members to its smallest one, so a
 bucket of n gives n - 1 candidates. They are confirmed on full sets. What a star
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import windows as W
 from .common import components, cut, with_row_id
 
-BANDS, ROWS = 96, 8
+BANDS, ROWS = 72, 7
 BINS = BANDS * ROWS
 #: Members of one centre that are confirmed in one stretch of a task; a larger star is split by salt.
 STAR = 400
@@ -76,20 +76,21 @@ def band_hashes(shingles: np.ndarray) -> np.ndarray:
     np.minimum.at(least, bins, W.mix(h))
     full = least != np.iinfo("u8").max
     empty = np.flatnonzero(~full)
-    for t in range(_TRIES):
-        if not len(empty):
-            break
-        from_ = _PICK[t, empty]
-        ok = full[from_]
-        least[empty[ok]] = least[from_[ok]] + np.uint64(0x9E3779B97F4A7C15)
-        empty = empty[~ok]
+    for lo in (0, 16):  # most find a full bin among the first tries
+        if len(empty):
+            tries = _PICK[lo : lo + 16 if lo == 0 else _TRIES][:, empty]
+            ok = full[tries]
+            nth, got = ok.argmax(axis=0), ok.any(axis=0)
+            source = tries[nth, np.arange(len(empty))]
+            least[empty[got]] = least[source[got]] + np.uint64(0x9E3779B97F4A7C15)
+            empty = empty[~got]
     for e in empty:  # very small sets: the nearest full bin to the right
         least[e] = least[(e + 1 + int(np.argmax(np.roll(full, -int(e) - 1)))) % BINS]
     m = least.reshape(BANDS, ROWS)
     out = np.arange(BANDS, dtype="u8")
     for i in range(ROWS):
-        out = W.mix(out * np.uint64(31) + m[:, i])
-    return out
+        out = out * np.uint64(0x9E3779B97F4A7C55) + m[:, i]
+    return W.mix(out)
 
 
 def sketches(docs: DataFrame, shingle: int = 2) -> DataFrame:
@@ -154,15 +155,12 @@ def confirm(docs: DataFrame, pairs: DataFrame, shingle: int = 2) -> DataFrame:
 
 def class_links(docs: DataFrame, classes: DataFrame, percent: int, shingle: int = 2) -> DataFrame:
     """(node, root) components of the classes' first documents. ``classes`` has rid, n_shingles, bands."""
-    buckets = classes.select("rid", "n_shingles", F.posexplode("bands").alias("band", "hash"))
-    shared = buckets.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min(F.struct("rid", "n_shingles")).alias("c")).where("n > 1").drop("n")
-    star = cut(
-        buckets.join(shared, ["band", "hash"])
-        .select(F.col("rid").alias("member"), F.col("c.rid").alias("centre"), "n_shingles", F.col("c.n_shingles").alias("cn"))
-        .distinct()
-    )
-    fits = 100 * F.least("n_shingles", "cn") >= percent * F.greatest("n_shingles", "cn")
-    pairs = star.where("centre <> member").where(fits).select("centre", "member")
+    buckets = classes.select("rid", F.explode("bands").alias("hash"))  # the hash holds the band's number
+    shared = buckets.groupBy("hash").agg(F.count("*").alias("n"), F.min("rid").alias("centre")).where("n > 1").drop("n")
+    star = cut(buckets.join(shared, "hash").select(F.col("rid").alias("member"), "centre").distinct())
+    own, theirs = (classes.select(F.col("rid").alias(c), F.col("n_shingles").alias(n)) for c, n in (("member", "mn"), ("centre", "cn")))
+    sized = star.where("centre <> member").join(own, "member").join(theirs, "centre")
+    pairs = sized.where(100 * F.least("mn", "cn") >= percent * F.greatest("mn", "cn")).select("centre", "member")
     done = confirm(docs, pairs, shingle)
     edges = done.where(100 * F.col("inter") >= percent * F.col("uni")).select(F.col("centre").alias("a"), F.col("member").alias("b"))
     roots = cut(components(edges))
@@ -218,14 +216,26 @@ def cross_links(docs: DataFrame, opened: DataFrame, percent: int, shingle: int =
         shared = np.cumsum(df > 1) - 1
         use = df[col] > 1
         row, col = row[use], shared[col[use]]
-        inter = np.zeros((len(sets), len(sets)), "f4")
+        k, inter = len(sets), np.zeros((len(sets), len(sets)))
         order = np.argsort(col, kind="stable")
         row, col = row[order], col[order]
-        step = max(1, (1 << 24) // len(sets))
-        for lo in range(0, int(col[-1]) + 1 if len(col) else 0, step):
-            a, z = np.searchsorted(col, [lo, lo + step])
-            m = np.zeros((len(sets), step), "f4")
-            m[row[a:z], col[a:z] - lo] = 1
+        df = np.bincount(col) if len(col) else np.zeros(0, "i8")
+        heavy = df > 24
+        light = ~heavy[col]
+        lr, lc, gap = row[light], col[light], 1
+        while gap < len(lr):  # rare shingles: their pairs, by distance in the sorted list
+            same = lc[gap:] == lc[:-gap]
+            if not same.any():
+                break
+            inter += np.bincount(lr[:-gap][same] * k + lr[gap:][same], minlength=k * k).reshape(k, k)
+            gap += 1
+        inter += inter.T
+        hc, hr = (np.cumsum(heavy) - 1)[col[~light]], row[~light]
+        step = max(1, (1 << 22) // k)
+        for lo in range(0, int(heavy.sum()), step):  # common ones: a product of incidence matrices
+            a, z = np.searchsorted(hc, [lo, lo + step])
+            m = np.zeros((k, min(step, int(heavy.sum()) - lo)), "f4")
+            m[hr[a:z], hc[a:z] - lo] = 1
             inter += m @ m.T
         uni = n[:, None] + n[None, :] - inter
         link = (100 * inter >= percent * uni) & (comp[:, None] != comp[None, :])

@@ -85,7 +85,7 @@ def sketch(docs: DataFrame, bits: int, window: int, gram: int) -> list[np.ndarra
 
 
 def repeated_runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """Runs whose anchor is estimated repeated: (rid, doc_id, lo, hi, key, hull, win), win the windows' hashes."""
+    """Runs whose anchor is estimated repeated: (rid, doc_id, lo, hi, key, hull)."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     anchors = max(1, chars // 6 * 2 // (window - gram + 2))
     bits = min(MOST_BITS, max(LEAST_BITS, (CELLS_EACH * anchors).bit_length()))
@@ -101,49 +101,65 @@ def repeated_runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
             rid, doc = b.column(0).to_numpy(), b.column(1)
             for r in _anchor_runs(b.column(2), window, gram):
                 at = np.flatnonzero(twice(r.key))
-                if not len(at):
-                    continue
-                lo, hi, n = r.lo[at], r.hi[at], (r.hi - r.lo + 1)[at]
-                offs = np.concatenate([[0], np.cumsum(n)])
-                starts = np.repeat(lo - offs[:-1], n) + np.arange(offs[-1])
-                win = r.prefix.of(starts, starts + window).view("i8")
                 own = r.doc[at]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rid[own], pa.int64()), doc.take(pa.array(own)), pa.array(lo + r.base[at], pa.int64()), pa.array(hi + r.base[at], pa.int64()),
-                     pa.array(r.key[at].view("i8")), pa.array(r.hull[at].view("i8")), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(win))],
-                    names=["rid", "doc_id", "lo", "hi", "key", "hull", "win"],
+                    [pa.array(rid[own], pa.int64()), doc.take(pa.array(own)), pa.array((r.lo + r.base)[at], pa.int32()), pa.array((r.hi + r.base)[at], pa.int32()),
+                     pa.array(r.key[at].view("i8")), pa.array(r.hull[at].view("i8"))],
+                    names=["rid", "doc_id", "lo", "hi", "key", "hull"],
                 )
 
-    return docs.select("rid", "doc_id", "text").mapInArrow(
-        runs, "rid long, doc_id long, lo long, hi long, key long, hull long, win array<long>"
+    return docs.select("rid", "doc_id", "text").mapInArrow(runs, "rid long, doc_id long, lo int, hi int, key long, hull long")
+
+
+def run_windows(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+    """(win, doc_id, rid, lo): each window of the wanted runs (rid, lo, hi) with its hash."""
+    per = wanted.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))  # a document's own runs
+
+    def each(batches):
+        for b in batches:
+            for rid, doc, t, rs in zip(*b.columns, strict=True):
+                flat = rs.values.flatten()
+                lo, hi = flat[0].to_numpy().astype("i8"), flat[1].to_numpy().astype("i8")
+                words = W.word_hashes(t.as_buffer())
+                n = hi - lo + 1
+                start = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                win = _window_hashes(words, start, window)
+                k = len(start)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(win.view("i8")), pa.array([doc.as_py()] * k, pa.int64()), pa.array(np.full(k, rid.as_py())), pa.array(start.astype("i4"))],
+                    names=["win", "doc_id", "rid", "lo"],
+                )
+
+    return docs.select("rid", "doc_id", "text").join(per, "rid").select("rid", "doc_id", "text", "runs").mapInArrow(
+        each, "win long, doc_id long, rid long, lo int"
     )
 
 
-def repeated_spans(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFrame:
+def _window_hashes(words: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
+    out, step = np.empty(len(start), "u8"), W.BUFFER
+    for at in range(0, len(words), step):
+        own = (start >= at) & (start < at + step)
+        if own.any():
+            out[own] = W.Prefix(words[at : at + step + window]).of(start[own] - at, start[own] - at + window)
+    return out
+
+
+def repeated_spans(docs: DataFrame, window: int = 20, gram: int = 5) -> DataFrame:
     """(rid, start, end): word spans to remove, unmerged. ``docs`` has rid, doc_id, text."""
     cand = cut(repeated_runs(docs, window, gram))
-    place = F.struct("doc_id", "rid", "lo")
-    hulls = cand.groupBy("key", "hull").agg(
-        F.min(place).alias("first"), F.count("*").alias("n"), F.min_by(F.struct("win"), place).alias("w")
-    )
-    hulls = cut(hulls)
-    later = cand.drop("win").join(hulls.where("n > 1").select("key", "hull", "first"), ["key", "hull"]).where(place != F.col("first"))
+    place = F.struct("doc_id", "rid", "lo", "hi")
+    hulls = cut(cand.groupBy("key", "hull").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    later = cand.join(hulls.where("n > 1").select("key", "hull", "first"), ["key", "hull"]).where(place != F.col("first"))
     whole = later.select("rid", F.col("lo").alias("start"), (F.col("hi") + window).alias("end"))
     several = hulls.groupBy("key").agg(F.count("*").alias("hulls")).where("hulls > 1").select("key")
-    single = (
-        hulls.join(several, "key")
-        .select("first", F.posexplode("w.win").alias("i", "win"))
-        .select("win", F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.rid").alias("rid"), (F.col("first.lo") + F.col("i")).alias("lo")).alias("at"))
-    )
-    single = cut(single)
-    met = single.groupBy("win").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").select("win", "first")
-    part = single.join(met, "win").where("at <> first").select(
-        F.col("at.rid").alias("rid"), F.col("at.lo").alias("start"), (F.col("at.lo") + window).alias("end")
-    )
+    single = cut(run_windows(docs, hulls.join(several, "key").select("first.rid", "first.lo", "first.hi"), window))
+    at = F.struct("doc_id", "rid", "lo")
+    met = single.groupBy("win").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").select("win", "first")
+    part = single.join(met, "win").where(at != F.col("first")).select("rid", F.col("lo").alias("start"), (F.col("lo") + window).alias("end"))
     return whole.unionByName(part)
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 5) -> DataFrame:
     """(doc_id, n_words, n_removed, text): texts without repeated windows, words joined by one space."""
     own = with_row_id(docs.select("doc_id", "text"))
     spans = repeated_spans(own, window, gram)
