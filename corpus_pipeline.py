@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitlake.llm import language_id, minhash, mixing, pieces, secrets
-from hitlake.llm.common import shared_dir, ship, with_row_id
+from hitlake.llm.common import shared_dir, ship, stable, with_row_id
 
 _COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -27,6 +27,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the first document of each near-duplicate group: 5-word shingles, similarity 0.8 or more."""
     ship(spark)
+    docs = stable(docs)
     found = minhash.near_duplicates(docs, percent=80, shingle=5)
     empty = found.where("n_shingles = 0").select("rid")
     first = found.where("n_shingles > 0 and kept").groupBy("component_id").agg(F.min("rid").alias("rid")).select("rid")

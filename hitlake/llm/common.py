@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,13 +30,24 @@ def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """``df`` itself where it is a plain scan, whose rows come in the same order each time; else a written copy.
+
+    After a shuffle the order of rows differs from run to run, so row ids would too.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {m[1] for m in re.finditer(r"^[ :+-]*'?(\w+)", plan, re.M)}
+    return df if nodes <= {"Project", "Filter", "Relation", "LocalRelation", "LogicalRDD"} else cut(df)
+
+
 def with_row_id(df: DataFrame, name: str = "rid") -> DataFrame:
     """Add a row id that is the same each time these files are read.
 
     It holds the split and the row's place in it, so repeated rows, null ids and
-    repeated ids each keep a row of their own. Do not filter below it.
+    repeated ids each keep a row of their own. Who adds ids to one frame twice
+    calls ``stable`` on it first.
     """
-    return df.withColumn(name, F.monotonically_increasing_id())
+    return stable(df).withColumn(name, F.monotonically_increasing_id())
 
 
 def pick(df: DataFrame, *cols: str) -> DataFrame:

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, with_row_id
+from .common import WORD, cut, stable, with_row_id
 
 WEIGHTS = (3, 1, 2)
 #: A source's documents are numbered in this many hash buckets, so no source gathers in one task.
@@ -219,6 +219,7 @@ def mixed_texts(docs: DataFrame, block_words: int = 128) -> DataFrame:
     Same columns as ``docs`` (doc_id, text, lang, source, n_chars); words are
     joined by one space. Documents of which nothing is shown have no row.
     """
+    docs = stable(docs)
     packed, _, slots = mix(docs, block_words=block_words)
     blocks = F.col("blocks")
     shown = placements(packed, slots, block_words).join(

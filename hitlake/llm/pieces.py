@@ -13,7 +13,8 @@ the same segmentations whatever its neighbours are.
 
 ``inclusion`` is the probability that the path exceeds the first value not drawn
 (kappa), 1 - exp(-exp(log_prob - kappa)): the weight for estimates from samples
-drawn without replacement; 1 where every segmentation was drawn.
+drawn without replacement; 1 where every segmentation was drawn (it underflows to 0
+for texts of some thousand pieces).
 
 The lattice of each distinct chunk (a space and what follows it) is built once for
 a stretch of rows, all chunks at a time. Chunks longer than ``LONGEST`` characters
