@@ -55,6 +55,23 @@ def pick(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 
+def among(df: DataFrame, wanted: DataFrame, key: str = "rid", most_bits: int = 1 << 26) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be in ``wanted``: all that are, and few others.
+
+    A bitmap of hashed keys, eight bits a key and ``most_bits`` at most (a million
+    words to broadcast), spares the later exact join the shuffle of rows it would
+    drop. With more keys than the bitmap holds it lets more rows through.
+    """
+    n = wanted.select(key).distinct().count()
+    bits = min(most_bits, 1 << max(10, (8 * n).bit_length()))
+    at = F.pmod(F.xxhash64(key), F.lit(bits))
+    word, bit = F.shiftright(at, 6), F.expr("shiftleft(1L, cast(_at & 63 as int))")
+    marks = wanted.select(at.alias("_at")).select(F.shiftright("_at", 6).alias("_word"), bit.alias("_bit"))
+    marks = marks.groupBy("_word").agg(F.bit_or("_bit").alias("_mask"))
+    found = df.withColumn("_at", at).withColumn("_word", word).join(F.broadcast(marks), "_word")
+    return found.where(F.col("_mask").bitwiseAND(bit) != 0).drop("_at", "_word", "_mask")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge list by alternating large and small stars.
 

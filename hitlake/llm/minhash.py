@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows as W
-from .common import components, cut, with_row_id
+from .common import among, components, cut, with_row_id
 
 BANDS, ROWS = 72, 7
 BINS = BANDS * ROWS
@@ -128,7 +128,8 @@ def confirm(docs: DataFrame, pairs: DataFrame, shingle: int = 2) -> DataFrame:
     centre = salts.select(
         "centre", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("centre").alias("rid")
     )
-    need = member.unionByName(centre).join(docs.select("rid", "text"), "rid")
+    need = member.unionByName(centre)
+    need = need.join(among(docs.select("rid", "text"), need), "rid")
 
     def compare(batches):
         at, held = None, _ZERO
@@ -160,7 +161,7 @@ def class_links(docs: DataFrame, classes: DataFrame, percent: int, shingle: int
     star = cut(buckets.join(shared, "hash").select(F.col("rid").alias("member"), "centre").distinct())
     own, theirs = (classes.select(F.col("rid").alias(c), F.col("n_shingles").alias(n)) for c, n in (("member", "mn"), ("centre", "cn")))
     sized = star.where("centre <> member").join(own, "member").join(theirs, "centre")
-    pairs = sized.where(100 * F.least("mn", "cn") >= percent * F.greatest("mn", "cn")).select("centre", "member")
+    pairs = cut(sized.where(100 * F.least("mn", "cn") >= percent * F.greatest("mn", "cn")).select("centre", "member"))
     done = confirm(docs, pairs, shingle)
     edges = done.where(100 * F.col("inter") >= percent * F.col("uni")).select(F.col("centre").alias("a"), F.col("member").alias("b"))
     roots = cut(components(edges))
@@ -205,7 +206,7 @@ def cross_links(docs: DataFrame, opened: DataFrame, percent: int, shingle: int =
     behind = F.transform(F.sequence(F.lit(0), F.least("tile", F.col("minors") - 1)), lambda i: F.struct(i.alias("i"), F.col("tile").alias("j")))
     groups = F.when(F.col("minor"), F.array_union(ahead, behind)).otherwise(behind)
     rows = r.select("rid", "comp", "bucket", F.explode(groups).alias("g")).select("bucket", "g.i", "g.j", "rid", "comp")
-    need = rows.join(docs.select("rid", "text"), "rid")
+    need = rows.join(among(docs.select("rid", "text"), opened), "rid")
 
     def solve(held: list[tuple]) -> pa.RecordBatch:
         rid, comp = (np.array([h[i] for h in held], "i8") for i in (0, 1))
