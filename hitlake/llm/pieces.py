@@ -37,8 +37,8 @@ from . import windows as W
 
 SPACE = "▁"
 LONGEST = 2048
-#: Characters of text that are worked on together.
-STRETCH = 4_000_000
+#: Characters of text that are worked on together: about 400 bytes of memory each.
+STRETCH = 250_000
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 _OTHER = 1 << 20  # a code of _OTHER + c stands for the byte pieces of character c
 _MULT = np.uint64(0x9E3779B97F4A7C55)
