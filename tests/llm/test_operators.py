@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from hitlake.llm import embeddings, language_id, minhash, mixing, pieces, quality, secrets, substrings, suffixes, token_output
-from hitlake.llm.common import components, ship
+from hitlake.llm.common import among, components, ship
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rid string, spans string, label string"
 
@@ -79,6 +79,15 @@ def test_components(spark):
     assert sorted(map(tuple, components(e).collect())) == [(1, 1), (2, 1), (3, 1), (6, 6), (7, 6), (8, 6), (9, 6)]
 
 
+def test_among(spark):
+    wanted = spark.range(0, 3000, 10).withColumnRenamed("id", "rid")
+    df = spark.range(3000).withColumnRenamed("id", "rid")
+    for bits, most in ((1 << 26, 700), (1 << 10, 3000)):  # a full bitmap lets more through, and loses none
+        got = {r.rid for r in among(df, wanted, most_bits=bits).collect()}
+        assert set(range(0, 3000, 10)) <= got and len(got) <= most
+    assert among(df, wanted.where("rid < 0")).collect() == []
+
+
 def test_embeddings(spark):
     ship(spark)
     g = np.random.default_rng(5)
