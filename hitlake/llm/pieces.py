@@ -16,8 +16,8 @@ the same segmentations whatever its neighbours are.
 drawn without replacement; 1 where every segmentation was drawn (it underflows to 0
 for texts of some thousand pieces).
 
-The lattice of each distinct chunk (a space and what follows it) is built once for
-a stretch of rows, all chunks at a time. Chunks longer than ``LONGEST`` characters
+The lattice of each distinct chunk (a space and what follows it) is built once and
+kept by the worker up to ``KEPT`` characters, all new chunks of a stretch of rows at a time. Chunks longer than ``LONGEST`` characters
 are cut there. Characters outside the vocabulary are byte pieces. Null and empty
 texts give one row without pieces. Texts that hold U+2581 decode with a space in its
 place, as with the library. Repeated rows get equal samples; a null key counts as
@@ -26,6 +26,7 @@ place, as with the library. Repeated rows get equal samples; a null key counts a
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -39,10 +40,13 @@ SPACE = "▁"
 LONGEST = 2048
 #: Characters of text that are worked on together: about 400 bytes of memory each.
 STRETCH = 250_000
+#: Characters of distinct chunks whose lattices a worker keeps (about 90 bytes each) before it starts anew.
+KEPT = 1_000_000
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 _OTHER = 1 << 20  # a code of _OTHER + c stands for the byte pieces of character c
 _MULT = np.uint64(0x9E3779B97F4A7C55)
 _loaded: dict[tuple, Vocabulary] = {}
+_lattices: dict[int, Lattice] = {}
 
 
 def piece_weights(rank: np.ndarray, theta: float) -> np.ndarray:
@@ -57,12 +61,12 @@ class Vocabulary:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
-        self.byte_id, self.raw = {}, [b""] * n
+        self.byte_ids, self.raw = np.zeros(256, "<u4"), [b""] * n
         nodes: dict[str, int] = {}
         for i in range(n):
             s = sp.id_to_piece(i)
             if sp.is_byte(i):
-                self.byte_id[int(s[3:5], 16)] = i
+                self.byte_ids[int(s[3:5], 16)] = i
                 self.raw[i] = bytes([int(s[3:5], 16)])
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.raw[i] = s.encode()
@@ -70,6 +74,9 @@ class Vocabulary:
                     nodes.setdefault(s[:k], -1)
                 nodes[s] = i
         self.longest = max(map(len, nodes))
+        self.raw_size = np.array([len(x) for x in self.raw], "i8")
+        self.raw_at = np.cumsum(self.raw_size) - self.raw_size
+        self.raw_flat = np.frombuffer(b"".join(self.raw), "u1")
         self.weight = piece_weights(np.arange(n, dtype="f8"), theta)
         self.byte_weight = float(piece_weights(np.float64(n), theta))
         size = 1 << (4 * len(nodes)).bit_length()
@@ -109,20 +116,64 @@ def chunks(text: str) -> list[str]:
     """The text as the model sees it: a space in front, spaces as U+2581, cut before spaces and at newlines."""
     if not text:
         return []
-    got = _CHUNK.findall(SPACE + text.replace(" ", SPACE))
-    if max(map(len, got)) > LONGEST:
-        got = [c[i : i + LONGEST] for c in got for i in range(0, len(c), LONGEST)]
+    if text[0] == " " or "  " in text or SPACE in text:
+        return _CHUNK.findall(SPACE + text.replace(" ", SPACE))
+    got: list[str] = []
+    for i, line in enumerate(text.split("\n")):
+        first, *rest = line.split(" ")
+        if i == 0:
+            got.append(SPACE + first)
+        else:
+            got.append("\n")
+            if first:
+                got.append(first)
+        got += [SPACE + w for w in rest]
     return got
 
 
 class Lattice:
     """Lattices of many chunks. A state is a character of a chunk; edges of a state lie together."""
 
-    def __init__(self, vocab: Vocabulary, words: list[str]):
+    def __init__(self, vocab: Vocabulary):
+        self.vocab, self.names = vocab, {}
+        self._held: dict[str, np.ndarray] = {}
+        for name, kind in (("src", "i8"), ("step", "i4"), ("piece", "i4"), ("logp", "f8"), ("cdf", "f8"), ("end", "i8"), ("opens", "?"), ("start", "i8")):
+            self._put(name, np.empty(0, kind))
+        self._put("edge", np.zeros(1, "i8"))
+
+    def _put(self, name: str, values: np.ndarray) -> None:
+        """Append to an array that grows by doubling."""
+        held, n = self._held.get(name, np.empty(0, values.dtype)), len(getattr(self, name, ()))
+        if n + len(values) > len(held):
+            wider = np.empty(2 * (n + len(values)), held.dtype)
+            wider[:n] = held[:n]
+            self._held[name] = held = wider
+        held[n : n + len(values)] = values
+        setattr(self, name, held[: n + len(values)])
+
+    def words(self, text: str) -> np.ndarray:
+        """Numbers of the text's chunks; new ones are named, and built by the next ``build``."""
+        got = chunks(text)
+        new = [c for c in dict.fromkeys(got) if c not in self.names]
+        if new and max(map(len, new)) > LONGEST:
+            got = [c[i : i + LONGEST] for c in got for i in range(0, len(c), LONGEST)]
+            new = [c for c in dict.fromkeys(got) if c not in self.names]
+        for c in new:
+            self.names[c] = len(self.names)
+        return np.fromiter(map(self.names.__getitem__, got), "i8", len(got))
+
+    def build(self) -> None:
+        """Lattices of the chunks named since the last call."""
+        words = list(itertools.islice(reversed(self.names), len(self.names) - len(self.start)))[::-1]
+        if words:
+            self._add(words)
+
+    def _add(self, words: list[str]) -> None:
+        vocab, states, edges = self.vocab, len(self.end), len(self.src)
         cp = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "u4").astype("u8")
         size = np.array([len(w) for w in words], "i8")
-        self.start = np.concatenate([[0], np.cumsum(size)])
-        end = np.repeat(self.start[1:], size)
+        starts = np.concatenate([[0], np.cumsum(size)])
+        end = np.repeat(starts[1:], size)
         at, h, found = np.arange(len(cp)), np.zeros(len(cp), "u8"), []
         single = np.zeros(len(cp), bool)
         for k in range(1, vocab.longest + 1):
@@ -146,22 +197,22 @@ class Lattice:
         w[other] = vocab.byte_weight * (1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))
         # edges by state, longest piece first: mostly the likeliest, so a draw is found at once
         fill = np.bincount(src, minlength=len(cp))
-        self.edge = np.concatenate([[0], np.cumsum(fill)])
+        edge = np.concatenate([[0], np.cumsum(fill)])
         nth, place = np.zeros(len(cp), "i4"), np.empty(len(src), "i8")
         sizes = [len(f[0]) for f in found]
         ends = np.cumsum(sizes)
         for z, n in reversed(list(zip(ends, sizes, strict=True))):  # a state has one edge of a length
             own = src[z - n : z]
-            place[z - n : z] = self.edge[own] + nth[own]
+            place[z - n : z] = edge[own] + nth[own]
             nth[own] += 1
-        self.src, self.step, self.piece, v = (np.empty(len(src), x.dtype) for x in (src, step, piece, w))
-        self.src[place], self.step[place], self.piece[place], v[place] = src, step, piece, w
-        to = self.src + self.step
-        inner = to < end[self.src]
+        unsorted, (src, step, piece, v) = (src, step, piece, w), (np.empty(len(src), x.dtype) for x in (src, step, piece, w))
+        src[place], step[place], piece[place], v[place] = unsorted
+        to = src + step
+        inner = to < end[src]
         # backward sums, by distance from the chunk's end
-        dist = (end[self.src] - self.src).astype("u2")
+        dist = (end[src] - src).astype("u2")
         order = np.argsort(dist, kind="stable")
-        s_, to_, v_, in_, d = self.src[order], to[order], v[order], inner[order], dist[order]
+        s_, to_, v_, in_, d = src[order], to[order], v[order], inner[order], dist[order]
         beta = np.zeros(len(cp) + 1)
         cuts = np.searchsorted(d, np.arange(1, (int(d[-1]) if len(d) else 0) + 2))
         for a, z in zip(cuts, cuts[1:], strict=False):
@@ -172,13 +223,18 @@ class Lattice:
             top = np.maximum.reduceat(x, first)
             owner = np.repeat(np.arange(len(first)), np.diff(np.append(first, z - a)))
             beta[s_[a:z][first]] = top + np.log(np.add.reduceat(np.exp(x - top[owner]), first))
-        self.logp = np.minimum(v + np.where(inner, beta[to], 0.0) - beta[self.src], 0.0)
-        p = np.exp(self.logp)
+        logp = np.minimum(v + np.where(inner, beta[to], 0.0) - beta[src], 0.0)
+        p = np.exp(logp)
         run = np.cumsum(p)
-        run -= (run - p)[self.edge[self.src]]
-        run[self.edge[1:] - 1] = 2.0
-        self.cdf = run
-        self.end = end
+        run -= (run - p)[edge[src]]
+        run[edge[1:] - 1] = 2.0
+        opens = np.zeros(len(cp), bool)
+        opens[starts[:-1]] = True
+        for name, values in (
+            ("src", src + states), ("step", step), ("piece", piece), ("logp", logp), ("cdf", run), ("end", end + states),
+            ("opens", opens), ("start", starts[:-1] + states), ("edge", edge[1:] + edges),
+        ):
+            self._put(name, values)
 
     def walk(self, state: np.ndarray, draw) -> tuple[np.ndarray, np.ndarray]:
         """Sample from each state to its chunk's end: edges in order, and how many for each state."""
@@ -225,46 +281,41 @@ def _truncated(phi: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
         return np.where(np.isfinite(phi), phi - np.log(-np.log(u) + np.exp(phi - bound)), -np.inf)
 
 
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... n[i] numbers, one after another."""
+    return np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
+
+
 def sample_texts(vocab: Vocabulary, texts: list[str], keys: np.ndarray, samples: int, seed: int) -> list[list[dict]]:
     """For each text up to ``samples`` distinct segmentations, in order of their perturbed values."""
-    names: dict[str, int] = {}
-    occ = [[names.setdefault(c, len(names)) for c in chunks(t)] for t in texts]
-    lat = Lattice(vocab, list(names))
-    counts = np.array([len(o) for o in occ])
+    lat = _lattices.get(id(vocab))
+    if lat is None or len(lat.end) > KEPT:
+        lat = _lattices[id(vocab)] = Lattice(vocab)
+    occ = [lat.words(t) for t in texts]
+    lat.build()
+    counts = np.array([len(o) for o in occ], "i8")
     out: list[list[dict]] = [[] for _ in texts]
     live = np.flatnonzero(counts)
     if not len(live):
         return out
-    word = [np.array(o, "i8") for o in occ]
-
-    def path(docs, prefix, first, from_word, bound, draw_no):
-        """Complete paths: prefix edges, then a walk from each document's word from_word on.
-
-        ``first`` are (state) starts inside the first word; returns a dict of flat arrays.
-        """
-        states, owner, place = [], [], []
-        for d, f, w0 in zip(docs, first, from_word, strict=True):
-            s = lat.start[word[d][w0:]]
-            if f is not None:
-                s = np.concatenate([[f], s]) if f >= 0 else s
-            states.append(s)
-            owner.append(np.full(len(s), d))
-            place.append(np.arange(len(s)) + w0)
-        s, o, pl = np.concatenate(states), np.concatenate(owner), np.concatenate(place)
-        base = _hash(seed, keys[o], draw_no, pl)
-        e, n = lat.walk(s, lambda who, t: _to_unit(W.mix(base[who] + np.uint64((t * 2 + 1) * int(_MULT) & (1 << 64) - 1))))
-        lens = np.add.reduceat(np.append(n, 0), np.cumsum([0, *[len(x) for x in states]])[:-1]) if len(n) else np.zeros(len(docs), "i8")
-        lens = np.array([int(x) if len(y) else 0 for x, y in zip(lens, states, strict=True)])
-        cuts = np.cumsum([0, *lens])
-        got = []
-        for i in range(len(docs)):
-            tail = e[cuts[i] : cuts[i + 1]]
-            got.append(tail if prefix[i] is None else np.concatenate([prefix[i], tail]))
-        return got
-
-    g = -np.log(-np.log(_unit(seed, keys[live], 1 << 40)))
-    tails = path(live, [None] * len(live), [None] * len(live), [0] * len(live), g, 0)
-    # pools[d]: branches as (path, value array, phi array, first own position, extra exclusions by position)
+    flat_words, word_off = np.concatenate(occ), np.cumsum(counts) - counts
+
+    def path(docs, prefix, first, from_word, draw_no):
+        """Complete paths of each document: prefix edges, then a walk from state ``first``
+        (-1: none) to its word's end and through all words from ``from_word`` on."""
+        inside, n = (first >= 0).astype("i8"), counts[docs] - from_word
+        m = n + inside
+        off = np.cumsum(m) - m
+        s = np.empty(int(m.sum()), "i8")
+        s[off[first >= 0]] = first[first >= 0]
+        s[_ranges(off + inside, n)] = lat.start[flat_words[_ranges(word_off[docs] + from_word, n)]]
+        base = _hash(seed, keys[np.repeat(docs, m)], draw_no, _ranges(from_word, m))
+        e, steps = lat.walk(s, lambda who, t: _to_unit(W.mix(base[who] + np.uint64((t * 2 + 1) * int(_MULT) & (1 << 64) - 1))))
+        ends = np.concatenate([[0], np.cumsum(steps)])
+        tails = [e[a:z] for a, z in zip(ends[off].tolist(), ends[off + m].tolist(), strict=True)]
+        return [t if p is None else np.concatenate([p, t]) for p, t in zip(prefix, tails, strict=True)]
+
+    # pools[d]: branches as (path, values, log probability before each edge, edges taken by position)
     pools: dict[int, list] = {}
 
     def branches(docs, paths, starts, bounds, draw_no):
@@ -277,79 +328,90 @@ def sample_texts(vocab: Vocabulary, texts: list[str], keys: np.ndarray, samples:
         before = cum - lp - np.repeat(cum[off] - lp[off], n)
         with np.errstate(divide="ignore"):
             phi = before + np.log(-np.expm1(np.minimum(lp, -1e-300)))
-        phi[lat.edge[lat.src[flat] + 1] - lat.edge[lat.src[flat]] == 1] = -np.inf
+        src = lat.src[flat]
+        phi[lat.edge[src + 1] - lat.edge[src] == 1] = -np.inf
         pos = np.arange(len(flat)) - np.repeat(off, n)
-        u = _unit(seed, np.repeat(keys[docs], n), draw_no, pos, 1 << 41)
-        v = _truncated(phi, np.repeat(bounds, n), u)
-        total = np.add.reduceat(lp, off)
-        best = []
-        for i, d in enumerate(docs):
-            a, z = off[i], off[i] + n[i]
-            vi = v[a:z]
-            vi[: starts[i]] = -np.inf
-            pools.setdefault(d, []).append([paths[i], vi, before[a:z], {}])
-            best.append(float(total[i]))
-        return best
-
-    totals = branches(live, tails, [0] * len(live), g, 0)
-    for d, p, t, value in zip(live, tails, totals, g, strict=True):
-        out[d].append({"edges": p, "log_prob": t, "value": float(value)})
+        v = np.full(len(flat), -np.inf)
+        may = np.isfinite(phi) & (pos >= np.repeat(starts, n))
+        doc = np.repeat(np.arange(len(docs)), n)[may]
+        v[may] = _truncated(phi[may], bounds[doc], _unit(seed, keys[docs][doc], draw_no, pos[may], 1 << 41))
+        for d, p, a, z in zip(docs.tolist(), paths, off.tolist(), (off + n).tolist(), strict=True):
+            pools.setdefault(d, []).append([p, v[a:z], before[a:z], {}])
+        return np.add.reduceat(lp, off).tolist()
+
+    none = np.full(len(live), -1, "i8")
+    g = -np.log(-np.log(_unit(seed, keys[live], 1 << 40)))
+    tails = path(live, [None] * len(live), none, none * 0, 0)
+    totals = branches(live, tails, none * 0, g, 0)
+    for d, p, t, value in zip(live.tolist(), tails, totals, g.tolist(), strict=True):
+        out[d].append({"edges": p, "log_prob": t, "value": value})
     for draw in range(1, samples + 1):
-        chosen, prefix, first, word_at, bound, own = [], [], [], [], [], []
-        for d in live:
-            pool = pools[d]
-            tops = [float(b[1].max()) for b in pool]
-            r = int(np.argmax(tops))
-            if not np.isfinite(tops[r]):
-                continue
-            if draw == samples:
-                out[d][0]["kappa"] = tops[r]
-                continue
-            p, v, before, extra = pool[r]
-            t = int(np.argmax(v))
-            value, s = tops[r], int(lat.src[p[t]])
+        tops = []
+        for d in live.tolist():
+            at = [int(b[1].argmax()) for b in pools[d]]
+            r = max(range(len(at)), key=lambda i: pools[d][i][1][at[i]])
+            value = float(pools[d][r][1][at[r]])
+            if np.isfinite(value):
+                tops.append((d, r, at[r], value))
+                if draw == samples:
+                    out[d][0]["kappa"] = value
+        if draw == samples or not tops:
+            break
+        docs, places = (np.array([x[i] for x in tops], "i8") for i in (0, 2))
+        bounds = np.array([x[3] for x in tops])
+        picks = _unit(seed, keys[docs], draw, places, 1 << 42)
+        prefix, first, word_at, phis = [], [], [], []
+        for (d, r, t, _), u in zip(tops, picks.tolist(), strict=True):
+            p, _, before, extra = pools[d][r]
+            s = int(lat.src[p[t]])
             a, z = int(lat.edge[s]), int(lat.edge[s + 1])
             gone = {int(p[t]), *extra.get(t, ())}
             prob = np.exp(lat.logp[a:z])
             prob[[x - a for x in gone]] = 0
             mass = prob.sum()
-            u = float(_unit(seed, keys[d], draw, t, 1 << 42))
             e = a + min(int(np.searchsorted(np.cumsum(prob), u * mass, side="right")), z - a - 1)
             while prob[e - a] == 0:
                 e -= 1
             extra[t] = (*extra.get(t, ()), e)
             left = mass - prob[e - a]
-            phi = before[t] + np.log(left) if z - a > len(gone) + 1 and left > 1e-300 else -np.inf
-            v[t] = float(_truncated(np.array([phi]), np.array([value]), np.array([_unit(seed, keys[d], draw, t, 1 << 43)]).ravel())[0])
+            phis.append(before[t] + np.log(left) if z - a > len(gone) + 1 and left > 1e-300 else -np.inf)
             state = s + int(lat.step[e])
-            ends = np.flatnonzero(lat.src[p[: t + 1]] == lat.start[np.searchsorted(lat.start, lat.src[p[: t + 1]], side="right") - 1])
-            chosen.append(d), prefix.append(np.append(p[:t], e)), own.append(t + 1), bound.append(value)
+            prefix.append(np.append(p[:t], e))
             first.append(state if state < lat.end[s] else -1)
-            word_at.append(len(ends))
-        if not chosen:
-            continue
-        docs = np.array(chosen)
-        tails = path(docs, prefix, first, word_at, None, draw)
-        totals = branches(docs, tails, own, np.array(bound), draw)
-        for d, p, t, value in zip(docs, tails, totals, bound, strict=True):
-            out[d].append({"edges": p, "log_prob": t, "value": float(value)})
-    for d in live:
+            word_at.append(int(np.count_nonzero(lat.opens[lat.src[p[: t + 1]]])))
+        rest = _truncated(np.array(phis), bounds, _unit(seed, keys[docs], draw, places, 1 << 43))
+        for (d, r, t, _), value in zip(tops, rest.tolist(), strict=True):
+            pools[d][r][1][t] = value
+        tails = path(docs, prefix, np.array(first, "i8"), np.array(word_at, "i8"), draw)
+        totals = branches(docs, tails, places + 1, bounds, draw)
+        for d, p, t, value in zip(docs.tolist(), tails, totals, bounds.tolist(), strict=True):
+            out[d].append({"edges": p, "log_prob": t, "value": value})
+    for d in live.tolist():
         kappa = out[d][0].get("kappa", -np.inf)
         for o in out[d]:
-            codes = lat.piece[o.pop("edges")]
-            if (codes >= _OTHER).any():
-                ids: list[int] = []
-                for c in codes.tolist():
-                    ids += [c] if c < _OTHER else [vocab.byte_id[b] for b in chr(c - _OTHER).encode()]
-                codes = np.array(ids)
-            o["ids"] = codes.astype("<u4")
+            o["ids"] = piece_ids(vocab, lat.piece[o.pop("edges")])
             o["inclusion"] = float(-np.expm1(-np.exp(min(o["log_prob"] - kappa, 700.0)))) if np.isfinite(kappa) else 1.0
     return out
 
 
+def piece_ids(vocab: Vocabulary, codes: np.ndarray) -> np.ndarray:
+    """Ids of edges' pieces; a character without a piece becomes the pieces of its bytes."""
+    other = codes >= _OTHER
+    if not other.any():
+        return codes.astype("<u4")
+    c = codes[other] - _OTHER
+    n = np.ones(len(codes), "i8")
+    n[other] += (c >= 0x80).astype("i8") + (c >= 0x800) + (c >= 0x10000)
+    ids = np.repeat(codes, n).astype("<u4")
+    raw = c.astype("<u4").tobytes().decode("utf-32-le").encode()
+    ids[np.repeat(other, n)] = vocab.byte_ids[np.frombuffer(raw, "u1")]
+    return ids
+
+
 def decode(vocab: Vocabulary, ids: np.ndarray) -> str:
     """The text of piece ids."""
-    text = b"".join(map(vocab.raw.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(SPACE, " ")
+    at = _ranges(vocab.raw_at[ids], vocab.raw_size[ids])
+    text = vocab.raw_flat[at].tobytes().decode("utf-8", "replace").replace(SPACE, " ")
     return text[1:] if text.startswith(" ") else text
 
 
