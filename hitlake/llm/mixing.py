@@ -231,7 +231,7 @@ def mixed_texts(docs: DataFrame, block_words: int = 128) -> DataFrame:
     )
     d = with_row_id(docs).join(spans, "rid")
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"))
-    text = F.array_join(
-        F.flatten(F.transform("spans", lambda s: F.slice(words, (s["from_word"] + 1).cast("int"), (s["to_word"] - s["from_word"]).cast("int")))), " "
-    )
+    # the one-element array binds the words: inside the lambda alone they would be cut anew for each span
+    parts = F.transform(F.array(words), lambda w: F.flatten(F.transform("spans", lambda s: F.slice(w, (s["from_word"] + 1).cast("int"), (s["to_word"] - s["from_word"]).cast("int")))))
+    text = F.array_join(parts[0], " ")
     return d.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
