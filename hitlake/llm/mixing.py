@@ -30,6 +30,8 @@ WEIGHTS = (3, 1, 2)
 BUCKETS = 4096
 #: Cells of the unit interval; the drawn number finds its source by an equi join on the cell.
 CELLS = 2048
+#: Slots of a source and shard that one task works out together.
+RUN = 1024
 #: Rounds of the swap-or-not permutation.
 ROUNDS = 14
 
@@ -159,8 +161,13 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, block_words: int
     quota = cut(quotas(cut(goal), block_words, seed))
     n_slots = quota.agg(F.sum("quota")).first()[0] or 0
     counts = drawn(quota, n_slots, shard_slots, seed)
-    slot = counts.select(
-        "shard", "source", "quota", "blocks", "trim", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot")
+    # a row per shard and source is few rows: they are dealt out in runs before slots become rows
+    n, last = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("first") + F.col("n") - 1
+    runs = counts.select(
+        "shard", "source", "quota", "blocks", "trim", last.alias("last"), F.explode(F.sequence(F.col("first"), last, F.lit(RUN).cast("long"))).alias("run")
+    ).repartition(n, "source", "run")
+    slot = runs.select(
+        "shard", "source", "quota", "blocks", "trim", F.explode(F.sequence(F.col("run"), F.least(F.col("run") + RUN - 1, "last"))).alias("slot")
     )
     key = [F.lit(seed), F.coalesce(F.col("source"), F.lit("\0null"))]
     passes = F.floor(F.col("slot") / F.col("blocks")).cast("int")
