@@ -219,3 +219,12 @@ def test_empty_tables(empty, spark):
     for f in (suffixes.op2_suffixes, minhash.op5_minhash, substrings.op6_substrings):
         assert f(empty).collect() == []
     assert embeddings.op3_embeddings(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
+
+
+def test_chunk_paths_agree():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(5000):
+        t = "".join(rng.choice(" \nab▁") for _ in range(rng.randint(1, 9)))
+        assert pieces.chunks(t) == pieces._CHUNK.findall(pieces.SPACE + t.replace(" ", pieces.SPACE))
