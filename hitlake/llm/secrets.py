@@ -1,8 +1,10 @@
 """Secret scans (operator 4). DataFrame functions only on the main path.
 
-Candidates are words that hold a run of 16 or more key-like characters. Each gets
+Candidates are the runs of 16 or more key-like characters, every one of a word. Each gets
 features: length, character transitions, dictionary coverage, path signs and
-neighbouring words. A random forest trained from labelled findings says which
+neighbouring words. Where a word holds several runs, a run's own part of the word is
+the name right before it (``"key":"``, or the run before it and ``:``) and itself; runs
+joined by dots share a name. A random forest trained from labelled findings says which
 candidates are secrets; its trees are written out as one CASE expression, so the
 whole scan is a projection over the text: no shuffle, no model object on the
 executors.
@@ -30,6 +32,10 @@ from .common import pick
 
 GAP = r"[\x20\x09-\x0D]+"
 RUN = r"[A-Za-z0-9_+/=-]{16,}"
+#: What stands before a run, and the run with those that follow it after dots; possessive, so that long words need no stack.
+GROUP = rf"(?s)(.*?)({RUN}+(?:\.{RUN}+)*+)"
+#: The name, its sign and opening quotes at the end of what stands before a run.
+NAME = r"((?:[^=:,;&?(){}\[\]|]{0,40}[=:]+)?[\"'`\[({<]*)$"
 #: Findings of each kind that are learnt from, and words in the dictionary: what the driver may hold.
 FINDINGS, DICTIONARY = 3000, 300
 MARK = "[SECRET]"
@@ -46,6 +52,30 @@ def dictionary(docs: DataFrame, size: int = DICTIONARY) -> str:
     return "|".join(sorted((r.w for r in top), key=lambda w: (-len(w), w))) or "(?!)"
 
 
+def _runs(word: Column, before2: Column, before1: Column, after1: Column) -> Column:
+    """The candidates of a word that holds a run."""
+
+    def part(group: Column, k: Column, name: Column) -> Column:
+        inner = F.when(k > 0, F.regexp_extract(group, "^[A-Za-z0-9_-]{1,40}=(?=[^=.])", 0)).otherwise("")
+        return F.concat(name, inner)
+
+    def of_group(zs: Column, z: Column, i: Column) -> Column:
+        lead = F.concat(F.right(F.coalesce(F.get(zs, i - 1)["group"], F.lit("")), F.lit(40)), F.right(z["gap"], F.lit(80)))
+        alone = (F.size(zs) == 1) & ~F.contains(z["group"], F.lit("."))
+        return F.flatten(F.transform(F.array(F.regexp_extract(lead, NAME, 1)), lambda name: F.transform(
+            F.split(z["group"], r"\."),
+            lambda core, k: F.struct(
+                core.alias("core"), F.when(alone, word).otherwise(F.concat(part(z["group"], k, name), core)).alias("word"),
+                F.when((i > 0) & name.rlike("[=:]"), "").otherwise(before2).alias("before2"),
+                F.when((i > 0) & name.rlike("[=:]"), "").otherwise(before1).alias("before1"), after1.alias("after1"),
+            ),
+        )))
+
+    gaps, groups = (F.regexp_extract_all(word, F.lit(GROUP), F.lit(i)) for i in (1, 2))
+    zipped = F.array(F.zip_with(gaps, groups, lambda a, b: F.struct(a.alias("gap"), b.alias("group"))))
+    return F.flatten(F.flatten(F.transform(zipped, lambda zs: F.transform(zs, lambda z, i: of_group(zs, z, i)))))
+
+
 def candidates(text: Column) -> Column:
     """array<struct<core, word, before2, before1, after1>> of a text."""
     words = F.split(F.coalesce(text, F.lit("")), GAP)
@@ -55,13 +85,10 @@ def candidates(text: Column) -> Column:
             ws,
             lambda w, i: F.when(
                 (F.length(w) >= 16) & w.rlike(RUN),
-                F.struct(
-                    F.regexp_extract(w, f"({RUN})", 1).alias("core"), w.alias("word"), F.coalesce(F.get(ws, i - 2), F.lit("")).alias("before2"),
-                    F.coalesce(F.get(ws, i - 1), F.lit("")).alias("before1"), F.coalesce(F.get(ws, i + 1), F.lit("")).alias("after1"),
-                ),
+                _runs(w, F.coalesce(F.get(ws, i - 2), F.lit("")), F.coalesce(F.get(ws, i - 1), F.lit("")), F.coalesce(F.get(ws, i + 1), F.lit(""))),
             ),
         )
-        return F.filter(each, lambda c: c.isNotNull())
+        return F.flatten(F.filter(each, lambda c: c.isNotNull()))
 
     # a one-element transform binds the words once, so they are split once
     return F.flatten(F.transform(F.array(words), found))
@@ -153,7 +180,9 @@ def scan(docs: DataFrame, threshold: float = 0.5, labelled: DataFrame | None = N
     found = found.withColumn("__s", scored)
     secrets = F.array_distinct(F.transform(F.filter("__s", lambda s: s["score"] > threshold), lambda s: s["core"]))
     found = found.withColumn("secrets", secrets)
-    redacted = F.aggregate("secrets", F.col("text"), lambda t, s: F.replace(t, s, F.lit(MARK)))
+    # longest first: a secret may be a part of another
+    longest = F.array_sort("secrets", lambda a, b: F.length(b) - F.length(a))
+    redacted = F.aggregate(longest, F.col("text"), lambda t, s: F.replace(t, s, F.lit(MARK)))
     return (
         found.withColumn("n_candidates", F.size("__c").cast("long"))
         .withColumn("max_score", F.array_max(F.transform("__s", lambda s: s["score"])))

@@ -188,6 +188,32 @@ def test_secrets(spark, empty):
     assert secrets.op4_secrets(empty).collect() == []
 
 
+def test_secrets_several_runs(spark):
+    r = random.Random(8)
+    key = lambda: "".join(r.choices("0123456789abcdef", k=40))
+    a, b, c, d, e, f, g, h = (key() for _ in range(8))
+    name = "production_database_password"
+    odd = {
+        1: (f'{{"secret":"{a}","access_key":"{b}"}}', [a, b]),
+        2: (f"{name}:{c}", [name, c]),
+        3: (f"token:{d}.{e}.{f}", [d, e, f]),
+        4: (f"https://x.y/?api_key={g}&auth={h}", [f"api_key={g}", f"auth={h}"]),
+        5: (f'token = "{a}" secret: {a}{b}', [a, a + b]),
+    }
+    rows_ = [(i, t) for i, (t, _) in odd.items()] + [(100 + i, f'token = "{key()}"') for i in range(60)]
+    rows_ += [(200 + i, f"see /{''.join(r.choices('aeioulmnrst', k=12))}/{''.join(r.choices('aeioulmnrst', k=12))}/x today") for i in range(60)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string")
+    found = {x.doc_id: x.cores for x in df.select("doc_id", secrets.candidates(df.text)["core"].alias("cores")).collect()}
+    assert all(found[i] == cores for i, (_, cores) in odd.items())
+    got = {x.doc_id: x for x in secrets.scan(df).collect()}
+    for i, (_, cores) in odd.items():
+        assert set(got[i].secrets) == set(cores) - {name} and got[i].n_candidates == len(cores)
+        assert not any(k in got[i].redacted for k in (a, b, c, d, e, f, g, h))
+    assert got[2].redacted == name + ":[SECRET]"
+    many = spark.createDataFrame([(1, ".".join(["k" * 16] * 20000))], "doc_id long, text string")
+    assert many.select(secrets.candidates(many.text).alias("c")).selectExpr("size(c)").first()[0] == 20000
+
+
 def test_pieces(docs, empty):
     got = pieces.sample_segmentations(docs, samples=3).collect()
     text = {r[0]: r[1] or "" for r in corpus()}
