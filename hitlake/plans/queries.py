@@ -382,10 +382,10 @@ def _table() -> dict[str, Entry]:
 def _streams() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "stream_first_seen": lambda s, d: J.run_once(J.first_seen(J.stream_hits(s, d)), "complete"),
-        "stream_minutes": lambda s, d: J.run_once(J.minute_windows(J.stream_hits(s, d))),
-        "stream_sliding": lambda s, d: J.run_once(J.sliding_activity(J.stream_hits(s, d))),
-        "stream_sessions": lambda s, d: J.run_once(J.session_windows(J.stream_hits(s, d))),
-        "stream_dedup": lambda s, d: J.run_once(J.dedup_lines(J.stream_hits(s, d), "request_id").select("id", "ts")),
+        "stream_minutes": lambda s, d: J.drain(J.stream_hits(s, d), J.minute_parts, J.merged_minutes),
+        "stream_sliding": lambda s, d: J.drain(J.stream_hits(s, d), J.minute_parts, J.merged_sliding),
+        "stream_sessions": lambda s, d: J.drain(J.stream_hits(s, d), J.session_parts, J.merged_sessions),
+        "stream_dedup": lambda s, d: J.drain(J.stream_hits(s, d), lambda b: J.dedup_parts(b, "request_id"), J.merged_dedup),
     }
 
 

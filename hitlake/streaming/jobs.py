@@ -1,11 +1,17 @@
-"""Streaming jobs over lines and hits. Each is a transformation; ``run_once`` drives one to the end."""
+"""Streaming jobs over lines and hits. Each is a transformation for a running stream.
+
+``run_once`` drives one to the end. In append mode it leaves out what is open or late
+at the end, so windows, sessions and duplicates of a finite table are drained by
+``drain``: parts of each batch, merged when all are there, with the batch form's rows.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitlake.sources.hits import hits
@@ -32,7 +38,7 @@ def minute_windows(stream: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def sliding_activity(stream: DataFrame, minutes: int = 30, late: str = "1 hour") -> DataFrame:
-    w = stream.where("pageview_flag = 1").withWatermark("ts", late).groupBy(F.window("ts", f"{minutes} minutes", "15 minutes"))
+    w = stream.where("pageview_flag = 1").withWatermark("ts", late).groupBy(F.window("ts", f"{minutes} minutes", "1 minute"))
     return w.agg(F.count("*").alias("pv")).select(F.unix_timestamp("window.start").alias("bucket"), "pv")
 
 
@@ -45,6 +51,65 @@ def first_seen(stream: DataFrame) -> DataFrame:
     return stream.where("pageview_flag = 1").groupBy("ip").agg(F.min("timestamp").alias("first_ts"))
 
 
+def minute_parts(batch: DataFrame) -> DataFrame:
+    return batch.where("pageview_flag = 1").groupBy(F.window("ts", "1 minute").alias("w"), "ip").agg(F.count("*").alias("pv"))
+
+
+def merged_minutes(parts: DataFrame) -> DataFrame:
+    return parts.groupBy(F.unix_timestamp("w.start").alias("bucket")).agg(F.sum("pv").alias("pv"), F.approx_count_distinct("ip").alias("uv"))
+
+
+def merged_sliding(parts: DataFrame, minutes: int = 30) -> DataFrame:
+    """Sliding windows from ``minute_parts``: a slide of one minute cuts no minute."""
+    own = parts.groupBy(F.col("w.start").alias("ts")).agg(F.sum("pv").alias("n"))
+    w = own.groupBy(F.window("ts", f"{minutes} minutes", "1 minute"))
+    return w.agg(F.sum("n").alias("pv")).select(F.unix_timestamp("window.start").alias("bucket"), "pv")
+
+
+def _rejoined() -> Column:
+    """Windows over parts (``w``: a session window of one batch): parts that touch are one session."""
+    return F.session_window("start", F.expr("make_interval(0, 0, 0, 0, 0, 0, cast((unix_micros(w.end) - unix_micros(w.start)) / 1e6 as decimal(18, 6)))"))
+
+
+def session_parts(batch: DataFrame, gap: int = 1800) -> DataFrame:
+    w = F.session_window("ts", f"{gap} seconds").alias("w")
+    return batch.where("pageview_flag = 1").groupBy("ip", "browser", "os", "device", w).agg(F.count("*").alias("page_count"))
+
+
+def merged_sessions(parts: DataFrame) -> DataFrame:
+    w = parts.withColumn("start", F.col("w.start")).groupBy("ip", "browser", "os", "device", _rejoined())
+    return w.agg(F.sum("page_count").alias("page_count")).select("ip", F.unix_timestamp("session_window.start").alias("start_ts"), "page_count")
+
+
+def dedup_parts(batch: DataFrame, key: str = "fingerprint", within: int = 600) -> DataFrame:
+    """Rows (id, ts) of a key less than ``within`` seconds after the one before are one; a row without ts stays."""
+    b = batch.select(F.col(key).alias("key"), "id", "ts")
+    w = F.session_window("ts", f"{within * 1_000_000 - 1} microseconds").alias("w")
+    seen = b.groupBy("key", w).agg(F.min(F.struct("ts", "id")).alias("first"))
+    return seen.unionByName(b.where("ts is null").select("key", F.struct("ts", "id").alias("first")), allowMissingColumns=True)
+
+
+def merged_dedup(parts: DataFrame) -> DataFrame:
+    w = parts.withColumn("start", F.col("w.start")).groupBy("key", _rejoined()).agg(F.min("first").alias("first"))
+    return w.select("first").unionByName(parts.where("w is null").select("first")).select("first.id", "first.ts")
+
+
+def _folder(spark: SparkSession) -> str:
+    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="hitlake-stream-")
+    return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def drain(stream: DataFrame, parts: Callable[[DataFrame], DataFrame], merged: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All of what is there, in any number of batches and any order of rows: parts a batch, then merged."""
+    spark = stream.sparkSession
+    at = _folder(spark)
+    none = parts(spark.createDataFrame([], stream.schema))
+    none.write.parquet(f"{at}/out/none")
+    w = stream.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
+    w.foreachBatch(lambda df, n: parts(df).write.mode("overwrite").parquet(f"{at}/out/{n}")).start().awaitTermination()
+    return merged(spark.read.schema(none.schema).option("recursiveFileLookup", "true").parquet(f"{at}/out"))
+
+
 def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Drain what is there into a Parquet table in the shared folder and read it.
 
@@ -52,8 +117,7 @@ def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     batch replace earlier ones only in the reader's hands, so one batch is asked for.
     """
     spark = stream.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="hitlake-stream-")
-    at = f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = _folder(spark)
     w = stream.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).outputMode(mode)
     if mode == "append":
         w.format("parquet").option("path", f"{at}/out").start().awaitTermination()
