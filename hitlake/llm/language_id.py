@@ -42,17 +42,18 @@ def samples(train: DataFrame, docs_per_lang: int = 200, bytes_per_doc: int = 150
     """A dictionary per language from a bounded sample of the training rows.
 
     ``train``: (text, lang). At most ``docs_per_lang`` distinct texts a language,
-    each giving at most ``bytes_per_doc`` bytes (whole characters) of sample:
-    these two bounds are what the driver holds per language. Texts with the
-    smallest hashes are taken, first within 64 salts, so no language gathers in
-    one task.
+    each giving at most ``bytes_per_doc`` characters of sample: these two bounds
+    are what the driver holds per language. Texts of 200 characters or more come
+    first, shorter ones fill up where those are missing; samples without a letter
+    teach nothing. Texts with the smallest hashes are taken, first within 64 salts,
+    so no language gathers in one task.
     """
-    t = train.where("lang is not null and length(text) >= 200").select(
-        "lang", F.xxhash64("text").alias("h"), F.substring("text", 1, bytes_per_doc).alias("s")
-    )
-    salted = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "s")
+    t = train.where("lang is not null and text is not null").select(
+        "lang", (F.length("text") < 200).alias("short"), F.xxhash64("text").alias("h"), F.substring("text", 1, bytes_per_doc).alias("s")
+    ).where(F.col("s").rlike(r"\p{L}"))
+    salted = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("short", "h", "s")
     top = t.withColumn("k", F.row_number().over(salted)).where(F.col("k") <= docs_per_lang).drop("k").distinct()
-    whole = Window.partitionBy("lang").orderBy("h", "s")
+    whole = Window.partitionBy("lang").orderBy("short", "h", "s")
     rows = top.withColumn("k", F.row_number().over(whole)).where(F.col("k") <= docs_per_lang).collect()
     out: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, -r.k)):

@@ -179,6 +179,22 @@ def test_language(spark, empty):
     assert {r.lang_pred for r in odd.collect()} == {"und"}
 
 
+def test_language_of_short_texts(spark):
+    ship(spark)
+    r = random.Random(4)
+    vocab = {k: ["".join(r.choices(abc, k=r.randint(3, 7))) for _ in range(60)] for k, abc in (("aa", "abcdefghi"), ("bb", "jklmnopqr"), ("cc", "acegikmoq"))}
+    say = lambda k, n: " ".join(r.choices(vocab[k], k=n))
+    long = [(i, say(k, 80), k) for i, k in enumerate(["aa", "bb"] * 60)]
+    short = [(1000 + i, say("cc", 9), "cc") for i in range(120)] + [(2000 + i, f"{i} !", "dd") for i in range(20)]
+    for data in (long + short, [(i, " ".join(t.split()[:9]), k) for i, t, k in long] + short):
+        df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+        got = language_id.op9_language_id(df).join(df, "doc_id").where("held_out and lang != 'dd'").collect()
+        assert {x.lang for x in got} == {"aa", "bb", "cc"} and all(x.lang_pred == x.lang and not x.rejected for x in got)
+    assert max(map(len, (t for _, t, k in short))) < 200
+    kept = language_id.samples(df.select("text", "lang").union(spark.createDataFrame([(say("cc", 80), "cc")], "text string, lang string")), docs_per_lang=1)
+    assert set(kept) == {"aa", "bb", "cc"} and len(kept["cc"]) > 200
+
+
 def test_secrets(spark, empty):
     df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     planted = df.text.rlike('(?i)token = "[0-9a-f]{40}"')
