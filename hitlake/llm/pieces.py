@@ -17,8 +17,8 @@ drawn without replacement; 1 where every segmentation was drawn (it underflows t
 for texts of some thousand pieces).
 
 The lattice of each distinct chunk (a space and what follows it) is built once and
-kept by the worker up to ``KEPT`` characters, all new chunks of a stretch of rows at a time. Chunks longer than ``LONGEST`` characters
-are cut there. Characters outside the vocabulary are byte pieces. Null and empty
+kept by the worker up to ``KEPT`` characters, all new chunks of a stretch of rows at a time. Chunks are
+never cut: what is farther than ``LONGEST`` characters from a chunk's end is summed chunk by chunk, with the same result. Characters outside the vocabulary are byte pieces. Null and empty
 texts give one row without pieces. Texts that hold U+2581 decode with a space in its
 place, as with the library. Repeated rows get equal samples; a null key counts as
 -1; extra columns are ignored; an empty table gives no rows.
@@ -27,7 +27,9 @@ place, as with the library. Repeated rows get equal samples; a null key counts a
 from __future__ import annotations
 
 import itertools
+import math
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,7 @@ from pyspark.sql import functions as F
 from . import windows as W
 
 SPACE = "▁"
+#: Characters (and steps of a walk) up to which all chunks are worked on together; beyond, each alone. At most 65534.
 LONGEST = 2048
 #: Characters of text that are worked on together: about 400 bytes of memory each.
 STRETCH = 250_000
@@ -155,9 +158,6 @@ class Lattice:
         """Numbers of the text's chunks; new ones are named, and built by the next ``build``."""
         got = chunks(text)
         new = [c for c in dict.fromkeys(got) if c not in self.names]
-        if new and max(map(len, new)) > LONGEST:
-            got = [c[i : i + LONGEST] for c in got for i in range(0, len(c), LONGEST)]
-            new = [c for c in dict.fromkeys(got) if c not in self.names]
         for c in new:
             self.names[c] = len(self.names)
         return np.fromiter(map(self.names.__getitem__, got), "i8", len(got))
@@ -210,11 +210,11 @@ class Lattice:
         to = src + step
         inner = to < end[src]
         # backward sums, by distance from the chunk's end
-        dist = (end[src] - src).astype("u2")
+        dist = np.minimum(end[src] - src, LONGEST + 1).astype("u2")
         order = np.argsort(dist, kind="stable")
         s_, to_, v_, in_, d = src[order], to[order], v[order], inner[order], dist[order]
         beta = np.zeros(len(cp) + 1)
-        cuts = np.searchsorted(d, np.arange(1, (int(d[-1]) if len(d) else 0) + 2))
+        cuts = np.searchsorted(d, np.arange(1, (min(int(d[-1]), LONGEST) if len(d) else 0) + 2))
         for a, z in zip(cuts, cuts[1:], strict=False):
             if a == z:
                 continue
@@ -223,6 +223,8 @@ class Lattice:
             top = np.maximum.reduceat(x, first)
             owner = np.repeat(np.arange(len(first)), np.diff(np.append(first, z - a)))
             beta[s_[a:z][first]] = top + np.log(np.add.reduceat(np.exp(x - top[owner]), first))
+        for i in np.flatnonzero(size > LONGEST):
+            self._sum_far(beta, int(starts[i]), int(starts[i + 1]), edge, step, v)
         logp = np.minimum(v + np.where(inner, beta[to], 0.0) - beta[src], 0.0)
         p = np.exp(logp)
         run = np.cumsum(p)
@@ -236,12 +238,40 @@ class Lattice:
         ):
             self._put(name, values)
 
+    def _sum_far(self, beta: np.ndarray, first: int, end: int, edge: np.ndarray, step: np.ndarray, v: np.ndarray, stretch: int = 4096) -> None:
+        """Backward sums of a chunk's states farther than LONGEST from its end, in stretches that hand on their sums."""
+        for hi in range(end - LONGEST, first, -stretch):
+            lo = max(first, hi - stretch)
+            known = beta[lo : min(end, hi + self.vocab.longest)].tolist() + [0.0] * (self.vocab.longest + 1)
+            e0, e1 = int(edge[lo]), int(edge[hi])
+            at, steps, w = (edge[lo : hi + 1] - e0).tolist(), step[e0:e1].tolist(), v[e0:e1].tolist()
+            for s in range(hi - lo - 1, -1, -1):
+                x = [w[e] + known[s + steps[e]] for e in range(at[s], at[s + 1])]
+                top = max(x)
+                known[s] = top + math.log(sum([math.exp(y - top) for y in x]))
+            beta[lo:hi] = known[: hi - lo]
+
+    def _walk_on(self, state: int, stop: int, who: int, t: int, draw) -> np.ndarray:
+        """Edges of one walk from its step t on."""
+        out, edge, cdf, step = array("q"), self.edge, self.cdf, self.step
+        while state < stop:
+            for x in draw(np.full(LONGEST, who), np.arange(t, t + LONGEST)).tolist():
+                e = int(edge[state])
+                while cdf[e] <= x:
+                    e += 1
+                out.append(e)
+                state += int(step[e])
+                if state >= stop:
+                    break
+            t += LONGEST
+        return np.frombuffer(out, "i8")
+
     def walk(self, state: np.ndarray, draw) -> tuple[np.ndarray, np.ndarray]:
         """Sample from each state to its chunk's end: edges in order, and how many for each state."""
         n = len(state)
         stop, who, parts, count = self.end[state], np.arange(n), [], np.zeros(n, "i8")
         t = 0
-        while len(who):
+        while len(who) and t < LONGEST:
             e, x = self.edge[state[who]], draw(who, t)
             more = np.flatnonzero(self.cdf[e] <= x)
             while len(more):
@@ -252,10 +282,15 @@ class Lattice:
             state = state.copy() if t == 0 else state
             state[who] += self.step[e]
             who, t = who[state[who] < stop[who]], t + 1
+        far = {w: self._walk_on(int(state[w]), int(stop[w]), w, t, draw) for w in who.tolist()}
+        for w, e in far.items():
+            count[w] += len(e)
         out = np.empty(int(count.sum()), "i8")
         off = np.cumsum(count) - count
         for t, (who, e) in enumerate(parts):
             out[off[who] + t] = e
+        for w, e in far.items():
+            out[off[w] + count[w] - len(e) : off[w] + count[w]] = e
         return out, count
 
 
@@ -310,7 +345,7 @@ def sample_texts(vocab: Vocabulary, texts: list[str], keys: np.ndarray, samples:
         s[off[first >= 0]] = first[first >= 0]
         s[_ranges(off + inside, n)] = lat.start[flat_words[_ranges(word_off[docs] + from_word, n)]]
         base = _hash(seed, keys[np.repeat(docs, m)], draw_no, _ranges(from_word, m))
-        e, steps = lat.walk(s, lambda who, t: _to_unit(W.mix(base[who] + np.uint64((t * 2 + 1) * int(_MULT) & (1 << 64) - 1))))
+        e, steps = lat.walk(s, lambda who, t: _to_unit(W.mix(base[who] + (np.atleast_1d(t).astype("u8") * np.uint64(2) + np.uint64(1)) * _MULT)))
         ends = np.concatenate([[0], np.cumsum(steps)])
         tails = [e[a:z] for a, z in zip(ends[off].tolist(), ends[off + m].tolist(), strict=True)]
         return [t if p is None else np.concatenate([p, t]) for p, t in zip(prefix, tails, strict=True)]

@@ -257,6 +257,41 @@ def test_inclusion_is_unbiased():
     assert first.count(top) / 3000 == pytest.approx(p, abs=0.03)
 
 
+def test_long_chunk(monkeypatch):
+    import math
+
+    import public_tokenizers
+    import sentencepiece
+
+    path = str(public_tokenizers.path("piece_bpe_32k.model"))
+    v, sp = pieces.vocabulary(path, 0.5), sentencepiece.SentencePieceProcessor(model_file=path)
+    known = {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("etaoinshrdlu", k=5000)), "short words here", "".join(rng.choices("ab漢é😀x", k=5000)), "".join(rng.choices("the", k=12000))]
+
+    def sampled(longest):
+        monkeypatch.setattr(pieces, "LONGEST", longest)
+        pieces._lattices.clear()
+        return pieces.sample_texts(v, texts, np.arange(len(texts), dtype="u8"), 3, 7)
+
+    try:
+        got, uncut, narrow = sampled(pieces.LONGEST), sampled(60000), sampled(64)
+    finally:
+        pieces._lattices.clear()
+    for a, b, c in zip(got, uncut, narrow, strict=True):
+        assert [x["ids"].tolist() for x in a] == [x["ids"].tolist() for x in b] == [x["ids"].tolist() for x in c]
+        for other in (b, c):
+            assert [x["log_prob"] for x in a] == pytest.approx([x["log_prob"] for x in other])
+    text = pieces.SPACE + texts[0]  # every character is a piece, so the lattice needs no byte pieces
+    beta = [0.0] * (len(text) + 1)
+    for s in range(len(text) - 1, -1, -1):
+        x = [v.weight[known[text[s:e]]] + beta[e] for e in range(s + 1, min(len(text), s + v.longest) + 1) if text[s:e] in known]
+        beta[s] = max(x) + math.log(sum(math.exp(y - max(x)) for y in x))
+    for o in got[0]:
+        assert o["log_prob"] == pytest.approx(float(v.weight[o["ids"]].sum()) - beta[0], abs=1e-6)
+        assert pieces.decode(v, o["ids"]) == texts[0]
+
+
 def test_empty_tables(empty, spark):
     for f in (suffixes.op2_suffixes, minhash.op5_minhash, substrings.op6_substrings):
         assert f(empty).collect() == []
