@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +16,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temp folder where unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a temp folder where unset and the master is local (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="hitlake-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -27,17 +31,41 @@ def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark).rstrip('/')}/hitlake-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(at)
+    if _scratch:
+        _scratch[-1].append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``cut`` writes inside are removed at the end: for jobs that have written their result by then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        conf = spark._jsc.hadoopConfiguration()
+        for at in _scratch.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def stable(df: DataFrame) -> DataFrame:
     """``df`` itself where it is a plain scan, whose rows come in the same order each time; else a written copy.
 
     After a shuffle the order of rows differs from run to run, so row ids would too.
+    Spark sizes a scan's splits by the cores that live just then, unless
+    ``spark.sql.files.minPartitionNum`` says how many to count on: it is set here, once
+    for the session, so executors that come or go don't move rows to other splits.
     """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.files.minPartitionNum", None) is None:
+        conf.set("spark.sql.files.minPartitionNum", str(df.sparkSession.sparkContext.defaultParallelism))
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     nodes = {m[1] for m in re.finditer(r"^[ :+-]*'?(\w+)", plan, re.M)}
-    return df if nodes <= {"Project", "Filter", "Relation", "LocalRelation", "LogicalRDD"} else cut(df)
+    return df if nodes <= {"Project", "Filter", "Relation", "LogicalRDD"} else cut(df)
 
 
 def with_row_id(df: DataFrame, name: str = "rid") -> DataFrame:
