@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows as W
-from .common import among, components, cut, with_row_id
+from .common import among, components, cut, stable, with_row_id
 
 BANDS, ROWS = 72, 7
 BINS = BANDS * ROWS
@@ -121,12 +121,14 @@ def confirm(docs: DataFrame, pairs: DataFrame, shingle: int = 2) -> DataFrame:
     A centre's text goes once to each stretch of its members, ahead of them; a
     task holds one centre's set and one member at a time.
     """
-    salts = pairs.groupBy("centre").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
-    member = pairs.join(salts, "centre").select(
-        "centre", F.pmod(F.xxhash64("member"), "salts").cast("int").alias("salt"), F.lit(1).alias("role"), F.col("member").alias("rid")
+    # only stars larger than STAR are split; written first, so that their real size decides the join
+    large = cut(pairs.groupBy("centre").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts")).where("salts > 1"))
+    salts = F.coalesce("salts", F.lit(1))
+    member = pairs.join(large, "centre", "left").select(
+        "centre", F.pmod(F.xxhash64("member"), salts).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("member").alias("rid")
     )
-    centre = salts.select(
-        "centre", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("centre").alias("rid")
+    centre = pairs.select("centre").distinct().join(large, "centre", "left").select(
+        "centre", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("role"), F.col("centre").alias("rid")
     )
     need = member.unionByName(centre)
     need = need.join(among(docs.select("rid", "text"), need), "rid")
@@ -278,7 +280,12 @@ def cross_links(docs: DataFrame, opened: DataFrame, percent: int, shingle: int =
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 2) -> DataFrame:
-    """(rid, doc_id, n_shingles, component_id, kept) for documents (doc_id, text)."""
+    """(rid, doc_id, n_shingles, root, component_id, kept) for documents (doc_id, text).
+
+    ``root`` names a document's component by row: null ids and repeated ids of
+    different texts share a component_id without being linked. It is null where
+    there are no shingles.
+    """
     own = with_row_id(docs.select("doc_id", "text"))
     sk = cut(sketches(own, shingle))
     first = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid")
@@ -290,14 +297,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 2) -> Dat
     roots = class_links(own, classes, percent, shingle)
     named = classes.drop("bands").join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = named.join(least, "root").select("n_shingles", "a", "b", "component_id")
+    named = named.join(least, "root").select("n_shingles", "a", "b", "root", "component_id")
     out = sk.drop("bands").join(named, ["n_shingles", "a", "b"], "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("rid", "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("rid", "doc_id", "n_shingles", "root", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op5_minhash(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs).drop("rid")
+    return near_duplicates(docs).drop("rid", "root")
+
+
+def first_of_each(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
+    """Documents without the later members of each near-duplicate group: the smallest doc_id of a group stays (nulls last, ties by row)."""
+    docs = stable(docs)
+    found = cut(near_duplicates(docs, percent, shingle).select("rid", "doc_id", "root"))
+    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid")
+    later = found.where("root is not null").groupBy("root").agg(F.min(order)["rid"].alias("first"))
+    kept = found.where("root is null").select("rid").unionByName(later.select(F.col("first").alias("rid")))
+    return with_row_id(docs).join(kept, "rid", "left_semi").drop("rid")
 
 
 ORACLE_SQL = r"""
