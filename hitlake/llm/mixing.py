@@ -8,10 +8,11 @@ source's block numbers, another one for each pass over the source, so no block
 is shown again before all have been. Slots and blocks are joined by (source,
 block).
 
-The draws decide how shards mix; what a source gives in all is settled
-afterwards: slots drawn beyond its quota are dealt to sources still short, as one
-last top-up shard, and the last slot is trimmed to the word. So a source's words
-taken are its target rounded down, and reruns agree.
+The draws decide which blocks, and so which words of which documents, lie in which
+shard (``mixed_blocks``, ``mixed_texts``, ``first_shard`` of the query); what a source
+gives in all is settled afterwards: slots drawn beyond its quota are dealt to
+sources still short, as one last top-up shard, and the last slot is trimmed to the
+word. So a source's words taken are its target rounded down, and reruns agree.
 
 Null texts have size 0 and are never taken; null sources are one source; empty
 tables give no rows; repeated rows are packed one by one; a source without words
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, stable, with_row_id
+from .common import WORD, cut, pick, stable, with_row_id
 
 WEIGHTS = (3, 1, 2)
 #: A source's documents are numbered in this many hash buckets, so no source gathers in one task.
@@ -137,15 +138,15 @@ def drawn(quota: DataFrame, n_slots: int, shard_slots: int, seed: int) -> DataFr
     got = slots.join(cells, "cell").where("x >= lo and x < hi").groupBy("shard", "source").agg(F.count("*").alias("n"))
     w = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     got = got.withColumn("first", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    most = quota.select(F.col("source").alias("s"), "quota", "blocks", "trim")
+    most = quota.select(F.col("source").alias("s"), "source_size", "quota", "blocks", "trim")
     same = F.col("source").eqNullSafe(F.col("s"))
     kept = got.join(most, same).select(
-        "shard", "source", "first", F.least("n", F.col("quota") - F.col("first")).alias("n"), "quota", "blocks", "trim"
+        "shard", "source", "first", F.least("n", F.col("quota") - F.col("first")).alias("n"), "source_size", "quota", "blocks", "trim"
     )
     had = got.groupBy("source").agg(F.sum("n").alias("had"))
     top = most.join(had, same, "left").select(
         F.lit(-(-n_slots // shard_slots)).cast("long").alias("shard"), F.col("s").alias("source"),
-        F.coalesce("had", F.lit(0)).alias("first"), (F.col("quota") - F.coalesce("had", F.lit(0))).alias("n"), "quota", "blocks", "trim",
+        F.coalesce("had", F.lit(0)).alias("first"), (F.col("quota") - F.coalesce("had", F.lit(0))).alias("n"), "source_size", "quota", "blocks", "trim",
     )
     return kept.unionByName(top).where("n > 0")
 
@@ -153,29 +154,26 @@ def drawn(quota: DataFrame, n_slots: int, shard_slots: int, seed: int) -> DataFr
 def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, block_words: int = 128, shard_slots: int = 1 << 16, seed: int = 7):
     """Plan the mix: (packed documents, targets, slots).
 
-    slots: shard, slot (the source's own slot number), source, block, drop (words
-    trimmed from its end). ``cap`` 2 needs two passes over a source at most.
+    slots: shard, slot (the source's own slot number), source, pass, block, filled
+    (words of the block that the slot shows). ``cap`` 2 needs two passes over a
+    source at most.
     """
     packed = cut(pack(docs))
-    goal = targets(packed.groupBy("source").agg(F.sum("size").alias("source_size")), share, cap)
-    quota = cut(quotas(cut(goal), block_words, seed))
+    goal = cut(targets(packed.groupBy("source").agg(F.sum("size").alias("source_size")), share, cap))
+    quota = cut(quotas(goal, block_words, seed))
     n_slots = quota.agg(F.sum("quota")).first()[0] or 0
     counts = drawn(quota, n_slots, shard_slots, seed)
     # a row per shard and source is few rows: they are dealt out in runs before slots become rows
     n, last = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("first") + F.col("n") - 1
-    runs = counts.select(
-        "shard", "source", "quota", "blocks", "trim", last.alias("last"), F.explode(F.sequence(F.col("first"), last, F.lit(RUN).cast("long"))).alias("run")
-    ).repartition(n, "source", "run")
-    slot = runs.select(
-        "shard", "source", "quota", "blocks", "trim", F.explode(F.sequence(F.col("run"), F.least(F.col("run") + RUN - 1, "last"))).alias("slot")
-    )
+    own = ["shard", "source", "source_size", "quota", "blocks", "trim"]
+    runs = counts.select(*own, last.alias("last"), F.explode(F.sequence(F.col("first"), last, F.lit(RUN).cast("long"))).alias("run")).repartition(n, "source", "run")
+    slot = runs.select(*own, F.explode(F.sequence(F.col("run"), F.least(F.col("run") + RUN - 1, "last"))).alias("slot"))
     key = [F.lit(seed), F.coalesce(F.col("source"), F.lit("\0null"))]
-    passes = F.floor(F.col("slot") / F.col("blocks")).cast("int")
-    slot = slot.select(
-        "shard", "source", "slot", permuted(F.pmod("slot", F.col("blocks")), F.col("blocks"), *key, passes).alias("block"),
-        F.when(F.col("slot") == F.col("quota") - 1, F.col("trim")).otherwise(0).alias("drop"), "blocks",
-    )
-    return packed, goal, slot
+    slot = slot.withColumn("pass", F.floor(F.col("slot") / F.col("blocks")).cast("int"))
+    slot = slot.withColumn("block", permuted(F.pmod("slot", F.col("blocks")), F.col("blocks"), *key, F.col("pass")))
+    whole = F.least(F.col("source_size") - F.col("block") * block_words, F.lit(block_words))
+    drop = F.when(F.col("slot") == F.col("quota") - 1, F.col("trim")).otherwise(0)
+    return packed, goal, slot.select("shard", "slot", "source", "pass", "block", (whole - drop).alias("filled"))
 
 
 def pieces(packed: DataFrame, block_words: int) -> DataFrame:
@@ -194,51 +192,89 @@ def pieces(packed: DataFrame, block_words: int) -> DataFrame:
 def placements(packed: DataFrame, slots: DataFrame, block_words: int = 128) -> DataFrame:
     """Slots joined with blocks by index: a row per shown piece of a document.
 
-    (shard, slot, rid, doc_id, source, from_word, to_word): word numbers inside the document.
+    (shard, slot, pass, rid, doc_id, source, from_word, to_word): word numbers
+    inside the document. Both sides grow with the corpus and Spark knows their sizes
+    only from before they were exploded, so neither may be broadcast: the hint asks
+    for a merge join. A block is in one slot of a pass, and holds at most
+    ``block_words`` documents, so no key is hot.
     """
-    s = slots.select(F.col("source").alias("s"), F.col("block").alias("b"), "shard", "slot", "drop", "blocks")
-    filled = F.when(F.col("block") == F.col("blocks") - 1, F.col("end")).otherwise(F.lit(block_words))
-    p = pieces(packed, block_words).join(s, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    ends = packed.groupBy("source").agg(F.sum("size").alias("n")).select(
-        F.col("source").alias("e"), (F.pmod(F.col("n") - 1, F.lit(block_words)) + 1).alias("end")
-    )
-    p = p.join(ends, F.col("source").eqNullSafe(F.col("e"))).withColumn("to", F.least("hi", filled - F.col("drop")))
+    s = slots.select(F.col("source").alias("s"), F.col("block").alias("b"), "shard", "slot", "pass", "filled")
+    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))
+    p = pieces(packed, block_words).join(s.hint("merge"), same).withColumn("to", F.least("hi", "filled"))
     off = F.col("block") * block_words - F.col("start")
     return p.where("to > lo").select(
-        "shard", "slot", "rid", "doc_id", "source", (off + F.col("lo")).alias("from_word"), (off + F.col("to")).alias("to_word")
+        "shard", "slot", "pass", "rid", "doc_id", "source", (off + F.col("lo")).alias("from_word"), (off + F.col("to")).alias("to_word")
     )
 
 
 def op1_mix(docs: DataFrame, block_words: int = 128) -> DataFrame:
+    """Per document what the mix takes; ``first_shard`` is the first output shard that shows it (null: none does)."""
     packed, goal, slots = mix(docs, block_words=block_words)
-    taken = placements(packed, slots, block_words).groupBy("rid").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
+    taken = placements(packed, slots, block_words).groupBy("rid").agg(
+        F.sum(F.col("to_word") - F.col("from_word")).alias("taken"), F.min("shard").alias("first_shard")
+    )
     goal = goal.withColumnRenamed("source", "s")
     return (
-        packed.join(taken, "rid", "left")
+        packed.join(taken.hint("merge"), "rid", "left")
         .join(goal, F.col("source").eqNullSafe(F.col("s")))
-        .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard")
     )
 
 
-def mixed_texts(docs: DataFrame, block_words: int = 128) -> DataFrame:
-    """The mix as documents: a row per document and pass, holding the words shown in it.
+def shown_text(text: Column, spans: Column) -> Column:
+    """The words of sorted spans struct<from_word, to_word> as they stand in the text, with the white space between them.
 
-    Same columns as ``docs`` (doc_id, text, lang, source, n_chars); words are
-    joined by one space. Documents of which nothing is shown have no row.
+    Spans that touch are one stretch; others are parted by a newline.
+    """
+
+    def stretch(words: Column, s: Column, i: Column) -> Column:
+        own = F.array_join(F.slice(words, (s["from_word"] + 1).cast("int"), (s["to_word"] - s["from_word"]).cast("int")), "")
+        touches = (i > 0) & (F.get(spans, i - 1)["to_word"] == s["from_word"])
+        first = F.regexp_replace(own, r"^[\x20\x09-\x0D]+", "")
+        return F.when(touches, own).when(i > 0, F.concat(F.lit("\n"), first)).otherwise(first)
+
+    # each word with the white space before it; the one-element array binds them: inside the lambda alone they would be cut anew for each span
+    words = F.array(F.regexp_extract_all(text, F.lit(rf"([\x20\x09-\x0D]*{WORD})")))
+    return F.transform(words, lambda w: F.array_join(F.transform(spans, lambda s, i: stretch(w, s, i)), ""))[0]
+
+
+def mixed_texts(docs: DataFrame, block_words: int = 128, shard_slots: int = 1 << 16) -> DataFrame:
+    """The mix as documents: a row per output shard, document and pass, holding the words that the shard shows of it.
+
+    Columns of ``docs`` (doc_id, text, lang, source, n_chars) after shard; the draws
+    decide which words of a document lie in which shard. Documents of which nothing
+    is shown have no row; one may have several.
     """
     docs = stable(docs)
-    packed, _, slots = mix(docs, block_words=block_words)
-    blocks = F.col("blocks")
-    shown = placements(packed, slots, block_words).join(
-        packed.groupBy("source").agg(F.ceil(F.sum("size") / block_words).alias("blocks")).withColumnRenamed("source", "e"),
-        F.col("source").eqNullSafe(F.col("e")),
-    )
-    spans = shown.groupBy("rid", F.floor(F.col("slot") / blocks).alias("pass")).agg(
+    packed, _, slots = mix(docs, block_words=block_words, shard_slots=shard_slots)
+    shown = placements(packed, slots, block_words).groupBy("rid", "shard", "pass").agg(
         F.array_sort(F.collect_list(F.struct("from_word", "to_word"))).alias("spans")
     )
-    d = with_row_id(docs).join(spans, "rid")
-    words = F.regexp_extract_all("text", F.lit(f"({WORD})"))
-    # the one-element array binds the words: inside the lambda alone they would be cut anew for each span
-    parts = F.transform(F.array(words), lambda w: F.flatten(F.transform("spans", lambda s: F.slice(w, (s["from_word"] + 1).cast("int"), (s["to_word"] - s["from_word"]).cast("int")))))
-    text = F.array_join(parts[0], " ")
-    return d.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    d = with_row_id(docs).join(shown.hint("merge"), "rid")
+    text = shown_text(F.col("text"), F.col("spans"))
+    return d.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select("shard", *docs.columns)
+
+
+def mixed_blocks(docs: DataFrame, block_words: int = 128, shard_slots: int = 1 << 16) -> DataFrame:
+    """The mix as its fixed-length blocks: (shard, place, source, pass, block, doc_ids, words).
+
+    ``place`` orders a shard's slots by hash, so sources alternate as drawn; ``words``
+    has ``block_words`` words, fewer only in a source's last block and in the slot that is
+    trimmed to the quota. ``doc_ids`` are the documents in it, in order.
+    """
+    docs = stable(docs)
+    packed, _, slots = mix(docs, block_words=block_words, shard_slots=shard_slots)
+    shown = placements(packed, slots, block_words).select("rid", "shard", "slot", "pass", F.struct("from_word", "to_word").alias("span"))
+    per = shown.groupBy("rid").agg(F.collect_list(F.struct("shard", "slot", "pass", "span")).alias("shown"))  # a document's own pieces
+    d = with_row_id(pick(docs, "doc_id", "text", "source")).join(per.hint("merge"), "rid")
+    words = F.array(F.regexp_extract_all("text", F.lit(f"({WORD})")))
+    cuts = F.transform(words, lambda w: F.transform("shown", lambda x: F.struct(
+        x["shard"].alias("shard"), x["slot"].alias("slot"), x["pass"].alias("pass"),
+        F.slice(w, (x["span"]["from_word"] + 1).cast("int"), (x["span"]["to_word"] - x["span"]["from_word"]).cast("int")).alias("words"),
+    )))[0]
+    own = d.select("rid", "doc_id", "source", F.inline(cuts))
+    whole = own.groupBy("shard", "source", "slot", "pass").agg(F.array_sort(F.collect_list(F.struct("rid", "doc_id", "words"))).alias("parts"))
+    order = F.xxhash64(F.lit("place"), "source", "slot")
+    return whole.select(
+        "shard", order.alias("place"), "source", "pass", "slot", F.col("parts.doc_id").alias("doc_ids"), F.flatten("parts.words").alias("words")
+    )
