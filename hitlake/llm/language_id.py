@@ -62,7 +62,8 @@ def samples(train: DataFrame, docs_per_lang: int = 200, bytes_per_doc: int = 150
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], chunk: int = 2048, level: int = 3, min_margin: float = 0.005) -> DataFrame:
-    """Add lang_pred, score and rejected to docs, reading only its text column."""
+    """Add lang_pred, score and rejected to docs, reading only its text column; columns of these names are replaced."""
+    docs = docs.drop("lang_pred", "score", "rejected")
     langs = sorted(dictionaries)
 
     def predict(batches):

@@ -13,8 +13,9 @@ the same segmentations whatever its neighbours are.
 
 ``inclusion`` is the probability that the path exceeds the first value not drawn
 (kappa), 1 - exp(-exp(log_prob - kappa)): the weight for estimates from samples
-drawn without replacement; 1 where every segmentation was drawn (it underflows to 0
-for texts of some thousand pieces).
+drawn without replacement; 1 where every segmentation was drawn. A long text's
+segmentations are so many that it underflows: ``log_inclusion`` holds its logarithm,
+which does not.
 
 The lattice of each distinct chunk (a space and what follows it) is built once and
 kept by the worker up to ``KEPT`` characters, all new chunks of a stretch of rows at a time. Chunks are
@@ -295,7 +296,7 @@ class Lattice:
 
 
 def _hash(*keys) -> np.ndarray:
-    h = np.array(0x243F6A8885A308D3, "u8")
+    h = np.array([0x243F6A8885A308D3], "u8")
     for k in keys:
         h = W.mix((h ^ np.asarray(k).astype("u8")) * _MULT + np.uint64(1))
     return h
@@ -425,10 +426,19 @@ def sample_texts(vocab: Vocabulary, texts: list[str], keys: np.ndarray, samples:
         kappa = out[d][0].get("kappa", -np.inf)
         for o in out[d]:
             o["ids"] = piece_ids(vocab, lat.piece[o.pop("edges")])
-            o["inclusion"] = float(-np.expm1(-np.exp(min(o["log_prob"] - kappa, 700.0)))) if np.isfinite(kappa) else 1.0
+            o["log_inclusion"] = log_inclusion(o["log_prob"], kappa) if np.isfinite(kappa) else 0.0
+            o["inclusion"] = math.exp(o["log_inclusion"])
     return out
 
 
+def log_inclusion(log_prob: float, kappa: float) -> float:
+    """log(1 - exp(-exp(log_prob - kappa))), exact also where the exponential underflows."""
+    x = log_prob - kappa
+    if x > 5:
+        return -math.exp(-math.exp(min(x, 700.0)))
+    return x if x < -30 else math.log(-math.expm1(-math.exp(x)))
+
+
 def piece_ids(vocab: Vocabulary, codes: np.ndarray) -> np.ndarray:
     """Ids of edges' pieces; a character without a piece becomes the pieces of its bytes."""
     other = codes >= _OTHER
@@ -454,14 +464,14 @@ def sample_segmentations(docs: DataFrame, model: str | None = None, samples: int
     """A row per document and segmentation.
 
     (doc_id, sample, n_pieces, ids binary little-endian uint32, log_prob, inclusion,
-    decoded): whole texts, in the tasks that read them; no shuffle.
+    log_inclusion, decoded): whole texts, in the tasks that read them; no shuffle.
     """
     if model is None:
         import public_tokenizers
 
         model = str(public_tokenizers.path("piece_bpe_32k.model"))
-    names = ["doc_id", "sample", "n_pieces", "ids", "log_prob", "inclusion", "decoded"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.float64(), pa.float64(), pa.bool_()]
+    names = ["doc_id", "sample", "n_pieces", "ids", "log_prob", "inclusion", "log_inclusion", "decoded"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
 
     def encode(batches):
         vocab = vocabulary(model, theta)
@@ -470,8 +480,8 @@ def sample_segmentations(docs: DataFrame, model: str | None = None, samples: int
             keys = np.array([-1 if i is None else i for i in ids], "i8").view("u8")
             cols: list[list] = [[] for _ in names]
             for i, t, got in zip(ids, texts, sample_texts(vocab, texts, keys, samples, seed), strict=True):
-                for k, o in enumerate(got or [{"ids": np.empty(0, "<u4"), "log_prob": 0.0, "inclusion": 1.0}]):
-                    for c, x in zip(cols, (i, k, len(o["ids"]), o["ids"].tobytes(), o["log_prob"], o["inclusion"], decode(vocab, o["ids"]) == t), strict=True):
+                for k, o in enumerate(got or [{"ids": np.empty(0, "<u4"), "log_prob": 0.0, "inclusion": 1.0, "log_inclusion": 0.0}]):
+                    for c, x in zip(cols, (i, k, len(o["ids"]), o["ids"].tobytes(), o["log_prob"], o["inclusion"], o["log_inclusion"], decode(vocab, o["ids"]) == t), strict=True):
                         c.append(x)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
@@ -488,10 +498,10 @@ def sample_segmentations(docs: DataFrame, model: str | None = None, samples: int
                 yield rows(ids, texts)
 
     return docs.select("doc_id", "text").mapInArrow(
-        encode, "doc_id long, sample int, n_pieces long, ids binary, log_prob double, inclusion double, decoded boolean"
+        encode, "doc_id long, sample int, n_pieces long, ids binary, log_prob double, inclusion double, log_inclusion double, decoded boolean"
     )
 
 
 def op10_pieces(docs: DataFrame) -> DataFrame:
     got = sample_segmentations(docs)
-    return got.select("doc_id", "sample", "n_pieces", F.crc32("ids").alias("ids_crc32"), "log_prob", "inclusion", "decoded")
+    return got.select("doc_id", "sample", "n_pieces", F.crc32("ids").alias("ids_crc32"), "log_prob", "inclusion", "log_inclusion", "decoded")

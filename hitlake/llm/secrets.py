@@ -170,12 +170,12 @@ def forest(labelled: DataFrame, trees: int = 15, depth: int = 5, seed: int = 11)
 
 
 def scan(docs: DataFrame, threshold: float = 0.5, labelled: DataFrame | None = None) -> DataFrame:
-    """Add n_candidates, secrets array<string>, max_score and redacted to docs (any columns, with text)."""
+    """Add n_candidates, secrets array<string>, max_score and redacted to docs (any columns, with text); columns of these names are replaced."""
     text_only = pick(docs, "text")
     words = dictionary(text_only)
     rule = forest(labelled if labelled is not None else findings(text_only, words)) or "0D"
     c = F.transform(candidates(F.col("text")), lambda c: F.struct(c["core"].alias("core"), features(c, words).alias("f")))
-    found = docs.withColumn("__c", c)
+    found = docs.drop("n_candidates", "secrets", "max_score", "redacted").withColumn("__c", c)
     scored = F.expr(f"transform(__c, c -> named_struct('core', c.core, 'score', element_at(transform(array(c.f), f -> {rule}), 1)))")
     found = found.withColumn("__s", scored)
     secrets = F.array_distinct(F.transform(F.filter("__s", lambda s: s["score"] > threshold), lambda s: s["core"]))
