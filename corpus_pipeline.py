@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitlake.llm import language_id, minhash, mixing, pieces, secrets
-from hitlake.llm.common import shared_dir, ship, stable, with_row_id
+from hitlake.llm.common import scratch, shared_dir, ship
 
 _COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -25,13 +25,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of each near-duplicate group: 5-word shingles, similarity 0.8 or more."""
+    """Keep the first document of each near-duplicate group: 5-word shingles, similarity 0.8 or more; groups are told apart by row, not by id."""
     ship(spark)
-    docs = stable(docs)
-    found = minhash.near_duplicates(docs, percent=80, shingle=5)
-    empty = found.where("n_shingles = 0").select("rid")
-    first = found.where("n_shingles > 0 and kept").groupBy("component_id").agg(F.min("rid").alias("rid")).select("rid")
-    return with_row_id(docs.select(_COLUMNS)).join(empty.unionByName(first), "rid", "left_semi").select(_COLUMNS)
+    return minhash.first_of_each(docs.select(_COLUMNS), percent=80, shingle=5)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +37,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mix sources to target weights: a row per document and pass with the words shown."""
+    """Mix sources to target weights: a row per output shard, document and pass with the words shown."""
     return mixing.mixed_texts(docs.select(_COLUMNS)).select(_COLUMNS)
 
 
@@ -59,7 +55,7 @@ STAGES = [
     ("sentencepiece", piece_stage),
 ]
 
-#: Compression, MinHash, the forest and Gumbel draws have no SQL form: tests compare with brute force.
+#: Compression, MinHash, the forest and Gumbel draws have no SQL form: tests/llm/test_pipeline.py compares with brute force.
 ORACLE_SQL = None
 
 
@@ -67,7 +63,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     top = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{top}/{i}-{name}")
+        with scratch(spark):  # what a stage writes on its way goes when its own result is written
+            stage(spark, docs, sf_dir).write.parquet(f"{top}/{i}-{name}")
         docs = spark.read.parquet(f"{top}/{i}-{name}")
     return docs
