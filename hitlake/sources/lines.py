@@ -1,4 +1,9 @@
-"""Log lines: readers, twelve line formats, and the parse job from lines to hits."""
+"""Log lines: readers, twelve line formats, and the parse job from lines to hits.
+
+A format is a template of named fields. The job matches a line once: the pattern's
+groups are written side by side with a separator, split into an array, and every
+column is an expression over that array.
+"""
 
 from __future__ import annotations
 
@@ -8,9 +13,32 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NGINX_TIME = ["dd/MMM/yyyy:HH:mm:ss Z"]
-_REQ = r'"(?<request>[^"]*)"'
-_TAIL = r'"(?<referer>[^"]*)" "(?<ua>[^"]*)"'
+NGINX_TIME = "dd/MMM/yyyy:HH:mm:ss Z"
+#: Between the fields of a matched line; a line that holds it itself has it as a space.
+SEP = "\u0001"
+#: Field names of a format that fill a column, the first that a format has (fixed values).
+ALIASES_OF = {
+    "ip": ["ip", "remote_addr", "real_client_ip", "client_ip", "http_x_forwarded_for"],
+    "time": ["time", "time_local", "time_iso8601"],
+    "method": ["method", "request_method"],
+    "url": ["url", "request_uri", "uri", "path"],
+    "query": ["query", "args", "query_string", "cs_uri_query"],
+    "status": ["status"],
+    "bytes": ["bytes", "body_bytes_sent", "bytes_sent"],
+    "referer": ["referer", "http_referer"],
+    "ua": ["ua", "user_agent", "http_user_agent"],
+    "request": ["request", "request_line"],
+    "request_length": ["request_length", "bytes_received"],
+    "time_ms": ["request_time_ms", "request_time_msec", "duration_ms"],
+    "time_s": ["request_time", "duration"],
+    "upstream_time": ["upstream_response_time", "upstream_time"],
+    "upstream_addr": ["upstream_addr", "upstream", "upstream_host"],
+    "host": ["host", "http_host", "server_name", "authority"],
+    "request_id": ["request_id", "req_id", "x_request_id"],
+}
+_GROUP = re.compile(r"(?<!\\)\((?!\?)|\(\?P?<([A-Za-z]\w*)>")
+#: What a template's field may hold, by the letters after its colon.
+_KIND = {"w": r"\S+", "d": r"\d+", "3": r"\d{3}", "n": r"(?:\d+|-)", "f": r"[0-9.]+", "list": r"[^,\s]+(?:,\s*[^,\s]+)*", "any": r"[^\"]+"}
 
 
 @dataclass
@@ -18,82 +46,141 @@ class Format:
     """A line format: a pattern with named groups and its time layouts."""
 
     pattern: str
-    times: list[str] = field(default_factory=lambda: list(NGINX_TIME))
+    times: list[str] = field(default_factory=lambda: [NGINX_TIME, "iso"])
 
     def groups(self) -> dict[str, int]:
         """Group name -> number; the first use of a name counts."""
         out: dict[str, int] = {}
-        for i, m in enumerate(re.finditer(r"(?<!\\)\((?!\?(?!P?<[a-zA-Z]))(?:\?P?<(\w+)>)?", self.pattern), 1):
+        for i, m in enumerate(_GROUP.finditer(re.sub(r"(?<!\\)\[\^?\]?[^\]]*\]", lambda m: m[0].replace("(", "."), self.pattern)), 1):
             if m[1]:
                 out.setdefault(m[1], i)
         return out
 
     def java(self) -> str:
+        """Anchored, without group names (Java takes neither ``?P<`` nor ``_`` in them)."""
         p = re.sub(r"\(\?P?<[a-zA-Z]\w*>", "(", self.pattern)
-        return p if p.startswith("^") else f"^{p}$"
+        p = p if p.startswith("^") else f"^{p}"
+        return p if p.endswith("$") else f"{p}.*$"
+
+
+def template(text: str, *times: str) -> Format:
+    """A Format from a template: ``{name}`` is a field, ``{name:kind}`` one of a kind, ``{}`` a field of no column.
+
+    A field of no kind ends at the quote or bracket that follows it, else at white
+    space. What lies between fields is a pattern, in which a blank is any run of blanks.
+    """
+    out, at = "^", 0
+    blanks = lambda s: re.sub(r" (?![?*+{])", r"\\s+", s)
+    for m in re.finditer(r"\{((?:[A-Za-z]\w*)?)(?::(\w+))?\}", text):
+        out += blanks(text[at : m.start()])
+        close = text[m.end() : m.end() + 2]
+        body = _KIND[m[2]] if m[2] else r'[^"]*' if close[:1] == '"' else r"[^\]]*" if close == "\\]" else r"\S+"
+        out += f"(?<{m[1]}>{body})" if m[1] else f"(?:{body})"
+        at = m.end()
+    return Format(out + blanks(text[at:]), list(times) or [NGINX_TIME, "iso"])
 
 
-_COMBINED = rf'^(?<ip>\S+) \S+ (?<user>\S+) \[(?<time>[^\]]+)\] {_REQ} (?<status>\d+) (?<bytes>\S+) {_TAIL}'
+_CLIENT, _AGENT = r"{ip} {} {user} \[{time}\] ", r'"{referer}" "{ua}"'
+_WAF = r" *(?:\| *| )"
 FORMATS = {
-    "nginx": Format(_COMBINED + r"(?: (?<t1>\S+) (?<t2>\S+)(?: (?<upstream_time>\S+) (?<upstream_addr>\S+) (?<host>\S+) (?<request_id>\S+))?)?.*$"),
-    "apache": Format(rf'^(?<ip>\S+) \S+ \S+ \[(?<time>[^\]]+)\] {_REQ} (?<status>\d+) (?<bytes>\S+)(?: {_TAIL})?.*$'),
-    "traefik": Format(_COMBINED + r' (?<n>\d+) "(?<router>[^"]*)" "(?<server>[^"]*)" (?<duration_ms>\d+)ms.*$'),
-    "envoy": Format(r'^\[(?<time>[^\]]+)\] "(?<request>[^"]*)" (?<status>\d+) \S+ (?<request_length>\d+) (?<bytes>\d+) (?<duration>\d+) (?<upstream_time>\S+) "(?<ip>[^"]*)" "(?<ua>[^"]*)" "(?<request_id>[^"]*)" "(?<host>[^"]*)" "(?<upstream_addr>[^"]*)".*$', ["iso"]),
-    "haproxy": Format(r'^.*?(?<ip>\d+\.\d+\.\d+\.\d+):\d+ \[(?<time>[^\]]+)\] \S+ \S+ \S+ (?<status>\d+) (?<bytes>\d+) .*"(?<request>[^"]*)".*$', ["dd/MMM/yyyy:HH:mm:ss.SSS"]),
-    "nginx-ingress": Format(_COMBINED + r' (?<request_length>\d+) (?<request_time>\S+) \[(?<svc>[^\]]*)\] \[[^\]]*\] (?<upstream_addr>\S+) (?<ulen>\S+) (?<upstream_time>\S+) \S+ (?<request_id>\S+).*$'),
-    "iis": Format(r'^(?<time>\d{4}-\d\d-\d\d \d\d:\d\d:\d\d) \S+ (?<method>\S+) (?<url>\S+) (?<query>\S+) \d+ \S+ (?<ip>\S+) (?<ua>\S+) (?<referer>\S+) (?<status>\d+) \d+ \d+(?: (?<time_taken_ms>\d+))?.*$', ["yyyy-MM-dd HH:mm:ss"]),
-    "npm": Format(r'^\[(?<time>[^\]]+)\] \S+ (?:\S+ )?(?<status>\d{3}) - (?<method>\S+) \S+ (?<host>\S+) "(?<url>[^"]*)" \[Client (?<ip>[^\]]+)\] \[Length (?<bytes>\S+)\] .*?"(?<ua>[^"]*)" "(?<referer>[^"]*)".*$'),
-    "safeline": Format(r'^(?<ip>\S+) (?:\| )?\S*\s*(?:\| )?\[?(?<time>\d\d/\w{3}/\d{4}:\d\d:\d\d:\d\d [+-]\d{4})\]?(?: \|)? "(?<host>[^"]*)"(?: \|)? "(?<request>[^"]*)"(?: \|)? (?<status>\d+)(?: \|)? (?<bytes>\S+)(?: \|)? "(?<referer>[^"]*)"(?: \|)? "(?<ua>[^"]*)".*$'),
-    "zoraxy": Format(r'^\[(?<time>\d{4}-\d\d-\d\d \d\d:\d\d:\d\d(?:\.\d+)?)\] \[router:[^\]]*\] \[origin:(?<host>[^\]]*)\] \[client:? ?(?<ip>[^\]]+)\] \[useragent:? ?(?<ua>[^\]]*)\] (?<method>\S+) (?<url>\S+) (?<status>\d+).*$', ["yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss"]),
-}
+    # request time and length come in either order; what follows them may be missing from the right
+    "nginx": template(
+        r'{ip} - {user} \[{time}\] "{method} {url:any} HTTP/[\d.]+" {status:d} {bytes:n} ' + _AGENT
+        + r"(?: {trace_first} {trace_second}(?: {upstream_response_time:list})?(?: {upstream_addr:list})?(?: {host})?(?: {request_id})?)?(?: .*)?$"
+    ),
+    "apache": template(_CLIENT + r'"{request}" {status:3} {bytes:n} ' + _AGENT),
+    "traefik": template(_CLIENT + r'"{request}" {status:3} {bytes:n} ' + _AGENT + r' {req_count:d} "{router}" "{server_url}" {duration_ms:f}ms'),
+    "envoy": template(
+        r'\[{time}\] "{request}" {status:3} {flags} {bytes_received:d} {bytes:d} {duration:d} {upstream_time} "{ip}" "{ua}" "{request_id}" "{authority}" "{upstream_host}"', "iso", NGINX_TIME
+    ),
+    # in front of it may stand what syslog adds
+    "haproxy": template(
+        r'(?:\w{3} \d+ [\d:]+ \S+ \S+\[\d+\]: )?{ip}:\d+ \[{time}\] {frontend} {backend} (?:-?\d+/){4}-?\d+ {status:3} {bytes:n} \S+ \S+ \S+ (?:-?\d+/){4}-?\d+ -?\d+/-?\d+'
+        r'(?: (?:\{[^}]*\}|-))?(?: (?:\{[^}]*\}|-))? "{request}"', "dd/MMM/yyyy:HH:mm:ss.SSS", NGINX_TIME, "iso",
+    ),
+    "nginx-ingress": template(
+        r'{ip} - {user} \[{time}\] "{request}" {status:3} {bytes:n} ' + _AGENT
+        + r" {request_length:d} {request_time:f} \[{upstream_name}\] \[{alternative}\] {upstream_addr:list} {lengths:list} {upstream_response_time:list} {statuses:list} {req_id}"
+    ),
+    "iis": template(r"(?<time>\d{4}-\d\d-\d\d \d\d:\d\d:\d\d) {server} {method} {url} {query} {port} {username} {ip} {ua} {referer} {status:3} {} {} {}\s*$", "yyyy-MM-dd HH:mm:ss"),
+    "npm": template(
+        r'\[{time}\] - {status:d} {upstream_status:d} - {method} {scheme} {host} "{path:any}" \[Client {ip}\] \[Length {bytes:d}\] \[Gzip {gzip}\] \[Sent-to {upstream}\] "{ua:any}" "{referer}"'
+    ),
+    # fields parted by blanks, the time in brackets; or all parted by bars
+    "safeline": template(
+        r"{ip} *(?:\| *|- +){user} *(?:\| *|\[ *)(?<time>[^\]|]+?)(?:\] +| *\| *)" + _WAF.join(['"{host}"', '"{request}"', "{status:3}", "{bytes:n}", '"{referer}"', '"{ua}"'])
+        + rf'(?:{_WAF}"{{http_x_forwarded_for}}")?\s*$'
+    ),
+    "zoraxy": template(
+        r"\[?(?<time>\d{4}-\d\d-\d\d \d\d:\d\d:\d\d(?:\.\d{1,9})?)\]? \[router:{router}\] \[origin:{host}\] \[client: *{ip}\] \[useragent: *{ua}\] {method} {url} {status:3}\s*$",
+        "yyyy-MM-dd HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS]", "yyyy-MM-dd HH:mm:ss",
+    ),
+}
 ALIASES = {
     "tengine": "nginx", "httpd": "apache", "apache-httpd": "apache", "traefik-ingress": "traefik", "haproxy-ingress": "haproxy", "ingress-nginx": "nginx-ingress",
     "iis-w3c": "iis", "w3c-iis": "iis", "nginx-proxy-manager": "npm", "safeline-waf": "safeline", "raywaf": "safeline", "ray-waf": "safeline", "leichi": "safeline",
     "leichi-waf": "safeline", "zoraxy-router": "zoraxy",
 }
-#: nginx variables and the field they fill; others are matched and dropped.
+#: Variables of a log_format: the field each fills, and what it may hold (fixed values). Others are matched and dropped.
 VARIABLES = {
-    "remote_addr": "ip", "http_x_forwarded_for": "ip", "time_local": "time", "time_iso8601": "time", "msec": "time", "request": "request", "request_method": "method",
-    "request_uri": "url", "uri": "url", "args": "query", "status": "status", "body_bytes_sent": "bytes", "bytes_sent": "bytes", "http_referer": "referer",
-    "http_user_agent": "ua", "request_length": "request_length", "request_time": "request_time", "upstream_response_time": "upstream_time",
-    "upstream_addr": "upstream_addr", "host": "host", "http_host": "host", "request_id": "request_id",
+    "remote_addr": ("ip", "some"), "real_client_ip": ("real_client_ip", "some"), "http_x_forwarded_for": ("http_x_forwarded_for", "list"), "remote_user": ("user", "maybe"),
+    "time_local": ("time", "clock"), "time_iso8601": ("time", "some"), "msec": ("time", "some"), "request": ("request", "some"), "request_method": ("method", "some"),
+    "request_uri": ("url", "some"), "uri": ("url", "some"), "args": ("args", "maybe"), "query_string": ("query_string", "maybe"), "status": ("status", "three"),
+    "body_bytes_sent": ("bytes", "digits"), "bytes_sent": ("bytes", "digits"), "http_referer": ("referer", "maybe"), "http_user_agent": ("ua", "maybe"),
+    "host": ("host", "some"), "http_host": ("host", "some"), "server_name": ("server_name", "some"), "scheme": ("scheme", "some"), "request_length": ("request_length", "digits"),
+    "remote_port": ("remote_port", "digits"), "connection": ("connection", "digits"), "request_time": ("request_time", "number"), "request_time_msec": ("request_time_msec", "number"),
+    "upstream_addr": ("upstream_addr", "list"), "upstream_status": ("upstream_status", "list"), "upstream_response_time": ("upstream_response_time", "list"),
+    "upstream_connect_time": ("upstream_connect_time", "list"), "upstream_header_time": ("upstream_header_time", "list"), "request_id": ("request_id", "some"),
 }
-ALL_TIMES = [*NGINX_TIME, "iso", "yyyy-MM-dd HH:mm:ss"]
+ALL_TIMES = [NGINX_TIME, "iso", "yyyy-MM-dd HH:mm:ss"]
 
 
-def log_format(text: str) -> Format:
-    """A Format from an nginx log_format string."""
+def log_format(text: str, *times: str) -> Format:
+    """A Format from an nginx log_format string; inside quotes a variable may hold blanks."""
+    bare = {"some": r"\S+", "maybe": r"\S*", "list": _KIND["list"], "clock": r"[^\]]+", "three": r"\d{3}", "digits": r"\d+", "number": r"\d+(?:\.\d+)?"}
+    quoted = bare | {"some": r'[^"]+', "maybe": r'[^"]*', "list": f"(?:{_KIND['list']})?"}
+    found = list(re.finditer(r"\$\{?(\w+)\}?", text))
+    if not found:
+        raise ValueError("a log_format needs variables")
     out, seen, at = "", set(), 0
-    for m in re.finditer(r"\$\{?(\w+)\}?", text):
-        out += re.escape(text[at : m.start()])
-        close = text[m.end() : m.end() + 1]
-        body = {'"': '[^"]*', "]": r"[^\]]*"}.get(close, r"\S*")
-        name = VARIABLES.get(m[1])
+    for m in found:
+        before, after = text[at : m.start()], text[m.end() :]
+        out += re.escape(before)
+        name, kind = VARIABLES.get(m[1], (None, "maybe"))
+        body = (quoted if before.rstrip().endswith('"') and after.lstrip().startswith('"') else bare)[kind]
         out += f"(?<{name}>{body})" if name and name not in seen else f"(?:{body})"
         seen.add(name)
         at = m.end()
-    return checked(Format("^" + out + re.escape(text[at:]) + r"\s*$", list(ALL_TIMES)))
+    return checked(Format("^" + out + re.escape(text[at:]) + r"\s*$", list(times) or ALL_TIMES))
 
 
 def checked(f: Format) -> Format:
     """A format must give ip, time, status and url or request."""
-    g = f.groups()
-    if not {"ip", "time", "status"} <= set(g) or not ({"url", "request"} & set(g)):
+    g = set(f.groups())
+    have = {k for k, names in ALIASES_OF.items() if g & set(names)}
+    if not {"ip", "time", "status"} <= have or not ({"url", "request"} & have):
         raise ValueError("a line format needs ip, time, status and url or request")
     return f
 
 
-def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(line, file): plain or gzip text by path or glob."""
-    return spark.read.text(paths).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
+def read_lines(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
+    """(line, file): plain or gzip text by path, prefix or glob of any Hadoop file system; ``glob`` filters file names."""
+    r = spark.read if glob is None else spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+    return r.text(paths).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
 
 
-def read_manifest(spark: SparkSession, path: str, names: dict[str, str] | None = None) -> DataFrame:
+def read_manifest(spark: SparkSession, path: str, names: dict[str, str] | None = None, items: str = "items") -> DataFrame:
     """Items of a JSON index as rows; ``names`` renames its fields to path, size, mtime, etag, compressed."""
-    items = spark.read.option("multiLine", True).json(path).select(F.explode("items").alias("i")).select("i.*")
+    found = spark.read.option("multiLine", True).json(path).select(F.explode(items).alias("i")).select("i.*")
     for old, new in (names or {}).items():
-        items = items.withColumnRenamed(old, new)
-    return items
+        found = found.withColumnRenamed(old, new)
+    return found
+
+
+def read_listed(spark: SparkSession, path: str, names: dict[str, str] | None = None, items: str = "items") -> DataFrame:
+    """Lines of all files that a JSON index lists. The driver holds their paths, as it does for any scan."""
+    paths = [r.path for r in read_manifest(spark, path, names, items).select("path").where("path is not null").distinct().collect()]
+    return read_lines(spark, sorted(paths)) if paths else spark.createDataFrame([], "line string, file string")
 
 
 def read_line_batches(batches: DataFrame) -> DataFrame:
@@ -101,132 +188,228 @@ def read_line_batches(batches: DataFrame) -> DataFrame:
     return batches.select("website_id", "source_id", F.explode("lines").alias("line"))
 
 
-def duration_ms(c: Column, unit_ms: bool = False) -> Column:
-    """Duration text to milliseconds: seconds, or units, or a comma list's maximum; over 1e9 it is nanoseconds."""
-    factors = {"ns": 1e-6, "us": 1e-3, "µs": 1e-3, "ms": 1.0, "s": 1e3, "m": 6e4, "h": 3.6e6}
+_UNITS = [("ns", 1), ("us", 10**3), ("µs", 10**3), ("μs", 10**3), ("ms", 10**6), ("s", 10**9), ("m", 60 * 10**9), ("h", 3600 * 10**9)]
+_AMOUNT = r"[0-9]+(?:\.[0-9]+)?(?:ns|us|µs|μs|ms|s|m|h)"
 
-    def one(x: Column) -> Column:
-        n = F.trim(x).try_cast("double")
-        plain = F.when(n > 1e9, n / 1e6).otherwise(n if unit_ms else n * 1000)
-        parts = F.regexp_extract_all(x, F.lit(r"([0-9.]+(?:ns|us|µs|ms|s|m|h))"), F.lit(1))
 
-        def unit(p: Column) -> Column:
-            u, f = F.regexp_replace(p, "[0-9.]", ""), F.lit(0.0)
-            for k, v in factors.items():
-                f = F.when(u == k, v).otherwise(f)
-            return F.coalesce(F.regexp_replace(p, "[^0-9.]", "").try_cast("double"), F.lit(0.0)) * f
+def number_ms(n: Column, unit_ms: bool = False) -> Column:
+    """A number as milliseconds: seconds, or nanoseconds over 1e9; with ``unit_ms`` milliseconds. Truncated; negative is 0."""
+    return F.when(n < 0, 0).otherwise(n if unit_ms else F.when(n > 1e9, n / 1e6).otherwise(n * 1000)).cast("bigint")
 
-        summed = F.aggregate(F.transform(parts, unit), F.lit(0.0), lambda a, b: a + b)
-        return F.coalesce(plain, summed)
 
-    return F.coalesce(F.array_max(F.transform(F.split(c, ","), one)), F.lit(0.0)).cast("bigint")
+def duration_ms(c: Column, unit_ms: bool = False) -> Column:
+    """Duration text to milliseconds: a number, amounts with units (summed), or a comma list of them (the maximum); other text is 0."""
+
+    def nanos(p: Column) -> Column:
+        unit = F.regexp_replace(p, "[0-9.]", "")
+        factor = F.lit(0)
+        for name, v in _UNITS:
+            factor = F.when(unit == name, v).otherwise(factor)
+        return (F.regexp_replace(p, "[^0-9.]", "").cast("double") * factor).cast("bigint")
+
+    def one(x: Column) -> Column:
+        x = F.lower(F.trim(x))
+        parts = F.regexp_extract_all(x, F.lit(f"({_AMOUNT})"), F.lit(1))
+        total = F.aggregate(F.transform(parts, nanos), F.lit(0).cast("bigint"), lambda a, b: a + b)
+        return F.when(x.rlike("^[0-9.]+$"), number_ms(x.try_cast("double"), unit_ms)).when(x.rlike(f"^({_AMOUNT})+$"), F.expr("1L") * total.cast("bigint") / 1000000).cast("bigint")
+
+    listed = F.array_max(F.transform(F.split(c, ","), one))
+    return F.coalesce(F.when(c.isin("", "-"), 0).when(c.contains(","), listed).otherwise(one(c)), F.lit(0)).cast("bigint")
 
 
 def clean_ip(c: Column) -> Column:
+    """First of a comma list; brackets of a v6 address and a v4 port go."""
     c = F.trim(F.substring_index(c, ",", 1))
-    c = F.regexp_replace(c, r"^\[(.*)\](:\d+)?$", "$1")
-    return F.regexp_replace(c, r"^(\d+\.\d+\.\d+\.\d+):\d+$", "$1")
+    return F.when(c.rlike(r"^[0-9.]+$"), c).otherwise(F.regexp_replace(F.regexp_replace(c, r"^\[([^\]]*)\].*$", "$1"), r"^([^:]*\.[^:]*):\d+$", "$1"))
 
 
-def parse_time(c: Column, layouts: list[str]) -> Column:
-    """Epoch seconds; digits are seconds, or milliseconds above 1e12."""
+def parse_time(c: Column, layouts: list[str], numeric: Column | None = None) -> Column:
+    """Epoch seconds; digits (and points) are seconds, or milliseconds above 1e12."""
     n = c.try_cast("double")
     tries = [F.try_to_timestamp(c, F.lit(x)) if x != "iso" else c.try_cast("timestamp") for x in layouts]
-    epoch = F.when(n > 1e12, n / 1000).otherwise(n).cast("bigint")
-    return F.when(c.rlike(r"^[0-9]+(\.[0-9]+)?$"), epoch).otherwise(F.unix_seconds(F.coalesce(*tries)))
+    epoch = F.floor(F.when(n > 1e12, n / 1000).otherwise(n)).cast("bigint")
+    return F.when(c.rlike(r"^[0-9.]+$") if numeric is None else numeric, epoch).otherwise(F.unix_seconds(F.coalesce(*tries)))
+
+
+_DURATION_LIKE = r"\.|[0-9](ns|us|µs|μs|ms|s|m|h)"
+
+
+def _count(c: Column) -> Column:
+    return F.greatest(F.coalesce(F.trim(c).try_cast("bigint"), F.lit(0)), F.lit(0)).cast("bigint")
 
 
-def _shared(fields: dict[str, Column], df: DataFrame, layouts: list[str]) -> DataFrame:
-    """Columns common to all formats, from raw text fields; rows lacking a required one are rejected."""
-    get = lambda k: fields.get(k, F.lit(""))
+def _shared(get, df: DataFrame, layouts: list[str], duration_unit: str | None, extra: dict[str, Column]) -> DataFrame:
+    """Columns common to all formats, from raw text fields; ``rejected`` says what a line lacks.
+
+    ``get`` gives a field's text by column name, None where the format has none.
+    """
+    none = F.lit("")
+    text = lambda k: none if get(k) is None else get(k)
     blank = lambda c: F.when(F.trim(c).isin("", "-"), "").otherwise(F.trim(c))
-    req = F.split(F.trim(get("request")), r"\s+")
-    method = get("method") if "method" in fields else F.coalesce(F.get(req, 0), F.lit(""))
-    url = get("url") if "url" in fields else F.coalesce(F.get(req, 1), F.lit(""))
-    if "query" in fields:
+    decode = lambda c: F.when(c.rlike("[%+]"), F.coalesce(F.try_url_decode(c), c)).otherwise(c)
+    parts = F.split(F.trim(text("request")), r"\s+")
+    method = F.coalesce(F.get(parts, F.lit(0)), none) if get("method") is None else get("method")
+    url = F.coalesce(F.get(parts, F.lit(1)), none) if get("url") is None else get("url")
+    if get("query") is not None:
         q = get("query")
         url = F.when(~q.isin("", "-") & ~url.contains("?"), F.concat(url, F.lit("?"), q)).otherwise(url)
-    plain_decode = lambda c: F.coalesce(F.try_url_decode(c), c)
-    length, time_ms = get("request_length"), F.lit(0).cast("bigint")
-    for k in ("request_time", "duration"):
-        if k in fields:
-            time_ms = duration_ms(get(k))
-    for k in ("duration_ms", "time_taken_ms"):
-        if k in fields:
-            time_ms = duration_ms(get(k), unit_ms=True)
-    if "t1" in fields:  # the two-token suffix: the token that looks like a duration is the time
-        first = get("t1").rlike(r"[.,a-z]")
-        time_ms = duration_ms(F.when(first, get("t1")).otherwise(get("t2")))
-        length = F.when(first, get("t2")).otherwise(get("t1"))
-    out = df.select(
-        "line", clean_ip(get("ip")).alias("ip"), parse_time(get("time"), layouts).alias("timestamp"), method.alias("method"), plain_decode(url).alias("url"),
-        get("status").try_cast("int").alias("status_code"), F.coalesce(get("bytes").try_cast("bigint"), F.lit(0).cast("bigint")).alias("bytes_sent"),
-        F.coalesce(length.try_cast("bigint"), F.lit(0).cast("bigint")).alias("request_length"), time_ms.alias("request_time_ms"),
-        duration_ms(get("upstream_time")).alias("upstream_response_time_ms"), blank(get("upstream_addr")).alias("upstream_addr"), blank(get("host")).alias("host"),
-        blank(get("request_id")).alias("request_id"), plain_decode(get("referer")).alias("referer"), F.when(get("ua") == "", "-").otherwise(get("ua")).alias("ua"),
-    )
+    ms, sec = get("time_ms"), get("time_s")
+    time_ms = extra.get("request_time_ms", F.lit(0).cast("bigint"))
+    if sec is not None:
+        time_ms = duration_ms(sec, unit_ms=duration_unit == "ms")
+    if ms is not None:
+        time_ms = duration_ms(ms, unit_ms=True) if sec is None else F.when(ms != "", duration_ms(ms, unit_ms=True)).otherwise(time_ms)
+    length = _count(text("request_length"))
+    a, b = get("trace_first"), get("trace_second")
+    if a is not None and b is not None:  # the token that looks like a duration is the time, a number beside it the length
+        whole = lambda c: c.rlike("^[0-9]+$")
+        first, second = a.rlike(_DURATION_LIKE) & whole(b), b.rlike(_DURATION_LIKE) & whole(a)
+        length = F.when(first, _count(b)).when(second, _count(a)).otherwise(0).cast("bigint")
+        time_ms = duration_ms(F.when(first, a).when(second, b).otherwise(""))
+    cols = {
+        "ip": clean_ip(text("ip")), "timestamp": parse_time(text("time"), layouts, extra.get("numeric_time")), "method": method, "url": decode(url),
+        "status_code": text("status").try_cast("int"), "bytes_sent": _count(text("bytes")), "request_length": length, "request_time_ms": time_ms,
+        "upstream_response_time_ms": extra.get("upstream_response_time_ms", duration_ms(text("upstream_time"))), "upstream_addr": blank(text("upstream_addr")),
+        "host": blank(text("host")), "request_id": blank(text("request_id")), "referer": decode(text("referer")), "ua": F.when(text("ua") == "", "-").otherwise(text("ua")),
+    }
+    carried = [c for c in df.columns if c not in cols and c not in ("rejected", "__f", "__j")]
+    # a generator of one row: filters on what is parsed stay above it, so nothing is parsed again for them
+    row = F.struct(*[v.alias(k) for k, v in cols.items()], extra.get("unmatched", F.lit(False)).alias("__bad"))
+    out = df.select(*[F.col(f"`{c}`") for c in carried], F.inline(F.array(row)))
     bad = (
-        F.when((F.col("ip") == "") | F.col("ip").isNull(), "ip").when(F.col("timestamp").isNull(), "time").when(F.col("status_code").isNull(), "status")
-        .when((F.col("url") == "") | (F.col("method") == ""), "request")
+        F.when(F.col("__bad"), "format").when(F.coalesce(F.col("ip"), none) == "", "ip").when(F.col("timestamp").isNull(), "time").when(F.col("status_code").isNull(), "status")
+        .when((F.coalesce(F.col("url"), none) == "") | (F.coalesce(F.col("method"), none) == ""), "request")
     )
-    return out.withColumn("rejected", bad)
+    return out.withColumn("rejected", bad).drop("__bad")
 
 
-def parse_lines(lines: DataFrame, fmt: str | Format = "nginx") -> tuple[DataFrame, DataFrame]:
-    """(hits, rejects with a reason) of a frame with a ``line`` column."""
+def parse(lines: DataFrame, fmt: str | Format = "nginx", cutoff: int | None = None, duration_unit: str | None = None) -> DataFrame:
+    """Each line with its hit's columns and ``rejected``: null, or format, ip, time, status, request or old.
+
+    Other columns of ``lines`` are carried along. Hits before ``cutoff`` (epoch
+    seconds) are old. ``duration_unit='ms'`` reads bare durations as milliseconds.
+    Null lines are rejected.
+    """
+    lines = lines.withColumn("line", F.coalesce("line", F.lit("")))
     if fmt == "caddy":
-        parsed = _caddy(lines)
+        out = _caddy(lines)
     else:
-        f = fmt if isinstance(fmt, Format) else FORMATS[ALIASES.get(fmt, fmt)]
-        checked(f)
-        pattern = f.java()
-        fields = {k: F.regexp_extract("line", pattern, i) for k, i in f.groups().items()}
-        parsed = _shared(fields, lines, f.times)
-        parsed = parsed.withColumn("rejected", F.when(~F.col("line").rlike(pattern), "format").otherwise(F.col("rejected")))
-    return parsed.where("rejected is null").drop("rejected"), parsed.where("rejected is not null").select("line", "rejected")
+        f = checked(fmt if isinstance(fmt, Format) else FORMATS[ALIASES.get(fmt, fmt)])
+        groups = f.groups()
+        n = max(groups.values())
+        flat = F.regexp_replace(F.translate("line", SEP, " "), F.lit(f.java()), F.lit("".join(f"{SEP}${i}" for i in range(1, n + 1))))
+        m = lines.withColumn("__f", F.split(flat, SEP))
+
+        def get(column: str) -> Column | None:
+            name = next((a for a in ALIASES_OF.get(column, [column]) if a in groups), None)
+            return None if name is None else F.coalesce(F.get("__f", F.lit(groups[name])), F.lit(""))
+
+        out = _shared(get, m, f.times, duration_unit, {"unmatched": F.size("__f") != n + 1})
+    if cutoff is not None:
+        out = out.withColumn("rejected", F.coalesce("rejected", F.when(F.col("timestamp") < cutoff, "old")))
+    return out
+
+
+def parse_lines(lines: DataFrame, fmt: str | Format = "nginx", cutoff: int | None = None, duration_unit: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(hits, rejects with a reason) of a frame with a ``line`` column."""
+    p = parse(lines, fmt, cutoff, duration_unit)
+    return p.where("rejected is null").drop("rejected"), p.where("rejected is not null").select(*[F.col(f"`{c}`") for c in lines.columns], "rejected")
+
+
+def parse_sources(lines: DataFrame, formats: dict[str, str | Format], default: str | Format = "nginx", source: str = "source_id", cutoff: int | None = None) -> DataFrame:
+    """``parse`` with a format for each source of a site; one pass over the lines for each distinct format."""
+    by: list[tuple[str | Format, list[str]]] = []
+    for k, f in formats.items():
+        same = next((x for x in by if x[0] == f), None)
+        same[1].append(k) if same else by.append((f, [k]))
+    s = F.coalesce(F.col(source), F.lit(""))
+    out = parse(lines.where(~s.isin(*formats)) if formats else lines, default, cutoff)
+    for f, names in by:
+        out = out.unionByName(parse(lines.where(s.isin(*names)), f, cutoff))
+    return out
 
 
 _CADDY = (
-    "ts string, time string, timestamp string, status int, size long, duration double, "
-    "request struct<remote_ip:string,remote_addr:string,client_ip:string,method:string,uri:string,host:string,headers:map<string,array<string>>>"
+    "ts string, time string, timestamp string, status string, size string, duration string, duration_ms string, duration_ns string, remote_ip string, request_length string, "
+    "upstream string, upstream_duration string, request_id string, "
+    "request struct<remote_ip:string,client_ip:string,method:string,uri:string,host:string,headers:map<string,array<string>>>"
 )
 
 
 def _caddy(lines: DataFrame) -> DataFrame:
-    j = lines.withColumn("j", F.from_json("line", _CADDY))
-    r = F.col("j.request")
+    """JSON lines. A field is a number or a text of one; the first usable of ts, time and timestamp counts."""
+    j = lines.withColumn("__j", F.from_json("line", _CADDY))
+    at = lambda k: F.coalesce(F.col(f"__j.{k}"), F.lit(""))
+    r = lambda k: F.nullif(F.col(f"__j.request.{k}"), F.lit(""))
 
     def header(name: str) -> Column:
-        e = F.filter(F.map_entries(r["headers"]), lambda x: F.lower(x["key"]) == name)
-        return F.coalesce(F.get(F.get(e, 0)["value"], 0), F.lit(""))
+        e = F.filter(F.map_entries(F.col("__j.request.headers")), lambda x: F.lower(x["key"]) == name)
+        return F.coalesce(F.get(F.get(e, F.lit(0))["value"], F.lit(0)), F.lit(""))
 
+    layouts = ["iso", NGINX_TIME]
+    usable = [F.when(parse_time(c, layouts, c.try_cast("double").isNotNull()).isNotNull(), c) for c in (at("ts"), at("time"), at("timestamp"))]
+    j = j.withColumn("__f", F.coalesce(*usable, F.lit("")))
     fields = {
-        "ip": F.coalesce(r["client_ip"], r["remote_ip"], r["remote_addr"], F.lit("")), "time": F.coalesce("j.ts", "j.time", "j.timestamp", F.lit("")),
-        "method": F.coalesce(r["method"], F.lit("")), "url": F.coalesce(r["uri"], F.lit("")), "status": F.col("j.status").cast("string"),
-        "bytes": F.col("j.size").cast("string"), "duration": F.coalesce(F.col("j.duration").cast("string"), F.lit("")), "host": F.coalesce(r["host"], F.lit("")),
-        "referer": header("referer"), "ua": header("user-agent"), "request_id": F.lit(""),
+        "ip": F.coalesce(r("remote_ip"), r("client_ip"), at("remote_ip")), "time": F.col("__f"), "method": F.coalesce(r("method"), F.lit("")), "url": F.coalesce(r("uri"), F.lit("")),
+        "status": at("status"), "bytes": F.coalesce(at("size").try_cast("double").cast("bigint").cast("string"), F.lit("")), "request_length": at("request_length"),
+        "upstream_addr": at("upstream"), "host": F.coalesce(r("host"), F.lit("")), "request_id": at("request_id"), "referer": header("referer"), "ua": header("user-agent"),
     }
-    return _shared(fields, j, ["iso", *NGINX_TIME])
 
+    def amount(k: str, unit_ms: bool = False) -> Column:  # a number's text may have an exponent
+        n = at(k).try_cast("double")
+        return F.when(n.isNotNull(), number_ms(n, unit_ms)).when(at(k) != "", duration_ms(at(k), unit_ms))
 
-def parse_report(hits: DataFrame, rejects: DataFrame) -> DataFrame:
-    a = hits.agg(F.count("*").alias("accepted"), F.min("timestamp").alias("min_ts"), F.max("timestamp").alias("max_ts"), F.count_distinct(F.expr("timestamp div 3600")).alias("hours"))
-    return a.join(F.broadcast(rejects.agg(F.count("*").alias("rejected"))))  # one row each
+    extra = {
+        "numeric_time": F.col("__f").try_cast("double").isNotNull(), "unmatched": F.col("__j.request").isNull(),
+        "request_time_ms": F.coalesce(amount("duration_ms", True), amount("duration"), amount("duration_ns"), F.lit(0).cast("bigint")),
+        "upstream_response_time_ms": F.coalesce(amount("upstream_duration"), F.lit(0).cast("bigint")),
+    }
+    return _shared(fields.get, j, layouts, None, extra)
 
 
-def format_lines(log: DataFrame) -> DataFrame:
-    """Hits as nginx lines with the trace suffix."""
+def parse_report(parsed: DataFrame) -> DataFrame:
+    """Per site of a ``parse`` result with site_id: accepted, rejected, first and last hit, hours seen. One pass."""
+    ok, t = F.col("rejected").isNull(), F.col("timestamp")
+    return parsed.groupBy("site_id").agg(
+        F.count_if(ok).alias("accepted"), F.count_if(~ok).alias("rejected"), F.min(F.when(ok, t)).alias("min_ts"), F.max(F.when(ok, t)).alias("max_ts"),
+        F.count_distinct(F.when(ok, F.expr("timestamp div 3600"))).alias("hours"),
+    )
+
+
+def format_lines(log: DataFrame, fmt: str = "nginx") -> DataFrame:
+    """Hits as lines of a format: (site_id, line). What a format has no place for is left out."""
     dash = lambda c: F.when(F.col(c) == "", "-").otherwise(F.col(c))
+    q = lambda *c: F.concat(F.lit('"'), *c, F.lit('"'))
+    b = lambda *c: F.concat(F.lit("["), *c, F.lit("]"))
+    num = lambda c: F.col(c).cast("string")
     sec = lambda c: F.format_string("%.3f", F.col(c) / 1000)
-    t = F.date_format(F.timestamp_seconds("timestamp"), "dd/MMM/yyyy:HH:mm:ss")
-    return log.select(
-        F.concat_ws(" ", "ip", F.lit("- -"), F.concat(F.lit("["), t, F.lit(" +0000]")), F.concat(F.lit('"'), "method", F.lit(" "), "url", F.lit(' HTTP/1.1"')),
-            F.col("status_code").cast("string"), F.col("bytes_sent").cast("string"), F.concat(F.lit('"'), "referer", F.lit('"')), F.concat(F.lit('"'), "browser", F.lit('"')),
-            sec("request_time_ms"), F.col("request_length").cast("string"), sec("upstream_response_time_ms"), dash("upstream_addr"), dash("host"), "request_id").alias("line")
-    )
+    clock = lambda layout: F.date_format(F.timestamp_seconds("timestamp"), layout)
+    t, day = F.concat(clock("dd/MMM/yyyy:HH:mm:ss"), F.lit(" +0000")), clock("yyyy-MM-dd HH:mm:ss")
+    request, path, rest = q("method", F.lit(" "), "url", F.lit(" HTTP/1.1")), F.col("url"), F.lit("-")
+    status, size, ref, ua = num("status_code"), num("bytes_sent"), q("referer"), q("browser")
+    common = ["ip", F.lit("- -"), b(t), request, status, size, ref, ua]
+    by = {
+        "nginx": [*common, sec("request_time_ms"), num("request_length"), sec("upstream_response_time_ms"), dash("upstream_addr"), dash("host"), "request_id"],
+        "apache": common,
+        "traefik": [*common, F.lit('1 "app@docker" "http://10.0.0.5:8080"'), F.concat(num("request_time_ms"), F.lit(".5ms"))],
+        "envoy": [b(clock("yyyy-MM-dd'T'HH:mm:ss"), F.lit(".123Z")), request, status, rest, num("request_length"), size, num("request_time_ms"), num("upstream_response_time_ms"),
+                  q("ip"), ua, q("request_id"), q("host"), q("upstream_addr")],
+        "haproxy": [F.lit("Apr 24 10:05:39 lb haproxy[1234]:"), F.concat("ip", F.lit(":53124")), b(clock("dd/MMM/yyyy:HH:mm:ss"), F.lit(".123")), F.lit("fe be/app1 0/0/1/12/13"), status, size,
+                    F.lit("- - ---- 1/1/0/0/0 0/0"), request],
+        "nginx-ingress": [*common, num("request_length"), sec("request_time_ms"), F.lit("[app-80] []"), dash("upstream_addr"), size, sec("upstream_response_time_ms"), status, "request_id"],
+        "iis": [day, F.lit("10.0.0.10"), "method", path, F.lit("a=1&b=2 443 -"), "ip", "browser", dash("referer"), status, F.lit("0 0"), num("request_time_ms")],
+        "npm": [b(t), rest, status, F.lit("502 -"), "method", F.lit("http"), dash("host"), q(path), b(F.lit("Client "), "ip"), b(F.lit("Length "), size), F.lit("[Gzip -] [Sent-to 10.0.0.4]"), ua, ref],
+        "safeline": ["ip", F.lit("- -"), b(t), q("host"), request, status, size, ref, ua, F.lit('"-"')],
+        "zoraxy": [b(day, F.lit(".123456")), F.lit("[router:host-http]"), b(F.lit("origin:"), "host"), b(F.lit("client: "), "ip"), b(F.lit("useragent: "), "browser"), "method", path, status],
+        "caddy": [F.to_json(F.struct(
+            (F.col("timestamp") + 0.25).alias("ts"), F.struct(F.col("ip").alias("remote_ip"), "method", F.col("url").alias("uri"), "host", F.struct(
+                F.array("browser").alias("User-Agent"), F.array("referer").alias("Referer")).alias("headers")).alias("request"),
+            F.col("status_code").alias("status"), F.col("bytes_sent").alias("size"), "request_length", F.col("request_time_ms").alias("duration_ms"), F.col("upstream_addr").alias("upstream"), "request_id"))],
+    }
+    return log.select("site_id", F.concat_ws(" ", *by[fmt]).alias("line"))
 
 
 def write_hits(log: DataFrame, path: str) -> None:
-    """Append hits partitioned by site and day; a day is clustered by one task per site and day."""
+    """Append hits partitioned by site and day; Spark splits a large day over several files and puts small ones in one task."""
     d = log.withColumn("day", F.to_date(F.timestamp_seconds("timestamp")))
-    d.repartition("site_id", "day", F.pmod(F.xxhash64("ip"), F.lit(16))).write.mode("append").partitionBy("site_id", "day").parquet(path)
+    d.hint("rebalance", "site_id", "day").write.mode("append").partitionBy("site_id", "day").parquet(path)
