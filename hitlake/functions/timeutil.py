@@ -30,8 +30,14 @@ def named_range(name: str, now: datetime, exact: bool = True) -> tuple[datetime,
         return today, today + one - lost
 
 
-def previous_range(start: datetime, end: datetime) -> tuple[datetime, datetime]:
-    return start - (end - start), start
+def previous_range(name: str, now: datetime, exact: bool = True) -> tuple[datetime, datetime]:
+    """The range that a named range is compared with: the day, seven or thirty days, week or calendar month before it."""
+    start, end = named_range(name, now, exact)
+    if name == "month":
+        first = (start - timedelta(days=1)).replace(day=1)
+        return first, start - (timedelta(0) if exact else timedelta(seconds=1))
+    days = {"week": 7, "last7days": 7, "last30days": 30}.get(name, 1)
+    return start - timedelta(days=days), end - timedelta(days=days)
 
 
 def flexible_time(text: str, tz=None) -> datetime | None:
@@ -55,6 +61,7 @@ def intersect(a: tuple[int, int], start: int | None, end: int | None) -> tuple[i
 
 
 def labels(spark: SparkSession, start: int, end: int, step: int) -> DataFrame:
-    """Buckets with labels: hour of the day, or the date."""
+    """Buckets with labels: hour of the day, or the date; and the day of the week."""
     s = spark.range(start, end, step).select(F.col("id").alias("bucket"))
-    return s.withColumn("label", F.date_format(F.timestamp_seconds("bucket"), "HH:mm" if step < 86400 else "yyyy-MM-dd"))
+    t = F.timestamp_seconds("bucket")
+    return s.withColumn("label", F.date_format(t, "HH:mm" if step < 86400 else "yyyy-MM-dd")).withColumn("weekday", F.date_format(t, "EEEE"))

@@ -12,6 +12,11 @@ PENDING, UNKNOWN, MAINLAND = "pending", "unknown", "China"
 SEARCH_ENGINES = ["google.", "bing.", "baidu.", "yahoo.", "duckduckgo.", "yandex.", "sogou.", "so.com", "sm.cn"]
 
 
+def bind(df: DataFrame, **cols: Column) -> DataFrame:
+    """Add columns through a generator of one row: filters on them stay above it, and expressions that use them do not copy theirs."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))))
+
+
 def pv() -> Column:
     return F.col("pageview_flag") == 1
 

@@ -9,11 +9,11 @@ from .basics import MAINLAND, in_range, pv
 
 SORTS = ["timestamp", "ip", "url", "status_code", "bytes_sent", "request_time_ms", "referer", "domestic"]
 #: Text patterns of internal addresses in the log filter (not the same set as is_private_ip).
-INTERNAL = r"^(10\.|192\.168\.|127\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.|fc|fd|fe80:)|^::1$"
+INTERNAL = r"^(10\.|192\.168\.|127\.|172\.(1[6-9]|2[0-9]|3[01])\.|fc|fd|fe80:)|^::1$"
 
 
 def internal_ip(c: Column) -> Column:
-    return F.lower(c).rlike(INTERNAL)
+    return c.rlike(INTERNAL)
 
 
 def search(
@@ -51,7 +51,7 @@ def search(
     out = log.where(c)
     if first is not None:
         lo, hi = window
-        out = out.join(first, "ip", "left").withColumn("is_new", F.coalesce(F.col("first_ts").between(lo, hi - 1), F.lit(False))).drop("first_ts")
+        out = out.join(first, ["site_id", "ip"], "left").withColumn("is_new", F.coalesce(F.col("first_ts").between(lo, hi - 1), F.lit(False))).drop("first_ts")
         if visitors != "all":
             out = out.where(F.col("is_new") == F.lit(visitors == "new"))
     return out
@@ -65,6 +65,16 @@ def page(df: DataFrame, sort: str = "timestamp", descending: bool = True, page:
     return df.orderBy(*order).offset((page - 1) * size).limit(size)
 
 
+def page_with_more(df: DataFrame, sort: str = "timestamp", descending: bool = True, page_no: int = 1, size: int = 50) -> DataFrame:
+    """A page with has_more, found by one row more than it shows instead of a count of all."""
+    if sort not in SORTS or size > 1000:
+        raise ValueError("unknown sort column or page size over 1000")
+    order = [F.desc(sort), F.desc("id")] if descending else [F.asc(sort), F.asc("id")]
+    rows = df.orderBy(*order).offset((page_no - 1) * size).limit(size + 1)
+    n = rows.withColumn("__n", F.row_number().over(Window.orderBy(*order)))  # size + 1 rows
+    return n.withColumn("has_more", F.count("*").over(Window.partitionBy()) > size).where(F.col("__n") <= size).drop("__n")
+
+
 def count_pages(df: DataFrame, size: int = 50) -> DataFrame:
     return df.agg(F.count("*").alias("total"), F.count_distinct("ip").alias("ips")).withColumn("pages", F.expr(f"(total + {size - 1}) div {size}"))
 
@@ -83,21 +93,38 @@ def page_of_fact(fact: DataFrame, dims: dict[str, DataFrame], size: int = 50) ->
     return out
 
 
-def display(df: DataFrame) -> DataFrame:
-    """Rows as the export shows them."""
-    dash = lambda c: F.when(F.trim(c) == "", "-").otherwise(c)
-    kb = F.concat(F.format_string("%.2f", F.round(F.col("bytes_sent") / 1024, 2)), F.lit(" KB"))
+#: Columns of the export in order, with their headings in the source's other language (fixed values).
+HEADINGS = {
+    "time": "时间", "ip": "IP", "location": "位置", "request": "请求", "status": "状态码", "bytes": "流量(字节)", "traffic": "流量(可读)", "request_length": "请求大小",
+    "duration": "请求耗时", "upstream_duration": "上游耗时", "host": "Host", "request_id": "请求ID", "upstream_addr": "上游地址", "referer": "来源", "browser": "浏览器",
+    "os": "系统", "device": "设备", "pageview": "PV",
+}
+
+
+def traffic(c: Column) -> Column:
+    """Bytes with two digits and a unit; halves go to the even digit."""
+    text = lambda power, unit: F.concat(F.format_string("%.2f", F.bround(c / 1024.0**power, 2)), F.lit(f" {unit}"))
+    out = text(4, "TB")
+    for power, unit in ((3, "GB"), (2, "MB"), (1, "KB"), (0, "B")):
+        out = F.when(c < 1024 ** (power + 1), text(power, unit)).otherwise(out)
+    return out
+
+
+def display(df: DataFrame, lang: str = "en") -> DataFrame:
+    """Rows as the export shows them: 18 columns after id."""
+    dash = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("-"))
     ms = lambda c: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(" ms"))).otherwise("-")
-    return df.select(
-        "id", F.date_format(F.timestamp_seconds("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("time"), dash(F.col("ip")).alias("ip"),
-        F.coalesce(F.nullif(F.col("domestic"), F.lit("")), F.nullif(F.col("global"), F.lit("")), F.lit("-")).alias("location"),
-        F.concat_ws(" ", "method", "url").alias("request"), F.col("status_code").cast("string").alias("status"), kb.alias("size"),
-        ms("request_time_ms").alias("duration"), ms("upstream_response_time_ms").alias("upstream"), dash(F.col("host")).alias("host"),
-        dash(F.col("referer")).alias("referer"), "browser", "os", "device", F.when(pv(), "Yes").otherwise("No").alias("pageview"),
-    )
+    place = F.coalesce(F.nullif(F.trim("domestic"), F.lit("")), F.nullif(F.trim("global"), F.lit("")), F.lit("-"))
+    yes, no = ("Yes", "No") if lang == "en" else ("是", "否")
+    cols = {
+        "time": F.date_format(F.timestamp_seconds("timestamp"), "yyyy-MM-dd HH:mm:ss"), "ip": F.col("ip"), "location": place, "request": dash(F.concat_ws(" ", "method", "url")),
+        "status": F.col("status_code").cast("string"), "bytes": F.col("bytes_sent"), "traffic": traffic(F.col("bytes_sent")), "request_length": F.col("request_length"),
+        "duration": ms("request_time_ms"), "upstream_duration": ms("upstream_response_time_ms"), "pageview": F.when(pv(), yes).otherwise(no),
+    }
+    return df.select("id", *[cols.get(k, dash(F.col(k))).alias(k if lang == "en" else HEADINGS[k]) for k in HEADINGS])
 
 
-def export(df: DataFrame, path: str, fmt: str = "csv") -> None:
+def export(df: DataFrame, path: str, fmt: str = "csv", lang: str = "en") -> None:
     """Write every row of a query: one distributed job, no paging."""
-    w = display(df).write.mode("overwrite")
+    w = display(df, lang).drop("id").write.mode("overwrite")
     w.option("header", True).csv(path) if fmt == "csv" else w.parquet(path)

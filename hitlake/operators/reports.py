@@ -1,4 +1,7 @@
-"""Rankings, totals, series, realtime, developer day, comparisons."""
+"""Rankings, totals, series, realtime, developer day, comparisons.
+
+A report counts the hits it is given: ask for one site by filtering on site_id first.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .basics import MAINLAND, SEARCH_ENGINES, SLOW_MS, day, hour, in_range, pv, share, spine, status_counts, url_filter, uv
-from .sessions import entry_pages, sessionize
+from .sessions import entry_pages, session_metrics_of_hits, session_summary, sessionize
 
 
 def is_search(c: Column) -> Column:
@@ -84,7 +87,7 @@ def active_visitors(log: DataFrame, now: int, minutes: int = 15) -> DataFrame:
 
 
 def new_returning(log: DataFrame, first: DataFrame, start: int, end: int) -> DataFrame:
-    act = log.where(pv() & in_range(start, end)).select("ip").distinct().join(first, "ip", "left")
+    act = log.where(pv() & in_range(start, end)).select("site_id", "ip").distinct().join(first, ["site_id", "ip"], "left")
     new = F.col("first_ts").between(start, end - 1)
     return act.agg(F.count_if(new).alias("new"), F.count_if(~F.coalesce(new, F.lit(False))).alias("returning"))
 
@@ -173,14 +176,56 @@ def day_snapshot(log: DataFrame, start: int) -> DataFrame:
     return log.where(in_range(start, start + 86400)).agg(*_day_metrics())
 
 
-def metric_compare(log: DataFrame, start: int) -> DataFrame:
-    """Each metric of a day against the day before: delta, rate (null when previous is 0 and current is not)."""
-    cur, prev = day_snapshot(log, start), day_snapshot(log, start - 86400)
-    names = ["requests", "s4xx", "s5xx", "slow"]
-    stack = f"stack({len(names)}, " + ", ".join(f"'{n}', cast({n} as bigint)" for n in names) + ") as (metric, value)"
-    j = cur.selectExpr(stack).join(prev.selectExpr(stack).withColumnRenamed("value", "previous"), "metric")
+#: Metrics of the developer report, and those that are shares of the day's requests.
+METRICS = ["requests", "avg_length", "s5xx", "s4xx", "avg_ms", "avg_upstream_ms", "slow", "slow_rate"]
+SHARED = ["s5xx", "s4xx", "slow"]
+
+
+def compare_days(current: DataFrame, previous: DataFrame) -> DataFrame:
+    """A row for each metric of two ``day_snapshot`` rows: value, previous, delta, rate and shares.
+
+    rate is null when previous is 0 and the value is not, 0 when both are; a share is null
+    without requests.
+    """
+
+    def tall(df: DataFrame, value: str, share_name: str) -> DataFrame:
+        r = df.withColumn("slow_rate", F.when(F.col("requests") > 0, F.col("slow") / F.col("requests")).otherwise(0.0))
+        own = [F.struct(
+            F.lit(m).alias("metric"), F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(value),
+            (F.when(F.col("requests") > 0, F.round(F.col(m) / F.col("requests"), 6)) if m in SHARED else F.lit(None).cast("double")).alias(share_name),
+        ) for m in METRICS]
+        return r.select(F.inline(F.array(*own)))
+
+    j = tall(current, "value", "share").join(F.broadcast(tall(previous, "previous", "previous_share")), "metric")  # a row per metric
     rate = F.when(F.col("previous") != 0, F.round((F.col("value") - F.col("previous")) / F.col("previous"), 6)).when(F.col("value") == 0, 0.0)
-    return j.withColumn("delta", F.col("value") - F.col("previous")).withColumn("rate", rate)
+    return j.select(
+        "metric", F.round("value", 6).alias("value"), F.round("previous", 6).alias("previous"), F.round(F.col("value") - F.col("previous"), 6).alias("delta"), rate.alias("rate"), "share", "previous_share"
+    )
+
+
+def metric_compare(log: DataFrame, start: int, previous: int | None = None) -> DataFrame:
+    """``compare_days`` of the day that starts at ``start`` and another, the day before by default."""
+    return compare_days(day_snapshot(log, start), day_snapshot(log, start - 86400 if previous is None else previous))
+
+
+def developer_report(log: DataFrame, start: int, previous: int | None = None) -> DataFrame:
+    """The whole developer report: (part, place, name, metric, value, previous, delta, rate).
+
+    summary: a row per metric; trend: a row per day and series of the last seven days;
+    issue: three rows for each problem url, in order of rank.
+    """
+    none = F.lit(None).cast("double")
+    order = F.element_at(F.create_map(*[x for i, m in enumerate(METRICS) for x in (F.lit(m), F.lit(i + 1))]), F.col("metric"))
+    summary = metric_compare(log, start, previous).select(F.lit("summary").alias("part"), order.alias("place"), F.lit("").alias("name"), "metric", "value", "previous", "delta", "rate")
+    series = [F.struct(F.lit(m).alias("metric"), F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias("value")) for m in ("s4xx", "s5xx", "avg_ms", "avg_upstream_ms", "slow_rate")]
+    place = F.datediff("day", F.to_date(F.timestamp_seconds(F.lit(start - 6 * 86400)))) + 1
+    trend = week_trend(log, start).select(F.lit("trend").alias("part"), place.alias("place"), F.date_format("day", "yyyy-MM-dd").alias("name"), F.inline(F.array(*series)))
+    trend = trend.select("part", "place", "name", "metric", "value", none.alias("previous"), none.alias("delta"), none.alias("rate"))
+    rows = [F.struct(F.lit(m).alias("metric"), F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias("value"), (F.col(d).cast("double") if d else none).alias("delta"))
+            for m, d in (("s5xx", "s5xx_delta"), ("slow", None), ("mean_ms", "mean_delta"))]
+    issue = problem_urls(log, start, previous=previous).select(F.lit("issue").alias("part"), F.col("rank").alias("place"), F.col("url").alias("name"), F.inline(F.array(*rows)))
+    issue = issue.select("part", "place", "name", "metric", "value", none.alias("previous"), "delta", none.alias("rate"))
+    return summary.unionByName(trend).unionByName(issue)
 
 
 def week_trend(log: DataFrame, start: int) -> DataFrame:
@@ -188,32 +233,108 @@ def week_trend(log: DataFrame, start: int) -> DataFrame:
     first = start - 6 * 86400
     g = log.where(in_range(first, start + 86400)).groupBy(day().alias("day")).agg(*_day_metrics())
     days = spine(log.sparkSession, first, start + 86400, 86400).select(F.to_date(F.timestamp_seconds("bucket")).alias("day"))
-    return days.join(g, "day", "left").na.fill(0, ["requests", "s4xx", "s5xx", "slow", "timed", "upstream_timed", "sized"])
+    t = days.join(g, "day", "left").na.fill(0, ["requests", "s4xx", "s5xx", "slow", "timed", "upstream_timed", "sized"])
+    return t.withColumn("slow_rate", F.when(F.col("requests") > 0, F.round(F.col("slow") / F.col("requests"), 6)).otherwise(0.0))
 
 
-def problem_urls(log: DataFrame, start: int, n: int = 8) -> DataFrame:
-    """Urls with 5xx, slow hits or a high mean, against the day before (one join)."""
+def problem_urls(log: DataFrame, start: int, n: int = 8, previous: int | None = None) -> DataFrame:
+    """Urls with 5xx, slow hits or a high mean, in order of rank, against the day before or another (one join)."""
+    previous = start - 86400 if previous is None else previous
     t = F.col("request_time_ms")
     agg = [F.count("*").alias("requests"), F.count_if(F.col("status_code").between(500, 599)).alias("s5xx"), F.count_if(t >= SLOW_MS).alias("slow"), F.avg(F.when(t > 0, t)).alias("mean")]
     g = log.where(in_range(start, start + 86400)).groupBy("url").agg(*agg).where("s5xx > 0 or slow > 0 or mean >= 500")
-    top = g.orderBy(F.desc("s5xx"), F.desc("slow"), F.desc(F.coalesce("mean", F.lit(0.0))), F.desc("requests"), "url").limit(n)
-    prev = log.where(in_range(start - 86400, start)).groupBy("url").agg(*agg).select("url", F.col("s5xx").alias("p5xx"), F.col("mean").alias("pmean"))
+    order = [F.desc("s5xx"), F.desc("slow"), F.desc(F.coalesce("mean", F.lit(0.0))), F.desc("requests"), F.asc("url")]
+    top = g.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # n rows
+    prev = log.where(in_range(previous, previous + 86400)).groupBy("url").agg(*agg).select("url", F.col("s5xx").alias("p5xx"), F.col("mean").alias("pmean"))
     j = top.join(prev, "url", "left")
     return j.select(
-        "url", "requests", "s5xx", "slow", F.round("mean", 4).alias("mean_ms"), (F.col("s5xx") - F.coalesce("p5xx", F.lit(0))).alias("s5xx_delta"),
+        "rank", "url", "requests", "s5xx", "slow", F.round("mean", 4).alias("mean_ms"), (F.col("s5xx") - F.coalesce("p5xx", F.lit(0))).alias("s5xx_delta"),
         F.round(F.coalesce("mean", F.lit(0.0)) - F.coalesce("pmean", F.lit(0.0))).cast("long").alias("mean_delta"),
     )
 
 
-def health_digest(log: DataFrame, start: int) -> DataFrame:
-    """stable / watch / critical from the 5xx share and the means of two days."""
-    c, p = day_snapshot(log, start), day_snapshot(log, start - 86400).select(*[F.col(x).alias(f"p_{x}") for x in ("requests", "s5xx", "avg_ms")])
-    j = c.join(F.broadcast(p))  # one row each
-    s = F.when(F.col("requests") > 0, F.col("s5xx") / F.col("requests")).otherwise(0.0)
-    ps = F.when(F.col("p_requests") > 0, F.col("p_s5xx") / F.col("p_requests")).otherwise(0.0)
-    slower = F.coalesce(F.col("avg_ms") - F.col("p_avg_ms"), F.lit(0.0))
-    score = F.when(s >= 0.05, 3).when(s >= 0.01, 1).otherwise(0) + F.when(s - ps >= 0.01, 2).otherwise(0) + F.when(slower >= 300, 2).when(slower >= 100, 1).otherwise(0)
-    return j.select(F.round(s, 6).alias("share_5xx"), score.alias("score")).withColumn("level", F.when(F.col("score") >= 4, "critical").when(F.col("score") >= 2, "watch").otherwise("stable"))
+def health_digest(log: DataFrame, start: int, previous: int | None = None) -> DataFrame:
+    """stable / watch / critical from two days: 5xx, latency, upstream time, and the top problem url.
+
+    Each term that is there adds one point, two where it is grave: 5xx share of 3 % or ten
+    more than before, 200 ms slower, upstream 150 ms slower, a problem url with 5xx.
+    """
+    m = metric_compare(log, start, previous)
+    pick = lambda name, c: F.max(F.when(F.col("metric") == name, F.col(c)))
+    one = m.agg(
+        F.coalesce(pick("s5xx", "share"), F.lit(0.0)).alias("share_5xx"), pick("s5xx", "value").alias("n5"), pick("s5xx", "delta").alias("d5"), pick("avg_ms", "value").alias("ms"),
+        pick("avg_ms", "delta").alias("latency_delta"), pick("avg_upstream_ms", "value").alias("up"), pick("avg_upstream_ms", "delta").alias("upstream_delta"),
+    )
+    top = problem_urls(log, start, 1, previous).agg(F.max("url").alias("top_url"), F.max("s5xx").alias("top_5xx"))
+    c = F.col
+    grave = lambda there, bad: F.when(~there, 0).when(bad, 2).otherwise(1)
+    terms = [
+        grave((c("n5") > 0) | (c("d5") > 0), (c("share_5xx") >= 0.03) | (c("d5") >= 10)), grave((c("ms") > 0) & (c("latency_delta") > 0), c("latency_delta") >= 200),
+        grave((c("up") > 0) & (c("upstream_delta") > 0), c("upstream_delta") >= 150), grave(c("top_url").isNotNull(), F.coalesce(c("top_5xx") > 0, F.lit(False))),
+    ]
+    j = one.join(F.broadcast(top)).withColumn("score", terms[0] + terms[1] + terms[2] + terms[3])  # one row each
+    level = F.when(c("score") == 0, "stable").when(c("score") >= 4, "critical").otherwise("watch")
+    return j.select("share_5xx", "latency_delta", "upstream_delta", "top_url", "score", level.alias("level"))
+
+
+def overall(log: DataFrame, first: DataFrame, start: int, end: int, previous: tuple[int, int], now: int, url_like: str | None = None, n: int = 10) -> DataFrame:
+    """The landing report as one row: totals, sessions with entry pages, active, new and returning visitors,
+    status classes, the previous range's, and the comparison snapshots with the forecast.
+
+    Everything is counted in [start, end) of hits that the url filter leaves; ``first`` is ``first_seen``.
+    """
+    f = log.where(url_filter(url_like))
+    named = lambda df, prefix: df.select(*[F.col(c).alias(f"{prefix}_{c}") for c in df.columns])
+    parts = [
+        totals_filtered(f, start, end), session_metrics_of_hits(f, start, end, n=n), active_visitors(f, now), new_returning(f, first, start, end),
+        named(new_returning(f, first, *previous), "previous"), status_hits(f, start, end), named(status_hits(f, *previous), "previous"),
+        compare(f, start, end, previous[0], now).drop("current_pv", "current_uv", "current_sessions"), forecast(f, start, end, now),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(F.broadcast(p))  # one row each
+    return out
+
+
+def _rate(value: Column, previous: Column) -> Column:
+    return F.when(previous != 0, F.round((value - previous) / previous, 6))
+
+
+def kpi_cards(log: DataFrame, start: int, end: int, previous: tuple[int, int]) -> DataFrame:
+    """A row for each figure of the dashboard: value, previous, delta, rate (null when previous is 0)."""
+
+    def figures(a: int, b: int, name: str) -> DataFrame:
+        f = log.where(in_range(a, b))
+        one = f.agg(F.count_if(pv()).alias("pv"), uv(pv()).alias("uv")).join(F.broadcast(session_summary(sessionize(f))))  # one row each
+        cards = {"pv": F.col("pv"), "uv": F.col("uv"), "sessions": F.col("sessions"), "bounce_rate": F.col("bounce_rate"), "duration": F.col("mean_duration"),
+                 "pv_per_visitor": F.when(F.col("uv") > 0, F.col("pv") / F.col("uv")).otherwise(0.0)}
+        return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("card"), F.round(v.cast("double"), 6).alias(name)) for k, v in cards.items()])))
+
+    j = figures(start, end, "value").join(F.broadcast(figures(*previous, "previous")), "card")  # six rows
+    return j.withColumn("delta", F.round(F.col("value") - F.col("previous"), 6)).withColumn("rate", _rate(F.col("value"), F.col("previous")))
+
+
+def visitor_shares(log: DataFrame, first: DataFrame, start: int, end: int, previous: tuple[int, int]) -> DataFrame:
+    """New and returning visitors with their share, and how they changed."""
+    now, before = new_returning(log, first, start, end), new_returning(log, first, *previous).select(F.col("new").alias("p_new"), F.col("returning").alias("p_returning"))
+    j = now.join(F.broadcast(before))  # one row each
+    total = F.col("new") + F.col("returning")
+    rows = [F.struct(F.lit(k).alias("kind"), F.col(k).alias("count"), F.when(total > 0, F.round(F.col(k) / total, 6)).otherwise(0.0).alias("share"), F.col(f"p_{k}").alias("previous")) for k in ("new", "returning")]
+    return j.select(F.inline(F.array(*rows))).withColumn("rate", _rate(F.col("count"), F.col("previous")))
+
+
+def device_totals(log: DataFrame, start: int, end: int) -> DataFrame:
+    """UV by category (desktop, mobile, apple, other), and of iOS and Android systems; shares of the categories' total.
+
+    UV is counted by device and by system and then summed, as the dashboard does.
+    """
+    f = log.where(pv() & in_range(start, end))
+    label = F.lower(F.col("device"))
+    cat = F.when(label.rlike("mac|iphone|ipad|apple"), "apple").when(label.rlike("desktop|pc|windows"), "desktop").when(label.rlike("mobile|phone|tablet|android"), "mobile").otherwise("other")
+    d = f.groupBy("device").agg(uv().alias("uv")).groupBy(cat.alias("name")).agg(F.sum("uv").alias("uv")).withColumn("share", share("uv", 6))
+    system = F.when(F.lower("os").rlike("ios|iphone|ipad"), "os:ios").when(F.lower("os").contains("android"), "os:android")
+    o = f.groupBy("os").agg(uv().alias("uv")).select(system.alias("name"), "uv").where("name is not null").groupBy("name").agg(F.sum("uv").alias("uv"))
+    return d.unionByName(o.withColumn("share", F.lit(None).cast("double")))
 
 
 def period_over_period(current: DataFrame, previous: DataFrame, value: str = "pv") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Roll-ups, visitor sets, first seen, dimensions, loads and retention."""
+"""Roll-ups, visitor sets, first seen, dimensions, loads and retention, by site."""
 
 from __future__ import annotations
 
@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .basics import day, hour, pv, status_counts
+from .sessions import agg_entry_daily, agg_session_daily, session_state, sessionize
 
 _COUNTS = ["pv", "traffic", "s2xx", "s3xx", "s4xx", "s5xx", "other"]
 DIMENSIONS = {"ip": ["ip"], "url": ["url"], "referer": ["referer"], "ua": ["browser", "os", "device"], "location": ["domestic", "global"]}
 
 
 def _rollup(log: DataFrame, bucket) -> DataFrame:
-    return log.groupBy(bucket).agg(
+    return log.groupBy("site_id", bucket).agg(
         F.count_if(pv()).alias("pv"), F.sum(F.when(pv(), F.col("bytes_sent")).otherwise(0)).alias("traffic"), *status_counts()
     )
 
@@ -26,15 +27,15 @@ def agg_daily(log: DataFrame) -> DataFrame:
 
 
 def agg_hourly_ip(log: DataFrame) -> DataFrame:
-    return log.where(pv()).select(hour().alias("bucket"), "ip").distinct()
+    return log.where(pv()).select("site_id", hour().alias("bucket"), "ip").distinct()
 
 
 def agg_daily_ip(log: DataFrame) -> DataFrame:
-    return log.where(pv()).select(day().alias("day"), "ip").distinct()
+    return log.where(pv()).select("site_id", day().alias("day"), "ip").distinct()
 
 
 def first_seen(log: DataFrame) -> DataFrame:
-    return log.where(pv()).groupBy("ip").agg(F.min("timestamp").alias("first_ts"))
+    return log.where(pv()).groupBy("site_id", "ip").agg(F.min("timestamp").alias("first_ts"))
 
 
 def merge_counts(base: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
@@ -44,7 +45,7 @@ def merge_counts(base: DataFrame, delta: DataFrame, keys: list[str]) -> DataFram
 
 
 def merge_first_seen(base: DataFrame, delta: DataFrame) -> DataFrame:
-    return base.unionByName(delta).groupBy("ip").agg(F.min("first_ts").alias("first_ts"))
+    return base.unionByName(delta).groupBy("site_id", "ip").agg(F.min("first_ts").alias("first_ts"))
 
 
 def build_dims(log: DataFrame) -> dict[str, DataFrame]:
@@ -52,11 +53,12 @@ def build_dims(log: DataFrame) -> dict[str, DataFrame]:
     return {k: log.select(*c).distinct().withColumn(f"{k}_id", F.xxhash64(F.lit(k), *c)) for k, c in DIMENSIONS.items()}
 
 
-def encode_fact(log: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
+def encode_fact(log: DataFrame) -> DataFrame:
+    """Hits with ids in place of dimension columns; an id is a hash of its natural key, so no join is needed."""
     out = log
     for k, c in DIMENSIONS.items():
-        out = out.join(dims[k], c).drop(*c)
-    return out
+        out = out.withColumn(f"{k}_id", F.xxhash64(F.lit(k), *c))
+    return out.drop(*{x for c in DIMENSIONS.values() for x in c})
 
 
 def decode_fact(fact: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
@@ -76,9 +78,10 @@ def prune_dims(dim: DataFrame, key: str, refs: list[tuple[DataFrame, str]]) -> D
 
 
 def dedup_new(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """Idempotent load: unique (timestamp, fingerprint); rows without fingerprint never conflict."""
-    keyed = new.where("fingerprint is not null").dropDuplicates(["timestamp", "fingerprint"])
-    fresh = keyed.join(existing.select("timestamp", "fingerprint"), ["timestamp", "fingerprint"], "left_anti")
+    """Idempotent load: unique (site, timestamp, fingerprint); rows without fingerprint never conflict."""
+    key = ["site_id", "timestamp", "fingerprint"]
+    keyed = new.where("fingerprint is not null").dropDuplicates(key)
+    fresh = keyed.join(existing.select(*key), key, "left_anti")
     return fresh.select(new.columns).unionByName(new.where("fingerprint is null"))
 
 
@@ -88,6 +91,15 @@ def replace_range(log: DataFrame, new: DataFrame, start: int, end: int) -> DataF
     return log.where((t < start) | (t >= end)).unionByName(new.where((t >= start) & (t < end)))
 
 
+def rebuild(log: DataFrame) -> dict[str, DataFrame]:
+    """Everything that is derived from hits."""
+    s = sessionize(log)
+    return {
+        "agg_hourly": agg_hourly(log), "agg_daily": agg_daily(log), "agg_hourly_ip": agg_hourly_ip(log), "agg_daily_ip": agg_daily_ip(log), "first_seen": first_seen(log),
+        "sessions": s, "session_state": session_state(s), "agg_session_daily": agg_session_daily(s), "agg_entry_daily": agg_entry_daily(s),
+    }
+
+
 def apply_retention(log: DataFrame, sessions: DataFrame, cutoff: int) -> dict[str, DataFrame]:
     """Drop what is older than cutoff and rebuild from what remains; boundary buckets come out right."""
     kept = log.where(F.col("timestamp") >= cutoff)
@@ -98,16 +110,24 @@ def apply_retention(log: DataFrame, sessions: DataFrame, cutoff: int) -> dict[st
 
 
 def clear_site(log: DataFrame, site: str | None = None) -> DataFrame:
-    return log.limit(0) if site is None else log.where(F.col("site_id") != site)
+    return log.limit(0) if site is None else log.where(~F.col("site_id").eqNullSafe(F.lit(site)))
 
 
 def split_recent(log: DataFrame, cutoff: int) -> tuple[DataFrame, DataFrame]:
     return log.where(F.col("timestamp") >= cutoff), log.where(F.col("timestamp") < cutoff)
 
 
-def coverage(log: DataFrame) -> DataFrame:
-    """Per site: first and last hit, hours loaded."""
-    return log.groupBy("site_id").agg(F.min("timestamp").alias("min_ts"), F.max("timestamp").alias("max_ts"), F.count_distinct(hour()).alias("hours"))
+def coverage(log: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """Per site: first and last hit loaded, hours loaded, and first and last time in the logs.
+
+    ``seen`` (site_id, timestamp) are all lines that have a time, loaded or not; the
+    loaded hits where it is not given.
+    """
+    own = log.groupBy("site_id").agg(F.min("timestamp").alias("min_ts"), F.max("timestamp").alias("max_ts"), F.count_distinct(hour()).alias("hours"))
+    if seen is None:
+        return own.withColumn("log_min_ts", F.col("min_ts")).withColumn("log_max_ts", F.col("max_ts"))
+    there = seen.groupBy("site_id").agg(F.min("timestamp").alias("log_min_ts"), F.max("timestamp").alias("log_max_ts"))
+    return there.join(own, "site_id", "left").select("site_id", "min_ts", "max_ts", F.coalesce("hours", F.lit(0)).alias("hours"), "log_min_ts", "log_max_ts")
 
 
 def hours_of(log: DataFrame, start: int, end: int) -> DataFrame:

@@ -1,27 +1,53 @@
-"""Sessions: page views of one (ip, browser, os, device) with gaps of at most ``gap`` seconds."""
+"""Sessions: page views of one (site, ip, browser, os, device) with gaps of at most ``gap`` seconds."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .basics import GAP, in_range, pv
+from .basics import GAP, in_range, pv, url_filter
 
-VISITOR = ["ip", "browser", "os", "device"]
+VISITOR = ["site_id", "ip", "browser", "os", "device"]
+#: Seconds of a visitor's hits that are cut into sessions together.
+CHUNK = 86400
 
 
-def sessionize(log: DataFrame, gap: int = GAP) -> DataFrame:
-    """One row per session; hits are ordered by (timestamp, id). One shuffle, by visitor."""
-    w = Window.partitionBy(*VISITOR).orderBy("timestamp", "id")
-    h = log.where(pv()).withColumn("new", (F.col("timestamp") - F.lag("timestamp").over(w) > gap).cast("int"))
+def session_parts(log: DataFrame, gap: int = GAP, chunk: Column | None = None) -> DataFrame:
+    """Sessions within chunks of time (``chunk``, a day by default): (visitor, chunk, first and last hit's columns).
+
+    A part needs only its own chunk's hits, so it can be stored and replaced by day.
+    """
+    w = Window.partitionBy(*VISITOR, "chunk").orderBy("timestamp", "id")
+    h = log.where(pv()).withColumn("chunk", F.floor(F.col("timestamp") / CHUNK) if chunk is None else chunk)
+    h = h.withColumn("new", (F.col("timestamp") - F.lag("timestamp").over(w) > gap).cast("int"))
     h = h.withColumn("no", F.sum(F.coalesce("new", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     at = F.struct("timestamp", "id")
-    return h.groupBy(*VISITOR, "no").agg(
+    return h.groupBy(*VISITOR, "chunk", "no").agg(
         F.min_by("domestic", at).alias("domestic"), F.min_by("global", at).alias("global"), F.min("timestamp").alias("start_ts"),
         F.max("timestamp").alias("end_ts"), F.min_by("url", at).alias("entry_url"), F.max_by("url", at).alias("exit_url"), F.count("*").alias("page_count"),
     ).drop("no")
 
 
+def merge_parts(parts: DataFrame, gap: int = GAP) -> DataFrame:
+    """Whole sessions of parts: those of one visitor with gaps of at most ``gap`` are one."""
+    w = Window.partitionBy(*VISITOR).orderBy("start_ts")
+    p = parts.withColumn("new", (F.col("start_ts") - F.lag("end_ts").over(w) > gap).cast("int"))
+    p = p.withColumn("no", F.sum(F.coalesce("new", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return p.groupBy(*VISITOR, "no").agg(
+        F.min_by("domestic", "start_ts").alias("domestic"), F.min_by("global", "start_ts").alias("global"), F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"),
+        F.min_by("entry_url", "start_ts").alias("entry_url"), F.max_by("exit_url", "start_ts").alias("exit_url"), F.sum("page_count").alias("page_count"),
+    ).drop("no")
+
+
+def sessionize(log: DataFrame, gap: int = GAP) -> DataFrame:
+    """One row per session of a site's visitor; hits are ordered by (timestamp, id).
+
+    Hits are cut by (visitor, day) first and only the parts meet by visitor, so a
+    crawler's hits are not one task.
+    """
+    return merge_parts(session_parts(log, gap), gap)
+
+
 def session_state(sessions: DataFrame) -> DataFrame:
     return sessions.groupBy(*VISITOR).agg(F.max("end_ts").alias("last_ts"))
 
@@ -43,11 +69,36 @@ def extend_sessions(sessions: DataFrame, new: DataFrame, gap: int = GAP) -> Data
 
 
 def agg_session_daily(sessions: DataFrame) -> DataFrame:
-    return sessions.groupBy(F.to_date(F.timestamp_seconds("start_ts")).alias("day")).agg(F.count("*").alias("sessions"))
+    return sessions.groupBy("site_id", F.to_date(F.timestamp_seconds("start_ts")).alias("day")).agg(F.count("*").alias("sessions"))
 
 
 def agg_entry_daily(sessions: DataFrame) -> DataFrame:
-    return sessions.groupBy(F.to_date(F.timestamp_seconds("start_ts")).alias("day"), "entry_url").agg(F.count("*").alias("count"))
+    return sessions.groupBy("site_id", F.to_date(F.timestamp_seconds("start_ts")).alias("day"), "entry_url").agg(F.count("*").alias("count"))
+
+
+def session_metrics_of_rollups(session_daily: DataFrame, entry_daily: DataFrame, d1: str, d2: str, n: int = 10) -> DataFrame:
+    """Sessions and top entry pages (entry_url, count) of the days d1 to d2, from roll-ups: one row."""
+    days = F.col("day").between(F.lit(d1).cast("date"), F.lit(d2).cast("date"))
+    total = session_daily.where(days).agg(F.coalesce(F.sum("sessions"), F.lit(0)).alias("sessions"))
+    return _with_entries(total, entry_daily.where(days).groupBy("entry_url").agg(F.sum("count").alias("count")), n)
+
+
+def session_metrics_of_sessions(sessions: DataFrame, start: int, end: int, n: int = 10) -> DataFrame:
+    """The same from sessions that start in [start, end): one that began earlier counts where it began."""
+    s = sessions.where((F.col("start_ts") >= start) & (F.col("start_ts") < end))
+    return _with_entries(s.agg(F.count("*").alias("sessions")), s.groupBy("entry_url").agg(F.count("*").alias("count")), n)
+
+
+def session_metrics_of_hits(log: DataFrame, start: int, end: int, url_like: str | None = None, n: int = 10) -> DataFrame:
+    """The same from hits of [start, end), url filter first: a session that crosses the start counts again."""
+    return session_metrics_of_sessions(sessionize(log.where(in_range(start, end) & url_filter(url_like))), start, end, n)
+
+
+def _with_entries(total: DataFrame, counts: DataFrame, n: int) -> DataFrame:
+    top = counts.orderBy(F.desc("count"), "entry_url").limit(n)
+    listed = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("c"), "entry_url"))).alias("e"))  # n rows
+    entries = F.to_json(F.transform("e", lambda x: F.struct(x["entry_url"].alias("entry_url"), (-x["c"]).alias("count"))))
+    return total.join(F.broadcast(listed)).select("sessions", entries.alias("entries"))
 
 
 def entry_pages(sessions: DataFrame, n: int = 10) -> DataFrame:
@@ -67,7 +118,7 @@ def session_list(log: DataFrame, start: int, end: int, gap: int = GAP, **equal:
 
 
 def session_page(sessions: DataFrame, page: int, size: int) -> DataFrame:
-    order = [F.desc("start_ts"), "ip", "browser", "os", "device"]
+    order = [F.desc("start_ts"), *VISITOR]
     return sessions.orderBy(*order).offset((page - 1) * size).limit(size)
 
 

@@ -14,7 +14,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitlake.sources.hits import hits
+from hitlake.operators import enrich as E
+from hitlake.operators import store
+from hitlake.operators.sessions import VISITOR
+from hitlake.sources import lines as P
+from hitlake.sources.hits import COLUMNS, hits
 
 
 def stream_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,9 +27,37 @@ def stream_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.withColumn("ts", F.timestamp_seconds("timestamp"))
 
 
-def stream_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """New files of a folder, line by line."""
-    return spark.readStream.text(folder).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
+def stream_lines(spark: SparkSession, folder: str, max_bytes: str | None = None) -> DataFrame:
+    """New files of a folder, line by line; ``max_bytes`` bounds what a batch takes up ("32m").
+
+    A file that has grown or was rotated in place is written to the folder under a new
+    name; its known lines are then left out by their fingerprints.
+    """
+    r = spark.readStream if max_bytes is None else spark.readStream.option("maxBytesPerTrigger", max_bytes)
+    return r.text(folder).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
+
+
+def ingest(stream: DataFrame, base: str, fmt="nginx", site: str = "site", checkpoint: str | None = None):
+    """Lines of a stream (line, and source_id where pushed) parsed, flagged and loaded batch by batch: a DataStreamWriter.
+
+    Equal lines of a source are one hit (fingerprint), so a batch that is read again adds
+    nothing. Hits are loaded however late; only sessions of a stream have a watermark.
+    """
+    source = stream if "source_id" in stream.columns else stream.withColumn("source_id", F.col("file") if "file" in stream.columns else F.lit(""))
+
+    def load(batch: DataFrame, batch_id: int) -> None:
+        hits_ = P.parse_lines(E.stream_fingerprints(batch.select("line", "source_id")), fmt)[0]
+        store.batch_sink(base)(as_hits(hits_, site), batch_id)
+
+    w = source.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint or f"{base}/_stream")
+    return w.trigger(availableNow=True)
+
+
+def as_hits(parsed: DataFrame, site: str) -> DataFrame:
+    """Parsed lines as hits: site, id, user agent classified, location pending, page views flagged."""
+    c = E.classify_user_agents(parsed, "ua")
+    full = c.withColumn("site_id", F.lit(site)).withColumn("id", F.xxhash64("fingerprint")).withColumn("domestic", F.lit("pending")).withColumn("global", F.lit("pending"))
+    return E.flag_pageviews(full).select(*[x.split()[0] for x in COLUMNS.split(", ")])
 
 
 def dedup_lines(stream: DataFrame, key: str = "fingerprint", within: str = "10 minutes") -> DataFrame:
@@ -43,12 +75,12 @@ def sliding_activity(stream: DataFrame, minutes: int = 30, late: str = "1 hour")
 
 
 def session_windows(stream: DataFrame, gap: int = 1800, late: str = "1 hour") -> DataFrame:
-    w = stream.where("pageview_flag = 1").withWatermark("ts", late).groupBy("ip", "browser", "os", "device", F.session_window("ts", f"{gap} seconds"))
-    return w.agg(F.count("*").alias("page_count")).select("ip", F.unix_timestamp("session_window.start").alias("start_ts"), "page_count")
+    w = stream.where("pageview_flag = 1").withWatermark("ts", late).groupBy(*VISITOR, F.session_window("ts", f"{gap} seconds"))
+    return w.agg(F.count("*").alias("page_count")).select("site_id", "ip", F.unix_timestamp("session_window.start").alias("start_ts"), "page_count")
 
 
 def first_seen(stream: DataFrame) -> DataFrame:
-    return stream.where("pageview_flag = 1").groupBy("ip").agg(F.min("timestamp").alias("first_ts"))
+    return stream.where("pageview_flag = 1").groupBy("site_id", "ip").agg(F.min("timestamp").alias("first_ts"))
 
 
 def minute_parts(batch: DataFrame) -> DataFrame:
@@ -56,7 +88,7 @@ def minute_parts(batch: DataFrame) -> DataFrame:
 
 
 def merged_minutes(parts: DataFrame) -> DataFrame:
-    return parts.groupBy(F.unix_timestamp("w.start").alias("bucket")).agg(F.sum("pv").alias("pv"), F.approx_count_distinct("ip").alias("uv"))
+    return parts.groupBy(F.unix_timestamp("w.start").alias("bucket")).agg(F.sum("pv").alias("pv"), F.count_distinct("ip").alias("uv"))
 
 
 def merged_sliding(parts: DataFrame, minutes: int = 30) -> DataFrame:
@@ -73,12 +105,12 @@ def _rejoined() -> Column:
 
 def session_parts(batch: DataFrame, gap: int = 1800) -> DataFrame:
     w = F.session_window("ts", f"{gap} seconds").alias("w")
-    return batch.where("pageview_flag = 1").groupBy("ip", "browser", "os", "device", w).agg(F.count("*").alias("page_count"))
+    return batch.where("pageview_flag = 1").groupBy(*VISITOR, w).agg(F.count("*").alias("page_count"))
 
 
 def merged_sessions(parts: DataFrame) -> DataFrame:
-    w = parts.withColumn("start", F.col("w.start")).groupBy("ip", "browser", "os", "device", _rejoined())
-    return w.agg(F.sum("page_count").alias("page_count")).select("ip", F.unix_timestamp("session_window.start").alias("start_ts"), "page_count")
+    w = parts.withColumn("start", F.col("w.start")).groupBy(*VISITOR, _rejoined())
+    return w.agg(F.sum("page_count").alias("page_count")).select("site_id", "ip", F.unix_timestamp("session_window.start").alias("start_ts"), "page_count")
 
 
 def dedup_parts(batch: DataFrame, key: str = "fingerprint", within: int = 600) -> DataFrame:
@@ -94,15 +126,19 @@ def merged_dedup(parts: DataFrame) -> DataFrame:
     return w.select("first").unionByName(parts.where("w is null").select("first")).select("first.id", "first.ts")
 
 
-def _folder(spark: SparkSession) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="hitlake-stream-")
+def folder(spark: SparkSession) -> str:
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="hitlake-stream-")
     return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def drain(stream: DataFrame, parts: Callable[[DataFrame], DataFrame], merged: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """All of what is there, in any number of batches and any order of rows: parts a batch, then merged."""
     spark = stream.sparkSession
-    at = _folder(spark)
+    at = folder(spark)
     none = parts(spark.createDataFrame([], stream.schema))
     none.write.parquet(f"{at}/out/none")
     w = stream.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
@@ -110,17 +146,23 @@ def drain(stream: DataFrame, parts: Callable[[DataFrame], DataFrame], merged: Ca
     return merged(spark.read.schema(none.schema).option("recursiveFileLookup", "true").parquet(f"{at}/out"))
 
 
-def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
+def run_once(stream: DataFrame, mode: str = "append", key: list[str] | None = None) -> DataFrame:
     """Drain what is there into a Parquet table in the shared folder and read it.
 
-    ``update`` and ``complete`` results are written batch by batch; rows of a later
-    batch replace earlier ones only in the reader's hands, so one batch is asked for.
+    ``update`` keeps each batch's rows under the batch's number and gives, for each ``key``,
+    those of its last batch; ``complete`` gives the last batch.
     """
     spark = stream.sparkSession
-    at = _folder(spark)
+    at = folder(spark)
     w = stream.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).outputMode(mode)
     if mode == "append":
         w.format("parquet").option("path", f"{at}/out").start().awaitTermination()
-    else:
-        w.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out")).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+        return spark.read.schema(stream.schema).parquet(f"{at}/out")
+    spark.createDataFrame([], stream.schema).withColumn("__batch", F.lit(-1).cast("long")).write.parquet(f"{at}/out/none")
+    w.foreachBatch(lambda df, n: df.withColumn("__batch", F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{at}/out/{n}")).start().awaitTermination()
+    held = spark.read.option("recursiveFileLookup", "true").parquet(f"{at}/out")
+    if mode == "complete":
+        last = held.agg(F.max("__batch").alias("__last"))
+        return held.join(F.broadcast(last), held["__batch"] == last["__last"]).select(*stream.columns)  # one row
+    row = F.struct(*[F.col(f"`{c}`") for c in stream.columns])
+    return held.groupBy(*key).agg(F.max_by(row, "__batch").alias("__row")).select("__row.*")

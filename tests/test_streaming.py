@@ -32,17 +32,19 @@ def test_stream_is_batch(spark, folder, name, form):
 
     log = hits(spark.read.parquet(f"{folder}/event*.parquet")).withColumn("ts", F.timestamp_seconds("timestamp"))
     want = sorted(map(tuple, form(log).collect()))
+    if name == "stream_minutes":  # the running stream's visitor count is approximate, the drained one's exact
+        want = sorted(map(tuple, log.where("pageview_flag = 1").groupBy(F.expr("timestamp div 60 * 60")).agg(F.count("*"), F.count_distinct("ip")).collect()))
     assert want and sorted(map(tuple, plans.queries()[name](spark, folder).collect())) == want
     if name == "stream_sliding":
         assert {r[0] % 900 for r in want} == set(range(0, 900, 60))
 
 
 def test_dedup(spark, folder):
-    log = hits(spark.read.parquet(f"{folder}/event*.parquet")).select("request_id", "timestamp", "id").collect()
+    log = hits(spark.read.parquet(f"{folder}/event*.parquet")).select("url", "timestamp", "id").collect()
     want, last = [], {}
     for r in sorted(log, key=lambda r: (r.timestamp, r.id)):
-        if r.timestamp - last.get(r.request_id, -600) >= 600:
+        if r.timestamp - last.get(r.url, -600) >= 600:
             want.append((r.id, r.timestamp))
-        last[r.request_id] = r.timestamp
-    got = plans.queries()["stream_dedup"](spark, folder).selectExpr("id", "unix_timestamp(ts)").collect()
+        last[r.url] = r.timestamp
+    got = plans.queries()["stream_dedup"](spark, folder).select("id", "timestamp").collect()
     assert sorted(map(tuple, got)) == sorted(want) and len(want) < len(log)
