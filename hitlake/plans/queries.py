@@ -14,6 +14,7 @@ from hitlake.operators import logs as L
 from hitlake.operators import reports as R
 from hitlake.operators import rollups as M
 from hitlake.operators import sessions as S
+from hitlake.operators import store as W
 from hitlake.sources import lines as P
 from hitlake.sources.hits import load_hits
 from hitlake.streaming import jobs as J
@@ -45,6 +46,14 @@ log AS (SELECT *, CASE WHEN status_code = 200 AND ip NOT LIKE '10.%' AND url NOT
   timestamp - timestamp % 3600 AS hour, cast(make_timestamp(timestamp * 1000000) AS date) AS day FROM log0),
 pv AS (SELECT * FROM log WHERE pageview_flag = 1)
 """
+#: The same with two sites, by odd and even hits.
+LOG2 = LOG.replace("'site' AS site_id", "CASE WHEN event_id % 2 = 0 THEN 'even' ELSE 'odd' END AS site_id")
+
+
+def _two_sites(log: DataFrame) -> DataFrame:
+    return log.withColumn("site_id", F.when(F.col("id") % 2 == 0, "even").otherwise("odd"))
+
+
 _ST = (
     "count(*) FILTER (status_code BETWEEN 200 AND 299) AS s2xx, count(*) FILTER (status_code BETWEEN 300 AND 399) AS s3xx, "
     "count(*) FILTER (status_code BETWEEN 400 AND 499) AS s4xx, count(*) FILTER (status_code BETWEEN 500 AND 599) AS s5xx, "
@@ -55,11 +64,11 @@ _ROLL = "count(*) FILTER (pageview_flag = 1) AS pv, coalesce(sum(bytes_sent) FIL
 
 def _sessions(where: str = "true", gap: int = 1800, name: str = "ses") -> str:
     return f""", {name}_g AS (SELECT *, CASE WHEN timestamp - lag(timestamp) OVER w > {gap} THEN 1 ELSE 0 END AS nw FROM pv WHERE {where}
-  WINDOW w AS (PARTITION BY ip, browser, os, device ORDER BY timestamp, id)),
-{name}_n AS (SELECT *, sum(nw) OVER (PARTITION BY ip, browser, os, device ORDER BY timestamp, id ROWS UNBOUNDED PRECEDING) AS no FROM {name}_g),
-{name} AS (SELECT ip, browser, os, device, arg_min(domestic, (timestamp, id)) AS domestic, arg_min(global, (timestamp, id)) AS global,
+  WINDOW w AS (PARTITION BY site_id, ip, browser, os, device ORDER BY timestamp, id)),
+{name}_n AS (SELECT *, sum(nw) OVER (PARTITION BY site_id, ip, browser, os, device ORDER BY timestamp, id ROWS UNBOUNDED PRECEDING) AS no FROM {name}_g),
+{name} AS (SELECT site_id, ip, browser, os, device, arg_min(domestic, (timestamp, id)) AS domestic, arg_min(global, (timestamp, id)) AS global,
   min(timestamp) AS start_ts, max(timestamp) AS end_ts, arg_min(url, (timestamp, id)) AS entry_url, arg_max(url, (timestamp, id)) AS exit_url,
-  count(*) AS page_count FROM {name}_n GROUP BY ip, browser, os, device, no)
+  count(*) AS page_count FROM {name}_n GROUP BY site_id, ip, browser, os, device, no)
 """
 
 
@@ -82,13 +91,33 @@ _DAYM = (
     "count(*) FILTER (request_length > 0) AS sized, round(avg(nullif(request_time_ms, 0)), 4) AS avg_ms, round(avg(nullif(upstream_response_time_ms, 0)), 4) AS avg_upstream_ms, "
     "round(avg(nullif(request_length, 0)), 4) AS avg_length"
 )
+#: mc: the metrics of two days side by side.
+_METRICS = (
+    f", ma AS (SELECT {_DAYM}, count(*) FILTER (request_time_ms >= 1000) / count(*) AS slow_rate FROM log WHERE {_rng(DAY, DAY + 86400)}), "
+    f"mb AS (SELECT {_DAYM}, count(*) FILTER (request_time_ms >= 1000) / count(*) AS slow_rate FROM log WHERE {_rng(DAY - 86400, DAY)}), m0 AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{m}' AS metric, coalesce(ma.{m}, 0)::double AS v, coalesce(mb.{m}, 0)::double AS p, "
+        + (f"round(ma.{m} / ma.requests, 6) AS share, round(mb.{m} / mb.requests, 6) AS previous_share" if m in R.SHARED else "NULL::double AS share, NULL::double AS previous_share")
+        + " FROM ma, mb" for m in R.METRICS
+    )
+    + "), mc AS (SELECT metric, round(v, 6) AS value, round(p, 6) AS previous, round(v - p, 6) AS delta, CASE WHEN p <> 0 THEN round((v - p) / p, 6) WHEN v = 0 THEN 0 END AS rate, share, previous_share FROM m0)"
+)
+_PROBLEMS = (
+    "".join(
+        f"{n} AS (SELECT url, count(*) AS requests, count(*) FILTER (status_code BETWEEN 500 AND 599) AS s5xx, count(*) FILTER (request_time_ms >= 1000) AS slow, avg(nullif(request_time_ms, 0)) AS mean FROM log WHERE {_rng(a, a + 86400)} GROUP BY 1), "
+        for n, a in (("pc", DAY), ("pp", DAY - 86400))
+    )
+    + "pt AS (SELECT *, row_number() OVER (ORDER BY s5xx DESC, slow DESC, coalesce(mean, 0) DESC, requests DESC, url)::int AS rank FROM pc WHERE s5xx > 0 OR slow > 0 OR mean >= 500), "
+    "iss AS (SELECT rank, pt.url, pt.requests, pt.s5xx, pt.slow, round(pt.mean, 4) AS mean_ms, pt.s5xx - coalesce(pp.s5xx, 0) AS s5xx_delta, cast(round(coalesce(pt.mean, 0) - coalesce(pp.mean, 0)) AS bigint) AS mean_delta FROM pt LEFT JOIN pp ON pp.url = pt.url WHERE rank <= 8)"
+)
 _DISPLAY = (
     "id, strftime(make_timestamp(timestamp * 1000000), '%Y-%m-%d %H:%M:%S') AS time, ip, coalesce(nullif(domestic, ''), nullif(global, ''), '-') AS location, "
-    "method || ' ' || url AS request, cast(status_code AS varchar) AS status, printf('%.2f', round(bytes_sent / 1024, 2)) || ' KB' AS size, "
+    "method || ' ' || url AS request, cast(status_code AS varchar) AS status, bytes_sent AS bytes, CASE WHEN bytes_sent < 1024 THEN printf('%.2f', bytes_sent::double) || ' B' "
+    "WHEN bytes_sent < 1048576 THEN printf('%.2f', bytes_sent / 1024) || ' KB' ELSE printf('%.2f', bytes_sent / 1048576) || ' MB' END AS traffic, request_length, "
     "CASE WHEN request_time_ms > 0 THEN request_time_ms || ' ms' ELSE '-' END AS duration, "
-    "CASE WHEN upstream_response_time_ms > 0 THEN upstream_response_time_ms || ' ms' ELSE '-' END AS upstream, "
-    "CASE WHEN host = '' THEN '-' ELSE host END AS host, CASE WHEN referer = '' THEN '-' ELSE referer END AS referer, browser, os, device, "
-    "CASE WHEN pageview_flag = 1 THEN 'Yes' ELSE 'No' END AS pageview"
+    "CASE WHEN upstream_response_time_ms > 0 THEN upstream_response_time_ms || ' ms' ELSE '-' END AS upstream_duration, "
+    "CASE WHEN host = '' THEN '-' ELSE host END AS host, request_id, CASE WHEN upstream_addr = '' THEN '-' ELSE upstream_addr END AS upstream_addr, "
+    "CASE WHEN referer = '' THEN '-' ELSE referer END AS referer, browser, os, device, CASE WHEN pageview_flag = 1 THEN 'Yes' ELSE 'No' END AS pageview"
 )
 _IPN = "(cast(split_part(ip, '.', 1) AS bigint) * 16777216 + cast(split_part(ip, '.', 2) AS bigint) * 65536 + cast(split_part(ip, '.', 3) AS bigint) * 256 + cast(split_part(ip, '.', 4) AS bigint))"
 #: 203.0.0.0 as a number.
@@ -149,6 +178,66 @@ _FAIL = ", gf AS (SELECT id, ip, CASE (request_length // 8) % 4 WHEN 0 THEN 'req
 _RoundTrip = [
     "ip", "timestamp", "method", "url", "status_code", "bytes_sent", "request_length", "request_time_ms", "upstream_response_time_ms", "upstream_addr", "host", "request_id", "referer",
 ]
+_ROUND = "SELECT ip, timestamp, method, url, status_code, bytes_sent, request_length, cast(trunc((request_time_ms / 1000) * 1000) AS bigint) AS request_time_ms, cast(trunc((upstream_response_time_ms / 1000) * 1000) AS bigint) AS upstream_response_time_ms, upstream_addr, host, request_id, referer FROM log"
+_C = {c: c for c in ("ip", "timestamp", "method", "url", "status_code", "bytes_sent", "referer")}
+_UA, _HOST, _ID, _ADDR, _LEN = {"ua": "browser"}, {"host": "host"}, {"request_id": "request_id"}, {"upstream_addr": "upstream_addr"}, {"request_length": "request_length"}
+_SEC = {c: f"cast(trunc(({c} / 1000) * 1000) AS bigint)" for c in ("request_time_ms", "upstream_response_time_ms")}
+#: What a line of each format says of a hit: parsed column and its SQL.
+_BY_FORMAT = {
+    "apache": _C | _UA, "traefik": _C | _UA | {"request_time_ms": "request_time_ms"},
+    "envoy": _C | _UA | _HOST | _ID | _ADDR | _LEN | {"referer": "''", "request_time_ms": "request_time_ms * 1000", "upstream_response_time_ms": "upstream_response_time_ms * 1000"},
+    "haproxy": _C | {"referer": "''", "ua": "'-'"}, "nginx-ingress": _C | _UA | _ID | _ADDR | _LEN | _SEC,
+    "iis": _C | _UA | {"url": "url || '?a=1&b=2'", "bytes_sent": "0", "referer": "CASE WHEN referer = '' THEN '-' ELSE referer END"},
+    "npm": _C | _UA | _HOST | {"upstream_addr": "'10.0.0.4'"}, "safeline": _C | _UA | _HOST, "zoraxy": _C | _UA | _HOST | {"bytes_sent": "0", "referer": "''"},
+    "caddy": _C | _UA | _HOST | _ID | _ADDR | _LEN | {"request_time_ms": "request_time_ms"},
+}
+
+
+def _entries(where: str) -> str:
+    return (
+        f", e1 AS (SELECT entry_url, count(*) AS count FROM ses WHERE {where} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10) SELECT (SELECT count(*) FROM ses WHERE {where}) AS sessions, "
+        "(SELECT cast(to_json(list({'entry_url': entry_url, 'count': count} ORDER BY count DESC, entry_url)) AS varchar) FROM e1) AS entries"
+    )
+
+
+def _by_id(*values: str | None):
+    """The value at the hit's id, in turn."""
+    return F.element_at(F.array(*map(F.lit, values)), (F.col("id") % len(values) + 1).cast("int"))
+
+
+def _agent():
+    return _by_id(
+        "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0 Safari/537.36", "Mozilla/5.0 (iPhone; CPU iPhone OS 17_0 like Mac OS X) AppleWebKit/605.1.15 Version/17.0 Mobile/15E148 Safari/604.1",
+        "Googlebot/2.1 (+http://www.google.com/bot.html)", "Mozilla/5.0 (X11; Linux x86_64; rv:120.0) Gecko/20100101 Firefox/120.0", "Mozilla/5.0 (Linux; Android 10) Mobile Chrome/83.0 Safari/605.1 EdgA/83.0", "MyApp/1 CFNetwork/1410.0 Darwin/22.6.0",
+    )
+
+
+def _address():
+    return _by_id("224.0.0.9", "224.0.1.9", "fe80::1", "fd12::", "2001:db8::1", "::ffff:10.0.0.1", "ff02::1", "1.2.3", "fc::1", "::1")
+
+
+def _place(i: int):
+    return _by_id(*[("台湾·台北市", "广东省·深圳市", "Tokyo", "未知", "New - York")[k] for k in range(5)]) if i == 0 else _by_id("中国", "China", "Japan", "", "")
+
+
+def _label():
+    return _by_id("广东·深圳·电信", "北京 阿里云机房", "腾讯云", "浙江·电信·浙江", "联通", "Tokyo·电信")
+
+
+def _lookups(log: DataFrame) -> DataFrame:
+    n = E.ip_number(F.col("ip"))
+    return log.select("ip").distinct().where(n % 7 == 0).select("ip", F.lit("Shanghai").alias("domestic"), F.lit("China").alias("global"), F.lit("api").alias("source"))
+
+
+def _failed(log: DataFrame) -> DataFrame:
+    n = E.ip_number(F.col("ip"))
+    return log.select("ip").distinct().where(n % 4 == 0).select("ip", F.lit("http_status").alias("reason"))
+
+
+_BATCH = (
+    f", p AS (SELECT DISTINCT ip, {_IPN} AS n FROM log), c AS (SELECT ip, domestic, global FROM cache WHERE NOT (domestic = 'unknown' AND global = 'unknown')), "
+    "l AS (SELECT ip, 'Shanghai' AS domestic, 'China' AS global FROM p WHERE n % 7 = 0), fl AS (SELECT ip, 'http_status' AS reason FROM p WHERE n % 4 = 0)"
+)
 _POP = (
     ", c AS (SELECT global AS key, count(*) AS pv FROM pv WHERE " + _rng(MID, END) + " GROUP BY 1), p AS (SELECT global AS key, count(*) AS pv FROM pv WHERE " + _rng(START, MID) + " GROUP BY 1), "
     "pop AS (SELECT c.key, c.pv AS value, coalesce(p.pv, 0) AS previous, c.pv - coalesce(p.pv, 0) AS delta, CASE WHEN coalesce(p.pv, 0) <> 0 THEN round((c.pv - p.pv) / p.pv, 6) END AS rate FROM c LEFT JOIN p USING (key))"
@@ -176,15 +265,15 @@ Entry = tuple[Callable[[DataFrame], DataFrame], str]
 def _table() -> dict[str, Entry]:
     q: dict[str, Entry] = {
         "log_adapter": (lambda g: g.drop("fingerprint"), LOG + "SELECT * EXCLUDE (hour, day) FROM log"),
-        "agg_hourly": (M.agg_hourly, LOG + f"SELECT hour AS bucket, {_ROLL} FROM log GROUP BY 1"),
-        "agg_daily": (M.agg_daily, LOG + f"SELECT day, {_ROLL} FROM log GROUP BY 1"),
-        "agg_hourly_ip": (M.agg_hourly_ip, LOG + "SELECT DISTINCT hour AS bucket, ip FROM pv"),
-        "agg_daily_ip": (M.agg_daily_ip, LOG + "SELECT DISTINCT day, ip FROM pv"),
-        "first_seen": (M.first_seen, LOG + "SELECT ip, min(timestamp) AS first_ts FROM pv GROUP BY 1"),
-        "merge_counts": (lambda g: M.merge_counts(M.agg_daily(g.where(g.id % 2 == 0)), M.agg_daily(g.where(g.id % 2 == 1)), ["day"]), LOG + f"SELECT day, {_ROLL} FROM log GROUP BY 1"),
+        "agg_hourly": (M.agg_hourly, LOG + f"SELECT site_id, hour AS bucket, {_ROLL} FROM log GROUP BY 1, 2"),
+        "agg_daily": (M.agg_daily, LOG + f"SELECT site_id, day, {_ROLL} FROM log GROUP BY 1, 2"),
+        "agg_hourly_ip": (M.agg_hourly_ip, LOG + "SELECT DISTINCT site_id, hour AS bucket, ip FROM pv"),
+        "agg_daily_ip": (M.agg_daily_ip, LOG + "SELECT DISTINCT site_id, day, ip FROM pv"),
+        "first_seen": (M.first_seen, LOG + "SELECT site_id, ip, min(timestamp) AS first_ts FROM pv GROUP BY 1, 2"),
+        "merge_counts": (lambda g: M.merge_counts(M.agg_daily(g.where(g.id % 2 == 0)), M.agg_daily(g.where(g.id % 2 == 1)), ["site_id", "day"]), LOG + f"SELECT site_id, day, {_ROLL} FROM log GROUP BY 1, 2"),
         "dims_url": (lambda g: M.build_dims(g)["url"].select("url"), LOG + "SELECT DISTINCT url FROM log"),
         "fact_round_trip": (
-            lambda g: M.decode_fact(M.encode_fact(g, M.build_dims(g)), M.build_dims(g)).groupBy("url", "browser", "global").agg(F.count("*").alias("n")),
+            lambda g: M.decode_fact(M.encode_fact(g), M.build_dims(g)).groupBy("url", "browser", "global").agg(F.count("*").alias("n")),
             LOG + "SELECT url, browser, global, count(*) AS n FROM log GROUP BY ALL",
         ),
         "prune_dims": (
@@ -194,11 +283,14 @@ def _table() -> dict[str, Entry]:
             lambda g: M.dedup_new(g.withColumn("fingerprint", F.when(g.id % 5 != 0, F.concat("ip", F.lit("x")))), g.where("id % 7 = 0").withColumn("fingerprint", F.concat("ip", F.lit("x")))).groupBy(F.col("fingerprint").isNull().alias("no_key")).agg(F.count("*").alias("n")),
             LOG + ", n AS (SELECT DISTINCT timestamp, ip FROM log WHERE id % 5 <> 0 EXCEPT SELECT timestamp, ip FROM log WHERE id % 7 = 0) SELECT false AS no_key, count(*) AS n FROM n UNION ALL SELECT true, count(*) FROM log WHERE id % 5 = 0",
         ),
-        "replace_range": (lambda g: M.agg_daily(M.replace_range(g, g.where("id % 2 = 0"), MID, END)), LOG + f"SELECT day, {_ROLL} FROM log WHERE timestamp < {MID} OR id % 2 = 0 GROUP BY 1"),
-        "retention": (lambda g: M.apply_retention(g, S.sessionize(g), MID + 7000)["agg_hourly"], LOG + f"SELECT hour AS bucket, {_ROLL} FROM log WHERE timestamp >= {MID + 7000} GROUP BY 1"),
+        "replace_range": (lambda g: M.agg_daily(M.replace_range(g, g.where("id % 2 = 0"), MID, END)), LOG + f"SELECT site_id, day, {_ROLL} FROM log WHERE timestamp < {MID} OR id % 2 = 0 GROUP BY 1, 2"),
+        "retention": (lambda g: M.apply_retention(g, S.sessionize(g), MID + 7000)["agg_hourly"], LOG + f"SELECT site_id, hour AS bucket, {_ROLL} FROM log WHERE timestamp >= {MID + 7000} GROUP BY 1, 2"),
         "retention_sessions": (lambda g: M.apply_retention(g, S.sessionize(g), MID)["sessions"], LOG + _sessions() + f"SELECT * FROM ses WHERE start_ts >= {MID}"),
         "split_recent": (lambda g: M.split_recent(g, MID)[0].agg(F.count("*").alias("n")), LOG + f"SELECT count(*) AS n FROM log WHERE timestamp >= {MID}"),
-        "coverage": (M.coverage, LOG + "SELECT site_id, min(timestamp) AS min_ts, max(timestamp) AS max_ts, count(DISTINCT hour) AS hours FROM log GROUP BY 1"),
+        "coverage": (
+            lambda g: M.coverage(g.where("status_code = 200"), g),
+            LOG + "SELECT site_id, min(timestamp) FILTER (status_code = 200) AS min_ts, max(timestamp) FILTER (status_code = 200) AS max_ts, count(DISTINCT hour) FILTER (status_code = 200) AS hours, min(timestamp) AS log_min_ts, max(timestamp) AS log_max_ts FROM log GROUP BY 1",
+        ),
         "missing_range": (
             lambda g: M.missing_range(g.where(f"timestamp < {MID}"), START, END),
             LOG + f", s AS (SELECT unnest(range({START}, {END}, 3600)) AS b), x AS (SELECT b FROM s WHERE b NOT IN (SELECT hour FROM log WHERE timestamp < {MID})) SELECT min(b) AS missing_from, max(b) + 3600 AS missing_to, count(*) AS missing_hours FROM x",
@@ -209,15 +301,15 @@ def _table() -> dict[str, Entry]:
         ),
         "sessions": (S.sessionize, LOG + _sessions() + "SELECT * FROM ses"),
         "sessions_6h": (lambda g: S.sessionize(g, LONG), LOG + _sessions(gap=LONG) + "SELECT * FROM ses"),
-        "session_state": (lambda g: S.session_state(S.sessionize(g)), LOG + _sessions() + "SELECT ip, browser, os, device, max(end_ts) AS last_ts FROM ses GROUP BY ALL"),
+        "session_state": (lambda g: S.session_state(S.sessionize(g)), LOG + _sessions() + "SELECT site_id, ip, browser, os, device, max(end_ts) AS last_ts FROM ses GROUP BY ALL"),
         "extend_sessions": (
             lambda g: S.extend_sessions(S.sessionize(g.where(f"timestamp < {MID}"), LONG), g.where(f"timestamp >= {MID}"), LONG), LOG + _sessions(gap=LONG) + "SELECT * FROM ses",
         ),
-        "agg_session_daily": (lambda g: S.agg_session_daily(S.sessionize(g)), LOG + _sessions() + "SELECT cast(make_timestamp(start_ts * 1000000) AS date) AS day, count(*) AS sessions FROM ses GROUP BY 1"),
-        "agg_entry_daily": (lambda g: S.agg_entry_daily(S.sessionize(g)), LOG + _sessions() + "SELECT cast(make_timestamp(start_ts * 1000000) AS date) AS day, entry_url, count(*) AS count FROM ses GROUP BY 1, 2"),
+        "agg_session_daily": (lambda g: S.agg_session_daily(S.sessionize(g)), LOG + _sessions() + "SELECT site_id, cast(make_timestamp(start_ts * 1000000) AS date) AS day, count(*) AS sessions FROM ses GROUP BY 1, 2"),
+        "agg_entry_daily": (lambda g: S.agg_entry_daily(S.sessionize(g)), LOG + _sessions() + "SELECT site_id, cast(make_timestamp(start_ts * 1000000) AS date) AS day, entry_url, count(*) AS count FROM ses GROUP BY 1, 2, 3"),
         "entry_pages": (lambda g: S.entry_pages(S.sessionize(g)), LOG + _sessions() + "SELECT entry_url, count(*) AS count, cast(round(count(*) * 100 / (SELECT count(*) FROM ses)) AS bigint) AS percent FROM ses GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"),
         "session_list": (lambda g: S.session_list(g, START, MID, device="mobile"), LOG + _sessions(f"{_rng(START, MID)} AND device = 'mobile'") + "SELECT *, end_ts - start_ts AS duration FROM ses"),
-        "session_page": (lambda g: S.session_page(S.sessionize(g), 2, 25), LOG + _sessions() + "SELECT * FROM ses ORDER BY start_ts DESC, ip, browser, os, device LIMIT 25 OFFSET 25"),
+        "session_page": (lambda g: S.session_page(S.sessionize(g), 2, 25), LOG + _sessions() + "SELECT * FROM ses ORDER BY start_ts DESC, site_id, ip, browser, os, device LIMIT 25 OFFSET 25"),
         "session_summary": (
             lambda g: S.session_summary(S.sessionize(g, LONG)),
             LOG + _sessions(gap=LONG) + "SELECT count(*) AS sessions, count(*) FILTER (page_count <= 1) AS bounces, count(*) FILTER (page_count <= 1) / count(*) AS bounce_rate, cast(sum(end_ts - start_ts) // count(*) AS bigint) AS mean_duration FROM ses",
@@ -267,14 +359,14 @@ def _table() -> dict[str, Entry]:
         ),
         "log_search_exact": (lambda g: L.search(g, ip="203.0", url="/err", status=404, mainland_only=True).select("id"), LOG + "SELECT id FROM log WHERE contains(ip, '203.0') AND contains(url, '/err') AND status_code = 404 AND global = 'China'"),
         "log_new_visitors": (
-            lambda g: L.search(g, pageviews=True, first=M.first_seen(g), visitors="new", window=(MID, END)).select("id", "is_new"),
-            LOG + f", f AS (SELECT ip, min(timestamp) AS t FROM pv GROUP BY 1) SELECT id, true AS is_new FROM pv JOIN f USING (ip) WHERE t >= {MID} AND t < {END}",
+            lambda g: L.search(g, pageviews=True, first=M.first_seen(g), visitors="new", window=(START, START + 7200)).select("id", "is_new"),
+            LOG + f", f AS (SELECT ip, min(timestamp) AS t FROM pv GROUP BY 1) SELECT id, true AS is_new FROM pv JOIN f USING (ip) WHERE t >= {START} AND t < {START + 7200}",
         ),
         "log_page": (lambda g: L.page(g, "bytes_sent", True, 3, 40).select("id", "bytes_sent"), LOG + "SELECT id, bytes_sent FROM log ORDER BY bytes_sent DESC, id DESC LIMIT 40 OFFSET 80"),
         "log_count": (lambda g: L.count_pages(g.where("status_code = 200")), LOG + "SELECT count(*) AS total, count(DISTINCT ip) AS ips, (count(*) + 49) // 50 AS pages FROM log WHERE status_code = 200"),
         "log_latest_per_ip": (lambda g: L.latest_per_ip(g).select("ip", "id", "timestamp", "url"), LOG + "SELECT ip, id, timestamp, url FROM log QUALIFY row_number() OVER (PARTITION BY ip ORDER BY timestamp DESC, id DESC) = 1"),
         "log_late_lookup": (
-            lambda g: L.page_of_fact(M.encode_fact(g, M.build_dims(g)), M.build_dims(g), 30).select("id", "ip", "url", "global"), LOG + "SELECT id, ip, url, global FROM log ORDER BY timestamp DESC, id DESC LIMIT 30",
+            lambda g: L.page_of_fact(M.encode_fact(g), M.build_dims(g), 30).select("id", "ip", "url", "global"), LOG + "SELECT id, ip, url, global FROM log ORDER BY timestamp DESC, id DESC LIMIT 30",
         ),
         "log_display": (L.display, LOG + f"SELECT {_DISPLAY} FROM log"),
         "realtime_series": (
@@ -285,27 +377,26 @@ def _table() -> dict[str, Entry]:
             LOG + f", d AS (SELECT device, os, count(DISTINCT ip) AS u FROM pv WHERE {_RT} GROUP BY ALL), c AS (SELECT CASE WHEN os IN ('iOS', 'macOS') THEN 'apple' WHEN device = 'desktop' THEN 'pc' WHEN device IN ('mobile', 'tablet', 'phone') THEN 'mobile' ELSE 'other' END AS category, sum(u)::bigint AS uv FROM d GROUP BY 1) SELECT category, uv, round(uv / sum(uv) OVER (), 6) AS share FROM c",
         ),
         "developer_day": (lambda g: R.day_snapshot(g, DAY), LOG + f"SELECT {_DAYM} FROM log WHERE {_rng(DAY, DAY + 86400)}"),
-        "developer_compare": (
-            lambda g: R.metric_compare(g, DAY),
-            LOG + f", a AS (SELECT {_DAYM} FROM log WHERE {_rng(DAY, DAY + 86400)}), b AS (SELECT {_DAYM} FROM log WHERE {_rng(DAY - 86400, DAY)}), m AS ("
-            + " UNION ALL ".join(f"SELECT '{x}' AS metric, a.{x} AS value, b.{x} AS previous FROM a, b" for x in ("requests", "s4xx", "s5xx", "slow"))
-            + ") SELECT *, value - previous AS delta, CASE WHEN previous <> 0 THEN round((value - previous) / previous, 6) WHEN value = 0 THEN 0 END AS rate FROM m",
-        ),
-        "developer_trend": (lambda g: R.week_trend(g, DAY), LOG + f"SELECT day, {_DAYM} FROM log WHERE {_rng(DAY - 6 * 86400, DAY + 86400)} GROUP BY 1"),
-        "developer_problems": (
-            lambda g: R.problem_urls(g, DAY),
-            LOG + ", x AS (SELECT url, timestamp, count(*) OVER () AS z, status_code, request_time_ms FROM log), "
-            + "".join(
-                f"{n} AS (SELECT url, count(*) AS requests, count(*) FILTER (status_code BETWEEN 500 AND 599) AS s5xx, count(*) FILTER (request_time_ms >= 1000) AS slow, avg(nullif(request_time_ms, 0)) AS mean FROM log WHERE {_rng(a, a + 86400)} GROUP BY 1), "
-                for n, a in (("c", DAY), ("p", DAY - 86400))
-            )
-            + "t AS (SELECT * FROM c WHERE s5xx > 0 OR slow > 0 OR mean >= 500 ORDER BY s5xx DESC, slow DESC, coalesce(mean, 0) DESC, requests DESC, url LIMIT 8) "
-            "SELECT t.url, t.requests, t.s5xx, t.slow, round(t.mean, 4) AS mean_ms, t.s5xx - coalesce(p.s5xx, 0) AS s5xx_delta, cast(round(coalesce(t.mean, 0) - coalesce(p.mean, 0)) AS bigint) AS mean_delta FROM t LEFT JOIN p ON p.url = t.url",
+        "developer_compare": (lambda g: R.metric_compare(g, DAY), LOG + _METRICS + " SELECT * FROM mc"),
+        "developer_report": (
+            lambda g: R.developer_report(g, DAY),
+            LOG + _METRICS + f", tr AS (SELECT day, {_DAYM} FROM log WHERE {_rng(DAY - 6 * 86400, DAY + 86400)} GROUP BY 1), " + _PROBLEMS + " SELECT 'summary' AS part, "
+            + "CASE metric " + " ".join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(R.METRICS, 1)) + " END::int AS place, '' AS name, metric, value, previous, delta, rate FROM mc "
+            + "".join(f"UNION ALL SELECT 'trend', (day - DATE '2024-01-24')::int + 1, strftime(day, '%Y-%m-%d'), '{m}', coalesce({e}, 0)::double, NULL, NULL, NULL FROM tr " for m, e in
+                      (("s4xx", "s4xx"), ("s5xx", "s5xx"), ("avg_ms", "avg_ms"), ("avg_upstream_ms", "avg_upstream_ms"), ("slow_rate", "round(slow / requests, 6)")))
+            + "UNION ALL SELECT 'issue', rank, url, 's5xx', s5xx::double, NULL, s5xx_delta::double, NULL FROM iss UNION ALL SELECT 'issue', rank, url, 'slow', slow::double, NULL, NULL, NULL FROM iss "
+            "UNION ALL SELECT 'issue', rank, url, 'mean_ms', coalesce(mean_ms, 0)::double, NULL, mean_delta::double, NULL FROM iss",
         ),
+        "developer_trend": (lambda g: R.week_trend(g, DAY), LOG + f"SELECT day, {_DAYM}, round(count(*) FILTER (request_time_ms >= 1000) / count(*), 6) AS slow_rate FROM log WHERE {_rng(DAY - 6 * 86400, DAY + 86400)} GROUP BY 1"),
+        "developer_problems": (lambda g: R.problem_urls(g, DAY), LOG + ", " + _PROBLEMS + " SELECT * FROM iss"),
         "health_digest": (
             lambda g: R.health_digest(g, DAY),
-            LOG + f", a AS (SELECT {_DAYM} FROM log WHERE {_rng(DAY, DAY + 86400)}), b AS (SELECT {_DAYM} FROM log WHERE {_rng(DAY - 86400, DAY)}), s AS (SELECT a.s5xx / a.requests AS s, b.s5xx / b.requests AS ps, a.avg_ms - b.avg_ms AS d FROM a, b), "
-            "x AS (SELECT round(s, 6) AS share_5xx, CASE WHEN s >= 0.05 THEN 3 WHEN s >= 0.01 THEN 1 ELSE 0 END + CASE WHEN s - ps >= 0.01 THEN 2 ELSE 0 END + CASE WHEN d >= 300 THEN 2 WHEN d >= 100 THEN 1 ELSE 0 END AS score FROM s) SELECT *, CASE WHEN score >= 4 THEN 'critical' WHEN score >= 2 THEN 'watch' ELSE 'stable' END AS level FROM x",
+            LOG + _METRICS + ", " + _PROBLEMS + """, v AS (SELECT coalesce(max(share) FILTER (metric = 's5xx'), 0) AS share_5xx, max(value) FILTER (metric = 's5xx') AS n5, max(delta) FILTER (metric = 's5xx') AS d5,
+  max(value) FILTER (metric = 'avg_ms') AS ms, max(delta) FILTER (metric = 'avg_ms') AS latency_delta, max(value) FILTER (metric = 'avg_upstream_ms') AS up,
+  max(delta) FILTER (metric = 'avg_upstream_ms') AS upstream_delta, (SELECT url FROM iss WHERE rank = 1) AS top_url, (SELECT s5xx FROM iss WHERE rank = 1) AS top_5xx FROM mc),
+w AS (SELECT *, CASE WHEN NOT (n5 > 0 OR d5 > 0) THEN 0 WHEN share_5xx >= 0.03 OR d5 >= 10 THEN 2 ELSE 1 END + CASE WHEN NOT (ms > 0 AND latency_delta > 0) THEN 0 WHEN latency_delta >= 200 THEN 2 ELSE 1 END
+  + CASE WHEN NOT (up > 0 AND upstream_delta > 0) THEN 0 WHEN upstream_delta >= 150 THEN 2 ELSE 1 END + CASE WHEN top_url IS NULL THEN 0 WHEN top_5xx > 0 THEN 2 ELSE 1 END AS score FROM v)
+SELECT share_5xx, latency_delta, upstream_delta, top_url, score, CASE WHEN score = 0 THEN 'stable' WHEN score >= 4 THEN 'critical' ELSE 'watch' END AS level FROM w""",
         ),
         "period_over_period": (_pop, LOG + _POP + "SELECT * FROM pop"),
         "rising_falling": (lambda g: R.rising_falling(_pop(g)), LOG + _POP + "SELECT arg_max(key, (rate, key)) AS rising, arg_min(key, (rate, key)) AS falling FROM pop WHERE rate IS NOT NULL"),
@@ -326,9 +417,17 @@ def _table() -> dict[str, Entry]:
         "watchlist": (lambda g: E.watchlist_hits(g, _rules(g)).select("rule_type", "ip", "hits", "first_ts", "first_url"), _WATCH),
         "alerts_rollup": (
             lambda g: E.rollup_alerts(_alerts(g)),
-            LOG + _ALERTS + " SELECT fingerprint, sum(occurrences)::bigint AS occurrences, max(last_occurred_at) AS last_occurred_at, arg_max(message, (last_occurred_at, message)) AS message FROM al WHERE fingerprint IS NOT NULL GROUP BY 1 UNION ALL SELECT * FROM al WHERE fingerprint IS NULL",
+            LOG + _ALERTS + ", r AS (SELECT fingerprint, sum(occurrences)::bigint AS occurrences, max(last_occurred_at) AS last_occurred_at, arg_max(message, (last_occurred_at, message)) AS message FROM al WHERE fingerprint IS NOT NULL GROUP BY 1) SELECT *, true AS unread FROM r UNION ALL SELECT *, true FROM al WHERE fingerprint IS NULL",
+        ),
+        "alerts_upsert": (
+            lambda g: E.upsert_alerts(E.rollup_alerts(_alerts(g.where("id % 2 = 0"))).withColumn("unread", F.lit(False)), _alerts(g.where("id % 10 = 1"))),
+            LOG + _ALERTS.replace("FROM log)", "FROM log WHERE id % 2 = 0 OR id % 10 = 1)").replace("request_id AS message", "request_id AS message, id % 10 = 1 AS unread")
+            + " SELECT fingerprint, sum(occurrences)::bigint AS occurrences, max(last_occurred_at) AS last_occurred_at, arg_max(message, (last_occurred_at, message)) AS message, bool_or(unread) AS unread FROM al WHERE fingerprint IS NOT NULL GROUP BY 1 UNION ALL SELECT * FROM al WHERE fingerprint IS NULL",
+        ),
+        "alerts_list": (
+            lambda g: E.list_alerts(E.rollup_alerts(_alerts(g)).where("fingerprint is null").withColumn("unread", F.expr("last_occurred_at % 2 = 0")), 2, 20, True),
+            LOG + _ALERTS + ", u AS (SELECT *, last_occurred_at % 2 = 0 AS unread FROM al WHERE fingerprint IS NULL), n AS (SELECT count(*) AS unread_count FROM u WHERE unread) SELECT u.*, unread_count > 40 AS has_more, unread_count FROM u, n WHERE unread ORDER BY last_occurred_at DESC, message LIMIT 20 OFFSET 20",
         ),
-        "alerts_list": (lambda g: E.list_alerts(E.rollup_alerts(_alerts(g)).where("fingerprint is null"), 2, 20), LOG + _ALERTS + " SELECT * FROM al WHERE fingerprint IS NULL ORDER BY last_occurred_at DESC, message LIMIT 20 OFFSET 20"),
         "geo_locate": (lambda g: E.locate_ips(g, _ranges(g)), _LOCATE),
         "geo_effective": (
             lambda g: E.effective_location(g, g.sparkSession.createDataFrame([("203.0.0.3", "X", "Y")], "ip string, domestic string, global string"), _cache(g)),
@@ -341,14 +440,17 @@ def _table() -> dict[str, Entry]:
         ),
         "geo_pending": (lambda g: E.pending_ips(g, _cache(g)), LOG + _CACHE + " SELECT DISTINCT ip FROM log WHERE ip NOT IN (SELECT ip FROM cache WHERE NOT (domestic = 'unknown' AND global = 'unknown'))"),
         "geo_retryable": (
-            lambda g: E.retryable_ips(g.groupBy("ip").agg(F.min("timestamp").alias("created_at")), _failures(g), MID, 25),
-            LOG + _FAIL + f" SELECT ip, min(timestamp) AS created_at FROM log WHERE ip NOT IN (SELECT ip FROM gf WHERE created_at >= {MID}) GROUP BY 1 ORDER BY 2, 1 LIMIT 25",
+            lambda g: E.retryable_ips(g.groupBy("ip").agg(F.min("timestamp").alias("created_at")), _failures(g), END - 43200, 25),
+            LOG + _FAIL + f" SELECT ip, min(timestamp) AS created_at FROM log WHERE ip NOT IN (SELECT ip FROM gf WHERE created_at >= {END - 43200}) GROUP BY 1 ORDER BY 2, 1 LIMIT 25",
         ),
         "geo_apply": (
             lambda g: E.apply_locations(g, _cache(g)).groupBy("domestic", "global").agg(F.count("*").alias("n")),
             LOG + _CACHE + " SELECT CASE WHEN l.domestic = 'pending' AND c.domestic IS NOT NULL THEN c.domestic ELSE l.domestic END AS domestic, CASE WHEN l.domestic = 'pending' AND c.domestic IS NOT NULL THEN c.global ELSE l.global END AS global, count(*) AS n FROM log l LEFT JOIN cache c USING (ip) GROUP BY 1, 2",
         ),
-        "geo_override": (lambda g: E.override_location(g, "203.0.0.3", "X", "Y")[1], LOG + "SELECT count(*) AS hits, count(DISTINCT site_id) AS sites FROM log WHERE ip = '203.0.0.3'"),
+        "geo_override": (
+            lambda g: E.override_location(g, S.sessionize(g), "203.0.0.3", "X", "Y")[2],
+            LOG + _sessions() + "SELECT count(*) AS hits, (SELECT count(*) FROM ses WHERE ip = '203.0.0.3') AS sessions, count(DISTINCT site_id) AS sites FROM log WHERE ip = '203.0.0.3'",
+        ),
         "geo_trim_cache": (lambda g: E.trim_cache(_cache(g), 20), LOG + _CACHE + " SELECT * FROM cache ORDER BY created_at DESC, ip LIMIT 20"),
         "geo_upsert_cache": (
             lambda g: E.upsert_cache(_cache(g), _cache(g).limit(0).unionByName(_cache(g).where("created_at % 2 = 0").withColumn("domestic", F.lit("N")))),
@@ -358,14 +460,137 @@ def _table() -> dict[str, Entry]:
         "geo_drop_failures": (lambda g: E.drop_geo_failures(_failures(g), _cache(g)), LOG + _CACHE + _FAIL + " SELECT * FROM gf WHERE ip NOT IN (SELECT ip FROM cache)"),
         "parse_nginx_round_trip": (
             lambda g: P.parse_lines(P.format_lines(g), "nginx")[0].select(*_RoundTrip),
-            LOG + "SELECT ip, timestamp, method, url, status_code, bytes_sent, request_length, cast(trunc((request_time_ms / 1000) * 1000) AS bigint) AS request_time_ms, cast(trunc((upstream_response_time_ms / 1000) * 1000) AS bigint) AS upstream_response_time_ms, upstream_addr, host, request_id, referer FROM log",
+            LOG + _ROUND,
+        ),
+        "parse_report": (
+            lambda g: P.parse_report(P.parse(P.format_lines(_two_sites(g)).unionByName(g.select("site_id", F.lit("nonsense").alias("line"))), "nginx", cutoff=MID)),
+            LOG2 + f", x AS (SELECT site_id, count(*) FILTER (timestamp >= {MID}) AS accepted, count(*) FILTER (timestamp < {MID}) AS rejected, min(timestamp) FILTER (timestamp >= {MID}) AS min_ts, max(timestamp) FILTER (timestamp >= {MID}) AS max_ts, "
+            f"count(DISTINCT hour) FILTER (timestamp >= {MID}) AS hours FROM log GROUP BY 1) SELECT * FROM x UNION ALL SELECT 'site', 0, count(*), NULL, NULL, 0 FROM log",
         ),
-        "parse_report": (lambda g: P.parse_report(*P.parse_lines(P.format_lines(g), "nginx")), LOG + "SELECT count(*) AS accepted, min(timestamp) AS min_ts, max(timestamp) AS max_ts, count(DISTINCT hour) AS hours, 0::bigint AS rejected FROM log"),
         "push_fingerprints": (
-            lambda g: E.line_fingerprints(g.select(F.col("url").alias("line")), "src").groupBy("line").agg(F.count_distinct("fingerprint").alias("n")), LOG + "SELECT url AS line, count(*) AS n FROM log GROUP BY 1",
+            lambda g: E.line_fingerprints(g.select(F.col("url").alias("line"), F.col("host").alias("file")), "src", "file").groupBy("line", "file").agg(F.count_distinct("fingerprint").alias("n"), F.max("copy").alias("copies")),
+            LOG + "SELECT url AS line, host AS file, count(*) AS n, count(*) AS copies FROM log GROUP BY 1, 2",
+        ),
+        "stream_fingerprints": (
+            lambda g: E.stream_fingerprints(g.select(F.col("host").alias("source_id"), F.col("url").alias("line"))).distinct().drop("source_id"),
+            LOG + "SELECT DISTINCT url AS line, sha1('stream:v1' || chr(0) || host || chr(0) || url) AS fingerprint FROM log",
+        ),
+        "two_sites_daily": (lambda g: M.agg_daily(_two_sites(g)), LOG2 + f"SELECT site_id, day, {_ROLL} FROM log GROUP BY 1, 2"),
+        "two_sites_first_seen": (lambda g: M.first_seen(_two_sites(g)), LOG2 + "SELECT site_id, ip, min(timestamp) AS first_ts FROM pv GROUP BY 1, 2"),
+        "two_sites_sessions": (lambda g: S.sessionize(_two_sites(g), LONG), LOG2 + _sessions(gap=LONG) + "SELECT * FROM ses"),
+        "two_sites_returning": (
+            lambda g: R.new_returning(_two_sites(g), M.first_seen(_two_sites(g)), START + 86400, MID),
+            LOG2 + f", f AS (SELECT site_id, ip, min(timestamp) AS t FROM pv GROUP BY 1, 2), a AS (SELECT DISTINCT site_id, ip FROM pv WHERE {_rng(START + 86400, MID)}) SELECT count(*) FILTER (t BETWEEN {START + 86400} AND {MID - 1}) AS new, count(*) FILTER (NOT t BETWEEN {START + 86400} AND {MID - 1}) AS returning FROM a JOIN f USING (site_id, ip)",
+        ),
+        "session_metrics_rollups": (
+            lambda g: S.session_metrics_of_rollups(S.agg_session_daily(S.sessionize(g)), S.agg_entry_daily(S.sessionize(g)), "2024-01-05", "2024-01-20"), LOG + _sessions() + _entries("start_ts >= 1704412800 AND start_ts < 1705795200"),
+        ),
+        "session_metrics_sessions": (lambda g: S.session_metrics_of_sessions(S.sessionize(g), MID, END), LOG + _sessions() + _entries(_rng(MID, END).replace("timestamp", "start_ts"))),
+        "session_metrics_hits": (lambda g: S.session_metrics_of_hits(g, MID, END, "/view"), LOG + _sessions(_rng(MID, END) + " AND contains(url, '/view')") + _entries("true")),
+        "log_page_more": (lambda g: L.page_with_more(g, "status_code", False, 2, 30).select("id", "status_code", "has_more"), LOG + "SELECT id, status_code, true AS has_more FROM log ORDER BY status_code, id LIMIT 30 OFFSET 30"),
+        "overall": (
+            lambda g: R.overall(g, M.first_seen(g), DAY, DAY + 86400, (DAY - 86400, DAY), NOW).drop("entries"),
+            LOG + _snap_sql(DAY - 86400, DAY, "b") + _snap_sql(DAY - 86400, NOW - 86400, "c") + _snap_sql(DAY, NOW, "d") + _snap_sql(NOW - 7200, NOW, "r") + _sessions(_rng(DAY, DAY + 86400))
+            + f", f AS (SELECT ip, min(timestamp) AS t FROM pv GROUP BY 1), na AS (SELECT DISTINCT ip FROM pv WHERE {_rng(DAY, DAY + 86400)}), nb AS (SELECT DISTINCT ip FROM pv WHERE {_rng(DAY - 86400, DAY)}), "
+            f"n1 AS (SELECT count(*) FILTER (t >= {DAY} AND t < {DAY + 86400}) AS new, count(*) FILTER (NOT (t >= {DAY} AND t < {DAY + 86400})) AS returning FROM na JOIN f USING (ip)), "
+            f"n2 AS (SELECT count(*) FILTER (t >= {DAY - 86400} AND t < {DAY}) AS previous_new, count(*) FILTER (NOT (t >= {DAY - 86400} AND t < {DAY})) AS previous_returning FROM nb JOIN f USING (ip)), "
+            f"s1 AS (SELECT {_ST} FROM log WHERE {_rng(DAY, DAY + 86400)}), s2 AS (SELECT {_ST} FROM log WHERE {_rng(DAY - 86400, DAY)}) "
+            f"SELECT (SELECT count(*) FROM pv WHERE {_rng(DAY, DAY + 86400)}) AS pv, (SELECT count(DISTINCT ip) FROM pv WHERE {_rng(DAY, DAY + 86400)}) AS uv, (SELECT coalesce(sum(bytes_sent), 0)::bigint FROM pv WHERE {_rng(DAY, DAY + 86400)}) AS traffic, "
+            f"(SELECT count(*) FROM ses) AS sessions, (SELECT count(DISTINCT ip) FROM pv WHERE timestamp BETWEEN {NOW - 900} AND {NOW}) AS active, n1.*, n2.*, s1.*, "
+            "s2.s2xx AS previous_s2xx, s2.s3xx AS previous_s3xx, s2.s4xx AS previous_s4xx, s2.s5xx AS previous_s5xx, s2.other AS previous_other, "
+            "b.pv AS previous_pv, b.uv AS previous_uv, b.sessions AS previous_sessions, c.pv AS same_time_pv, c.uv AS same_time_uv, c.sessions AS same_time_sessions, "
+            + ", ".join(f"cast(round((d.{x} * ({86400 / (NOW - DAY)})) * 0.7 + (d.{x} + r.{x} * ({(DAY + 86400 - NOW) / 7200})) * 0.3) AS bigint) AS forecast_{x}" for x in ("pv", "uv", "sessions"))
+            + " FROM n1, n2, s1, s2, sn_b b, sn_c c, sn_d d, sn_r r",
+        ),
+        "kpi_cards": (
+            lambda g: R.kpi_cards(g, DAY, DAY + 86400, (DAY - 86400, DAY)),
+            LOG + _sessions(_rng(DAY, DAY + 86400), name="ka") + _sessions(_rng(DAY - 86400, DAY), name="kb") + "".join(
+                f", f{n} AS (SELECT count(*)::double AS pv, count(DISTINCT ip)::double AS uv, (SELECT count(*) FROM k{n})::double AS sessions, (SELECT count(*) FILTER (page_count <= 1) / count(*) FROM k{n}) AS bounce_rate, "
+                f"(SELECT sum(end_ts - start_ts) // count(*) FROM k{n})::double AS duration, count(*) / count(DISTINCT ip) AS pv_per_visitor FROM pv WHERE {_rng(x, x + 86400)})" for n, x in (("a", DAY), ("b", DAY - 86400)))
+            + ", u AS (" + " UNION ALL ".join(f"SELECT '{k}' AS card, round(fa.{k}, 6) AS value, round(fb.{k}, 6) AS previous FROM fa, fb" for k in ("pv", "uv", "sessions", "bounce_rate", "duration", "pv_per_visitor"))
+            + ") SELECT *, round(value - previous, 6) AS delta, CASE WHEN previous <> 0 THEN round((value - previous) / previous, 6) END AS rate FROM u",
         ),
-        "hour_spine": (lambda g: T.labels(g.sparkSession, DAY, DAY + 86400, 3600).join(M.agg_hourly(g).select("bucket"), "bucket"), LOG + f"SELECT DISTINCT hour AS bucket, strftime(make_timestamp(hour * 1000000), '%H:%M') AS label FROM log WHERE {_rng(DAY, DAY + 86400)}"),
+        "visitor_shares": (
+            lambda g: R.visitor_shares(g, M.first_seen(g), START, MID, (START, START + 86400)),
+            LOG + ", f AS (SELECT ip, min(timestamp) AS t FROM pv GROUP BY 1)" + "".join(
+                f", {n} AS (SELECT count(*) FILTER (t >= {a} AND t < {b}) AS n, count(*) FILTER (NOT (t >= {a} AND t < {b})) AS r FROM (SELECT DISTINCT ip FROM pv WHERE {_rng(a, b)}) JOIN f USING (ip))" for n, a, b in (("x", START, MID), ("y", START, START + 86400)))
+            + ", u AS (SELECT 'new' AS kind, x.n AS count, round(x.n / (x.n + x.r), 6) AS share, y.n AS previous FROM x, y UNION ALL SELECT 'returning', x.r, round(x.r / (x.n + x.r), 6), y.r FROM x, y) "
+            "SELECT *, CASE WHEN previous <> 0 THEN round((count - previous) / previous, 6) END AS rate FROM u",
+        ),
+        "device_totals": (
+            lambda g: R.device_totals(g, START, MID),
+            LOG + f", d AS (SELECT device, count(DISTINCT ip) AS u FROM pv WHERE {_rng(START, MID)} GROUP BY 1), o AS (SELECT os, count(DISTINCT ip) AS u FROM pv WHERE {_rng(START, MID)} GROUP BY 1), "
+            "c AS (SELECT CASE device WHEN 'desktop' THEN 'desktop' WHEN 'mobile' THEN 'mobile' WHEN 'tablet' THEN 'mobile' ELSE 'other' END AS name, sum(u)::bigint AS uv FROM d GROUP BY 1) "
+            "SELECT name, uv, round(uv / sum(uv) OVER (), 6) AS share FROM c UNION ALL SELECT CASE os WHEN 'iOS' THEN 'os:ios' ELSE 'os:android' END, u, NULL FROM o WHERE os IN ('iOS', 'Android')",
+        ),
+        "user_agents": (
+            lambda g: E.classify_user_agents(g.select("id", _agent().alias("ua"))).groupBy("browser", "os", "device").agg(F.count("*").alias("n")),
+            LOG + "SELECT CASE id % 6 WHEN 0 THEN 'Chrome' WHEN 1 THEN 'Safari' WHEN 2 THEN 'bot' WHEN 3 THEN 'Firefox' WHEN 4 THEN 'Edge' ELSE 'other' END AS browser, CASE id % 6 WHEN 0 THEN 'Windows' WHEN 1 THEN 'iOS' WHEN 2 THEN 'bot' WHEN 3 THEN 'Linux' WHEN 4 THEN 'Android' ELSE 'iOS' END AS os, "
+            "CASE id % 6 WHEN 0 THEN 'desktop' WHEN 1 THEN 'mobile' WHEN 2 THEN 'bot' WHEN 3 THEN 'desktop' WHEN 4 THEN 'mobile' ELSE 'mobile' END AS device, count(*) AS n FROM log GROUP BY ALL",
+        ),
+        "sanitized": (
+            lambda g: g.select("id", E.sanitize(F.concat(F.repeat(F.lit("·é𝄞"), 4), "url"), 23).alias("a"), E.sanitize(F.col("url"), 7).alias("b"), E.sanitize(F.concat(F.lit("x\u0000y"), "url"), 2000).alias("c")),
+            LOG + "SELECT id, '·é𝄞·é𝄞·é' AS a, left(url, 7) AS b, 'xy' || url AS c FROM log",
+        ),
+        "private_ips": (
+            lambda g: g.select("id", _address().alias("ip")).select("id", E.is_private_ip(F.col("ip")).alias("private"), E.ip_key(F.col("ip")).alias("key")),
+            LOG + "SELECT id, [true, false, true, true, false, true, true, false, false, true][id % 10 + 1] AS private, ['00000000000000000000ffffe0000009', '00000000000000000000ffffe0000109', 'fe800000000000000000000000000001', "
+            "'fd120000000000000000000000000000', '20010db8000000000000000000000001', '00000000000000000000ffff0a000001', 'ff020000000000000000000000000001', NULL, '00fc0000000000000000000000000001', '00000000000000000000000000000001'][id % 10 + 1] AS key FROM log",
+        ),
+        "non_mainland": (
+            lambda g: g.select("id", _place(0).alias("d"), _place(1).alias("g")).select("id", E.is_non_mainland(F.col("d"), F.col("g")).alias("away"), E.normalize_city(F.col("d")).alias("city")),
+            LOG + "SELECT id, [true, false, true, false, false][id % 5 + 1] AS away, ['台湾台北', '广东省深圳', 'tokyo', '', 'newyork'][id % 5 + 1] AS city FROM log",
+        ),
+        "geo_normalize": (
+            lambda g: g.select("id", _label().alias("d")).select("id", E.normalize_location(F.col("d"), F.when(F.col("id") % 6 == 5, "Japan").otherwise("中国")).alias("domestic")),
+            LOG + "SELECT id, ['广东·深圳', '北京', '机房', '浙江', '中国', 'Tokyo·电信'][id % 6 + 1] AS domestic FROM log",
+        ),
+        "geo_format": (
+            lambda g: g.select("id", *[c.alias(n) for c, n in zip(E.format_location(F.when(F.col("id") % 3 == 2, "0").when(F.col("id") % 3 == 1, "Japan").otherwise("China"), F.lit(""), F.when(F.col("id") % 2 == 0, "广东省").otherwise("北京市"), F.when(F.col("id") % 2 == 0, "深圳市").otherwise("北京市")), ("domestic", "global"), strict=True)]),
+            LOG + "SELECT id, CASE id % 3 WHEN 2 THEN 'unknown' WHEN 1 THEN CASE WHEN id % 2 = 0 THEN 'Japan·广东省·深圳市' ELSE 'Japan·北京市·北京市' END ELSE CASE WHEN id % 2 = 0 THEN '广东·深圳' ELSE '北京' END END AS domestic, CASE id % 3 WHEN 2 THEN 'unknown' WHEN 1 THEN 'Japan' ELSE 'China' END AS global FROM log",
+        ),
+        "geo_resolve": (
+            lambda g: E.resolve_batch(g.select("ip"), _cache(g), _lookups(g), _failed(g))["resolved"],
+            LOG + _CACHE + _BATCH + " SELECT ip, coalesce(c.domestic, l.domestic, 'unknown') AS domestic, coalesce(c.global, l.global, 'unknown') AS global, CASE WHEN c.domestic IS NOT NULL THEN 'cache' WHEN l.domestic IS NOT NULL THEN 'api' ELSE 'unknown' END AS source FROM p LEFT JOIN c USING (ip) LEFT JOIN l USING (ip) LEFT JOIN fl USING (ip) WHERE c.domestic IS NOT NULL OR l.domestic IS NOT NULL OR fl.reason IS NULL",
+        ),
+        "geo_resolve_failures": (
+            lambda g: E.resolve_batch(g.select("ip"), _cache(g), _lookups(g), _failed(g), True)["failures"],
+            LOG + _CACHE + _BATCH + " SELECT ip, coalesce(fl.reason, 'request_error') AS reason FROM p LEFT JOIN c USING (ip) LEFT JOIN l USING (ip) LEFT JOIN fl USING (ip) WHERE c.domestic IS NULL AND l.domestic IS NULL",
+        ),
+        "geo_mark_pending": (
+            lambda g: E.mark_pending(g, S.sessionize(g), _cache(g), "203.0.0.4")[0].groupBy("domestic", "global").agg(F.count("*").alias("n")),
+            LOG + "SELECT CASE WHEN ip = '203.0.0.4' THEN 'pending' ELSE domestic END AS domestic, CASE WHEN ip = '203.0.0.4' THEN 'pending' ELSE global END AS global, count(*) AS n FROM log GROUP BY 1, 2",
+        ),
+        "geo_apply_sessions": (
+            lambda g: E.apply_locations(S.sessionize(g), _cache(g)).groupBy("domestic", "global").agg(F.count("*").alias("n")),
+            LOG + _CACHE + _sessions() + " SELECT CASE WHEN l.domestic = 'pending' AND c.domestic IS NOT NULL THEN c.domestic ELSE l.domestic END AS domestic, CASE WHEN l.domestic = 'pending' AND c.domestic IS NOT NULL THEN c.global ELSE l.global END AS global, count(*) AS n FROM ses l LEFT JOIN cache c USING (ip) GROUP BY 1, 2",
+        ),
+        "geo_failure_export": (
+            lambda g: E.geo_failure_rows(_failures(g).withColumn("source", F.lit("api")).withColumn("status_code", F.lit(0)), "site", keyword="ERROR 5"),
+            LOG + _FAIL + " SELECT 'site' AS website, ip, reason, 'api' AS source, error, '0' AS status_code, strftime(make_timestamp(created_at * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS created_at FROM gf WHERE contains(error, 'error 5')",
+        ),
+        "geo_drop_filtered": (lambda g: E.drop_geo_failures(_failures(g), reason="api_fail", keyword="404"), LOG + _FAIL + " SELECT * FROM gf WHERE NOT (reason = 'api_fail' AND contains(error, '404'))"),
+        "watchlist_v6": (
+            lambda g: E.match_watchlist(g.withColumn("ip", _address()).withColumn("domestic", F.lit("")).withColumn("global", F.lit("")), g.sparkSession.createDataFrame([("site", "cidr", "2001:db8::/35"), ("site", "range", "fd12:: - fe80::5"), ("site", "ip", "::1"), ("site", "cidr", "224.0.0.0/24")], "site_id string, rule_type string, value string")).select("id", "rule_type", "rule_value"),
+            LOG + "SELECT id, ['cidr', '', 'range', 'range', 'cidr', '', '', '', '', 'ip'][id % 10 + 1] AS rule_type, ['224.0.0.0/24', '', 'fd12:: - fe80::5', 'fd12:: - fe80::5', '2001:db8::/35', '', '', '', '', '::1'][id % 10 + 1] AS rule_value FROM log WHERE id % 10 IN (0, 2, 3, 4, 9)",
+        ),
+        "parse_sources": (
+            lambda g: P.parse_sources(P.format_lines(g.where("id % 2 = 0"), "apache").withColumn("source_id", F.lit("a")).unionByName(P.format_lines(g.where("id % 2 = 1"), "caddy").withColumn("source_id", F.lit("c"))).unionByName(P.format_lines(g.where("id % 5 = 0")).withColumn("source_id", F.lit(None).cast("string"))), {"a": "apache", "c": "caddy"}).groupBy("source_id", "rejected", "status_code").agg(F.count("*").alias("n")),
+            LOG + "SELECT CASE WHEN id % 2 = 0 THEN 'a' ELSE 'c' END AS source_id, NULL::varchar AS rejected, status_code, count(*) AS n FROM log GROUP BY ALL UNION ALL SELECT NULL, NULL, status_code, count(*) FROM log WHERE id % 5 = 0 GROUP BY ALL",
+        ),
+        "parse_cutoff": (
+            lambda g: P.parse(P.format_lines(g), "nginx", cutoff=MID).groupBy("rejected").agg(F.count("*").alias("n")), LOG + f"SELECT CASE WHEN timestamp < {MID} THEN 'old' END AS rejected, count(*) AS n FROM log GROUP BY 1",
+        ),
+        "parse_log_format": (
+            lambda g: P.parse_lines(P.format_lines(g), P.log_format('$remote_addr - $remote_user [$time_local] "$request" $status $body_bytes_sent "$http_referer" "$http_user_agent" $request_time $request_length $upstream_response_time $upstream_addr $host $request_id'))[0].select(*_RoundTrip),
+            LOG + _ROUND,
+        ),
+        "hour_spine": (lambda g: T.labels(g.sparkSession, DAY, DAY + 86400, 3600).join(M.agg_hourly(g).select("bucket"), "bucket"), LOG + f"SELECT DISTINCT hour AS bucket, strftime(make_timestamp(hour * 1000000), '%H:%M') AS label, dayname(make_timestamp(hour * 1000000)) AS weekday FROM log WHERE {_rng(DAY, DAY + 86400)}"),
     }
+    for fmt, cols in _BY_FORMAT.items():
+        q[f"parse_{fmt.replace('-', '_')}"] = (
+            lambda g, fmt=fmt, cols=cols: P.parse_lines(P.format_lines(g, fmt), fmt)[0].select(*cols), LOG + "SELECT " + ", ".join(f"{e} AS {c}" for c, e in cols.items()) + " FROM log",
+        )
     for kind, key in (("referer", _LABEL), ("browser", "browser"), ("city", "regexp_replace(domestic, '^[^·]*·', '')"), ("url", "url")):
         value = "count(*)" if kind == "url" else "count(DISTINCT ip)"
         q[f"realtime_{kind}"] = (
@@ -379,16 +604,79 @@ def _table() -> dict[str, Entry]:
     return q
 
 
-def _streams() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def _streams() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
+    minute = "timestamp - timestamp % 60"
+    return {
+        "stream_first_seen": (lambda s, d: J.run_once(J.first_seen(J.stream_hits(s, d)), "complete"), LOG + "SELECT site_id, ip, min(timestamp) AS first_ts FROM pv GROUP BY 1, 2"),
+        "stream_first_seen_updates": (lambda s, d: J.run_once(J.first_seen(J.stream_hits(s, d)), "update", ["site_id", "ip"]), LOG + "SELECT site_id, ip, min(timestamp) AS first_ts FROM pv GROUP BY 1, 2"),
+        "stream_minutes": (lambda s, d: J.drain(J.stream_hits(s, d), J.minute_parts, J.merged_minutes), LOG + f"SELECT {minute} AS bucket, count(*) AS pv, count(DISTINCT ip) AS uv FROM pv GROUP BY 1"),
+        "stream_sliding": (
+            lambda s, d: J.drain(J.stream_hits(s, d), J.minute_parts, J.merged_sliding), LOG + f", w AS (SELECT {minute} - 60 * unnest(range(0, 30)) AS bucket FROM pv) SELECT bucket, count(*) AS pv FROM w GROUP BY 1",
+        ),
+        "stream_sessions": (lambda s, d: J.drain(J.stream_hits(s, d), J.session_parts, J.merged_sessions), LOG + _sessions() + "SELECT site_id, ip, start_ts, page_count FROM ses"),
+        "stream_dedup": (
+            lambda s, d: J.drain(J.stream_hits(s, d), lambda b: J.dedup_parts(b, "url"), J.merged_dedup).selectExpr("id", "unix_seconds(ts) AS timestamp"),
+            LOG + ", g AS (SELECT id, timestamp, lag(timestamp) OVER (PARTITION BY url ORDER BY timestamp, id) AS before FROM log) SELECT id, timestamp FROM g WHERE before IS NULL OR timestamp - before >= 600",
+        ),
+    }
+
+
+_loaded: dict[tuple[str, str], tuple[DataFrame, str]] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, own: bool = False) -> tuple[DataFrame, str]:
+    """Hits of two sites loaded in two batches, some of the first again with the second; loaded once for all that only read."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if own or at not in _loaded:
+        g = _two_sites(load_hits(spark, sf_dir)).withColumn("fingerprint", F.sha1(F.col("request_id").cast("binary")))
+        base = J.folder(spark)
+        W.write_batch(g.where("id % 3 <> 0"), base)
+        W.write_batch(g.where("id % 3 = 0 or id % 7 = 0"), base)
+        if own:
+            return g, base
+        _loaded[at] = g, base
+    return _loaded[at]
+
+
+def _tables() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
+    """Queries over stored tables."""
+
+    def read(name: str, change: Callable[[SparkSession, DataFrame, str], None] | None = None):
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            g, base = _stored(spark, sf_dir, own=change is not None)
+            if change is not None:
+                change(spark, g, base)
+            return W.load_tables(spark, base)[name]
+
+        return query
+
     return {
-        "stream_first_seen": lambda s, d: J.run_once(J.first_seen(J.stream_hits(s, d)), "complete"),
-        "stream_minutes": lambda s, d: J.drain(J.stream_hits(s, d), J.minute_parts, J.merged_minutes),
-        "stream_sliding": lambda s, d: J.drain(J.stream_hits(s, d), J.minute_parts, J.merged_sliding),
-        "stream_sessions": lambda s, d: J.drain(J.stream_hits(s, d), J.session_parts, J.merged_sessions),
-        "stream_dedup": lambda s, d: J.drain(J.stream_hits(s, d), lambda b: J.dedup_parts(b, "request_id"), J.merged_dedup),
+        "stored_daily": (read("agg_daily"), LOG2 + f"SELECT site_id, day, {_ROLL} FROM log GROUP BY 1, 2"),
+        "stored_sessions": (read("sessions"), LOG2 + _sessions() + "SELECT * FROM ses"),
+        "stored_first_seen": (read("first_seen"), LOG2 + "SELECT site_id, ip, min(timestamp) AS first_ts FROM pv GROUP BY 1, 2"),
+        "stored_hourly": (read("agg_hourly"), LOG2 + f"SELECT site_id, hour AS bucket, {_ROLL} FROM log GROUP BY 1, 2"),
+        "stored_rebuilt": (
+            read("agg_hourly", lambda s, g, b: (W.clear_site(s, b, "odd"), W.rebuild(s, b))), LOG2 + f"SELECT site_id, hour AS bucket, {_ROLL} FROM log WHERE site_id = 'even' GROUP BY 1, 2",
+        ),
+        "stored_range": (
+            read("agg_daily", lambda s, g, b: W.replace_range(g.where("id % 4 = 0"), b, MID, END, "even")),
+            LOG2 + f"SELECT site_id, day, {_ROLL} FROM log WHERE site_id = 'odd' OR timestamp < {MID} OR timestamp >= {END} OR id % 4 = 0 GROUP BY 1, 2",
+        ),
+        "stream_ingest": (_ingest, LOG + "SELECT ip, timestamp, url, status_code, bytes_sent, browser FROM log".replace("browser FROM", "CASE browser WHEN 'bot' THEN 'bot' ELSE 'other' END AS browser FROM")),
     }
 
 
+def _ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits written as lines, some twice, streamed from their folder into the stored tables."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    base = J.folder(spark)
+    lines = P.format_lines(load_hits(spark, sf_dir)).select("line")
+    lines.unionByName(lines).write.text(f"{base}/in")
+    J.ingest(J.stream_lines(spark, f"{base}/in").withColumn("source_id", F.lit("web")), f"{base}/tables").start().awaitTermination()
+    return W.load_tables(spark, f"{base}/tables")["hits"].select("ip", "timestamp", "url", "status_code", "bytes_sent", "browser")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def on_hits(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -397,8 +685,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return query
 
-    return {k: on_hits(f) for k, (f, _) in _table().items()} | _streams()
+    return {k: on_hits(f) for k, (f, _) in _table().items()} | {k: f for k, (f, _) in (_streams() | _tables()).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in _table().items()} | {"stream_first_seen": LOG + "SELECT ip, min(timestamp) AS first_ts FROM pv GROUP BY 1"}
+    return {k: sql for k, (_, sql) in (_table() | _streams() | _tables()).items()}
