@@ -3,16 +3,18 @@
 Vectors are scaled to length 1; equal vectors of a label become one row with a
 count. The principal axes come from one sum of outer products (a d x d matrix,
 whatever the number of rows) and every vector is turned to them, so the first
-dimensions carry most of a product. Rows are range-partitioned by (label, first
-component) on sampled splitters and packed into tiles. Tiles of one label meet only
-if their boxes over the leading components lie within the chord length of the
-threshold. In a pair of tiles, products are summed a few dimensions at a time; what
+dimensions carry most of a product. Rows are range-partitioned by label and by cells of
+the two leading components, as wide as the threshold's chord is long, on sampled
+splitters and packed into tiles. A tile meets tiles of the cells that its box reaches
+into; a full cell's tiles are dealt out by salt. Of those, pairs go on whose boxes
+over the leading components lie within the chord. In a pair of tiles, products are summed a few dimensions at a time; what
 the rest can still add is bounded by the product of the suffix norms, and pairs
 that cannot reach the threshold any more drop out; a tile pair without candidates
 stops. Pairs within 1e-9 of the threshold are decided again on the unturned
 vectors in double precision.
 
-Null, zero or non-finite vectors, and rows without a label, link with nothing;
+Vectors of very large or very small numbers are scaled by a power of two first, which
+changes no cosine. Null, zero or non-finite vectors, and rows without a label, link with nothing;
 vectors link only if of equal length; repeated ids keep a row each; an empty table
 gives no rows; extra columns are ignored.
 """
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import components, cut, with_row_id
 
 TILE, BLOCK, BOX = 512, 8, 6
+#: Tiles of a cell that one task matches with their neighbours.
+CELL_TILES = 256
 
 
 def _matrix(col) -> np.ndarray:
@@ -40,8 +44,12 @@ def usable(vectors: DataFrame) -> DataFrame:
     ok = F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("v") > 0) & F.forall(
         "v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     ) & F.exists("v", lambda x: x != 0)
+    most = F.array_max(F.transform("v", F.abs))
+    scale = F.when(most > 1e100, F.pow(F.lit(2.0), F.lit(-600))).when(most < 1e-100, F.pow(F.lit(2.0), F.lit(600))).otherwise(1.0)
+    scaled = F.transform(F.arrays_zip(F.col("v"), F.array_repeat(scale, F.size("v")).alias("s")), lambda z: z["v"] * z["s"])
+    own = F.when((most > 1e100) | (most < 1e-100), scaled).otherwise(F.col("v"))
     return vectors.withColumn("v", v).where(F.coalesce(ok, F.lit(False))).select(
-        "rid", "vec_id", F.col("label").cast("string").alias("label"), F.size("v").alias("dim"), "v"
+        "rid", "vec_id", F.col("label").cast("string").alias("label"), F.size("v").alias("dim"), own.alias("v")
     )
 
 
@@ -73,20 +81,23 @@ def axes(distinct: DataFrame, dim: int) -> np.ndarray:
 _TILE_SCHEMA = "tile string, label string, dim int, ids array<long>, n array<long>, turned binary, raw binary, lo array<double>, hi array<double>"
 
 
-def tiles(distinct: DataFrame, turn: dict[int, np.ndarray], tile: int = TILE) -> DataFrame:
+def tiles(distinct: DataFrame, turn: dict[int, np.ndarray], width: float, tile: int = TILE) -> DataFrame:
     from pyspark import TaskContext
 
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def turned(batches):
         for b in batches:
-            dims, out = b.column(1).to_numpy(), np.zeros(b.num_rows)
+            dims, out = b.column(1).to_numpy(), np.zeros((b.num_rows, 2))
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
                 m = _matrix(b.column(2).take(pa.array(at)))
                 m = m / np.linalg.norm(m, axis=1, keepdims=True)
-                out[at] = m @ turn[int(d)][:, 0]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=[*b.schema.names, "p1"])
+                out[at, : min(d, 2)] = m @ turn[int(d)][:, :2]
+            cell = np.floor(out / width).astype("i4")
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array(cell[:, 0]), pa.array(cell[:, 1]), pa.array(out[:, 0])], names=[*b.schema.names, "c1", "c2", "p1"]
+            )
 
     def pack(batches):
         part, no = TaskContext.get().partitionId(), 0
@@ -113,8 +124,11 @@ def tiles(distinct: DataFrame, turn: dict[int, np.ndarray], tile: int = TILE) ->
         if held:
             yield flush()
 
-    rows = distinct.select("label", "dim", "v", "rep", "n").mapInArrow(turned, "label string, dim int, v array<double>, rep long, n long, p1 double")
-    return rows.repartitionByRange(n, "label", "dim", "p1").sortWithinPartitions("label", "dim", "p1", "rep").mapInArrow(pack, _TILE_SCHEMA)
+    rows = distinct.select("label", "dim", "v", "rep", "n").mapInArrow(
+        turned, "label string, dim int, v array<double>, rep long, n long, c1 int, c2 int, p1 double"
+    )
+    order = ["label", "dim", "c1", "c2", "p1"]
+    return rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "rep").mapInArrow(pack, _TILE_SCHEMA)
 
 
 def compare(a: dict, b: dict, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -144,16 +158,43 @@ def compare(a: dict, b: dict, threshold: float) -> tuple[np.ndarray, np.ndarray]
     return i[keep], j[keep]
 
 
-def tile_links(tile: DataFrame, threshold: float) -> DataFrame:
-    """Per tile pair: (kind, a, b): kind 0: b links counted for vector a; kind 1: a spanning edge."""
-    reach = 2 - 2 * threshold + 1e-9
-    meta = tile.select("tile", "label", "dim", "lo", "hi")
-    other = meta.select(F.col("tile").alias("other"), "label", "dim", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+def chord(threshold: float) -> float:
+    """Squared distance of unit vectors at the threshold, with room for rounding."""
+    return 2 - 2 * threshold + 1e-9
+
+
+def tile_pairs(tile: DataFrame, threshold: float) -> DataFrame:
+    """(tile, other): tiles of one label whose boxes lie within the chord, each pair once.
+
+    A tile stands in the cells of its box, the other in those that its box reaches; they
+    meet in the lowest cell that both have. Tiles of a full cell are dealt out by salt
+    and the other side goes to every salt.
+    """
+    reach = chord(threshold)
+    width = F.lit(reach**0.5)
+    cell = lambda c, i: F.floor(F.get(c, F.lit(i)) / width).cast("int")
+    meta = tile.select("tile", "label", "dim", "lo", "hi", *[cell(c, i).alias(f"{c}{i}") for c in ("lo", "hi") for i in (0, 1)])
+    meta = meta.na.fill(0, ["lo1", "hi1"])  # vectors of one dimension have no second axis
+    grid = lambda lo, hi, i: F.explode(F.sequence(lo, hi)).alias(f"c{i}")
+    own = meta.select("*", grid(F.col("lo0"), F.col("hi0"), 0)).select("*", grid(F.col("lo1"), F.col("hi1"), 1))
+    far = meta.select(*[F.col(c).alias(f"o_{c}") if c not in ("label", "dim") else F.col(c) for c in meta.columns])
+    far = far.select("*", grid(F.col("o_lo0") - 1, F.col("o_hi0") + 1, 0)).select("*", grid(F.col("o_lo1") - 1, F.col("o_hi1") + 1, 1))
+    key = ["label", "dim", "c0", "c1"]
+    full = cut(own.groupBy(*key).agg(F.ceil(F.count("*") / CELL_TILES).cast("int").alias("salts")))  # a row per label and cell
+    own = own.join(full, key).withColumn("salt", F.pmod(F.xxhash64("tile"), F.col("salts")).cast("int")).drop("salts")
+    far = far.join(full, key).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    first = (F.col("c0") == F.greatest(F.col("lo0"), F.col("o_lo0") - 1)) & (F.col("c1") == F.greatest(F.col("lo1"), F.col("o_lo1") - 1))
     gaps = F.transform(
-        F.arrays_zip("lo", "hi", "lo2", "hi2"), lambda z: F.greatest(F.lit(0.0), z["lo"] - z["hi2"], z["lo2"] - z["hi"])
+        F.arrays_zip("lo", "hi", "o_lo", "o_hi"), lambda z: F.greatest(F.lit(0.0), z["lo"] - z["o_hi"], z["o_lo"] - z["hi"])
     )
     apart = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g)
-    pairs = meta.join(other, ["label", "dim"]).where(F.col("tile") <= F.col("other")).where(apart <= reach)
+    met = own.join(far, [*key, "salt"]).where((F.col("tile") <= F.col("o_tile")) & first & (apart <= reach))
+    return met.select("tile", F.col("o_tile").alias("other"))
+
+
+def tile_links(tile: DataFrame, threshold: float) -> DataFrame:
+    """Per tile pair: (kind, a, b): kind 0: b links counted for vector a; kind 1: a spanning edge."""
+    pairs = tile_pairs(tile, threshold)
     pairs = pairs.select(F.concat_ws("/", "tile", "other").alias("pair"), F.explode(F.array_distinct(F.array("tile", "other"))).alias("tile"))
     body = pairs.join(tile.select("tile", "dim", "ids", "n", "turned", "raw"), "tile")
 
@@ -192,7 +233,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tile: int = TIL
     rows = usable(own)
     distinct = cut(distinct_vectors(rows))
     dims = [r.dim for r in distinct.select("dim").distinct().collect()]  # a few vector lengths
-    found = cut(tile_links(cut(tiles(distinct, {d: axes(distinct, d) for d in dims}, tile)), threshold))
+    found = cut(tile_links(cut(tiles(distinct, {d: axes(distinct, d) for d in dims}, chord(threshold) ** 0.5, tile)), threshold))
     counts = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
     roots = components(found.where("kind = 1").select("a", "b")).select(F.col("node").alias("rep"), "root")
     named = distinct.join(counts, "rep", "left").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
