@@ -32,6 +32,8 @@ from .common import cut, with_row_id
 #: bound holds what is broadcast to 2 * 2**29 bits = 128 MB; beyond it the sketch only filters less.
 CELLS_EACH, LEAST_BITS, MOST_BITS = 4, 16, 29
 _CHUNK = 20  # a row is merged in chunks of 2**20 cells
+#: Groups of partitions whose cells of a chunk are added up apart, each to bitmaps of a fixed size.
+SALTS = 16
 
 
 def _cells(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +49,11 @@ def _anchor_runs(texts: pa.Array, window: int, gram: int):
 
 
 def sketch(docs: DataFrame, bits: int, window: int, gram: int) -> list[np.ndarray]:
-    """Two bit rows: is the cell's count two or more. Merged by chunk of cells on the executors."""
+    """Two bit rows: is the cell's count two or more.
+
+    Merged on the executors by chunk of cells and group of partitions, as cells stream
+    by: a task holds two bitmaps of a chunk, however many partitions there are.
+    """
     chunk = min(bits, _CHUNK)
 
     def partial(batches):
@@ -70,13 +76,43 @@ def sketch(docs: DataFrame, bits: int, window: int, gram: int) -> list[np.ndarra
                     names=["row", "chunk", "data"],
                 )
 
-    def merge(t: pa.Table) -> pa.Table:
-        d = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for c in t["data"].chunks for x in c])
-        n = np.bincount(d >> 1, minlength=1 << chunk) + np.bincount((d >> 1)[(d & 1) > 0], minlength=1 << chunk)
-        return pa.table({"row": t["row"][:1], "chunk": t["chunk"][:1], "data": pa.array([np.packbits(n > 1).tobytes()], pa.binary())})
+    def counted(batches):
+        """Cells of one (row, chunk, salt) after another, to two bitmaps each: seen, and seen twice."""
+        key, seen, twice = None, None, None
+
+        def flush():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([np.packbits(seen).tobytes()], pa.binary()), pa.array([np.packbits(twice).tobytes()], pa.binary())],
+                names=["row", "chunk", "seen", "twice"],
+            )
+
+        for b in batches:
+            for row, no, salt, data in zip(*(b.column(i) for i in range(4)), strict=True):
+                k = (row.as_py(), no.as_py(), salt.as_py())
+                if k != key:
+                    if key is not None:
+                        yield flush()
+                    key, seen, twice = k, np.zeros(1 << chunk, bool), np.zeros(1 << chunk, bool)
+                d = np.frombuffer(data.as_buffer(), "<u4")
+                at = d >> 1
+                twice[at] |= seen[at] | ((d & 1) > 0)
+                seen[at] = True
+        if key is not None:
+            yield flush()
 
-    schema = "row int, chunk int, data binary"
-    merged = docs.select("text").mapInArrow(partial, schema).groupBy("row", "chunk").applyInArrow(merge, schema)
+    def merge(t: pa.Table) -> pa.Table:
+        """At most SALTS pairs of bitmaps of a chunk to one."""
+        seen, twice = np.zeros((1 << chunk) // 8, "u1"), np.zeros((1 << chunk) // 8, "u1")
+        for s, w in zip(t["seen"], t["twice"], strict=True):
+            s, w = np.frombuffer(s.as_buffer(), "u1"), np.frombuffer(w.as_buffer(), "u1")
+            twice |= w | (seen & s)
+            seen |= s
+        return pa.table({"row": t["row"][:1], "chunk": t["chunk"][:1], "data": pa.array([twice.tobytes()], pa.binary())})
+
+    salt = F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt")
+    parts = docs.select("text").mapInArrow(partial, "row int, chunk int, data binary").select("row", "chunk", salt, "data")
+    bitmaps = parts.repartition("row", "chunk", "salt").sortWithinPartitions("row", "chunk", "salt").mapInArrow(counted, "row int, chunk int, seen binary, twice binary")
+    merged = bitmaps.groupBy("row", "chunk").applyInArrow(merge, "row int, chunk int, data binary")
     rows = [np.zeros((1 << bits) // 8, "u1") for _ in (0, 1)]
     for r in merged.toLocalIterator():
         at = r.chunk << chunk >> 3
@@ -192,6 +228,20 @@ def op6_substrings(docs: DataFrame) -> DataFrame:
     return got.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+ORACLE_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+i AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20),
+h AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) AS win FROM i),
+e AS (SELECT doc_id, i FROM h QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM e),
+n AS (SELECT doc_id, count(*) AS n, list(p) AS ps FROM g GROUP BY 1),
+k AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM w SEMI JOIN n USING (doc_id)),
+t AS (SELECT k.doc_id, string_agg(k.word, ' ' ORDER BY k.p) AS kept FROM k LEFT JOIN g ON g.doc_id = k.doc_id AND g.p = k.p WHERE g.p IS NULL GROUP BY 1)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(CASE WHEN n.n IS NULL THEN array_to_string(ws, ' ') ELSE coalesce(t.kept, '') END) AS kept_sha256
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
 def brute(texts: list[tuple[int, str | None]], window: int = 20) -> list[tuple[int, int, int, str]]:
     """The same by looking at every window, for tests."""
     seen: set[tuple] = set()
