@@ -1,12 +1,17 @@
 """Quality rules with risk-controlled thresholds (operator 8).
 
 Base rules are fixed; the method's verdict comes from cutoffs on five scores. A
-cutoff is used only where a labelled holdout proves it: for each stratum, rule
-and grid cutoff, k of n documents labelled good would be rejected, and the exact
-binomial tail P(Bin(n, risk) <= k) must not exceed delta / (number of such tests)
-(Bonferroni over strata, rules and cutoffs). So with probability 1 - delta every
-stratum loses at most ``risk`` of its good documents to each rule. Of the proven
-cutoffs, the strictest is used; a stratum without proof rejects nothing.
+cutoff is used only where a labelled holdout proves it. For each stratum and rule the
+cutoffs of a grid are tested in a fixed sequence from lenient to strict: k of n
+documents labelled good would be rejected, and the exact binomial tail
+P(Bin(n, risk) <= k) must not exceed delta / (strata * rules). The first cutoff
+that fails ends the sequence and the last one proven is used, so a sequence needs
+no correction for its own length (a cutoff too strict is only reached if all before
+it were falsely proven or true), and Bonferroni covers strata and rules. With
+probability 1 - delta every stratum loses at most ``risk`` of its good documents to
+each rule. A stratum without proof rejects nothing: with no false rejection at all
+it takes log(delta / (strata * rules)) / log(1 - risk) labelled good documents, some
+600 with the defaults and four strata.
 
 Null or empty texts have zero counts and fail the base rule; a null stratum is a
 stratum of its own; labels with null quality are not used; documents without
@@ -26,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import pick
 
 _BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-#: Share of each score above which a document is rejected, from strict to lenient.
-GRID = [0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
+#: Share of each score above which a document is rejected, from lenient to strict: the order of the tests.
+GRID = [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.05, 0.02]
 RULES = ["symbols", "dup_lines", "repeats", "long_words", "short"]
 
 
@@ -90,6 +95,16 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, sum(map(exp, terms)))
 
 
+def strictest(rejected: list[int], n: int, risk: float, level: float) -> float | None:
+    """The last cutoff of GRID proven before the first that is not; ``rejected`` good documents of n by each cutoff."""
+    best = None
+    for g, k in zip(GRID, rejected, strict=True):
+        if binomial_tail(k, n, risk) > level:
+            break
+        best = g
+    return best
+
+
 def cutoffs(scored: DataFrame, labels: DataFrame, risk: float, delta: float) -> DataFrame:
     """(stratum, cuts): the strictest proven cutoff of each rule, null where none is proven.
 
@@ -105,15 +120,11 @@ def cutoffs(scored: DataFrame, labels: DataFrame, risk: float, delta: float) ->
         F.count("*").alias("n"), *[F.count_if(F.col("score") > g).alias(f"k{i}") for i, g in enumerate(GRID)]
     )
     tests = hits.select(F.count_distinct("stratum").alias("s"), F.max(F.col("stratum").isNull().cast("int")).alias("z"))
-    tests = tests.select((F.coalesce(F.col("s") + F.col("z"), F.lit(1)) * len(RULES) * len(GRID)).alias("tests"))
+    tests = tests.select((F.coalesce(F.col("s") + F.col("z"), F.lit(1)) * len(RULES)).alias("tests"))
 
     def prove(frames):
         for f in frames:
-            best = []
-            for r in f.itertuples():
-                ks = [getattr(r, f"k{i}") for i in range(len(GRID))]
-                ok = [g for g, k in zip(GRID, ks, strict=True) if binomial_tail(int(k), int(r.n), risk) <= delta / r.tests]
-                best.append(min(ok) if ok else None)
+            best = [strictest([int(getattr(r, f"k{i}")) for i in range(len(GRID))], int(r.n), risk, delta / r.tests) for r in f.itertuples()]
             yield pd.DataFrame({"stratum": f.stratum, "rule": f.rule, "cut": best})
 
     proven = hits.join(F.broadcast(tests)).mapInPandas(prove, "stratum string, rule int, cut double")  # tests: one row
@@ -121,7 +132,7 @@ def cutoffs(scored: DataFrame, labels: DataFrame, risk: float, delta: float) ->
 
 
 def quality_rules(
-    docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.005, delta: float = 0.05
+    docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.01, delta: float = 0.05
 ) -> DataFrame:
     """Base counts, base verdict and kept for every document.
 
@@ -147,3 +158,27 @@ def quality_rules(
 
 def op8_quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return quality_rules(docs, labels)
+
+
+_SCORES = [
+    "least(n_symbols / greatest(word_chars, 1), 1.0)", "least(n_dup_lines * 10 / greatest(n_words, 1), 1.0)", "n_repeat_words / greatest(n_words, 1)",
+    "least(word_chars / greatest(n_words, 1) / 25, 1.0)", "25.0 / (n_words + 25)",
+]
+ORACLE_SQL = rf"""
+WITH w AS (SELECT doc_id, lang AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
+g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+c AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM c) GROUP BY 1),
+b AS (SELECT w.doc_id, stratum, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint AS word_chars,
+  len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+  FROM w JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
+s AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, [{', '.join(_SCORES)}] AS scores FROM b),
+h AS (SELECT stratum, unnest(range(1, 6)) AS rule, unnest(scores) AS score FROM s WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+k AS (SELECT stratum, rule, cut, count(*) AS n, count(*) FILTER (score > cut) AS k FROM h, (SELECT unnest({GRID}) AS cut) GROUP BY 1, 2, 3),
+p AS (SELECT *, CASE WHEN k >= n THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99)))) END AS tail FROM k),
+q AS (SELECT *, bool_and(tail <= 0.05 / (5 * (SELECT count(*) FROM (SELECT DISTINCT stratum FROM h)))) OVER (PARTITION BY stratum, rule ORDER BY cut DESC) AS proven FROM p),
+u AS (SELECT stratum, rule, min(cut) AS cut FROM q WHERE proven GROUP BY 1, 2),
+x AS (SELECT s.doc_id, bool_or(s.scores[u.rule] > u.cut) AS broken FROM s JOIN u ON u.stratum IS NOT DISTINCT FROM s.stratum GROUP BY 1)
+SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(broken, false) AS kept FROM s LEFT JOIN x USING (doc_id)
+"""
