@@ -34,4 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embeddings": embeddings.ORACLE_SQL, "op5_minhash": minhash.ORACLE_SQL}
+    return {
+        "op2_suffixes": suffixes.ORACLE_SQL, "op3_embeddings": embeddings.ORACLE_SQL, "op5_minhash": minhash.ORACLE_SQL, "op6_substrings": substrings.ORACLE_SQL,
+        "op8_quality_rules": quality.ORACLE_SQL,
+    }

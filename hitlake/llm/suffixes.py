@@ -19,8 +19,9 @@ sorted here start at content-chosen anchors (windows.py), which every repeated
    order cut at depth d. This is exact.
 
 An anchor with more than ``hot`` different hulls (a passage in that many different
-surroundings) does not enter a bucket: its windows are counted one by one by a
-grouped count with partial aggregation, by 64-bit window hash.
+surroundings) does not enter a bucket, which must hold a group whole: its windows are
+counted one by one by a grouped count with partial aggregation, by two independent
+64-bit hashes of their bytes.
 
 Null texts are empty; texts shorter than the window lose nothing; matches never
 cross documents; repeated rows are documents of their own; an empty table gives no
@@ -189,15 +190,16 @@ def counted_spans(sfx: DataFrame, window: int) -> DataFrame:
     def each(batches):
         for b in batches:
             for _, rid, at, lo, hi, before, after in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                p = W.Prefix(W.BYTE_HASH[np.frombuffer(before[::-1] + after, "u1")])
+                own = W.BYTE_HASH[np.frombuffer(before[::-1] + after, "u1")]
                 i = np.arange(hi - lo + 1)
+                wins = [W.Prefix(t).of(i, i + window).view("i8") for t in (own, W.mix(own))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(i), rid)), pa.array(i + lo), pa.array(p.of(i, i + window).view("i8"))], names=["rid", "start", "win"]
+                    [pa.array(np.full(len(i), rid)), pa.array(i + lo), *map(pa.array, wins)], names=["rid", "start", "win", "win2"]
                 )
 
-    one = cut(sfx.mapInArrow(each, "rid long, start long, win long"))
-    met = one.groupBy("win").agg(F.count("*").alias("n")).where("n > 1").select("win")
-    return one.join(met, "win").select("rid", "start", (F.col("start") + window).alias("end"))
+    one = cut(sfx.mapInArrow(each, "rid long, start long, win long, win2 long"))
+    met = one.groupBy("win", "win2").agg(F.count("*").alias("n")).where("n > 1").select("win", "win2")
+    return one.join(met, ["win", "win2"]).select("rid", "start", (F.col("start") + window).alias("end"))
 
 
 def repeated_spans(docs: DataFrame, window: int, gram: int, hot: int = HOT) -> DataFrame:
@@ -247,6 +249,21 @@ def op2_suffixes(docs: DataFrame) -> DataFrame:
     return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+ORACLE_SQL = """
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS n_bytes FROM documents),
+i AS (SELECT doc_id, h, unnest(range(0, n_bytes - 399)) AS i FROM b WHERE n_bytes >= 400),
+w AS (SELECT doc_id, i, md5_number(h[i + 1:i + 400]) AS win FROM i),
+m AS (SELECT win FROM w GROUP BY win HAVING count(*) > 1),
+e AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM w SEMI JOIN m USING (win)),
+s AS (SELECT *, sum(CASE WHEN before IS NULL OR i > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS no FROM e),
+r AS (SELECT doc_id, no, min(i) AS a, max(i) + 400 AS z FROM s GROUP BY 1, 2),
+q AS (SELECT doc_id, sum(z - a)::bigint AS n_removed, count(*) AS n_spans, [0] || list(z ORDER BY a) AS starts, list(a ORDER BY a) AS ends FROM r GROUP BY 1),
+k AS (SELECT b.doc_id, CASE WHEN q.doc_id IS NULL THEN h ELSE unhex(array_to_string(list_transform(range(1, len(starts) + 1),
+  lambda j: CASE WHEN starts[j] < coalesce(ends[j], n_bytes) THEN hex(h[starts[j] + 1:coalesce(ends[j], n_bytes)]) ELSE '' END), '')) END AS kept, n_bytes, n_removed, n_spans FROM b LEFT JOIN q USING (doc_id))
+SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(kept) AS kept_sha256 FROM k
+"""
+
+
 def brute(texts: list[tuple[int, str | None]], window: int = 400) -> list[tuple[int, int, int, int, str]]:
     """The same by looking at every window, for tests."""
     raws = [(d, (t or "").encode()) for d, t in texts]
