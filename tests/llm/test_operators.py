@@ -109,9 +109,36 @@ def test_embeddings(spark):
     assert got == sorted((i, n[i], root[i], root[i] == i) for i in root)
 
 
+def test_embeddings_of_extreme_size(spark):
+    ship(spark)
+    v = [[1e200, 0.0], [1e200, 1.0], [1.0, 0.0], [1e-200, 0.0], [5e-324, 0.0], [1.7e308, 1.7e308], [1.0, 1.0], [0.0, 1e-310]]
+    df = spark.createDataFrame([(i, x, 1) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()}
+    assert got == {**{i: (4, 0) for i in range(5)}, 5: (1, 5), 6: (1, 5), 7: (0, 7)}
+
+
+def test_tile_pairs(spark):
+    r = np.random.default_rng(2)
+    boxes = []
+    for i in range(120):
+        lo = r.uniform(-1, 1, 6)
+        boxes.append((f"t{i}", "ab"[i % 2], 8, lo.tolist(), (lo + r.uniform(0, 0.5, 6)).tolist()))
+    boxes += [("u0", "c", 1, [0.5], [0.6]), ("u1", "c", 1, [0.7], [0.7])]
+    df = spark.createDataFrame(boxes, "tile string, label string, dim int, lo array<double>, hi array<double>")
+    want = set()
+    for a in boxes:
+        for b in boxes:
+            if a[1:3] == b[1:3] and a[0] <= b[0]:
+                gap = np.maximum(0, np.maximum(np.array(a[3]) - b[4], np.array(b[3]) - a[4]))
+                if gap @ gap <= embeddings.chord(0.93):
+                    want.add((a[0], b[0]))
+    got = [tuple(x) for x in embeddings.tile_pairs(df, 0.93).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) < 7000
+
+
 def test_mixing(docs, empty):
     got = mixing.op1_mix(docs, block_words=16).collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.op1_mix(docs, block_words=16).collect()))
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, mixing.op1_mix(docs, block_words=16).collect()), key=repr)
     src = {r[0]: r[3] for r in corpus()}
     size, taken, target = {}, {}, {}
     for r in got:
@@ -127,6 +154,43 @@ def test_mixing(docs, empty):
     assert mixing.op1_mix(empty).collect() == []
 
 
+def test_mixed_blocks(docs):
+    """Blocks against a plain packing of the same rows; texts against the blocks."""
+    words = {r[0]: (r[1] or "").encode().split() for r in corpus()}
+    source = {r[0]: r[3] for r in corpus()}
+    op = {r.doc_id: r for r in mixing.op1_mix(docs, block_words=16).collect()}
+    blocks = mixing.mixed_blocks(docs, block_words=16, shard_slots=50).collect()
+    shown, full = {}, {}
+    for b in blocks:
+        assert all(source[d] == b.source for d in b.doc_ids) and len(b.words) <= 16
+        full[b.source] = full.get(b.source, 0) + len(b.words)
+        key = (b.source, b["pass"], b.slot)
+        assert key not in shown
+        shown[key] = (b.shard, tuple(b.words))
+    assert len({b.shard for b in blocks}) > 5 and len({b.place for b in blocks}) == len(blocks)
+    for s, n in full.items():
+        assert n == sum(r.taken for d, r in op.items() if source[d] == s)
+    for s in set(source.values()):  # a pass shows each block of the source at most once
+        for p in (0, 1):
+            own = [w for (x, q, _), (_, w) in shown.items() if (x, q) == (s, p)]
+            left = {}
+            for d, ws in words.items():
+                if source[d] == s:
+                    for w in ws:
+                        left[w.decode()] = left.get(w.decode(), 0) + 1
+            for w in (x for ws in own for x in ws):
+                left[w] -= 1
+                assert left[w] >= 0
+    texts = mixing.mixed_texts(docs.select("doc_id", "text", "lang", "source", "n_chars"), block_words=16, shard_slots=50).collect()
+    taken, original = {}, {r[0]: r[1] or "" for r in corpus()}
+    for t in texts:
+        taken[t.doc_id] = taken.get(t.doc_id, 0) + len(t.text.encode().split())
+        assert all(part in original[t.doc_id] for part in t.text.split("\n") if "\n" not in original[t.doc_id])
+    assert taken == {d: r.taken for d, r in op.items() if r.taken}
+    for shard in {t.shard for t in texts}:
+        assert sum(len(t.text.encode().split()) for t in texts if t.shard == shard) == sum(len(w) for s, w in shown.values() if s == shard)
+
+
 def test_permutation(spark):
     from pyspark.sql import functions as F
 
@@ -168,6 +232,31 @@ def test_quality(docs, spark, empty):
     assert quality.op8_quality_rules(empty, labels).collect() == []
 
 
+def test_quality_cutoffs(spark):
+    assert quality.strictest([0] * 12, 1000, 0.01, 0.01) == 0.02 and quality.strictest([0] * 12, 100, 0.01, 0.01) is None
+    assert quality.strictest([0, 0, 0, 50] + [0] * 8, 1000, 0.01, 0.01) == 0.7  # what comes after a failure is not tested
+    r = random.Random(9)
+    say = lambda n: " ".join("".join(r.choices("abcdefgh", k=r.randint(2, 7))) for _ in range(n))
+    texts = [(i, say(r.randint(60, 200)), "en", 1) for i in range(700)] + [(1000 + i, " ".join(f"{w}#$%&" for w in say(80).split()), "en", 0) for i in range(20)]
+    texts += [(2000 + i, say(90), "fr", 1) for i in range(40)] + [(3000, " ".join(f"{w}#$%&" for w in say(80).split()), "fr", 0), (3001, None, None, 0)]
+    docs = spark.createDataFrame([t[:3] for t in texts], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(t[0], t[3]) for t in texts], "doc_id long, quality int")
+    got = {x.doc_id: x for x in quality.op8_quality_rules(docs, labels).collect()}
+
+    def scores(text):
+        n, chars, symbols, dup, repeat = quality.counts(text)
+        w = max(n, 1)
+        return [min(symbols / max(chars, 1), 1), min(dup * 10 / w, 1), repeat / w, min(chars / w / 25, 1), 25 / (n + 25)]
+
+    good = {k: [scores(t) for _, t, lang, q in texts if lang == k and q == 1] for k in ("en", "fr")}
+    cut = {(k, i): quality.strictest([sum(s[i] > g for s in v) for g in quality.GRID], len(v), 0.01, 0.05 / 10) for k, v in good.items() for i in range(5)}
+    assert cut["en", 0] == 0.02 and all(cut["fr", i] is None for i in range(5))
+    for i, t, lang, _ in texts:
+        broken = any(cut.get((lang, k)) is not None and s > cut[lang, k] for k, s in enumerate(scores(t)))
+        assert got[i].kept == (not got[i].base_failed and not broken)
+    assert not got[1000].kept and got[3000].kept and not got[3001].kept
+
+
 def test_language(spark, empty):
     ship(spark)
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
