@@ -52,6 +52,15 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             path.getFileSystem(conf).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffle files, broadcasts and compiled code of plans that nothing refers to any more.
+
+    It learns of them when the driver collects garbage, which Spark itself asks for every
+    half an hour; a job of many short plans does between its stages.
+    """
+    spark._jvm.System.gc()
+
+
 def stable(df: DataFrame) -> DataFrame:
     """``df`` itself where it is a plain scan, whose rows come in the same order each time; else a written copy.
 
