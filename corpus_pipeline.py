@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitlake.llm import language_id, minhash, mixing, pieces, secrets
-from hitlake.llm.common import scratch, shared_dir, ship
+from hitlake.llm.common import release, scratch, shared_dir, ship
 
 _COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -27,6 +27,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the first document of each near-duplicate group: 5-word shingles, similarity 0.8 or more; groups are told apart by row, not by id."""
     ship(spark)
+    release(spark)
     return minhash.first_of_each(docs.select(_COLUMNS), percent=80, shingle=5)
 
 
@@ -38,6 +39,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mix sources to target weights: a row per output shard, document and pass with the words shown."""
+    release(spark)
     return mixing.mixed_texts(docs.select(_COLUMNS)).select(_COLUMNS)
 
 
