@@ -56,15 +56,16 @@ def ranking(log: DataFrame, kind: str, start: int, end: int, n: int = 10, url_li
 def referer_ips(log: DataFrame, start: int, end: int, n: int = 10) -> DataFrame:
     """Four groups (all, search, direct, external): top ips by hits, share, most frequent location.
 
-    One pass: each hit goes to 'all' and to its own group; ips are limited before
-    their locations are counted.
+    One pass: hits are counted by kind, ip and location; a count goes to 'all' and to its
+    own group, and ips are limited before their locations are compared.
     """
-    b = log.where(pv() & in_range(start, end)).select("ip", "domestic", "global", F.explode(F.array(F.lit("all"), source_kind(F.col("referer")))).alias("group"))
-    c = b.groupBy("group", "ip").agg(F.count("*").alias("hits"))
+    k = log.where(pv() & in_range(start, end)).groupBy(source_kind(F.col("referer")).alias("kind"), "ip", "domestic", "global").agg(F.count("*").alias("n"))
+    b = k.select("ip", "domestic", "global", "n", F.explode(F.array(F.lit("all"), "kind")).alias("group"))
+    c = b.groupBy("group", "ip").agg(F.sum("n").alias("hits"))
     total = c.groupBy("group").agg(F.sum("hits").alias("total"))
     w = Window.partitionBy("group").orderBy(F.desc("hits"), "ip")
     top = c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-    loc = b.join(top.select("group", "ip"), ["group", "ip"], "left_semi").groupBy("group", "ip", "domestic", "global").agg(F.count("*").alias("c"))
+    loc = b.join(top.select("group", "ip"), ["group", "ip"], "left_semi").groupBy("group", "ip", "domestic", "global").agg(F.sum("n").alias("c"))
     w = Window.partitionBy("group", "ip").orderBy(F.desc("c"), "global", "domestic")
     loc = loc.withColumn("r", F.row_number().over(w)).where("r = 1").select("group", "ip", "domestic", "global")
     return top.join(total, "group").join(loc, ["group", "ip"], "left").select(
