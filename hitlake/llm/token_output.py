@@ -19,6 +19,7 @@ repeated ids keep a row each, ordered by text; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -64,18 +65,27 @@ def _tokenizer(path: str):
 
         t = Tokenizer.from_file(path)
         special = [x.content for x in t.get_added_tokens_decoder().values()]
-        _loaded[path] = (t, special, {}, {})
+        _loaded[path] = (t, special, {}, {}, plain_byte_level(t.to_str()))
     return _loaded[path]
 
 
+def plain_byte_level(settings: str) -> bool:
+    """Whether a tokenizer's file cuts texts as ``_CUT`` does: byte-level BPE by the published pattern, nothing before it."""
+    x = json.loads(settings)
+    cut_ = x.get("pre_tokenizer") or {}
+    own = cut_.get("type") == "ByteLevel" and not cut_.get("add_prefix_space", True) and cut_.get("use_regex", True)
+    return own and x.get("normalizer") is None and x["model"].get("type") == "BPE" and not x["model"].get("dropout")
+
+
 def encoder(path: str):
     """A function list of texts -> list of ids as little-endian uint32 bytes.
 
     Units and words met before are looked up; a new word goes to the library's BPE
     model, a new unit of other than Latin characters or a text that holds the
-    string of a special token to the library whole.
+    string of a special token to the library whole. So does every text where the file's
+    settings are not plain byte-level BPE.
     """
-    tok, special, cache, words = _tokenizer(path)
+    tok, special, cache, words, plain = _tokenizer(path)
     model, table = tok.model, byte_chars()
     latin1 = bytes(range(256)).decode("latin-1")
     mapped = str.maketrans(latin1, "".join(table[i] for i in range(256)))
@@ -102,7 +112,7 @@ def encoder(path: str):
                 words.clear()
             if not text:
                 out.append(b"")
-            elif any(s in text for s in special):
+            elif not plain or any(s in text for s in special):
                 out.append(raw(text))
             else:
                 us = units(text)

@@ -211,6 +211,8 @@ def test_token_output(docs, empty):
         start += len(ids)
     assert sorted(map(tuple, token_output.op7_token_output(docs).collect())) == want
     assert token_output.op7_token_output(empty).collect() == []
+    assert token_output.plain_byte_level(t.to_str())
+    assert not token_output.plain_byte_level(t.to_str().replace('"add_prefix_space":false', '"add_prefix_space":true'))
     for bits in (5, 11, 16, 17):
         ids = np.random.default_rng(bits).integers(0, 1 << bits, 999).astype("u4")
         assert (token_output.unpack(token_output.pack(ids, bits), bits, 101, 777) == ids[101:777]).all()
