@@ -10,6 +10,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Characters that separate words: space and \x09-\x0D (what ``bytes.split()`` splits on).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -92,6 +93,11 @@ def pick(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 
+def with_columns(df: DataFrame, more: str) -> StructType:
+    """The frame's schema and more columns after it."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
+
+
 def among(df: DataFrame, wanted: DataFrame, key: str = "rid", most_bits: int = 1 << 26) -> DataFrame:
     """Rows of ``df`` whose ``key`` may be in ``wanted``: all that are, and few others.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, language_id, minhash, mixing, pieces, quality, secrets, substrings, suffixes, token_output
+from . import embeddings, fim, language_id, manifest, minhash, mixing, packing, pieces, quality, secrets, substrings, suffixes, token_output
 from .common import ship
 
 
@@ -30,11 +30,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": _of(quality.op8_quality_rules, "documents", "labels"),
         "op9_language_id": _of(language_id.op9_language_id, "documents"),
         "op10_pieces": _of(pieces.op10_pieces, "documents"),
+        "op11_fim": _of(fim.op11_fim, "documents"),
+        "op12_packing": _of(packing.op12_packing, "documents"),
+        "op13_merkle_manifest": _of(manifest.op13_merkle_manifest, "documents"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_suffixes": suffixes.ORACLE_SQL, "op3_embeddings": embeddings.ORACLE_SQL, "op5_minhash": minhash.ORACLE_SQL, "op6_substrings": substrings.ORACLE_SQL,
-        "op8_quality_rules": quality.ORACLE_SQL,
+        "op8_quality_rules": quality.ORACLE_SQL, "op11_fim": fim.ORACLE_SQL, "op13_merkle_manifest": manifest.ORACLE_SQL,
     }
