@@ -20,8 +20,11 @@ ignored. Sequence numbers may differ from run to run, the number of sequences ma
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 import zlib
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +33,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, pick
+from .token_output import byte_chars
 
-#: Words kept per Python worker; beyond it the cache starts anew.
-CACHE_WORDS = 400_000
+#: Units between blanks, and words in them, kept per Python worker; beyond it that cache starts anew.
+CACHE_UNITS, CACHE_WORDS = 300_000, 600_000
+#: Characters below U+0250 but controls and no-break space: composed as they are, lower-cased one by one.
+LATIN = re.compile("[\t\n\r -~¡-ɏ]*")
 #: The way of cutting texts in which nothing spans white space (a tokenizer file's pattern, a fixed value).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_loaded: dict[str, tuple] = {}
+_loaded: dict[str, Callable[[str], bytes]] = {}
 
 
 def cuts_at_spaces(settings: str) -> bool:
@@ -48,34 +54,72 @@ def cuts_at_spaces(settings: str) -> bool:
     return plain and split and loose and not pre[1]["use_regex"] and not pre[1]["add_prefix_space"] and not (x.get("truncation") or x.get("padding") or x["model"].get("dropout"))
 
 
+class Known(dict):
+    """Values by key, made when first asked for."""
+
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+
+def latin_words() -> re.Pattern:
+    """``WORDS`` for lower-cased text of ``LATIN`` characters, in which re knows no classes by category."""
+    kinds = {k: "".join(c for c in map(chr, range(0x80, 0x250)) if unicodedata.category(c)[0] == k) for k in "LN"}
+    letter, number = "a-zA-Z" + kinds["L"], "0-9" + kinds["N"]
+    return re.compile(rf"'(?:[stmd]|re|ve|ll)|[{letter}]+|[{number}]|[^\s{letter}{number}]+")
+
+
 def encoder(path: str):
     """A function text -> ids as little-endian uint32 bytes, without special tokens of the library's own.
 
-    Where the file's settings allow it, words between blanks are looked up, and new ones
-    go to the library; other files' texts go to the library whole.
+    Where the file's settings allow it, a text of Latin characters is cut into words that
+    are looked up, and a new word goes to the library's model. Another text is cut at
+    blanks, and units with other characters, or with a special token's string, go to the
+    library whole; so do all texts of other files.
     """
     if path not in _loaded:
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        _loaded[path] = (tok, cuts_at_spaces(tok.to_str()), {"": b""})
-    tok, plain, known = _loaded[path]
+        _loaded[path] = _encoder(Tokenizer.from_file(path))
+    return _loaded[path]
+
+
+def _encoder(tok):
+    plain, special = cuts_at_spaces(tok.to_str()), [x.content for x in tok.get_added_tokens_decoder().values()]
+    model, table = tok.model, byte_chars()
+    mapped = str.maketrans(bytes(range(256)).decode("latin-1"), "".join(table[i] for i in range(256)))
+    find, latin = latin_words().findall, LATIN.fullmatch
 
     def raw(text: str) -> bytes:
         return array("I", tok.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def word(w: str) -> bytes:
+        text = w if w.isalpha() and w.isascii() else w.encode().decode("latin-1").translate(mapped)
+        return array("I", [t.id for t in model.tokenize(text)]).tobytes()
+
+    def unit(u: str) -> bytes:
+        if latin(u) and not any(s in u for s in special):
+            low = u.lower()
+            if latin(low):
+                return b"".join(map(words.__getitem__, find(low)))
+        return raw(u)
+
+    words, units = Known(word), Known(unit)
+
     def encode(text: str) -> bytes:
         if not plain:
             return raw(text)
-        words = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            for w in set(words).difference(known):
-                known[w] = raw(w)
-            return b"".join(map(known.__getitem__, words))
+        if len(words) > CACHE_WORDS:
+            words.clear()
+        if latin(text):
+            return unit(text)
+        if len(units) > CACHE_UNITS:
+            units.clear()
+        return b"".join(map(units.__getitem__, text.replace("\n", " ").split(" ")))
 
     return encode
 

@@ -100,8 +100,9 @@ def test_word_cache_is_the_library():
     tok, own = Tokenizer.from_file(WORDS), packing.encoder(WORDS)
     assert packing.cuts_at_spaces(tok.to_str())
     assert not packing.cuts_at_spaces(Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json"))).to_str())
-    for r in corpus():
-        assert np.frombuffer(own(r[1] or ""), "<u4").tolist() == tok.encode(r[1] or "", add_special_tokens=False).ids
+    odd = [chr(c) for c in range(1, 0x260)] + ["İx", "ǅ", "ﬁ ß", "o'clock's 'S", "x²³¼ ª", "<|startoftext|> a", "a\xa0b\x85c"]
+    for text in [*(r[1] or "" for r in corpus()), *odd, "a".join(odd), "1".join(odd)]:
+        assert np.frombuffer(own(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
 def library_pieces(most=2048, end=0):
