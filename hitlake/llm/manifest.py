@@ -79,10 +79,11 @@ class Stack:
     def _join(self, sibling: tuple[bytes, list[int]], digest: bytes, below: list[int]) -> tuple[bytes, list[int]]:
         """Two siblings completed: each side's witnesses learn the other's root."""
         left, others = sibling
+        right_step, left_step = RIGHT + digest, LEFT + left
         for i in others:
-            self.paths[i] += RIGHT + digest
+            self.paths[i] += right_step
         for i in below:
-            self.paths[i] += LEFT + left
+            self.paths[i] += left_step
         return node(left, digest), others + below
 
     def close(self, height: int | None) -> bytes:
