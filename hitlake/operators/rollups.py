@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .basics import day, hour, pv, status_counts
@@ -48,16 +48,21 @@ def merge_first_seen(base: DataFrame, delta: DataFrame) -> DataFrame:
     return base.unionByName(delta).groupBy("site_id", "ip").agg(F.min("first_ts").alias("first_ts"))
 
 
+def dim_id(name: str) -> Column:
+    """Hash of a dimension's natural key; a null is told from nothing, so (null, x) and (x, null) differ."""
+    return F.xxhash64(F.lit(name), *[x for c in DIMENSIONS[name] for x in (F.col(c).isNull(), F.col(c))])
+
+
 def build_dims(log: DataFrame) -> dict[str, DataFrame]:
     """Five dimensions; ids are hashes of the natural key, so they need no sequence."""
-    return {k: log.select(*c).distinct().withColumn(f"{k}_id", F.xxhash64(F.lit(k), *c)) for k, c in DIMENSIONS.items()}
+    return {k: log.select(*c).distinct().withColumn(f"{k}_id", dim_id(k)) for k, c in DIMENSIONS.items()}
 
 
 def encode_fact(log: DataFrame) -> DataFrame:
     """Hits with ids in place of dimension columns; an id is a hash of its natural key, so no join is needed."""
     out = log
-    for k, c in DIMENSIONS.items():
-        out = out.withColumn(f"{k}_id", F.xxhash64(F.lit(k), *c))
+    for k in DIMENSIONS:
+        out = out.withColumn(f"{k}_id", dim_id(k))
     return out.drop(*{x for c in DIMENSIONS.values() for x in c})
 
 

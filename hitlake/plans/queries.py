@@ -673,7 +673,7 @@ def _ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = J.folder(spark)
     lines = P.format_lines(load_hits(spark, sf_dir)).select("line")
     lines.unionByName(lines).write.text(f"{base}/in")
-    J.ingest(J.stream_lines(spark, f"{base}/in").withColumn("source_id", F.lit("web")), f"{base}/tables").start().awaitTermination()
+    J.ingest(J.stream_lines(spark, f"{base}/in").select("line", F.lit("web").alias("source_id")), f"{base}/tables").start().awaitTermination()
     return W.load_tables(spark, f"{base}/tables")["hits"].select("ip", "timestamp", "url", "status_code", "bytes_sent", "browser")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from hitlake.operators import enrich as E
 from hitlake.operators import store
 from hitlake.operators.sessions import VISITOR
+from hitlake.sources import files
 from hitlake.sources import lines as P
 from hitlake.sources.hits import COLUMNS, hits
 
@@ -28,26 +29,32 @@ def stream_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_lines(spark: SparkSession, folder: str, max_bytes: str | None = None) -> DataFrame:
-    """New files of a folder, line by line; ``max_bytes`` bounds what a batch takes up ("32m").
+    """New files of a folder, line by line (line, file, block); ``max_bytes`` bounds what a batch takes up ("32m").
 
-    A file that has grown or was rotated in place is written to the folder under a new
-    name; its known lines are then left out by their fingerprints.
+    A file that has grown or was rotated comes to the folder under a new name; ``ingest``
+    knows it by what it holds.
     """
     r = spark.readStream if max_bytes is None else spark.readStream.option("maxBytesPerTrigger", max_bytes)
-    return r.text(folder).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
+    return r.text(folder).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
 
-def ingest(stream: DataFrame, base: str, fmt="nginx", site: str = "site", checkpoint: str | None = None):
-    """Lines of a stream (line, and source_id where pushed) parsed, flagged and loaded batch by batch: a DataStreamWriter.
+def ingest(stream: DataFrame, base: str, fmt="nginx", site: str = "site", checkpoint: str | None = None, name: str = "lines"):
+    """Lines of a stream parsed, flagged and loaded batch by batch: a DataStreamWriter.
 
-    Equal lines of a source are one hit (fingerprint), so a batch that is read again adds
-    nothing. Hits are loaded however late; only sessions of a stream have a watermark.
+    Lines of files (line, file, block, and source_id where a site has several sources) are new
+    where their file's known part ends, and all count; what was read of each file is stored
+    with the hits in one step. Pushed lines (line, source_id) have no file: equal lines of a
+    source are one hit. A batch that Spark repeats adds nothing. Hits are loaded however late.
     """
-    source = stream if "source_id" in stream.columns else stream.withColumn("source_id", F.col("file") if "file" in stream.columns else F.lit(""))
+    source = stream if "source_id" in stream.columns else stream.withColumn("source_id", F.lit(""))
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        hits_ = P.parse_lines(E.stream_fingerprints(batch.select("line", "source_id")), fmt)[0]
-        store.batch_sink(base)(as_hits(hits_, site), batch_id)
+        if "file" in batch.columns:
+            lines, seen = files.new_lines(batch, store.read_table(batch.sparkSession, base, "seen_files"))
+            more = {"seen_files": seen}
+        else:
+            lines, more = E.stream_fingerprints(batch.select("line", "source_id")), None
+        store.write_batch(as_hits(P.parse_lines(lines, fmt)[0], site), base, (name, batch_id), more)
 
     w = source.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint or f"{base}/_stream")
     return w.trigger(availableNow=True)
