@@ -9,7 +9,7 @@ GAP = 1800
 SLOW_MS = 1000
 PENDING, UNKNOWN, MAINLAND = "pending", "unknown", "China"
 #: Substrings of search engines' referers (fixed values).
-SEARCH_ENGINES = ["google.", "bing.", "baidu.", "yahoo.", "duckduckgo.", "yandex.", "sogou.", "so.com", "sm.cn"]
+SEARCH_ENGINES = ["baidu.", "google.", "bing.", "sogou.", "360.", "so.com", "yahoo.", "duckduckgo.", "yandex."]
 
 
 def bind(df: DataFrame, **cols: Column) -> DataFrame:

@@ -8,7 +8,19 @@ from pyspark.sql import functions as F
 from .basics import bind
 
 #: Paths that are not page views unless configured otherwise (fixed values).
-ASSETS = [r"\.(css|js|map|json|xml|txt)$", r"\.(png|jpe?g|gif|svg|ico|webp)$", r"\.(woff2?|ttf|eot)$", "favicon.ico$", "robots.txt$", "sitemap.xml$"]
+EXCLUDED_PATHS = [
+    "favicon.ico$",
+    "robots.txt$",
+    "sitemap.xml$",
+    r"\.(?:js|css|jpg|jpeg|png|gif|svg|webp|woff|woff2|ttf|eot|ico)$",
+    "^/api/",
+    "^/ajax/",
+    "^/health$",
+    "^/_(?:nuxt|next)/",
+    "rss.xml$",
+    "feed.xml$",
+    "atom.xml$",
+]
 
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
@@ -44,12 +56,15 @@ def is_private_ip(c: Column) -> Column:
     return F.coalesce(F.lower(c).rlike(_PRIVATE), F.lit(False))
 
 
-def flag_pageviews(log: DataFrame, statuses: list[int] = (200,), patterns: list[str] = ASSETS, exclude_ips: list[str] | None = None) -> DataFrame:
-    """Status listed, address public (unless exclude_ips is an explicit empty list) and not excluded, path not an asset."""
-    path = F.lower(F.coalesce(F.try_url_decode(F.col("url")), F.col("url")))
-    ok = F.col("status_code").isin(*statuses)
+def flag_pageviews(log: DataFrame, statuses: list[int] = (200,), patterns: list[str] = EXCLUDED_PATHS, exclude_ips: list[str] | None = None) -> DataFrame:
+    """Status listed, address public (unless exclude_ips is an explicit empty list) and not excluded, no pattern in the url.
+
+    Patterns look at the decoded url as it is, letter case and query included: ``/a.css?v=1`` is a page view.
+    """
+    path = F.coalesce(F.try_url_decode(F.col("url")), F.col("url"))
+    ok = F.coalesce(F.col("status_code").isin(*statuses), F.lit(False))
     if patterns:
-        ok = ok & ~F.substring_index(path, "?", 1).rlike("|".join(patterns))
+        ok = ok & ~F.coalesce(path.rlike("|".join(f"(?:{x})" for x in patterns)), F.lit(False))
     if exclude_ips is None or exclude_ips:
         ok = ok & ~is_private_ip(F.col("ip"))
     if exclude_ips:
@@ -128,7 +143,7 @@ def stream_fingerprints(lines: DataFrame) -> DataFrame:
 # user agents: ordered rules, first match wins (fixed values)
 BOT = r"bot|spider|crawl|slurp|curl|wget|python-requests|go-http-client"
 BROWSERS = [("Edge", r"edg(e|a|ios)?/"), ("Opera", r"opr/|opera"), ("Firefox", r"firefox/|fxios/"), ("Chrome", r"chrome/|crios/"), ("Safari", r"safari/"), ("IE", r"msie |trident/")]
-SYSTEMS = [("Windows", "windows"), ("iOS", r"iphone|ipad|ipod|cfnetwork/.*darwin/"), ("Android", "android"), ("macOS", "mac os x|macintosh"), ("Linux", "linux")]
+SYSTEMS = [("Windows", "windows"), ("iOS", r"iphone|ipad|ipod"), ("Android", "android"), ("macOS", "mac os x|macintosh"), ("Linux", "linux")]
 
 
 def _first(c: Column, rules: list[tuple[str, str]], other: str) -> Column:
@@ -139,12 +154,18 @@ def _first(c: Column, rules: list[tuple[str, str]], other: str) -> Column:
 
 
 def classify_user_agents(log: DataFrame, column: str = "ua") -> DataFrame:
-    """Set browser, os, device: rules run once per distinct agent, then join back. A null agent is as an empty one."""
+    """Set browser, os, device: rules run once per distinct agent, then join back. A null agent is as an empty one.
+
+    Device: bot, apple (a native client's CFNetwork and Darwin, which name no system: the
+    browser is the program's name), tablet, mobile, desktop or other.
+    """
     u = F.lower(F.coalesce(F.col(column), F.lit("")))
-    bot = u.rlike(BOT)
-    device = F.when(u.rlike("ipad|tablet|android(?!.*mobile)"), "tablet").when(u.rlike("mobile|iphone|ipod|cfnetwork/.*darwin/"), "mobile").when(u.rlike("windows|macintosh|linux|x11"), "desktop").otherwise("other")
+    bot, native = u.rlike(BOT), u.contains("cfnetwork/") & u.contains("darwin/")
+    device = F.when(native, "apple").when(u.rlike("ipad|tablet|android(?!.*mobile)"), "tablet").when(u.rlike("mobile|iphone|ipod"), "mobile").when(u.rlike("windows|macintosh|linux|x11"), "desktop").otherwise("other")
+    program = F.regexp_extract(F.col(column), r"^\s*([^/\s]+)/", 1)
+    browser = F.when(native & (program != "") & ~u.startswith("mozilla/"), program).otherwise(_first(u, BROWSERS, "other"))
     d = log.select(column).distinct().select(
-        F.col(column).alias("__ua"), *[F.when(bot, "bot").otherwise(e).alias(n) for n, e in (("browser", _first(u, BROWSERS, "other")), ("os", _first(u, SYSTEMS, "other")), ("device", device))]
+        F.col(column).alias("__ua"), *[F.when(bot, "bot").otherwise(e).alias(n) for n, e in (("browser", browser), ("os", _first(u, SYSTEMS, "other")), ("device", device))]
     )
     return log.drop("browser", "os", "device").join(d, F.col(column).eqNullSafe(F.col("__ua")), "left").drop("__ua")
 
@@ -166,10 +187,19 @@ def is_non_mainland(domestic: Column, global_: Column) -> Column:
     return F.coalesce(known(global_) & (~is_china(global_) | (known(domestic) & domestic.rlike("|".join(OFF_MAINLAND)))), F.lit(False))
 
 
+def cut_ending(c: Column, endings: list[str], least: int = 0) -> Column:
+    """A name without the first of ``endings`` that it has, where ``least`` characters or more are left.
+
+    An ending that ends as one before it does is never the first; of the others the longest that fits is.
+    """
+    first = [e for i, e in enumerate(endings) if not any(e.endswith(x) for x in endings[:i])]
+    return F.regexp_replace(c, f"(?<=.{{{least}}})(?:{'|'.join(first)})$", "")
+
+
 def normalize_city(c: Column) -> Column:
     """A place's name for comparing: no blanks, dots or hyphens, lower case, without its ending; unknown is empty."""
     clean = F.lower(F.regexp_replace(F.trim(c), "[· -]", ""))
-    return F.when(F.trim(c).isin(*UNKNOWN_NAMES), "").otherwise(F.regexp_replace(clean, f"(?:{'|'.join(PLACE_ENDINGS)})$", ""))
+    return F.when(F.trim(c).isin(*UNKNOWN_NAMES), "").otherwise(cut_ending(clean, PLACE_ENDINGS))
 
 
 def address_ranges(rules: DataFrame) -> DataFrame:
@@ -280,14 +310,23 @@ def _part(c: Column) -> Column:
 
 
 def parse_region(c: Column) -> tuple[Column, Column, Column]:
-    """country|area|province|city|isp -> (domestic, global, has_city); '0' and '' are blank."""
+    """country|area|province|city|carrier -> (domestic, global, has_city); '0' and '' are blank, an unknown country is null.
+
+    Where the carrier stands in the city's place, province and city stand one place earlier.
+    Only 中国 has its endings cut and its city without carriers; elsewhere the parts stay as they are.
+    """
     p = F.split(c, r"\|")
-    part = [_part(F.get(p, F.lit(i))) for i in range(5)]
-    province, city = strip_suffix(part[2]), strip_suffix(part[3])
-    city = F.when(is_carrier(part[3]), None).otherwise(city)
-    home = is_china(part[0])
-    dom = F.when(home, F.nullif(F.array_join(F.array_distinct(F.array_compact(F.array(province, city))), "·"), F.lit(""))).otherwise(F.nullif(F.concat_ws("·", part[0], city), F.lit("")))
-    return F.coalesce(dom, part[0]), part[0], city.isNotNull()
+    part = [F.trim(F.coalesce(F.get(p, F.lit(i)), F.lit(""))) for i in range(5)]
+    country, early = part[0], ~is_carrier(part[4]) & is_carrier(part[3]) & ~is_carrier(part[2])
+    province, city = F.when(early, part[1]).otherwise(part[2]), F.when(early, part[2]).otherwise(part[3])
+    own_city = strip_suffix(city)
+    own_city = F.when(is_carrier(own_city) | own_city.isin("", "0"), None).otherwise(own_city)
+    own = strip_suffix(province)
+    home = F.when(~own.isin("", "0"), F.when(own_city.isNotNull() & (own_city != own), F.concat_ws("·", own, own_city)).otherwise(own)).otherwise(F.coalesce(own_city, F.lit("中国")))
+    there = F.concat_ws("·", _part(country), _part(province), _part(city))
+    known = ~country.isin("", "0")
+    domestic = F.when(country == "中国", home).when(known, F.when(there != "", there))
+    return domestic, F.when(known, country), F.coalesce(own_city != "未知", F.lit(False))
 
 
 def format_location(country: Column, code: Column, region: Column, city: Column) -> tuple[Column, Column]:
@@ -302,9 +341,11 @@ def format_location(country: Column, code: Column, region: Column, city: Column)
     return F.coalesce(domestic, F.lit("unknown")), F.coalesce(known, F.lit("unknown"))
 
 
-#: Endings of regions that are cut, carriers, and names of data centres and clouds (fixed values).
-SUFFIXES = [" Province", " City", " Autonomous Region", "维吾尔自治区", "壮族自治区", "回族自治区", "特别行政区", "自治区", "省", "市"]
-CARRIERS = ["电信", "联通", "移动", "铁通", "广电", "网通", "教育网", "长城宽带", "有线", "鹏博士", "telecom", "unicom", "china mobile"]
+#: Endings of regions, the first that fits is cut; carriers; names of data centres and clouds (fixed values).
+SUFFIXES = ["省", "市", "自治区", "维吾尔自治区", "壮族自治区", "回族自治区", "特别行政区"]
+CARRIERS = ["电信", "联通", "移动", "铁通", "广电", "网通", "教育网", "长城宽带", "有线", "鹏博士"]
+#: Endings of places, which are no carriers (fixed values).
+REGIONS = ["省", "市", "自治区", "地区", "盟", "州", "县", "区", "特别行政区"]
 DATACENTERS = [
     "机房", "idc", "data center", "datacenter", "数据中心", "腾讯", "阿里", "百度", "华为", "京东", "字节", "火山", "金山", "青云", "ucloud", "aws", "azure", "gcp",
 ]
@@ -317,13 +358,13 @@ PROVINCES = [
 
 def strip_suffix(c: Column) -> Column:
     """A name without its ending; a name that is nothing else stays."""
-    return F.regexp_replace(c, f"(?<=.)(?:{'|'.join(SUFFIXES)})$", "")
+    return cut_ending(c, SUFFIXES, 1)
 
 
 def is_carrier(c: Column) -> Column:
     """A carrier's name; what ends as a place does is none."""
-    place = F.trim(c).rlike(f"(?:{'|'.join(PLACE_ENDINGS)})$")
-    return F.coalesce(~place & F.lower(c).rlike("|".join(CARRIERS)), F.lit(False))
+    place = F.trim(c).rlike(f"(?:{'|'.join(REGIONS)})$")
+    return F.coalesce(~place & F.trim(c).rlike("|".join(CARRIERS)), F.lit(False))
 
 
 def province_of(c: Column) -> Column:

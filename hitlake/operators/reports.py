@@ -5,11 +5,13 @@ A report counts the hits it is given: ask for one site by filtering on site_id f
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .basics import MAINLAND, SEARCH_ENGINES, SLOW_MS, day, hour, in_range, pv, share, spine, status_counts, url_filter, uv
-from .sessions import entry_pages, session_metrics_of_hits, session_summary, sessionize
+from .sessions import VISITOR, entry_pages, merge_parts, session_parts, sessionize
 
 
 def is_search(c: Column) -> Column:
@@ -21,9 +23,10 @@ def is_direct(c: Column) -> Column:
 
 
 def referer_label(c: Column, domains: list[str]) -> Column:
+    """direct, internal (a url of one of the domains itself, not of a host below it) or the referer."""
     own = F.lit(False)
     for d in domains:
-        own = own | F.lower(c).rlike(rf"^https?://([^/]*\.)?{d.replace('.', '[.]')}([:/]|$)")
+        own = own | c.rlike(rf"(?s)^http.*://{re.escape(d)}(?:[/:].*)?$")
     return F.when(is_direct(c), "direct").when(own, "internal").otherwise(c)
 
 
@@ -84,7 +87,8 @@ def status_hits(log: DataFrame, start: int, end: int) -> DataFrame:
 
 
 def active_visitors(log: DataFrame, now: int, minutes: int = 15) -> DataFrame:
-    return log.where(pv() & (F.col("timestamp") >= now - minutes * 60) & (F.col("timestamp") <= now)).agg(uv().alias("active"))
+    """Visitors of the last minutes, a hit at ``now`` not among them."""
+    return log.where(pv() & in_range(now - minutes * 60, now)).agg(uv().alias("active"))
 
 
 def new_returning(log: DataFrame, first: DataFrame, start: int, end: int) -> DataFrame:
@@ -93,40 +97,123 @@ def new_returning(log: DataFrame, first: DataFrame, start: int, end: int) -> Dat
     return act.agg(F.count_if(new).alias("new"), F.count_if(~F.coalesce(new, F.lit(False))).alias("returning"))
 
 
+_COUNTS = ("traffic", "s2xx", "s3xx", "s4xx", "s5xx", "other")
+_SUMS = ("pv", *_COUNTS, "sessions", "bounces", "seconds")
+SNAPSHOT = ("pv", "uv", "sessions")
+
+
+def range_stats(log: DataFrame, ranges: dict[str, tuple[int, int]], first: DataFrame | None = None, entries: int = 0) -> DataFrame:
+    """A row for each named range [start, end) that has hits, from one pass over the hits.
+
+    A hit is tagged with the ranges it lies in and repeated only for those; sessions are
+    cut by (tag, visitor), so a range's sessions are those of its hits alone, and counts, status
+    classes, sessions and visitors are then summed up by address and by range. Columns: tag,
+    pv, uv, traffic, status classes, sessions, bounces, seconds (of all sessions),
+    new and returning (with ``first``: site_id, ip, first_ts), and entries, the first
+    ``entries`` entry pages by count as an array of (count, url).
+    """
+    tags = F.array_compact(F.array(*[F.when(in_range(a, b), F.lit(k)) for k, (a, b) in ranges.items()]))
+    inside = F.lit(False)
+    for a, b in ranges.values():
+        inside = inside | in_range(a, b)
+    viewed = F.coalesce(pv(), F.lit(False))
+    s = F.col("status_code")
+    kinds = {f"s{k}xx": s.between(k * 100, k * 100 + 99) for k in (2, 3, 4, 5)} | {"other": (s < 200) | (s >= 600)}
+    h = log.where(inside).select(
+        *VISITOR, "timestamp", "id", "url", "domestic", "global", viewed.alias("viewed"), F.when(viewed, F.col("bytes_sent")).otherwise(0).alias("traffic"),
+        *[F.coalesce(c.cast("long"), F.lit(0)).alias(k) for k, c in kinds.items()], F.explode(tags).alias("tag"),
+    )
+    keys = ["tag", "viewed", *VISITOR]
+    one = merge_parts(session_parts(h, keys=keys, sums=_COUNTS), keys=keys, sums=_COUNTS)
+    of_views = lambda c: F.when(F.col("viewed"), c).otherwise(0).cast("long")
+    own = {"pv": of_views(F.col("page_count")), **{c: F.col(c) for c in _COUNTS}, "sessions": of_views(F.lit(1)), "bounces": of_views((F.col("page_count") <= 1).cast("int")),
+           "seconds": of_views(F.col("end_ts") - F.col("start_ts"))}
+    row = lambda kind, site, key, cols: F.struct(F.lit(kind).alias("kind"), site.alias("site_id"), F.col(key).alias("key"), *[v.cast("long").alias(k) for k, v in cols.items()])
+    rows = [row("ip", F.col("site_id"), "ip", own)]
+    if entries:
+        rows.append(F.when(F.col("viewed"), row("entry", F.lit(None).cast("string"), "entry_url", {k: F.lit(int(k == "sessions")) for k in own})))
+    by = one.select("tag", F.inline(F.array_compact(F.array(*rows)))).groupBy("tag", "kind", "site_id", "key").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    fresh = F.lit(False)
+    if first is not None:
+        by = by.join(first.select("site_id", F.col("ip").alias("key"), "first_ts"), ["site_id", "key"], "left")
+        for k, (a, b) in ranges.items():
+            fresh = fresh | ((F.col("tag") == k) & F.col("first_ts").between(a, b - 1))
+    seen = (F.col("kind") == "ip") & (F.col("pv") > 0)
+    new = F.coalesce(fresh, F.lit(False))
+    by = by.groupBy("tag", "kind", "key").agg(*[F.sum(c).alias(c) for c in _SUMS], F.count_if(seen & new).alias("new"), F.count_if(seen & ~new).alias("returning"))
+    if entries:  # addresses each are a group of one, entry pages one group of which the first stay
+        w = Window.partitionBy("tag", "kind", F.when(F.col("kind") == "ip", F.col("key"))).orderBy(F.desc("sessions"), "key")
+        by = by.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= entries)
+    mine = F.col("kind") == "ip"
+    listed = F.array_sort(F.collect_list(F.when(~mine, F.struct((-F.col("sessions")).alias("c"), F.col("key").alias("entry_url")))))
+    return by.groupBy("tag").agg(
+        F.count_if(seen & F.col("key").isNotNull()).alias("uv"), *[F.sum(F.when(mine, F.col(c))).alias(c) for c in (*_SUMS, "new", "returning")],
+        F.transform(listed, lambda x: F.struct((-x["c"]).alias("count"), x["entry_url"].alias("entry_url"))).alias("entries"),
+    )
+
+
+def _at(tag: str, c: str) -> Column:
+    """What ``range_stats`` has for a tag, 0 where it has none: an aggregate over its rows."""
+    return F.coalesce(F.max(F.when(F.col("tag") == tag, F.col(c))), F.lit(0))
+
+
+def _flat(stats: DataFrame, columns: dict[str, tuple[str, str]], *more: Column) -> DataFrame:
+    """One row: each column the value at (tag, name)."""
+    return stats.agg(*[_at(tag, c).alias(name) for name, (tag, c) in columns.items()], *more)
+
+
 def snapshot(log: DataFrame, start: int, end: int) -> DataFrame:
     """(pv, uv, sessions) of a range, one row."""
-    f = log.where(in_range(start, end))
-    a = f.agg(F.count_if(pv()).alias("pv"), uv(pv()).alias("uv"))
-    return a.join(F.broadcast(sessionize(f).agg(F.count("*").alias("sessions"))))  # one row each
+    return _flat(range_stats(log, {"it": (start, end)}), {c: ("it", c) for c in SNAPSHOT})
+
+
+def _compared(start: int, end: int, previous: int, now: int) -> dict[str, tuple[int, int]]:
+    length, elapsed = end - start, min(max(now - start, 0), end - start)
+    return {"current": (start, end), "previous": (previous, previous + length), "same_time": (previous, previous + elapsed)}
 
 
 def compare(log: DataFrame, start: int, end: int, previous: int, now: int) -> DataFrame:
     """Range, previous range and previous range up to the same elapsed time, one row."""
-    length, elapsed = end - start, min(max(now - start, 0), end - start)
-    parts = [snapshot(log, start, end), snapshot(log, previous, previous + length), snapshot(log, previous, previous + elapsed)]
-    out = None
-    for name, p in zip(("current", "previous", "same_time"), parts, strict=True):
-        p = p.select(*[F.col(c).alias(f"{name}_{c}") for c in p.columns])
-        out = p if out is None else out.join(F.broadcast(p))  # one row each
-    return out
+    ranges = _compared(start, end, previous, now)
+    return _flat(range_stats(log, ranges), {f"{k}_{c}": (k, c) for k in ranges for c in SNAPSHOT})
 
 
 def forecast(log: DataFrame, start: int, end: int, now: int) -> DataFrame:
-    """Blend of progress scaling and the last two hours' rate; 0.7 / 0.5 / 0.3 by length."""
+    """What the whole range will come to, from what is there at ``now``: pv, uv and sessions, one row."""
+    cols = {c: ("done", c) for c in SNAPSHOT} | {f"r_{c}": ("recent", c) for c in SNAPSHOT}
+    return _flat(range_stats(log, _recent(start, end, now)), cols).select(*forecast_columns(start, end, now))
+
+
+def _recent(start: int, end: int, now: int) -> dict[str, tuple[int, int]]:
+    """The part of the range that is over, and its last two hours at most."""
+    now = min(max(now, start), end)
+    return {"done": (start, now), "recent": (max(now - 7200, start), now)}
+
+
+def forecast_columns(start: int, end: int, now: int, done: str = "", recent: str = "r_") -> list[Column]:
+    """Forecasts over the columns of a snapshot up to ``now`` and of one of the last two hours before it.
+
+    By progress: the counts scaled by the share of time gone. By rate: that, and the last hours'
+    rate over the time left. Both are rounded and blended, the rate with 0.7 up to a day, 0.5
+    up to a week, 0.3 beyond. With less than half an hour, no time left or nothing in the last
+    hours it is the first alone.
+    """
     now = min(max(now, start), end)
     elapsed, left, length = now - start, end - now, end - start
-    recent = max(min(7200, elapsed), 1)
+    window = min(7200, elapsed)
     weight = 0.7 if length <= 86400 else 0.5 if length <= 7 * 86400 else 0.3
-    done = snapshot(log, start, now)
-    last = snapshot(log, now - recent, now).select(*[F.col(c).alias(f"r_{c}") for c in ("pv", "uv", "sessions")])
-    j = done.join(F.broadcast(last))  # one row each
+    idle = F.lit(True)
+    for c in SNAPSHOT:
+        idle = idle & (F.col(recent + c) == 0)
 
     def one(c: str) -> Column:
-        by_progress = F.col(c) * (length / max(elapsed, 1))
-        by_rate = F.col(c) + F.col(f"r_{c}") * (left / recent) if recent >= 1800 else by_progress
-        return F.round(by_progress * weight + by_rate * (1 - weight)).cast("long").alias(f"forecast_{c}")
+        scaled = F.round(F.col(done + c) * (length / elapsed)) if 0 < elapsed < length else F.col(done + c).cast("double")
+        if window < 1800 or left <= 0:
+            return scaled.cast("long").alias(f"forecast_{c}")
+        rated = F.round(scaled + F.col(recent + c) / window * left)
+        return F.when(idle, scaled).otherwise(F.round(rated * weight + scaled * (1 - weight))).cast("long").alias(f"forecast_{c}")
 
-    return j.select(*[one(c) for c in ("pv", "uv", "sessions")])
+    return [one(c) for c in SNAPSHOT]
 
 
 def timeseries(log: DataFrame, start: int, end: int, grain: str = "hourly", url_like: str | None = None) -> DataFrame:
@@ -139,28 +226,31 @@ def timeseries(log: DataFrame, start: int, end: int, grain: str = "hourly", url_
 
 
 def minute_series(log: DataFrame, now: int, minutes: int = 30) -> DataFrame:
-    first = now // 60 * 60 - (minutes - 1) * 60
-    g = log.where(pv() & in_range(first, now + 1)).groupBy((F.expr("timestamp div 60") * 60).alias("bucket")).agg(uv().alias("uv"))
+    """UV of each minute from the one in which the window begins, ``minutes`` of them, zero-filled; hits of the window count."""
+    first = (now - minutes * 60) // 60 * 60
+    g = log.where(pv() & in_range(now - minutes * 60, now)).groupBy((F.expr("timestamp div 60") * 60).alias("bucket")).agg(uv().alias("uv"))
     return spine(log.sparkSession, first, first + minutes * 60, 60).join(g, "bucket", "left").na.fill(0, ["uv"])
 
 
 def device_breakdown(log: DataFrame, now: int, minutes: int = 30) -> DataFrame:
-    """UV per device, summed by category on purpose (a visitor with two devices counts twice)."""
-    g = log.where(pv() & in_range(now - minutes * 60, now + 1)).groupBy("device", "os").agg(uv().alias("uv"))
-    cat = F.when(F.col("os").isin("iOS", "macOS"), "apple").when(F.col("device") == "desktop", "pc").when(F.col("device").isin("mobile", "tablet", "phone"), "mobile").otherwise("other")
-    return g.groupBy(cat.alias("category")).agg(F.sum("uv").alias("uv")).withColumn("share", share("uv", 6))
+    """UV per device, summed by category on purpose (a visitor with two devices counts twice): four rows, pc, mobile, apple and other."""
+    g = log.where(pv() & in_range(now - minutes * 60, now)).groupBy("device").agg(uv().alias("uv"))
+    cat = F.when(F.col("device") == "desktop", "pc").when(F.col("device").isin("mobile", "tablet"), "mobile").when(F.col("device") == "apple", "apple").otherwise("other")
+    sums = g.groupBy(cat.alias("category")).agg(F.sum("uv").alias("uv"))
+    rows = log.sparkSession.createDataFrame([(x,) for x in ("pc", "mobile", "apple", "other")], "category string").join(F.broadcast(sums), "category", "left")  # four rows
+    return rows.na.fill(0, ["uv"]).withColumn("share", share("uv", 6))
 
 
 def realtime_top(log: DataFrame, kind: str, now: int, minutes: int = 30, n: int = 10, domains: list[str] = ()) -> DataFrame:
     """Top keys of the window: by PV for url, by UV otherwise; blank keys are 'unknown'."""
     key, _ = key_column(kind, domains)
     value = F.count("*") if kind == "url" else uv()
-    g = log.where(pv() & in_range(now - minutes * 60, now + 1)).groupBy(F.when(F.trim(key) == "", "unknown").otherwise(key).alias("key")).agg(value.alias("value"))
+    g = log.where(pv() & in_range(now - minutes * 60, now)).groupBy(F.when(F.trim(key) == "", "unknown").otherwise(key).alias("key")).agg(value.alias("value"))
     return g.orderBy(F.desc("value"), "key").limit(n).withColumn("share", share("value", 6))
 
 
 def realtime_entries(log: DataFrame, now: int, minutes: int = 30, n: int = 10) -> DataFrame:
-    return entry_pages(sessionize(log.where(in_range(now - minutes * 60, now + 1))), n)
+    return entry_pages(sessionize(log.where(in_range(now - minutes * 60, now))), n)
 
 
 def _day_metrics() -> list[Column]:
@@ -284,17 +374,13 @@ def overall(log: DataFrame, first: DataFrame, start: int, end: int, previous: tu
 
     Everything is counted in [start, end) of hits that the url filter leaves; ``first`` is ``first_seen``.
     """
-    f = log.where(url_filter(url_like))
-    named = lambda df, prefix: df.select(*[F.col(c).alias(f"{prefix}_{c}") for c in df.columns])
-    parts = [
-        totals_filtered(f, start, end), session_metrics_of_hits(f, start, end, n=n), active_visitors(f, now), new_returning(f, first, start, end),
-        named(new_returning(f, first, *previous), "previous"), status_hits(f, start, end), named(status_hits(f, *previous), "previous"),
-        compare(f, start, end, previous[0], now).drop("current_pv", "current_uv", "current_sessions"), forecast(f, start, end, now),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(F.broadcast(p))  # one row each
-    return out
+    ranges = _compared(start, end, previous[0], now) | {"before": previous, "active": (now - 900, now)} | _recent(start, end, now)
+    plain, split, status = ("pv", "uv", "traffic", "sessions"), ("new", "returning"), ("s2xx", "s3xx", "s4xx", "s5xx", "other")
+    cols = {c: ("current", c) for c in (*plain, *split, *status)} | {"active": ("active", "uv")} | {f"previous_{c}": ("before", c) for c in (*split, *status)}
+    cols |= {f"{k}_{c}": (k, c) for k in ("previous", "same_time", "done", "recent") for c in SNAPSHOT}
+    top = F.max(F.when(F.col("tag") == "current", F.transform("entries", lambda x: F.struct(x["entry_url"].alias("entry_url"), x["count"].alias("count")))))
+    one = _flat(range_stats(log.where(url_filter(url_like)), ranges, first, n), cols, F.to_json(F.coalesce(top, F.array())).alias("entries"))
+    return one.select("*", *forecast_columns(start, end, now, "done_", "recent_")).drop(*[f"{k}_{c}" for k in ("done", "recent") for c in SNAPSHOT])
 
 
 def _rate(value: Column, previous: Column) -> Column:
@@ -304,14 +390,17 @@ def _rate(value: Column, previous: Column) -> Column:
 def kpi_cards(log: DataFrame, start: int, end: int, previous: tuple[int, int]) -> DataFrame:
     """A row for each figure of the dashboard: value, previous, delta, rate (null when previous is 0)."""
 
-    def figures(a: int, b: int, name: str) -> DataFrame:
-        f = log.where(in_range(a, b))
-        one = f.agg(F.count_if(pv()).alias("pv"), uv(pv()).alias("uv")).join(F.broadcast(session_summary(sessionize(f))))  # one row each
-        cards = {"pv": F.col("pv"), "uv": F.col("uv"), "sessions": F.col("sessions"), "bounce_rate": F.col("bounce_rate"), "duration": F.col("mean_duration"),
-                 "pv_per_visitor": F.when(F.col("uv") > 0, F.col("pv") / F.col("uv")).otherwise(0.0)}
-        return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("card"), F.round(v.cast("double"), 6).alias(name)) for k, v in cards.items()])))
+    stats = range_stats(log, {"value": (start, end), "previous": previous})
+
+    def cards(tag: str) -> dict[str, Column]:
+        x = {c: _at(tag, c) for c in ("pv", "uv", "sessions", "bounces", "seconds")}
+        some = lambda by, v: F.when(by > 0, v).otherwise(0.0)
+        return {"pv": x["pv"], "uv": x["uv"], "sessions": x["sessions"], "bounce_rate": some(x["sessions"], x["bounces"] / x["sessions"]),
+                "duration": some(x["sessions"], F.floor(x["seconds"] / x["sessions"])), "pv_per_visitor": some(x["uv"], x["pv"] / x["uv"])}
 
-    j = figures(start, end, "value").join(F.broadcast(figures(*previous, "previous")), "card")  # six rows
+    now, before = cards("value"), cards("previous")
+    rows = [F.struct(F.lit(k).alias("card"), F.round(now[k].cast("double"), 6).alias("value"), F.round(before[k].cast("double"), 6).alias("previous")) for k in now]
+    j = stats.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
     return j.withColumn("delta", F.round(F.col("value") - F.col("previous"), 6)).withColumn("rate", _rate(F.col("value"), F.col("previous")))
 
 

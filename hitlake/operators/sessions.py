@@ -12,36 +12,37 @@ VISITOR = ["site_id", "ip", "browser", "os", "device"]
 CHUNK = 86400
 
 
-def session_parts(log: DataFrame, gap: int = GAP, chunk: Column | None = None) -> DataFrame:
-    """Sessions within chunks of time (``chunk``, a day by default): (visitor, chunk, first and last hit's columns).
+def session_parts(log: DataFrame, gap: int = GAP, chunk: Column | None = None, keys: list[str] = VISITOR, sums: tuple[str, ...] = ()) -> DataFrame:
+    """Sessions within chunks of time (``chunk``, a day by default): (keys, chunk, first and last hit's columns).
 
-    A part needs only its own hits, so it can be stored by day and by load.
+    A part needs only its own hits, so it can be stored by day and by load. With other
+    ``keys`` than a visitor, all hits count and not page views alone; ``sums`` are added up.
     """
-    w = Window.partitionBy(*VISITOR, "chunk").orderBy("timestamp", "id")
-    h = log.where(pv()).withColumn("chunk", F.floor(F.col("timestamp") / CHUNK) if chunk is None else chunk)
+    w = Window.partitionBy(*keys, "chunk").orderBy("timestamp", "id")
+    h = (log.where(pv()) if keys is VISITOR else log).withColumn("chunk", F.floor(F.col("timestamp") / CHUNK) if chunk is None else chunk)
     h = h.withColumn("new", (F.col("timestamp") - F.lag("timestamp").over(w) > gap).cast("int"))
     h = h.withColumn("no", F.sum(F.coalesce("new", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     at = F.struct("timestamp", "id")
-    return h.groupBy(*VISITOR, "chunk", "no").agg(
+    return h.groupBy(*keys, "chunk", "no").agg(
         F.min_by("domestic", at).alias("domestic"), F.min_by("global", at).alias("global"), F.min("timestamp").alias("start_ts"),
         F.max("timestamp").alias("end_ts"), F.min_by("url", at).alias("entry_url"), F.max_by("url", at).alias("exit_url"), F.count("*").alias("page_count"),
-        F.min_by("id", at).alias("start_id"), F.max_by("id", at).alias("end_id"),
+        F.min_by("id", at).alias("start_id"), F.max_by("id", at).alias("end_id"), *[F.sum(c).alias(c) for c in sums],
     ).drop("no")
 
 
-def merge_parts(parts: DataFrame, gap: int = GAP) -> DataFrame:
+def merge_parts(parts: DataFrame, gap: int = GAP, keys: list[str] = VISITOR, sums: tuple[str, ...] = ()) -> DataFrame:
     """Whole sessions of parts: those of one visitor with gaps of at most ``gap`` are one.
 
     Parts may overlap, as those of loads with late hits do: inside a part no gap is longer.
     """
-    w = Window.partitionBy(*VISITOR).orderBy("start_ts", "start_id")
+    w = Window.partitionBy(*keys).orderBy("start_ts", "start_id")
     before = F.max("end_ts").over(w.rowsBetween(Window.unboundedPreceding, -1))
     p = parts.withColumn("new", (F.col("start_ts") - before > gap).cast("int"))
     p = p.withColumn("no", F.sum(F.coalesce("new", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     first, last = F.struct("start_ts", "start_id"), F.struct("end_ts", "end_id")
-    return p.groupBy(*VISITOR, "no").agg(
+    return p.groupBy(*keys, "no").agg(
         F.min_by("domestic", first).alias("domestic"), F.min_by("global", first).alias("global"), F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"),
-        F.min_by("entry_url", first).alias("entry_url"), F.max_by("exit_url", last).alias("exit_url"), F.sum("page_count").alias("page_count"),
+        F.min_by("entry_url", first).alias("entry_url"), F.max_by("exit_url", last).alias("exit_url"), F.sum("page_count").alias("page_count"), *[F.sum(c).alias(c) for c in sums],
     ).drop("no")
 
 

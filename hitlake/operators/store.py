@@ -18,6 +18,7 @@ Hits without a site or a time can be in no table by site and day; they are kept
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 
 from pyspark import StorageLevel
@@ -96,11 +97,10 @@ def _write(df: DataFrame, base: str, path: str) -> None:
 
 
 def _write_parts(tables: dict[str, DataFrame], base: str, mine: str, rows: int, merged: bool = False) -> dict[str, list[dict]]:
-    out = {}
-    for name, df in tables.items():
-        _write(df, base, f"{name}/part={mine}")
-        out[name] = [V.part(f"{name}/part={mine}", rows, merged)]
-    return out
+    if tables:
+        with ThreadPoolExecutor(len(tables)) as pool:  # small jobs that do not wait for each other
+            list(pool.map(lambda name: _write(tables[name], base, f"{name}/part={mine}"), tables))
+    return {name: [V.part(f"{name}/part={mine}", rows, merged)] for name in tables}
 
 
 def _parts_of(new: DataFrame, base: str, mine: str) -> dict[str, list[dict]]:

@@ -82,9 +82,9 @@ def _rank_sql(key: str, where: str = "true", url: bool = False, n: int = 10) ->
 SELECT key, pv, uv, round(pv / sum(pv) OVER (), 6) AS pv_share, round(uv / sum(uv) OVER (), 6) AS uv_share FROM t"""
 
 
-_KIND = "CASE WHEN referer IN ('-', '') THEN 'direct' WHEN regexp_matches(lower(referer), 'google\\.|bing\\.|baidu\\.|yahoo\\.|duckduckgo\\.|yandex\\.|sogou\\.|so\\.com|sm\\.cn') THEN 'search' ELSE 'external' END"
-_LABEL = "CASE WHEN referer IN ('-', '') THEN 'direct' WHEN regexp_matches(lower(referer), '^https?://([^/]*\\.)?example[.]com([:/]|$)') THEN 'internal' ELSE referer END"
-_RT = f"timestamp >= {NOW - 7200} AND timestamp < {NOW + 1}"
+_KIND = "CASE WHEN referer IN ('-', '') THEN 'direct' WHEN regexp_matches(lower(referer), 'baidu\\.|google\\.|bing\\.|sogou\\.|360\\.|so\\.com|yahoo\\.|duckduckgo\\.|yandex\\.') THEN 'search' ELSE 'external' END"
+_LABEL = "CASE WHEN referer IN ('-', '') THEN 'direct' WHEN referer LIKE 'http%://example.com/%' OR referer LIKE 'http%://example.com' OR referer LIKE 'http%://example.com:%' THEN 'internal' ELSE referer END"
+_RT = f"timestamp >= {NOW - 7200} AND timestamp < {NOW}"
 _DAYM = (
     "count(*) AS requests, count(*) FILTER (status_code BETWEEN 400 AND 499) AS s4xx, count(*) FILTER (status_code BETWEEN 500 AND 599) AS s5xx, "
     "count(*) FILTER (request_time_ms >= 1000) AS slow, count(*) FILTER (request_time_ms > 0) AS timed, count(*) FILTER (upstream_response_time_ms > 0) AS upstream_timed, "
@@ -136,13 +136,13 @@ SELECT rule_type, ip, count(*) AS hits, min(timestamp) AS first_ts, arg_min(url,
 
 
 def _ranges(log: DataFrame) -> DataFrame:
-    rows = [(_NET, _NET + 99, "China|0|Guangdong Province|Shenzhen City|Telecom"), (_NET + 100, _NET + 199, "China|0|Beijing|0|Unicom"), (_NET + 200, _NET + 255, "Japan|0|0|Tokyo|0")]
+    rows = [(_NET, _NET + 99, "中国|广东省|深圳市|电信|0"), (_NET + 100, _NET + 199, "中国|0|北京|0|联通"), (_NET + 200, _NET + 255, "Japan|0|Osaka|Sakai City|0")]
     return log.sparkSession.createDataFrame(rows, "lo long, hi long, region string")
 
 
 _LOCATE = LOG + f""", i AS (SELECT DISTINCT ip FROM log), n AS (SELECT ip, {_IPN} - {_NET} AS o FROM i)
-SELECT ip, CASE WHEN ip LIKE '10.%' THEN 'intranet' WHEN o BETWEEN 0 AND 99 THEN 'Guangdong·Shenzhen' WHEN o BETWEEN 100 AND 199 THEN 'Beijing' WHEN o BETWEEN 200 AND 255 THEN 'Japan·Tokyo' ELSE 'unknown' END AS domestic,
-CASE WHEN ip LIKE '10.%' THEN 'intranet' WHEN o BETWEEN 0 AND 199 THEN 'China' WHEN o BETWEEN 200 AND 255 THEN 'Japan' ELSE 'unknown' END AS global,
+SELECT ip, CASE WHEN ip LIKE '10.%' THEN 'intranet' WHEN o BETWEEN 0 AND 99 THEN '广东·深圳' WHEN o BETWEEN 100 AND 199 THEN '北京' WHEN o BETWEEN 200 AND 255 THEN 'Japan·Osaka·Sakai City' ELSE 'unknown' END AS domestic,
+CASE WHEN ip LIKE '10.%' THEN 'intranet' WHEN o BETWEEN 0 AND 199 THEN '中国' WHEN o BETWEEN 200 AND 255 THEN 'Japan' ELSE 'unknown' END AS global,
 (o BETWEEN 0 AND 99 OR o BETWEEN 200 AND 255) AS has_city FROM n"""
 
 
@@ -217,7 +217,32 @@ def _address():
 
 
 def _place(i: int):
-    return _by_id(*[("台湾·台北市", "广东省·深圳市", "Tokyo", "未知", "New - York")[k] for k in range(5)]) if i == 0 else _by_id("中国", "China", "Japan", "", "")
+    return _by_id(*[("台湾·台北市", "新疆维吾尔自治区", "Tokyo", "未知", "New - York")[k] for k in range(5)]) if i == 0 else _by_id("中国", "China", "Japan", "", "")
+
+
+#: Paths and whether they are page views; referers, their label at example.com and kind; regions and their location.
+_PATHS = [("/index.html", 1), ("/api/orders", 0), ("/apiary", 1), ("/ajax/x", 0), ("/health", 0), ("/health/x", 1), ("/_next/a", 0), ("/data.json", 1), ("/notes.txt", 1), ("/a.CSS", 1), ("/a.css", 0), ("/a.css?v=1", 1), ("/x/rss.xml", 0), ("/favicon.ico", 0)]
+_REFERERS = [
+    ("-", "direct", "direct"), ("https://example.com/a", "internal", "external"), ("http://example.com", "internal", "external"), ("http://example.com:8080/x", "internal", "external"),
+    ("https://www.example.com/a", "https://www.example.com/a", "external"), ("https://EXAMPLE.com/", "https://EXAMPLE.com/", "external"), ("https://www.360.cn/s", "https://www.360.cn/s", "search"), ("https://m.sm.cn/s", "https://m.sm.cn/s", "external"),
+    ("https://www.so.com/s", "https://www.so.com/s", "search"), ("https://a.test/?u=http://example.com/", "internal", "external"),
+]
+_REGIONS = [
+    ("中国|0|广东省|深圳市|电信", "'广东·深圳'", "'中国'", "true"), ("中国|广东省|深圳市|电信|0", "'广东·深圳'", "'中国'", "true"), ("中国|0|北京|北京市|联通", "'北京'", "'中国'", "true"), ("中国|0|新疆维吾尔自治区|0|移动", "'新疆维吾尔'", "'中国'", "false"),
+    ("中国|0|0|0|0", "'中国'", "'中国'", "false"), ("中国|0|浙江省|电信|0", "'浙江'", "'中国'", "true"), ("Mexico|0|0|Mexico City|0", "'Mexico·Mexico City'", "'Mexico'", "true"), ("Japan|0|Osaka|Sakai|0", "'Japan·Osaka·Sakai'", "'Japan'", "true"), ("0|0|0|0|0", "NULL", "NULL", "false"),
+]
+
+
+def _path():
+    return _by_id(*[u for u, _ in _PATHS])
+
+
+def _referer():
+    return _by_id(*[r for r, _, _ in _REFERERS])
+
+
+def _region():
+    return _by_id(*[r for r, *_ in _REGIONS])
 
 
 def _label():
@@ -252,11 +277,19 @@ def _snap_sql(a: int, b: int, name: str) -> str:
     return _sessions(_rng(a, b), name=f"ses_{name}") + f", sn_{name} AS (SELECT count(*) AS pv, count(DISTINCT ip) AS uv, (SELECT count(*) FROM ses_{name}) AS sessions FROM pv WHERE {_rng(a, b)})"
 
 
-def _forecast_sql() -> str:
-    a, b, recent = DAY, DAY + 86400, 7200
-    el, left = NOW - a, b - NOW
-    cols = ", ".join(f"cast(round((d.{c} * ({b - a} / {el})) * 0.7 + (d.{c} + r.{c} * ({left} / {recent})) * 0.3) AS bigint) AS forecast_{c}" for c in ("pv", "uv", "sessions"))
-    return LOG + _snap_sql(a, NOW, "d") + _snap_sql(NOW - recent, NOW, "r") + f" SELECT {cols} FROM sn_d d, sn_r r"
+def _apple(g: DataFrame) -> DataFrame:
+    return g.withColumn("device", F.when(F.col("id") % 5 == 0, "apple").otherwise(F.col("device")))
+
+
+def _forecasts(a: int, b: int, now: int, weight: float, recent: int = 7200) -> str:
+    """Forecast columns over snapshots d (up to now) and r (the last two hours)."""
+    by = lambda c: f"round(d.{c} * ({(b - a) / (now - a)!r}))"
+    one = lambda c: f"round(round({by(c)} + r.{c} / {recent} * {b - now}) * {weight} + {by(c)} * {1 - weight!r})"
+    return ", ".join(f"cast(CASE WHEN r.pv = 0 AND r.uv = 0 AND r.sessions = 0 THEN {by(c)} ELSE {one(c)} END AS bigint) AS forecast_{c}" for c in ("pv", "uv", "sessions"))
+
+
+def _forecast_sql(b: int, weight: float) -> str:
+    return LOG + _snap_sql(DAY, NOW, "d") + _snap_sql(NOW - 7200, NOW, "r") + f" SELECT {_forecasts(DAY, b, NOW, weight)} FROM sn_d d, sn_r r"
 
 
 Entry = tuple[Callable[[DataFrame], DataFrame], str]
@@ -317,7 +350,7 @@ def _table() -> dict[str, Entry]:
         "totals": (lambda g: M.totals(M.agg_daily(g), M.agg_daily_ip(g), "2024-01-05", "2024-01-20"), LOG + "SELECT count(*) AS pv, sum(bytes_sent)::bigint AS traffic, count(DISTINCT ip) AS uv FROM pv WHERE day BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'"),
         "totals_filtered": (lambda g: R.totals_filtered(g, START, MID, "/view"), LOG + f"SELECT count(*) AS pv, count(DISTINCT ip) AS uv, sum(bytes_sent)::bigint AS traffic FROM pv WHERE {_rng(START, MID)} AND contains(url, '/view')"),
         "status_hits": (lambda g: R.status_hits(g, START, MID), LOG + f"SELECT {_ST} FROM log WHERE {_rng(START, MID)}"),
-        "active_visitors": (lambda g: R.active_visitors(g, NOW, 60), LOG + f"SELECT count(DISTINCT ip) AS active FROM pv WHERE timestamp BETWEEN {NOW - 3600} AND {NOW}"),
+        "active_visitors": (lambda g: R.active_visitors(g, NOW, 60), LOG + f"SELECT count(DISTINCT ip) AS active FROM pv WHERE timestamp >= {NOW - 3600} AND timestamp < {NOW}"),
         "new_returning": (
             lambda g: R.new_returning(g, M.first_seen(g), MID, END),
             LOG + f", f AS (SELECT ip, min(timestamp) AS t FROM pv GROUP BY 1), a AS (SELECT DISTINCT ip FROM pv WHERE {_rng(MID, END)}) SELECT count(*) FILTER (t >= {MID} AND t < {END}) AS new, count(*) FILTER (NOT (t >= {MID} AND t < {END})) AS returning FROM a JOIN f USING (ip)",
@@ -328,7 +361,9 @@ def _table() -> dict[str, Entry]:
             LOG + _snap_sql(DAY, DAY + 86400, "a") + _snap_sql(DAY - 86400, DAY, "b") + _snap_sql(DAY - 86400, NOW - 86400, "c")
             + "SELECT a.pv AS current_pv, a.uv AS current_uv, a.sessions AS current_sessions, b.pv AS previous_pv, b.uv AS previous_uv, b.sessions AS previous_sessions, c.pv AS same_time_pv, c.uv AS same_time_uv, c.sessions AS same_time_sessions FROM sn_a a, sn_b b, sn_c c",
         ),
-        "forecast": (lambda g: R.forecast(g, DAY, DAY + 86400, NOW), _forecast_sql()),
+        "forecast": (lambda g: R.forecast(g, DAY, DAY + 86400, NOW), _forecast_sql(DAY + 86400, 0.7)),
+        "forecast_week": (lambda g: R.forecast(g, DAY, DAY + 7 * 86400, NOW), _forecast_sql(DAY + 7 * 86400, 0.5)),
+        "forecast_month": (lambda g: R.forecast(g, DAY, DAY + 30 * 86400, NOW), _forecast_sql(DAY + 30 * 86400, 0.3)),
         "timeseries_hourly": (
             lambda g: R.timeseries(g, DAY, DAY + 86400), LOG + f", s AS (SELECT unnest(range({DAY}, {DAY + 86400}, 3600)) AS bucket), g AS (SELECT hour AS bucket, count(*) AS p, count(DISTINCT ip) AS u FROM pv WHERE {_rng(DAY, DAY + 86400)} GROUP BY 1) SELECT bucket, coalesce(p, 0) AS pv, coalesce(u, 0) AS uv, coalesce(p, 0) - coalesce(u, 0) AS pv_minus_uv FROM s LEFT JOIN g USING (bucket)",
         ),
@@ -370,11 +405,13 @@ def _table() -> dict[str, Entry]:
         ),
         "log_display": (L.display, LOG + f"SELECT {_DISPLAY} FROM log"),
         "realtime_series": (
-            lambda g: R.minute_series(g, NOW, 60), LOG + f", s AS (SELECT unnest(range({NOW // 60 * 60 - 59 * 60}, {NOW // 60 * 60 + 60}, 60)) AS bucket), g AS (SELECT timestamp - timestamp % 60 AS bucket, count(DISTINCT ip) AS u FROM pv WHERE timestamp <= {NOW} GROUP BY 1) SELECT bucket, coalesce(u, 0) AS uv FROM s LEFT JOIN g USING (bucket)",
+            lambda g: R.minute_series(g, NOW + 30, 60),
+            LOG + f", s AS (SELECT unnest(range({NOW - 3600}, {NOW}, 60)) AS bucket), g AS (SELECT timestamp - timestamp % 60 AS bucket, count(DISTINCT ip) AS u FROM pv WHERE timestamp >= {NOW + 30 - 3600} AND timestamp < {NOW + 30} GROUP BY 1) SELECT bucket, coalesce(u, 0) AS uv FROM s LEFT JOIN g USING (bucket)",
         ),
         "realtime_devices": (
-            lambda g: R.device_breakdown(g, NOW, 120),
-            LOG + f", d AS (SELECT device, os, count(DISTINCT ip) AS u FROM pv WHERE {_RT} GROUP BY ALL), c AS (SELECT CASE WHEN os IN ('iOS', 'macOS') THEN 'apple' WHEN device = 'desktop' THEN 'pc' WHEN device IN ('mobile', 'tablet', 'phone') THEN 'mobile' ELSE 'other' END AS category, sum(u)::bigint AS uv FROM d GROUP BY 1) SELECT category, uv, round(uv / sum(uv) OVER (), 6) AS share FROM c",
+            lambda g: R.device_breakdown(_apple(g), NOW, 120),
+            LOG + f", d AS (SELECT CASE WHEN id % 5 = 0 THEN 'apple' ELSE device END AS device, count(DISTINCT ip) AS u FROM pv WHERE {_RT} GROUP BY 1), c AS (SELECT CASE device WHEN 'apple' THEN 'apple' WHEN 'desktop' THEN 'pc' WHEN 'mobile' THEN 'mobile' WHEN 'tablet' THEN 'mobile' ELSE 'other' END AS category, sum(u)::bigint AS u FROM d GROUP BY 1), "
+            "a AS (SELECT unnest(['pc', 'mobile', 'apple', 'other']) AS category) SELECT category, coalesce(u, 0) AS uv, round(coalesce(u, 0) / sum(u) OVER (), 6) AS share FROM a LEFT JOIN c USING (category)",
         ),
         "developer_day": (lambda g: R.day_snapshot(g, DAY), LOG + f"SELECT {_DAYM} FROM log WHERE {_rng(DAY, DAY + 86400)}"),
         "developer_compare": (lambda g: R.metric_compare(g, DAY), LOG + _METRICS + " SELECT * FROM mc"),
@@ -412,6 +449,18 @@ SELECT share_5xx, latency_delta, upstream_delta, top_url, score, CASE WHEN score
         "pageview_flag": (
             lambda g: E.flag_pageviews(g).agg(F.sum("pageview_flag").alias("pv"), F.count("*").alias("n")), LOG + "SELECT sum(pageview_flag)::bigint AS pv, count(*) AS n FROM log",
         ),
+        "flag_default_paths": (
+            lambda g: E.flag_pageviews(g.select("id", "ip", "status_code", _path().alias("url"))).groupBy("url").agg(F.sum("pageview_flag").alias("pv")),
+            LOG + "SELECT p[1] AS url, sum(CASE WHEN status_code = 200 AND ip NOT LIKE '10.%' THEN p[2]::bigint ELSE 0 END)::bigint AS pv FROM (SELECT ip, status_code, [" + ", ".join(f"['{u}', '{n}']" for u, n in _PATHS) + f"][id % {len(_PATHS)} + 1] AS p FROM log) GROUP BY 1",
+        ),
+        "referer_kinds": (
+            lambda g: g.select("id", _referer().alias("referer")).select(R.referer_label(F.col("referer"), ["example.com"]).alias("label"), R.source_kind(F.col("referer")).alias("kind")).groupBy("label", "kind").agg(F.count("*").alias("n")),
+            LOG + "SELECT p[1] AS label, p[2] AS kind, count(*) AS n FROM (SELECT [" + ", ".join(f"['{x}', '{k}']" for _, x, k in _REFERERS) + f"][id % {len(_REFERERS)} + 1] AS p FROM log) GROUP BY ALL",
+        ),
+        "geo_regions": (
+            lambda g: g.select("id", _region().alias("r")).select("r", *[c.alias(n) for c, n in zip(E.parse_region(F.col("r")), ("domestic", "global", "has_city"), strict=True)]).groupBy("r", "domestic", "global", "has_city").agg(F.count("*").alias("n")),
+            LOG + "SELECT p.r, p.domestic, p.global, p.has_city, count(*) AS n FROM (SELECT [" + ", ".join("{" + f"'r': '{r}', 'domestic': {d}, 'global': {w}, 'has_city': {c}" + "}" for r, d, w, c in _REGIONS) + f"][id % {len(_REGIONS)} + 1] AS p FROM log) GROUP BY ALL",
+        ),
         "filter_hosts": (lambda g: E.filter_hosts(g, ["example.com"]).groupBy("host").agg(F.count("*").alias("n")), LOG + "SELECT host, count(*) AS n FROM log WHERE host IN ('', 'example.com', 'www.example.com') GROUP BY 1"),
         "discover_hosts": (E.discover_hosts, LOG + "SELECT DISTINCT host, substr(md5(host), 1, 4) AS site_id FROM log WHERE host <> ''"),
         "watchlist": (lambda g: E.watchlist_hits(g, _rules(g)).select("rule_type", "ip", "hits", "first_ts", "first_url"), _WATCH),
@@ -489,17 +538,17 @@ SELECT share_5xx, latency_delta, upstream_delta, top_url, score, CASE WHEN score
         "session_metrics_hits": (lambda g: S.session_metrics_of_hits(g, MID, END, "/view"), LOG + _sessions(_rng(MID, END) + " AND contains(url, '/view')") + _entries("true")),
         "log_page_more": (lambda g: L.page_with_more(g, "status_code", False, 2, 30).select("id", "status_code", "has_more"), LOG + "SELECT id, status_code, true AS has_more FROM log ORDER BY status_code, id LIMIT 30 OFFSET 30"),
         "overall": (
-            lambda g: R.overall(g, M.first_seen(g), DAY, DAY + 86400, (DAY - 86400, DAY), NOW).drop("entries"),
+            lambda g: R.overall(g, M.first_seen(g), DAY, DAY + 86400, (DAY - 86400, DAY), NOW),
             LOG + _snap_sql(DAY - 86400, DAY, "b") + _snap_sql(DAY - 86400, NOW - 86400, "c") + _snap_sql(DAY, NOW, "d") + _snap_sql(NOW - 7200, NOW, "r") + _sessions(_rng(DAY, DAY + 86400))
             + f", f AS (SELECT ip, min(timestamp) AS t FROM pv GROUP BY 1), na AS (SELECT DISTINCT ip FROM pv WHERE {_rng(DAY, DAY + 86400)}), nb AS (SELECT DISTINCT ip FROM pv WHERE {_rng(DAY - 86400, DAY)}), "
             f"n1 AS (SELECT count(*) FILTER (t >= {DAY} AND t < {DAY + 86400}) AS new, count(*) FILTER (NOT (t >= {DAY} AND t < {DAY + 86400})) AS returning FROM na JOIN f USING (ip)), "
             f"n2 AS (SELECT count(*) FILTER (t >= {DAY - 86400} AND t < {DAY}) AS previous_new, count(*) FILTER (NOT (t >= {DAY - 86400} AND t < {DAY})) AS previous_returning FROM nb JOIN f USING (ip)), "
             f"s1 AS (SELECT {_ST} FROM log WHERE {_rng(DAY, DAY + 86400)}), s2 AS (SELECT {_ST} FROM log WHERE {_rng(DAY - 86400, DAY)}) "
             f"SELECT (SELECT count(*) FROM pv WHERE {_rng(DAY, DAY + 86400)}) AS pv, (SELECT count(DISTINCT ip) FROM pv WHERE {_rng(DAY, DAY + 86400)}) AS uv, (SELECT coalesce(sum(bytes_sent), 0)::bigint FROM pv WHERE {_rng(DAY, DAY + 86400)}) AS traffic, "
-            f"(SELECT count(*) FROM ses) AS sessions, (SELECT count(DISTINCT ip) FROM pv WHERE timestamp BETWEEN {NOW - 900} AND {NOW}) AS active, n1.*, n2.*, s1.*, "
+            f"(SELECT count(*) FROM ses) AS sessions, (SELECT cast(to_json(list({{'entry_url': entry_url, 'count': count}} ORDER BY count DESC, entry_url)) AS varchar) FROM (SELECT entry_url, count(*) AS count FROM ses GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)) AS entries, (SELECT count(DISTINCT ip) FROM pv WHERE timestamp >= {NOW - 900} AND timestamp < {NOW}) AS active, n1.*, n2.*, s1.*, "
             "s2.s2xx AS previous_s2xx, s2.s3xx AS previous_s3xx, s2.s4xx AS previous_s4xx, s2.s5xx AS previous_s5xx, s2.other AS previous_other, "
             "b.pv AS previous_pv, b.uv AS previous_uv, b.sessions AS previous_sessions, c.pv AS same_time_pv, c.uv AS same_time_uv, c.sessions AS same_time_sessions, "
-            + ", ".join(f"cast(round((d.{x} * ({86400 / (NOW - DAY)})) * 0.7 + (d.{x} + r.{x} * ({(DAY + 86400 - NOW) / 7200})) * 0.3) AS bigint) AS forecast_{x}" for x in ("pv", "uv", "sessions"))
+            + _forecasts(DAY, DAY + 86400, NOW, 0.7)
             + " FROM n1, n2, s1, s2, sn_b b, sn_c c, sn_d d, sn_r r",
         ),
         "kpi_cards": (
@@ -525,8 +574,8 @@ SELECT share_5xx, latency_delta, upstream_delta, top_url, score, CASE WHEN score
         ),
         "user_agents": (
             lambda g: E.classify_user_agents(g.select("id", _agent().alias("ua"))).groupBy("browser", "os", "device").agg(F.count("*").alias("n")),
-            LOG + "SELECT CASE id % 6 WHEN 0 THEN 'Chrome' WHEN 1 THEN 'Safari' WHEN 2 THEN 'bot' WHEN 3 THEN 'Firefox' WHEN 4 THEN 'Edge' ELSE 'other' END AS browser, CASE id % 6 WHEN 0 THEN 'Windows' WHEN 1 THEN 'iOS' WHEN 2 THEN 'bot' WHEN 3 THEN 'Linux' WHEN 4 THEN 'Android' ELSE 'iOS' END AS os, "
-            "CASE id % 6 WHEN 0 THEN 'desktop' WHEN 1 THEN 'mobile' WHEN 2 THEN 'bot' WHEN 3 THEN 'desktop' WHEN 4 THEN 'mobile' ELSE 'mobile' END AS device, count(*) AS n FROM log GROUP BY ALL",
+            LOG + "SELECT CASE id % 6 WHEN 0 THEN 'Chrome' WHEN 1 THEN 'Safari' WHEN 2 THEN 'bot' WHEN 3 THEN 'Firefox' WHEN 4 THEN 'Edge' ELSE 'MyApp' END AS browser, CASE id % 6 WHEN 0 THEN 'Windows' WHEN 1 THEN 'iOS' WHEN 2 THEN 'bot' WHEN 3 THEN 'Linux' WHEN 4 THEN 'Android' ELSE 'other' END AS os, "
+            "CASE id % 6 WHEN 0 THEN 'desktop' WHEN 1 THEN 'mobile' WHEN 2 THEN 'bot' WHEN 3 THEN 'desktop' WHEN 4 THEN 'mobile' ELSE 'apple' END AS device, count(*) AS n FROM log GROUP BY ALL",
         ),
         "sanitized": (
             lambda g: g.select("id", E.sanitize(F.concat(F.repeat(F.lit("·é𝄞"), 4), "url"), 23).alias("a"), E.sanitize(F.col("url"), 7).alias("b"), E.sanitize(F.concat(F.lit("x\u0000y"), "url"), 2000).alias("c")),
@@ -539,7 +588,7 @@ SELECT share_5xx, latency_delta, upstream_delta, top_url, score, CASE WHEN score
         ),
         "non_mainland": (
             lambda g: g.select("id", _place(0).alias("d"), _place(1).alias("g")).select("id", E.is_non_mainland(F.col("d"), F.col("g")).alias("away"), E.normalize_city(F.col("d")).alias("city")),
-            LOG + "SELECT id, [true, false, true, false, false][id % 5 + 1] AS away, ['台湾台北', '广东省深圳', 'tokyo', '', 'newyork'][id % 5 + 1] AS city FROM log",
+            LOG + "SELECT id, [true, false, true, false, false][id % 5 + 1] AS away, ['台湾台北', '新疆维吾尔', 'tokyo', '', 'newyork'][id % 5 + 1] AS city FROM log",
         ),
         "geo_normalize": (
             lambda g: g.select("id", _label().alias("d")).select("id", E.normalize_location(F.col("d"), F.when(F.col("id") % 6 == 5, "Japan").otherwise("中国")).alias("domestic")),
@@ -621,21 +670,13 @@ def _streams() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]
     }
 
 
-_loaded: dict[tuple[str, str], tuple[DataFrame, str]] = {}
-
-
-def _stored(spark: SparkSession, sf_dir: str, own: bool = False) -> tuple[DataFrame, str]:
-    """Hits of two sites loaded in two batches, some of the first again with the second; loaded once for all that only read."""
-    at = (spark.sparkContext.applicationId, sf_dir)
-    if own or at not in _loaded:
-        g = _two_sites(load_hits(spark, sf_dir)).withColumn("fingerprint", F.sha1(F.col("request_id").cast("binary")))
-        base = J.folder(spark)
-        W.write_batch(g.where("id % 3 <> 0"), base)
-        W.write_batch(g.where("id % 3 = 0 or id % 7 = 0"), base)
-        if own:
-            return g, base
-        _loaded[at] = g, base
-    return _loaded[at]
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """Hits of two sites, loaded in two batches, some of the first again with the second, which comes twice."""
+    g = _two_sites(load_hits(spark, sf_dir)).withColumn("fingerprint", F.sha1(F.col("request_id").cast("binary")))
+    base = J.folder(spark)
+    for n, part in enumerate((g.where("id % 3 <> 0"), g.where("id % 3 = 0 or id % 7 = 0"), g)):
+        W.write_batch(part, base, ("loads", min(n, 1)))
+    return g, base
 
 
 def _tables() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
@@ -644,7 +685,7 @@ def _tables() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]
     def read(name: str, change: Callable[[SparkSession, DataFrame, str], None] | None = None):
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
-            g, base = _stored(spark, sf_dir, own=change is not None)
+            g, base = _stored(spark, sf_dir)
             if change is not None:
                 change(spark, g, base)
             return W.load_tables(spark, base)[name]
@@ -663,10 +704,50 @@ def _tables() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]
             read("agg_daily", lambda s, g, b: W.replace_range(g.where("id % 4 = 0"), b, MID, END, "even")),
             LOG2 + f"SELECT site_id, day, {_ROLL} FROM log WHERE site_id = 'odd' OR timestamp < {MID} OR timestamp >= {END} OR id % 4 = 0 GROUP BY 1, 2",
         ),
+        "stored_retention": (
+            read("agg_hourly", lambda s, g, b: W.apply_retention(s, b, MID + 40000)), LOG2 + f"SELECT site_id, hour AS bucket, {_ROLL} FROM log WHERE timestamp >= {MID + 40000} GROUP BY 1, 2",
+        ),
+        "stored_retention_sessions": (read("sessions", lambda s, g, b: W.apply_retention(s, b, MID + 40000)), LOG2 + _sessions() + f"SELECT * FROM ses WHERE start_ts >= {MID + 40000}"),
+        "stored_compacted": (read("sessions", lambda s, g, b: W.compact(s, b)), LOG2 + _sessions() + "SELECT * FROM ses"),
+        "stored_null_keys": (_null_keys, LOG + f"SELECT 'a/b=%' AS site_id, day, {_ROLL}, (SELECT count(*) FROM log WHERE id % 10 IN (1, 2)) AS rejected FROM log WHERE id % 10 NOT IN (1, 2) AND NOT (id % 10 = 3 AND day < DATE '2024-01-10') GROUP BY day"),
+        "stream_grown_file": (lambda s, d: _grown(s, d, False), LOG + "SELECT day, count(*) AS hits, count(*) AS lines, count(DISTINCT request_id) AS requests FROM log GROUP BY 1"),
+        "stream_equal_lines": (
+            lambda s, d: _grown(s, d, True), LOG + "SELECT day, sum(CASE WHEN id % 5 = 0 THEN 3 ELSE 1 END)::bigint AS hits, sum(CASE WHEN id % 5 = 0 THEN 3 ELSE 1 END)::bigint AS lines, count(DISTINCT request_id) AS requests FROM log GROUP BY 1",
+        ),
         "stream_ingest": (_ingest, LOG + "SELECT ip, timestamp, url, status_code, bytes_sent, browser FROM log".replace("browser FROM", "CASE browser WHEN 'bot' THEN 'bot' ELSE 'other' END AS browser FROM")),
     }
 
 
+def _null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loaded twice: a tenth of the hits without a site, a tenth without a time; then a range of a site of an awkward name is replaced."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    g = load_hits(spark, sf_dir).withColumn("fingerprint", F.sha1(F.col("request_id").cast("binary")))
+    k = F.col("id") % 10
+    odd = g.withColumn("site_id", F.when(k != 1, "a/b=%")).withColumn("timestamp", F.when(k != 2, F.col("timestamp"))).withColumn("domestic", F.when(k != 4, F.col("domestic")))
+    base = J.folder(spark)
+    for _ in range(2):
+        W.write_batch(odd, base)
+    W.replace_range(odd.where(k != 3), base, START, START + 9 * 86400, "a/b=%")
+    t = W.load_tables(spark, base)
+    return t["agg_daily"].crossJoin(F.broadcast(t["rejected_hits"].agg(F.count("*").alias("rejected"))))  # one row
+
+
+def _grown(spark: SparkSession, sf_dir: str, equal: bool) -> DataFrame:
+    """A log file a day, streamed as it was at noon and, under another name, as it was in the end; with ``equal`` a fifth of the lines stand there three times."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    base, g = J.folder(spark), load_hits(spark, sf_dir)
+    lines = P.format_lines(g.withColumn("site_id", F.concat_ws(" ", "timestamp", "id"))).select(F.col("line"), F.split("site_id", " ")[0].cast("long").alias("t"), F.split("site_id", " ")[1].cast("long").alias("id"))
+    if equal:
+        lines = lines.withColumn("n", F.explode(F.when(F.col("id") % 5 == 0, F.array(*map(F.lit, (1, 2, 3)))).otherwise(F.array(F.lit(1)))))
+    by_day = lines.withColumn("d", F.to_date(F.timestamp_seconds("t"))).repartition("d").sortWithinPartitions("d", "t", "id")
+    for where in ("t % 86400 < 43200", "true"):
+        by_day.where(where).select("d", "line").write.mode("append").partitionBy("d").text(f"{base}/in")
+        stream = J.stream_lines(spark, f"{base}/in/*")
+        J.ingest(stream, f"{base}/tables", checkpoint=f"{base}/state").start().awaitTermination()
+    hits = W.load_tables(spark, f"{base}/tables")["hits"]
+    return hits.groupBy("day").agg(F.count("*").alias("hits"), F.count_distinct("fingerprint").alias("lines"), F.count_distinct("request_id").alias("requests"))
+
+
 def _ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits written as lines, some twice, streamed from their folder into the stored tables."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -42,6 +42,10 @@ def test_agents(spark):
         "Mozilla/5.0 (iPad; CPU OS 16_0 like Mac OS X) AppleWebKit/605 Version/16.0 Mobile/15E148 Safari/604.1": ("Safari", "iOS", "tablet"),
         "Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15_7) AppleWebKit/605 Version/16.0 Safari/605": ("Safari", "macOS", "desktop"),
         "Mozilla/5.0 (Linux; Android 13; Pixel 7) Chrome/116.0 Mobile Safari/537.36": ("Chrome", "Android", "mobile"),
+        "VirPulse/337 CFNetwork/3896.200.61 Darwin/27.2.0": ("VirPulse", "other", "apple"), "App/1 cfnetwork/1 darwin/1": ("App", "other", "apple"),
+        "App/1 CFNetwork/3896.200.61": ("other", "other", "other"), "App/1 Darwin/27.2.0": ("other", "other", "other"),
+        "Mozilla/5.0 (compatible; Googlebot/2.1; +http://www.google.com/bot.html) CFNetwork/1 Darwin/1": ("bot", "bot", "bot"),
+        "Mozilla/5.0 (iPhone; CPU iPhone OS 17_1 like Mac OS X) AppleWebKit/605.1.15 Version/17.0 Mobile/15E148 Safari/604.1": ("Safari", "iOS", "mobile"),
         "curl/8.0.1": ("bot", "bot", "bot"), "": ("other", "other", "other"), None: ("other", "other", "other"),
     }
     got = E.classify_user_agents(spark.createDataFrame([(k,) for k in ua], "ua string")).collect()
@@ -57,8 +61,15 @@ def test_sanitize(spark):
 def test_locations(spark):
     d = spark.createDataFrame([("广东·深圳·电信", "中国"), ("联通", "China"), ("内蒙古自治区 IDC", "中国"), ("", "中国"), ("Tokyo", "Japan")], "d string, g string")
     assert [r[0] for r in d.select(E.normalize_location(F.col("d"), F.col("g"))).collect()] == ["广东·深圳", "China", "内蒙古", "", "Tokyo"]
-    p = {"China|0|Guangdong Province|Shenzhen City|Telecom": "Guangdong·Shenzhen", "中国|0|北京|北京市|联通": "北京", "Japan|0|0|Tokyo|0": "Japan·Tokyo", "0|0|0|0|0": None}
+    p = {"China|0|Guangdong Province|Shenzhen City|Telecom": "China·Guangdong Province·Shenzhen City", "中国|0|北京|北京市|联通": "北京", "中国|0|0|0|0": "中国", "中国|广东省|深圳市|电信|0": "广东·深圳",
+         "中国|0|新疆维吾尔自治区|乌鲁木齐市|电信": "新疆维吾尔·乌鲁木齐", "Japan|0|Osaka|Sakai|0": "Japan·Osaka·Sakai", "Mexico|0|0|Mexico City|0": "Mexico·Mexico City", "0|0|0|0|0": None}
     assert one(spark, p, lambda c: E.parse_region(c)[0]) == p
+    cut = {"香港特别行政区": "香港", "新疆维吾尔自治区": "新疆维吾尔", "省": "省", "广东省": "广东", "深圳": "深圳", "": ""}
+    assert one(spark, cut, E.strip_suffix) == cut
+    city = {"香港特别行政区": "香港", "宁夏回族自治区": "宁夏回族", "大兴安岭地区": "大兴安岭", "朝阳区": "朝阳", "New - York": "newyork", "未知": "", "市": ""}
+    assert one(spark, city, E.normalize_city) == city
+    carrier = {"中国电信": True, "电信县": False, "Telecom": False, "": False, "长城宽带": True}
+    assert one(spark, carrier, E.is_carrier) == carrier
 
 
 def test_fingerprints(spark):
