@@ -1,8 +1,8 @@
 """Log lines: readers, twelve line formats, and the parse job from lines to hits.
 
-A format is a template of named fields. The job matches a line once: the pattern's
-groups are written side by side with a separator, split into an array, and every
-column is an expression over that array.
+A format is a pattern whose groups bear the names of columns. The job matches a line
+once: the groups are written side by side with a separator, split into an array, and
+every column is an expression over that array.
 """
 
 from __future__ import annotations
@@ -37,9 +37,6 @@ ALIASES_OF = {
     "request_id": ["request_id", "req_id", "x_request_id"],
 }
 _GROUP = re.compile(r"(?<!\\)\((?!\?)|\(\?P?<([A-Za-z]\w*)>")
-#: What a template's field may hold, by the letters after its colon.
-_KIND = {"w": r"\S+", "d": r"\d+", "3": r"\d{3}", "n": r"(?:\d+|-)", "f": r"[0-9.]+", "list": r"[^,\s]+(?:,\s*[^,\s]+)*", "any": r"[^\"]+"}
-
 
 @dataclass
 class Format:
@@ -47,6 +44,8 @@ class Format:
 
     pattern: str
     times: list[str] = field(default_factory=lambda: [NGINX_TIME, "iso"])
+    #: Columns of what the group ``tail`` holds, by place: figures or lists parted by blanks. None where a line has less than two.
+    tail: list[str] = field(default_factory=list)
 
     def groups(self) -> dict[str, int]:
         """Group name -> number; the first use of a name counts."""
@@ -63,57 +62,48 @@ class Format:
         return p if p.endswith("$") else f"{p}.*$"
 
 
-def template(text: str, *times: str) -> Format:
-    """A Format from a template: ``{name}`` is a field, ``{name:kind}`` one of a kind, ``{}`` a field of no column.
-
-    A field of no kind ends at the quote or bracket that follows it, else at white
-    space. What lies between fields is a pattern, in which a blank is any run of blanks.
-    """
-    out, at = "^", 0
-    blanks = lambda s: re.sub(r" (?![?*+{])", r"\\s+", s)
-    for m in re.finditer(r"\{((?:[A-Za-z]\w*)?)(?::(\w+))?\}", text):
-        out += blanks(text[at : m.start()])
-        close = text[m.end() : m.end() + 2]
-        body = _KIND[m[2]] if m[2] else r'[^"]*' if close[:1] == '"' else r"[^\]]*" if close == "\\]" else r"\S+"
-        out += f"(?<{m[1]}>{body})" if m[1] else f"(?:{body})"
-        at = m.end()
-    return Format(out + blanks(text[at:]), list(times) or [NGINX_TIME, "iso"])
-
-
-_CLIENT, _AGENT = r"{ip} {} {user} \[{time}\] ", r'"{referer}" "{ua}"'
-_WAF = r" *(?:\| *| )"
+#: Some figures with commas between them, as proxies write for a request that went to several servers.
+_LIST = r"[^\s,]+(?:, *[^\s,]+)*"
+#: The combined log format of the web servers: client, time, request, status, size, referer, agent.
+_COMMON = r'^(?<ip>\S+) \S+ \S+ \[(?<time>[^\]]+)\] "(?<request>[^"]*)" (?<status>\d{3}) (?<bytes>\d+|-)'
+_COMBINED = _COMMON + r' "(?<referer>[^"]*)" "(?<ua>[^"]*)"'
+#: Line formats as the servers' manuals give them; what fills no column is not kept.
 FORMATS = {
-    # request time and length come in either order; what follows them may be missing from the right
-    "nginx": template(
-        r'{ip} - {user} \[{time}\] "{method} {url:any} HTTP/[\d.]+" {status:d} {bytes:n} ' + _AGENT
-        + r"(?: {trace_first} {trace_second}(?: {upstream_response_time:list})?(?: {upstream_addr:list})?(?: {host})?(?: {request_id})?)?(?: .*)?$"
+    "nginx": Format(
+        r'^(?<ip>\S+) - \S+ \[(?<time>[^\]]+)\] "(?<method>\S+) (?<url>[^"]+) HTTP/[\d.]+" (?<status>\d+) (?<bytes>\d+|-) "(?<referer>[^"]*)" "(?<ua>[^"]*)"(?: (?<tail>.*))?$',
+        tail=["first_figure", "second_figure", "upstream_time", "upstream_addr", "host", "request_id"],
     ),
-    "apache": template(_CLIENT + r'"{request}" {status:3} {bytes:n} ' + _AGENT),
-    "traefik": template(_CLIENT + r'"{request}" {status:3} {bytes:n} ' + _AGENT + r' {req_count:d} "{router}" "{server_url}" {duration_ms:f}ms'),
-    "envoy": template(
-        r'\[{time}\] "{request}" {status:3} {flags} {bytes_received:d} {bytes:d} {duration:d} {upstream_time} "{ip}" "{ua}" "{request_id}" "{authority}" "{upstream_host}"', "iso", NGINX_TIME
+    "apache": Format(_COMBINED),
+    # then requests so far, router, server and the time it took
+    "traefik": Format(_COMBINED + r' \d+ "[^"]*" "[^"]*" (?<duration_ms>\d*\.?\d+)ms'),
+    # time, request, code, flags, bytes in and out, duration, upstream time, forwarded-for, agent, id, authority, upstream
+    "envoy": Format(
+        r'^\[(?<time>[^\]]+)\] "(?<request>[^"]*)" (?<status>\d{3}) \S+ (?<request_length>\d+) (?<bytes>\d+) (?<duration>\d+) (?<upstream_time>\S+) '
+        r'"(?<ip>[^"]*)" "(?<ua>[^"]*)" "(?<request_id>[^"]*)" "(?<host>[^"]*)" "(?<upstream_addr>[^"]*)"', ["iso", NGINX_TIME],
     ),
-    # in front of it may stand what syslog adds
-    "haproxy": template(
-        r'(?:\w{3} \d+ [\d:]+ \S+ \S+\[\d+\]: )?{ip}:\d+ \[{time}\] {frontend} {backend} (?:-?\d+/){4}-?\d+ {status:3} {bytes:n} \S+ \S+ \S+ (?:-?\d+/){4}-?\d+ -?\d+/-?\d+'
-        r'(?: (?:\{[^}]*\}|-))?(?: (?:\{[^}]*\}|-))? "{request}"', "dd/MMM/yyyy:HH:mm:ss.SSS", NGINX_TIME, "iso",
+    # client, accept date, frontend, backend, timers, code, bytes, cookies, state, connections, queues, captured headers, request; syslog's words may stand in front
+    "haproxy": Format(
+        r'^(?:[A-Z][a-z]{2} +\d+ [\d:]{8} \S+ \S+\[\d+\]: +)?(?<ip>\S+):\d+ +\[(?<time>[^\]]+)\] +\S+ +\S+ +[\d/+-]+ +(?<status>\d{3}) +(?<bytes>\d+|-) +\S+ +\S+ +\S+ +[\d/+-]+ +[\d/-]+ +'
+        r'(?:(?:-|\{[^}]*\}) +)*"(?<request>[^"]*)"', ["dd/MMM/yyyy:HH:mm:ss.SSS", NGINX_TIME, "iso"],
     ),
-    "nginx-ingress": template(
-        r'{ip} - {user} \[{time}\] "{request}" {status:3} {bytes:n} ' + _AGENT
-        + r" {request_length:d} {request_time:f} \[{upstream_name}\] \[{alternative}\] {upstream_addr:list} {lengths:list} {upstream_response_time:list} {statuses:list} {req_id}"
+    # combined, then request length and time, two names in brackets, upstream address, length, time and status, id
+    "nginx-ingress": Format(_COMBINED + rf" (?<request_length>\d+) (?<request_time>\d*\.?\d+) \[[^\]]*\] \[[^\]]*\] (?<upstream_addr>{_LIST}) {_LIST} (?<upstream_response_time>{_LIST}) {_LIST} (?<request_id>\S+)"),
+    # date, time, server, method, stem, query, port, user, client, agent, referer, status, substatus, win32 status, time taken
+    "iis": Format(
+        r"^(?<time>[\d-]{10} [\d:]{8}) \S+ (?<method>\S+) (?<url>\S+) (?<query>\S+) \S+ \S+ (?<ip>\S+) (?<ua>\S+) (?<referer>\S+) (?<status>\d{3})(?: +\S+){3}\s*$", ["yyyy-MM-dd HH:mm:ss"],
     ),
-    "iis": template(r"(?<time>\d{4}-\d\d-\d\d \d\d:\d\d:\d\d) {server} {method} {url} {query} {port} {username} {ip} {ua} {referer} {status:3} {} {} {}\s*$", "yyyy-MM-dd HH:mm:ss"),
-    "npm": template(
-        r'\[{time}\] - {status:d} {upstream_status:d} - {method} {scheme} {host} "{path:any}" \[Client {ip}\] \[Length {bytes:d}\] \[Gzip {gzip}\] \[Sent-to {upstream}\] "{ua:any}" "{referer}"'
+    "npm": Format(
+        r'^\[(?<time>[^\]]+)\] - (?<status>\d+) \d+ - (?<method>\S+) \S+ (?<host>\S+) "(?<url>[^"]+)" \[Client (?<ip>[^\]]+)\] \[Length (?<bytes>\d+)\] \[Gzip [^\]]+\] \[Sent-to (?<upstream_addr>[^\]]+)\] '
+        r'"(?<ua>[^"]+)" "(?<referer>[^"]*)"',
     ),
     # fields parted by blanks, the time in brackets; or all parted by bars
-    "safeline": template(
-        r"{ip} *(?:\| *|- +){user} *(?:\| *|\[ *)(?<time>[^\]|]+?)(?:\] +| *\| *)" + _WAF.join(['"{host}"', '"{request}"', "{status:3}", "{bytes:n}", '"{referer}"', '"{ua}"'])
-        + rf'(?:{_WAF}"{{http_x_forwarded_for}}")?\s*$'
+    "safeline": Format(
+        r'^(?<ip>[^\s|]+)(?: *- +\S+ *\[ *| *\| *\S+ *\| *)(?<time>[^\]|]*[^\]|\s])(?:\] +| *\| *)"(?<host>[^"]*)"[ |]+"(?<request>[^"]*)"[ |]+(?<status>\d{3})[ |]+(?<bytes>\d+|-)[ |]+"(?<referer>[^"]*)"[ |]+"(?<ua>[^"]*)"'
+        r'(?:[ |]+"[^"]*")?\s*$',
     ),
-    "zoraxy": template(
-        r"\[?(?<time>\d{4}-\d\d-\d\d \d\d:\d\d:\d\d(?:\.\d{1,9})?)\]? \[router:{router}\] \[origin:{host}\] \[client: *{ip}\] \[useragent: *{ua}\] {method} {url} {status:3}\s*$",
-        "yyyy-MM-dd HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS]", "yyyy-MM-dd HH:mm:ss",
+    "zoraxy": Format(
+        r"^\[?(?<time>[\d-]{10} [\d:]{8}(?:\.\d{1,9})?)\]? +\[router:[^\]]+\] +\[origin:(?<host>[^\]]*)\] +\[client: *(?<ip>[^\]]+)\] +\[useragent: *(?<ua>[^\]]*)\] +(?<method>\S+) +(?<url>\S+) +(?<status>\d{3})\s*$",
+        ["yyyy-MM-dd HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS]", "yyyy-MM-dd HH:mm:ss"],
     ),
 }
 ALIASES = {
@@ -135,23 +125,27 @@ VARIABLES = {
 ALL_TIMES = [NGINX_TIME, "iso", "yyyy-MM-dd HH:mm:ss"]
 
 
+#: What a variable of a kind may hold; inside quotes, blanks too.
+_BARE = {"some": r"\S+", "maybe": r"\S*", "list": _LIST, "clock": r"[^\]]+", "three": r"\d{3}", "digits": r"\d+", "number": r"\d+(?:\.\d+)?"}
+_QUOTED = _BARE | {"some": r'[^"]+', "maybe": r'[^"]*', "list": f"(?:{_LIST})?"}
+
+
 def log_format(text: str, *times: str) -> Format:
-    """A Format from an nginx log_format string; inside quotes a variable may hold blanks."""
-    bare = {"some": r"\S+", "maybe": r"\S*", "list": _KIND["list"], "clock": r"[^\]]+", "three": r"\d{3}", "digits": r"\d+", "number": r"\d+(?:\.\d+)?"}
-    quoted = bare | {"some": r'[^"]+', "maybe": r'[^"]*', "list": f"(?:{_KIND['list']})?"}
-    found = list(re.finditer(r"\$\{?(\w+)\}?", text))
-    if not found:
+    """A Format from an nginx log_format string: its words are variables and what stands between them, in quotes or not."""
+    words = re.findall(r"\$\w+|\$\{\w+\}|[^$]+|\$", text)
+    if not any(len(w) > 1 and w[0] == "$" for w in words):
         raise ValueError("a log_format needs variables")
-    out, seen, at = "", set(), 0
-    for m in found:
-        before, after = text[at : m.start()], text[m.end() :]
-        out += re.escape(before)
-        name, kind = VARIABLES.get(m[1], (None, "maybe"))
-        body = (quoted if before.rstrip().endswith('"') and after.lstrip().startswith('"') else bare)[kind]
-        out += f"(?<{name}>{body})" if name and name not in seen else f"(?:{body})"
-        seen.add(name)
-        at = m.end()
-    return checked(Format("^" + out + re.escape(text[at:]) + r"\s*$", list(times) or ALL_TIMES))
+    made, used, quoted = [], set(), False
+    for w in words:
+        if w[0] != "$" or len(w) == 1:
+            made.append(re.escape(w))
+            quoted ^= w.count('"') % 2 == 1
+            continue
+        name, kind = VARIABLES.get(w.strip("${}"), ("", "maybe"))
+        again = not name or name in used
+        made.append(f"({'?:' if again else f'?<{name}>'}{(_QUOTED if quoted else _BARE)[kind]})")
+        used.add(name)
+    return checked(Format(f"^{''.join(made)}\\s*$", list(times) or ALL_TIMES))
 
 
 def checked(f: Format) -> Format:
@@ -260,8 +254,8 @@ def _shared(get, df: DataFrame, layouts: list[str], duration_unit: str | None, e
     if ms is not None:
         time_ms = duration_ms(ms, unit_ms=True) if sec is None else F.when(ms != "", duration_ms(ms, unit_ms=True)).otherwise(time_ms)
     length = _count(text("request_length"))
-    a, b = get("trace_first"), get("trace_second")
-    if a is not None and b is not None:  # the token that looks like a duration is the time, a number beside it the length
+    a, b = get("first_figure"), get("second_figure")
+    if a is not None and b is not None:  # the figure that looks like a duration is the time, a number beside it the length
         whole = lambda c: c.rlike("^[0-9]+$")
         first, second = a.rlike(_DURATION_LIKE) & whole(b), b.rlike(_DURATION_LIKE) & whole(a)
         length = F.when(first, _count(b)).when(second, _count(a)).otherwise(0).cast("bigint")
@@ -300,7 +294,11 @@ def parse(lines: DataFrame, fmt: str | Format = "nginx", cutoff: int | None = No
         flat = F.regexp_replace(F.translate("line", SEP, " "), F.lit(f.java()), F.lit("".join(f"{SEP}${i}" for i in range(1, n + 1))))
         m = lines.withColumn("__f", F.split(flat, SEP))
 
+        tokens = F.split(F.trim(F.coalesce(F.get("__f", F.lit(groups.get("tail", 0))), F.lit(""))), r"(?<!,)\s+")
+
         def get(column: str) -> Column | None:
+            if column in f.tail:
+                return F.when(F.size(tokens) >= 2, F.coalesce(F.get(tokens, F.lit(f.tail.index(column))), F.lit(""))).otherwise("")
             name = next((a for a in ALIASES_OF.get(column, [column]) if a in groups), None)
             return None if name is None else F.coalesce(F.get("__f", F.lit(groups[name])), F.lit(""))
 
