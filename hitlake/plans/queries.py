@@ -18,6 +18,7 @@ from hitlake.operators import store as W
 from hitlake.sources import lines as P
 from hitlake.sources.hits import load_hits
 from hitlake.streaming import jobs as J
+from hitlake.streaming import state as K
 
 NOW, START, END, DAY = 1706616000, 1704067200, 1706659200, 1706572800
 MID, LONG = 1705276800, 21600
@@ -653,12 +654,24 @@ SELECT share_5xx, latency_delta, upstream_delta, top_url, score, CASE WHEN score
     return q
 
 
+_VIS = "site_id, ip, browser, os, device"
+
+
 def _streams() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
     minute = "timestamp - timestamp % 60"
     return {
         "stream_first_seen": (lambda s, d: J.run_once(J.first_seen(J.stream_hits(s, d)), "complete"), LOG + "SELECT site_id, ip, min(timestamp) AS first_ts FROM pv GROUP BY 1, 2"),
         "stream_first_seen_updates": (lambda s, d: J.run_once(J.first_seen(J.stream_hits(s, d)), "update", ["site_id", "ip"]), LOG + "SELECT site_id, ip, min(timestamp) AS first_ts FROM pv GROUP BY 1, 2"),
         "stream_minutes": (lambda s, d: J.drain(J.stream_hits(s, d), J.minute_parts, J.merged_minutes), LOG + f"SELECT {minute} AS bucket, count(*) AS pv, count(DISTINCT ip) AS uv FROM pv GROUP BY 1"),
+        "stream_refreshed_dedup": (
+            lambda s, d: J.run_once(K.suppress_duplicates(_in_batches(s, d), "url")).select("id", "url", "timestamp"),
+            LOG + ", g AS (SELECT id, url, timestamp, max(timestamp) OVER (PARTITION BY url ORDER BY id % 3, timestamp, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM log) SELECT id, url, timestamp FROM g WHERE before IS NULL OR timestamp >= before + 600",
+        ),
+        "stream_late_sessions": (
+            lambda s, d: J.run_once(K.running_sessions(_in_batches(s, d)), "update", [*S.VISITOR, "start_ts"]),
+            LOG + f", k AS (SELECT *, max(timestamp) OVER (PARTITION BY {_VIS} ORDER BY id % 3, timestamp, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM pv), a AS (SELECT *, CASE WHEN timestamp - m > 1800 THEN 1 ELSE 0 END AS nw FROM k WHERE m IS NULL OR timestamp >= m), "
+            f"n AS (SELECT *, sum(nw) OVER (PARTITION BY {_VIS} ORDER BY id % 3, timestamp, id ROWS UNBOUNDED PRECEDING) AS no FROM a) SELECT {_VIS}, min(timestamp) AS start_ts, max(timestamp) AS end_ts, arg_min(url, (timestamp, id % 3, id)) AS entry_url, arg_max(url, (timestamp, id % 3, id)) AS exit_url, count(*) AS page_count FROM n GROUP BY {_VIS}, no",
+        ),
         "stream_sliding": (
             lambda s, d: J.drain(J.stream_hits(s, d), J.minute_parts, J.merged_sliding), LOG + f", w AS (SELECT {minute} - 60 * unnest(range(0, 30)) AS bucket FROM pv) SELECT bucket, count(*) AS pv FROM w GROUP BY 1",
         ),
@@ -670,6 +683,14 @@ def _streams() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]
     }
 
 
+def _in_batches(spark: SparkSession, sf_dir: str, n: int = 3) -> DataFrame:
+    """The hits as a stream of n batches that are not in order of time: by id modulo n."""
+    at, g = f"{J.folder(spark)}/in", load_hits(spark, sf_dir)
+    for i in range(n):
+        g.where(f"id % {n} = {i}").coalesce(1).write.mode("append").parquet(at)
+    return spark.readStream.schema(g.schema).option("maxFilesPerTrigger", 1).parquet(at)
+
+
 def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
     """Hits of two sites, loaded in two batches, some of the first again with the second, which comes twice."""
     g = _two_sites(load_hits(spark, sf_dir)).withColumn("fingerprint", F.sha1(F.col("request_id").cast("binary")))

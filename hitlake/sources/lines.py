@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hitlake.operators.basics import bind
+
 NGINX_TIME = "dd/MMM/yyyy:HH:mm:ss Z"
 #: Between the fields of a matched line; a line that holds it itself has it as a space.
 SEP = "\u0001"
@@ -266,7 +268,7 @@ def _shared(get, df: DataFrame, layouts: list[str], duration_unit: str | None, e
         "upstream_response_time_ms": extra.get("upstream_response_time_ms", duration_ms(text("upstream_time"))), "upstream_addr": blank(text("upstream_addr")),
         "host": blank(text("host")), "request_id": blank(text("request_id")), "referer": decode(text("referer")), "ua": F.when(text("ua") == "", "-").otherwise(text("ua")),
     }
-    carried = [c for c in df.columns if c not in cols and c not in ("rejected", "__f", "__j")]
+    carried = [c for c in df.columns if c not in cols and c not in ("rejected", "__f", "__j", "__t")]
     # a generator of one row: filters on what is parsed stay above it, so nothing is parsed again for them
     row = F.struct(*[v.alias(k) for k, v in cols.items()], extra.get("unmatched", F.lit(False)).alias("__bad"))
     out = df.select(*[F.col(f"`{c}`") for c in carried], F.inline(F.array(row)))
@@ -294,11 +296,13 @@ def parse(lines: DataFrame, fmt: str | Format = "nginx", cutoff: int | None = No
         flat = F.regexp_replace(F.translate("line", SEP, " "), F.lit(f.java()), F.lit("".join(f"{SEP}${i}" for i in range(1, n + 1))))
         m = lines.withColumn("__f", F.split(flat, SEP))
 
-        tokens = F.split(F.trim(F.coalesce(F.get("__f", F.lit(groups.get("tail", 0))), F.lit(""))), r"(?<!,)\s+")
+        if f.tail:
+            tail = F.coalesce(F.get("__f", F.lit(groups["tail"])), F.lit(""))
+            m = bind(m, __t=F.when(tail == "", F.array().cast("array<string>")).otherwise(F.split(F.trim(tail), r"(?<!,)\s+")))
 
         def get(column: str) -> Column | None:
             if column in f.tail:
-                return F.when(F.size(tokens) >= 2, F.coalesce(F.get(tokens, F.lit(f.tail.index(column))), F.lit(""))).otherwise("")
+                return F.when(F.size("__t") >= 2, F.coalesce(F.get("__t", F.lit(f.tail.index(column))), F.lit(""))).otherwise("")
             name = next((a for a in ALIASES_OF.get(column, [column]) if a in groups), None)
             return None if name is None else F.coalesce(F.get("__f", F.lit(groups[name])), F.lit(""))
 
