@@ -222,33 +222,41 @@ def address_ranges(rules: DataFrame) -> DataFrame:
     return bind(r, lo=lo, hi=hi, __same=same_kind).where((F.col("lo") <= F.col("hi")) & F.col("__same")).drop("__first", "__last", "__a", "__b", "__bits", "__same")
 
 
+def inside(addresses: DataFrame, nets: DataFrame, keys: list[str]) -> DataFrame:
+    """Addresses (keys, __key) joined to the ranges (keys, lo, hi) that hold them.
+
+    A range lies under the hex digits that its first and last address share, so an address
+    meets ranges by an equi join on those digits, once for each number of digits that any range
+    has (33 at most). It is for distinct addresses, not for hits.
+    """
+    same = F.aggregate(F.sequence(F.lit(1), F.lit(32)), F.lit(0), lambda n, i: F.when((n == i - 1) & (F.substring(F.col("lo"), i, F.lit(1)) == F.substring(F.col("hi"), i, F.lit(1))), i).otherwise(n))
+    led = bind(nets, __digits=same).withColumn("__lead", F.expr("left(lo, __digits)"))
+    levels = sorted(x[0] for x in led.select("__digits").distinct().collect())
+    at = addresses.where("__key is not null")
+    at = at.withColumn("__digits", F.explode(F.array(*map(F.lit, levels)))) if levels else at.withColumn("__digits", F.lit(0)).where("false")
+    return at.withColumn("__lead", F.expr("left(__key, __digits)")).join(led, [*keys, "__digits", "__lead"]).where("__key between lo and hi").drop("__digits", "__lead")
+
+
 def match_watchlist(log: DataFrame, rules: DataFrame) -> DataFrame:
     """First matching rule per hit, by kind: ip, cidr, range, city, non_mainland; then by value.
 
-    Rules: (site_id, rule_type, value). An address rule lies under the hex digits that
-    its first and last address share, so hits meet rules by an equi join on (site,
-    digits shared, those digits), once for each number of digits that any rule has. A
-    city rule is looked for in the distinct locations, not in hits.
+    Rules: (site_id, rule_type, value). Address rules are matched with a site's distinct addresses,
+    city rules with its distinct locations; hits only look up what was found for theirs.
     """
     order = F.when(F.col("rule_type") == "ip", 1).when(F.col("rule_type") == "cidr", 2).when(F.col("rule_type") == "range", 3).when(F.col("rule_type") == "city", 4).otherwise(5)
     r = rules.select("site_id", "rule_type", "value", order.alias("order"))
-    nets = address_ranges(r.where("order <= 3"))
-    same = F.aggregate(F.sequence(F.lit(1), F.lit(32)), F.lit(0), lambda n, i: F.when((n == i - 1) & (F.substring(F.col("lo"), i, F.lit(1)) == F.substring(F.col("hi"), i, F.lit(1))), i).otherwise(n))
-    nets = bind(nets, digits=same).withColumn("lead", F.expr("left(lo, digits)"))
-    levels = sorted(x.digits for x in nets.select("digits").distinct().collect())  # 33 at most
-    keyed = bind(log, __key=ip_key(F.col("ip")))
-    found = F.struct("order", "rule_type", "value").alias("__rule")
-    hits = [F.col(f"`{c}`") for c in log.columns]
-    at = keyed.withColumn("digits", F.explode(F.array(*map(F.lit, levels)))) if levels else keyed.withColumn("digits", F.lit(0)).where("false")
-    by_ip = at.withColumn("lead", F.expr("left(__key, digits)")).join(nets, ["site_id", "digits", "lead"]).where("__key between lo and hi").select(*hits, found)
+    found = lambda name: F.min(F.struct("order", "rule_type", "value")).alias(name)
+    ips = bind(log.select("site_id", "ip").distinct(), __key=ip_key(F.col("ip")))
+    by_ip = inside(ips, address_ranges(r.where("order <= 3")), ["site_id"]).groupBy("site_id", "ip").agg(found("__ip"))
     places = log.select("site_id", "domestic").distinct().withColumn("place", normalize_city(F.col("domestic")))
     cities = r.where("order = 4").withColumn("city", normalize_city(F.col("value"))).where("city <> ''")
-    first = places.join(cities, "site_id").where("contains(place, city)").groupBy("site_id", "domestic").agg(F.min(F.struct("order", "rule_type", "value")).alias("__rule"))
-    by_city = log.join(first, ["site_id", "domestic"]).select(*hits, "__rule")
-    by_far = log.where(is_non_mainland(F.col("domestic"), F.col("global"))).join(r.where("order = 5"), "site_id").select(*hits, found)
-    own = F.struct(*hits)
-    m = by_ip.unionByName(by_city).unionByName(by_far).groupBy("site_id", "id").agg(F.min("__rule").alias("__rule"), F.first(own).alias("__hit"))
-    return m.select("__hit.*", F.col("__rule.rule_type").alias("rule_type"), F.col("__rule.value").alias("rule_value"))
+    by_city = places.join(cities, "site_id").where("contains(place, city)").groupBy("site_id", "domestic").agg(found("__city"))
+    by_far = r.where("order = 5").groupBy("site_id").agg(found("__far"))
+    j = log.join(by_ip, ["site_id", "ip"], "left").join(by_city, ["site_id", "domestic"], "left").join(by_far, "site_id", "left")
+    far = F.when(is_non_mainland(F.col("domestic"), F.col("global")), F.col("__far"))
+    rule = F.array_min(F.array_compact(F.array("__ip", "__city", far)))
+    m = bind(j.select(*[F.col(f"`{c}`") for c in log.columns], "__ip", "__city", "__far"), __rule=rule).where("__rule is not null")
+    return m.select(*[F.col(f"`{c}`") for c in log.columns], F.col("__rule.rule_type").alias("rule_type"), F.col("__rule.value").alias("rule_value"))
 
 
 def watchlist_hits(log: DataFrame, rules: DataFrame) -> DataFrame:
@@ -290,12 +298,22 @@ def list_alerts(alerts: DataFrame, page: int = 1, size: int = 20, unread_only: b
 
 
 def locate_ips(ips: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(ip, domestic, global): fixed answers, then the range table by an equi join on the upper 16 bits."""
+    """(ip, domestic, global, has_city): fixed answers, then the narrowest range of the table (lo, hi, region) that holds the address.
+
+    lo and hi are numbers, which only IPv4 has and which are looked up by their upper 16 bits,
+    or addresses of either kind as text.
+    """
     c = F.col("ip")
     fixed = F.when(c.isin("127.0.0.1", "::1", "localhost"), "local").when(is_private_ip(c), "intranet").when(~c.rlike(_V4) & ~c.contains(":"), "unknown")
-    d = bind(ips.select("ip").distinct(), n=ip_number(c), fixed=fixed).withColumn("b", F.expr("n div 65536"))
-    r = ranges.withColumn("b", F.explode(F.sequence(F.expr("lo div 65536"), F.expr("hi div 65536"))))
-    hit = d.where("fixed is null").join(r, "b").where("n between lo and hi").groupBy("ip").agg(F.min_by("region", F.expr("hi - lo")).alias("region"))
+    d = bind(ips.select("ip").distinct(), n=ip_number(c), fixed=fixed)
+    if dict(ranges.dtypes)["lo"] == "string":
+        nets = bind(ranges.select("region", F.col("lo").alias("a"), F.col("hi").alias("b")), lo=ip_key(F.col("a")), hi=ip_key(F.col("b"))).where("lo <= hi").select("lo", "hi", "region")
+        held = inside(bind(d.where("fixed is null"), __key=ip_key(c)), nets, [])
+        # of ranges that nest the narrowest begins last, and of those that begin alike it ends first
+        hit = held.groupBy("ip", "lo").agg(F.min_by("region", "hi").alias("region")).groupBy("ip").agg(F.max_by("region", "lo").alias("region"))
+    else:
+        r = ranges.withColumn("b", F.explode(F.sequence(F.expr("lo div 65536"), F.expr("hi div 65536"))))
+        hit = d.where("fixed is null").withColumn("b", F.expr("n div 65536")).join(r, "b").where("n between lo and hi").groupBy("ip").agg(F.min_by("region", F.expr("hi - lo")).alias("region"))
     j = d.join(hit, "ip", "left")
     dom, glo, city = parse_region(F.col("region"))
     return j.select(

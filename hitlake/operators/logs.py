@@ -65,6 +65,50 @@ def page(df: DataFrame, sort: str = "timestamp", descending: bool = True, page:
     return df.orderBy(*order).offset((page - 1) * size).limit(size)
 
 
+def page_after(df: DataFrame, after: tuple | None, sort: str = "timestamp", descending: bool = True, size: int = 50) -> DataFrame:
+    """The page behind a row, by its (sort value, id); the first page where ``after`` is None.
+
+    Only rows behind it are looked at and ``size`` of them kept in each task, so page 10,000
+    costs what page 1 costs; with ``page`` the rows before it would all be sorted first.
+    Nulls come last in descending order, first in ascending, as in ``page``.
+    """
+    if sort not in SORTS or size > 1000:
+        raise ValueError("unknown sort column or page size over 1000")
+    order = [F.desc(sort), F.desc("id")] if descending else [F.asc(sort), F.asc("id")]
+    if after is not None:
+        value, row = after
+        c, behind = F.col(sort), F.col("id") < row if descending else F.col("id") > row
+        if value is None:
+            beyond = (c.isNull() & behind) if descending else (c.isNull() & behind) | c.isNotNull()
+        else:
+            beyond = ((c < value) | c.isNull() if descending else c > value) | ((c == value) & behind)
+        df = df.where(beyond)
+    return df.orderBy(*order).limit(size)
+
+
+def search_facts(
+    fact: DataFrame, dims: dict[str, DataFrame], *, keyword: str | None = None, ip: str | None = None, location: str | None = None, url: str | None = None, **more
+) -> DataFrame:
+    """Stored facts that a search finds, not yet decoded: texts are looked for in the dimensions, and facts meet only the ids found.
+
+    ``more`` are filters of ``search`` on columns that facts have (times, status, page views).
+    No text is read from, or joined to, a fact that the search leaves out.
+    """
+    wanted = {"ip": ip and F.col("ip").contains(ip), "url": url and F.col("url").contains(url)}
+    wanted["location"] = location and (F.col("domestic").contains(location) | F.col("global").contains(location))
+    out = search(fact, **more)
+    for name, c in wanted.items():
+        if c is not None:
+            out = out.join(dims[name].where(c).select(f"{name}_id"), f"{name}_id", "left_semi")
+    if keyword:
+        found = F.lit(False)
+        for name, column in (("url", "url"), ("ip", "ip"), ("referer", "referer"), ("location", "domestic")):
+            ids = dims[name].where(F.col(column).contains(keyword)).select(f"{name}_id", F.lit(True).alias(f"__{name}"))
+            out, found = out.join(ids, f"{name}_id", "left"), found | F.col(f"__{name}").isNotNull()
+        out = out.where(found).drop("__url", "__ip", "__referer", "__location")
+    return out.select(fact.columns)
+
+
 def page_with_more(df: DataFrame, sort: str = "timestamp", descending: bool = True, page_no: int = 1, size: int = 50) -> DataFrame:
     """A page with has_more, found by one row more than it shows instead of a count of all."""
     if sort not in SORTS or size > 1000:

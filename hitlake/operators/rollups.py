@@ -38,6 +38,37 @@ def first_seen(log: DataFrame) -> DataFrame:
     return log.where(pv()).groupBy("site_id", "ip").agg(F.min("timestamp").alias("first_ts"))
 
 
+def number_visitors(log: DataFrame, path: str, known: DataFrame | None = None) -> DataFrame:
+    """Addresses (ip, number) of page views, written to ``path`` and read back: numbers that bitmaps can hold.
+
+    A task numbers its addresses one after the other from a start of its own, so their
+    bits lie close together; with ``known`` only new addresses are numbered, behind all known ones.
+    """
+    new = log.where(pv()).select("ip").where("ip is not null").distinct()
+    if known is not None:
+        new = new.join(known.select("ip"), "ip", "left_anti")
+    start = 0 if known is None else (known.agg(F.max("number")).first()[0] or 0) + 1
+    new.withColumn("number", F.monotonically_increasing_id() + start).write.mode("append").parquet(path)
+    return log.sparkSession.read.schema("ip string, number long").parquet(path)
+
+
+def visitor_bitmaps(log: DataFrame, numbers: DataFrame, bucket: Column) -> DataFrame:
+    """Visitors of each (site, bucket) as bitmaps of 32768 numbers: (site_id, bucket, block, visitors)."""
+    n = log.where(pv()).select("site_id", bucket.alias("bucket"), "ip").join(numbers, "ip")
+    g = n.groupBy("site_id", "bucket", F.bitmap_bucket_number("number").alias("block"))
+    return g.agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("visitors"))
+
+
+def merge_bitmaps(bitmaps: DataFrame, *keys: str | Column) -> DataFrame:
+    """Bitmaps of several buckets or loads as one by ``keys`` (none: all): sets unite by OR."""
+    return bitmaps.groupBy(*keys, "block").agg(F.bitmap_or_agg("visitors").alias("visitors"))
+
+
+def count_visitors(bitmaps: DataFrame, *keys: str) -> DataFrame:
+    """UV of merged bitmaps by ``keys``: exact, and of any range of buckets."""
+    return bitmaps.groupBy(*keys).agg(F.coalesce(F.sum(F.bitmap_count("visitors")), F.lit(0)).alias("uv"))
+
+
 def merge_counts(base: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
     """Upsert of counters: equal keys add."""
     values = [c for c in base.columns if c not in keys]

@@ -129,6 +129,15 @@ def session_page(sessions: DataFrame, page: int, size: int) -> DataFrame:
     return sessions.orderBy(*order).offset((page - 1) * size).limit(size)
 
 
+def session_page_after(sessions: DataFrame, after: dict | None, size: int) -> DataFrame:
+    """The page behind a session (its visitor and start_ts), the first one where it is None; every page costs the same."""
+    if after is not None:
+        same = F.col("start_ts") == after["start_ts"]
+        behind = F.struct(*VISITOR) > F.struct(*[F.lit(after[c]).cast("string").alias(c) for c in VISITOR])
+        sessions = sessions.where((F.col("start_ts") < after["start_ts"]) | (same & behind))
+    return sessions.orderBy(F.desc("start_ts"), *VISITOR).limit(size)
+
+
 def session_summary(sessions: DataFrame) -> DataFrame:
     s = sessions.agg(F.count("*").alias("sessions"), F.count_if(F.col("page_count") <= 1).alias("bounces"), F.coalesce(F.sum(F.col("end_ts") - F.col("start_ts")), F.lit(0)).alias("d"))
     return s.selectExpr(

@@ -282,6 +282,22 @@ def _apple(g: DataFrame) -> DataFrame:
     return g.withColumn("device", F.when(F.col("id") % 5 == 0, "apple").otherwise(F.col("device")))
 
 
+def _page_after(g: DataFrame) -> DataFrame:
+    last = L.page(g, "bytes_sent", True, 2, 40).collect()[-1]  # a page
+    return L.page_after(g, (last.bytes_sent, last.id), "bytes_sent", True, 40).select("id", "bytes_sent")
+
+
+def _bitmap_uv(g: DataFrame) -> DataFrame:
+    """UV by hour, by day and of five hours, all from the hours' bitmaps; visitors numbered in two loads."""
+    at = f"{J.folder(g.sparkSession)}/numbers"
+    known = M.number_visitors(g.where("id % 3 = 0"), at)
+    hours = M.visitor_bitmaps(g, M.number_visitors(g, at, known), B.hour())
+    one = lambda grain, c, df: M.count_visitors(M.merge_bitmaps(df, c.alias("bucket")), "bucket").select(F.lit(grain).alias("grain"), "bucket", "uv")
+    day = F.col("bucket") - F.col("bucket") % 86400
+    five = hours.where(F.col("bucket").between(MID, MID + 4 * 3600))
+    return one("hour", F.col("bucket"), hours).unionByName(one("day", day, hours)).unionByName(one("range", F.lit(MID).cast("long"), five))
+
+
 def _forecasts(a: int, b: int, now: int, weight: float, recent: int = 7200) -> str:
     """Forecast columns over snapshots d (up to now) and r (the last two hours)."""
     by = lambda c: f"round(d.{c} * ({(b - a) / (now - a)!r}))"
@@ -398,6 +414,23 @@ def _table() -> dict[str, Entry]:
             lambda g: L.search(g, pageviews=True, first=M.first_seen(g), visitors="new", window=(START, START + 7200)).select("id", "is_new"),
             LOG + f", f AS (SELECT ip, min(timestamp) AS t FROM pv GROUP BY 1) SELECT id, true AS is_new FROM pv JOIN f USING (ip) WHERE t >= {START} AND t < {START + 7200}",
         ),
+        "log_page_after": (lambda g: _page_after(g), LOG + "SELECT id, bytes_sent FROM log ORDER BY bytes_sent DESC, id DESC LIMIT 40 OFFSET 80"),
+        "session_page_after": (
+            lambda g: S.session_page_after(S.sessionize(g), S.session_page(S.sessionize(g), 2, 25).collect()[-1].asDict(), 25), LOG + _sessions() + "SELECT * FROM ses ORDER BY start_ts DESC, site_id, ip, browser, os, device LIMIT 25 OFFSET 50",
+        ),
+        "log_search_dims": (
+            lambda g: L.search_facts(M.encode_fact(g), M.build_dims(g), keyword="e/1", ip="203.", location="o", start=MID, status_class=2, pageviews=True).select("id", "timestamp"),
+            LOG + f"SELECT id, timestamp FROM pv WHERE (contains(url, 'e/1') OR contains(ip, 'e/1') OR contains(referer, 'e/1') OR contains(domestic, 'e/1')) AND contains(ip, '203.') AND (contains(domestic, 'o') OR contains(global, 'o')) AND timestamp >= {MID} AND status_code BETWEEN 200 AND 299",
+        ),
+        "uv_by_bitmaps": (
+            lambda g: _bitmap_uv(g), LOG + "SELECT 'day' AS grain, hour - hour % 86400 AS bucket, count(DISTINCT ip) AS uv FROM pv GROUP BY 2 UNION ALL SELECT 'hour', hour, count(DISTINCT ip) FROM pv GROUP BY 2 UNION ALL "
+            f"SELECT 'range', {MID}, count(DISTINCT ip) FROM pv WHERE {_rng(MID, MID + 5 * 3600)}",
+        ),
+        "geo_locate_v6": (
+            lambda g: E.locate_ips(g.select(_address().alias("ip")), g.sparkSession.createDataFrame([("2001:db8::", "2001:db8:ffff:ffff:ffff:ffff:ffff:ffff", "Japan|0|Osaka|Sakai|0"), ("2001:db8::", "2001:db8::ff", "中国|0|广东省|深圳市|电信"), ("224.0.1.0", "224.0.1.255", "中国|0|北京|北京市|联通")], "lo string, hi string, region string")),
+            "SELECT * FROM (VALUES ('224.0.0.9', 'intranet', 'intranet', false), ('224.0.1.9', '北京', '中国', true), ('fe80::1', 'intranet', 'intranet', false), ('fd12::', 'intranet', 'intranet', false), ('2001:db8::1', '广东·深圳', '中国', true), ('::ffff:10.0.0.1', 'intranet', 'intranet', false), "
+            "('ff02::1', 'intranet', 'intranet', false), ('1.2.3', 'unknown', 'unknown', false), ('fc::1', 'unknown', 'unknown', false), ('::1', 'local', 'local', false)) t(ip, domestic, global, has_city) WHERE (SELECT count(*) FROM events) > 9",
+        ),
         "log_page": (lambda g: L.page(g, "bytes_sent", True, 3, 40).select("id", "bytes_sent"), LOG + "SELECT id, bytes_sent FROM log ORDER BY bytes_sent DESC, id DESC LIMIT 40 OFFSET 80"),
         "log_count": (lambda g: L.count_pages(g.where("status_code = 200")), LOG + "SELECT count(*) AS total, count(DISTINCT ip) AS ips, (count(*) + 49) // 50 AS pages FROM log WHERE status_code = 200"),
         "log_latest_per_ip": (lambda g: L.latest_per_ip(g).select("ip", "id", "timestamp", "url"), LOG + "SELECT ip, id, timestamp, url FROM log QUALIFY row_number() OVER (PARTITION BY ip ORDER BY timestamp DESC, id DESC) = 1"),

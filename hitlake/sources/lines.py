@@ -234,8 +234,8 @@ def _count(c: Column) -> Column:
     return F.greatest(F.coalesce(F.trim(c).try_cast("bigint"), F.lit(0)), F.lit(0)).cast("bigint")
 
 
-def _shared(get, df: DataFrame, layouts: list[str], duration_unit: str | None, extra: dict[str, Column]) -> DataFrame:
-    """Columns common to all formats, from raw text fields; ``rejected`` says what a line lacks.
+def _shared(get, layouts: list[str], duration_unit: str | None, extra: dict[str, Column]) -> dict[str, Column]:
+    """Columns common to all formats, from raw text fields; ``__bad`` says that the format does not fit.
 
     ``get`` gives a field's text by column name, None where the format has none.
     """
@@ -262,21 +262,12 @@ def _shared(get, df: DataFrame, layouts: list[str], duration_unit: str | None, e
         first, second = a.rlike(_DURATION_LIKE) & whole(b), b.rlike(_DURATION_LIKE) & whole(a)
         length = F.when(first, _count(b)).when(second, _count(a)).otherwise(0).cast("bigint")
         time_ms = duration_ms(F.when(first, a).when(second, b).otherwise(""))
-    cols = {
+    return {
         "ip": clean_ip(text("ip")), "timestamp": parse_time(text("time"), layouts, extra.get("numeric_time")), "method": method, "url": decode(url),
         "status_code": text("status").try_cast("int"), "bytes_sent": _count(text("bytes")), "request_length": length, "request_time_ms": time_ms,
         "upstream_response_time_ms": extra.get("upstream_response_time_ms", duration_ms(text("upstream_time"))), "upstream_addr": blank(text("upstream_addr")),
-        "host": blank(text("host")), "request_id": blank(text("request_id")), "referer": decode(text("referer")), "ua": F.when(text("ua") == "", "-").otherwise(text("ua")),
+        "host": blank(text("host")), "request_id": blank(text("request_id")), "referer": decode(text("referer")), "ua": F.when(text("ua") == "", "-").otherwise(text("ua")), "__bad": extra.get("unmatched", F.lit(False)),
     }
-    carried = [c for c in df.columns if c not in cols and c not in ("rejected", "__f", "__j", "__t")]
-    # a generator of one row: filters on what is parsed stay above it, so nothing is parsed again for them
-    row = F.struct(*[v.alias(k) for k, v in cols.items()], extra.get("unmatched", F.lit(False)).alias("__bad"))
-    out = df.select(*[F.col(f"`{c}`") for c in carried], F.inline(F.array(row)))
-    bad = (
-        F.when(F.col("__bad"), "format").when(F.coalesce(F.col("ip"), none) == "", "ip").when(F.col("timestamp").isNull(), "time").when(F.col("status_code").isNull(), "status")
-        .when((F.coalesce(F.col("url"), none) == "") | (F.coalesce(F.col("method"), none) == ""), "request")
-    )
-    return out.withColumn("rejected", bad).drop("__bad")
 
 
 def parse(lines: DataFrame, fmt: str | Format = "nginx", cutoff: int | None = None, duration_unit: str | None = None) -> DataFrame:
@@ -286,30 +277,65 @@ def parse(lines: DataFrame, fmt: str | Format = "nginx", cutoff: int | None = No
     seconds) are old. ``duration_unit='ms'`` reads bare durations as milliseconds.
     Null lines are rejected.
     """
+    return _dispatch(lines, [(None, fmt)], cutoff, duration_unit)
+
+
+def _chosen(cases: list[tuple[Column | None, Column]]) -> Column | None:
+    """The value of the first case whose condition holds (None: always)."""
+    out = None
+    for condition, value in reversed(cases):
+        out = value if condition is None else F.when(condition, value) if out is None else F.when(condition, value).otherwise(out)
+    return out
+
+
+def _dispatch(lines: DataFrame, cases: list[tuple[Column | None, str | Format]], cutoff: int | None, duration_unit: str | None) -> DataFrame:
+    """Each line by the format of the first case that it meets: one pass and one projection, in which only that format's pattern runs."""
     lines = lines.withColumn("line", F.coalesce("line", F.lit("")))
-    if fmt == "caddy":
-        out = _caddy(lines)
-    else:
-        f = checked(fmt if isinstance(fmt, Format) else FORMATS[ALIASES.get(fmt, fmt)])
-        groups = f.groups()
-        n = max(groups.values())
+    plain = [(c, checked(f if isinstance(f, Format) else FORMATS[ALIASES.get(f, f)])) for c, f in cases if f != "caddy"]
+    fields, tails = [], []
+    for c, f in plain:
+        n = max(f.groups().values())
         flat = F.regexp_replace(F.translate("line", SEP, " "), F.lit(f.java()), F.lit("".join(f"{SEP}${i}" for i in range(1, n + 1))))
-        m = lines.withColumn("__f", F.split(flat, SEP))
-
+        fields.append((c, F.split(flat, SEP)))
         if f.tail:
-            tail = F.coalesce(F.get("__f", F.lit(groups["tail"])), F.lit(""))
-            m = bind(m, __t=F.when(tail == "", F.array().cast("array<string>")).otherwise(F.split(F.trim(tail), r"(?<!,)\s+")))
-
-        def get(column: str) -> Column | None:
-            if column in f.tail:
-                return F.when(F.size("__t") >= 2, F.coalesce(F.get("__t", F.lit(f.tail.index(column))), F.lit(""))).otherwise("")
-            name = next((a for a in ALIASES_OF.get(column, [column]) if a in groups), None)
-            return None if name is None else F.coalesce(F.get("__f", F.lit(groups[name])), F.lit(""))
-
-        out = _shared(get, m, f.times, duration_unit, {"unmatched": F.size("__f") != n + 1})
-    if cutoff is not None:
-        out = out.withColumn("rejected", F.coalesce("rejected", F.when(F.col("timestamp") < cutoff, "old")))
-    return out
+            tail = F.trim(F.coalesce(F.get("__f", F.lit(f.groups()["tail"])), F.lit("")))
+            tails.append((c, F.when(tail == "", F.array().cast("array<string>")).otherwise(F.split(tail, r"(?<!,)\s+"))))
+    m = lines
+    if fields:
+        m = m.withColumn("__f", _chosen(fields))
+    if tails:
+        m = bind(m, __t=_chosen(tails))
+    json = [(c, F.from_json("line", _CADDY)) for c, f in cases if f == "caddy"]
+    if json:
+        m = m.withColumn("__j", _chosen(json))
+    rows, at = [], iter(plain)
+    for c, f in cases:
+        cols = _caddy() if f == "caddy" else _matched(next(at)[1], duration_unit)
+        rows.append((c, F.struct(*[v.alias(k) for k, v in cols.items()])))
+    work = ("rejected", "__f", "__j", "__t")
+    carried = [c for c in lines.columns if c not in cols and c not in work]
+    # a generator of one row: filters on what is parsed stay above it, so nothing is parsed again for them
+    out = m.select(*[F.col(f"`{c}`") for c in carried], F.inline(F.array(_chosen(rows))))
+    none = F.lit("")
+    bad = (
+        F.when(F.col("__bad"), "format").when(F.coalesce(F.col("ip"), none) == "", "ip").when(F.col("timestamp").isNull(), "time").when(F.col("status_code").isNull(), "status")
+        .when((F.coalesce(F.col("url"), none) == "") | (F.coalesce(F.col("method"), none) == ""), "request")
+    )
+    out = out.withColumn("rejected", bad).drop("__bad")
+    return out if cutoff is None else out.withColumn("rejected", F.coalesce("rejected", F.when(F.col("timestamp") < cutoff, "old")))
+
+
+def _matched(f: Format, duration_unit: str | None) -> dict[str, Column]:
+    """Columns of a line that a format's pattern was applied to."""
+    groups = f.groups()
+
+    def get(column: str) -> Column | None:
+        if column in f.tail:
+            return F.when(F.size("__t") >= 2, F.coalesce(F.get("__t", F.lit(f.tail.index(column))), F.lit(""))).otherwise("")
+        name = next((a for a in ALIASES_OF.get(column, [column]) if a in groups), None)
+        return None if name is None else F.coalesce(F.get("__f", F.lit(groups[name])), F.lit(""))
+
+    return _shared(get, f.times, duration_unit, {"unmatched": F.size("__f") != max(groups.values()) + 1})
 
 
 def parse_lines(lines: DataFrame, fmt: str | Format = "nginx", cutoff: int | None = None, duration_unit: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -319,16 +345,13 @@ def parse_lines(lines: DataFrame, fmt: str | Format = "nginx", cutoff: int | Non
 
 
 def parse_sources(lines: DataFrame, formats: dict[str, str | Format], default: str | Format = "nginx", source: str = "source_id", cutoff: int | None = None) -> DataFrame:
-    """``parse`` with a format for each source of a site; one pass over the lines for each distinct format."""
+    """``parse`` with a format for each source of a site: one pass over the lines, whatever the number of formats."""
     by: list[tuple[str | Format, list[str]]] = []
     for k, f in formats.items():
         same = next((x for x in by if x[0] == f), None)
         same[1].append(k) if same else by.append((f, [k]))
     s = F.coalesce(F.col(source), F.lit(""))
-    out = parse(lines.where(~s.isin(*formats)) if formats else lines, default, cutoff)
-    for f, names in by:
-        out = out.unionByName(parse(lines.where(s.isin(*names)), f, cutoff))
-    return out
+    return _dispatch(lines, [*((s.isin(*names), f) for f, names in by), (None, default)], cutoff, None)
 
 
 _CADDY = (
@@ -338,9 +361,8 @@ _CADDY = (
 )
 
 
-def _caddy(lines: DataFrame) -> DataFrame:
+def _caddy() -> dict[str, Column]:
     """JSON lines. A field is a number or a text of one; the first usable of ts, time and timestamp counts."""
-    j = lines.withColumn("__j", F.from_json("line", _CADDY))
     at = lambda k: F.coalesce(F.col(f"__j.{k}"), F.lit(""))
     r = lambda k: F.nullif(F.col(f"__j.request.{k}"), F.lit(""))
 
@@ -350,9 +372,9 @@ def _caddy(lines: DataFrame) -> DataFrame:
 
     layouts = ["iso", NGINX_TIME]
     usable = [F.when(parse_time(c, layouts, c.try_cast("double").isNotNull()).isNotNull(), c) for c in (at("ts"), at("time"), at("timestamp"))]
-    j = j.withColumn("__f", F.coalesce(*usable, F.lit("")))
+    when = F.coalesce(*usable, F.lit(""))
     fields = {
-        "ip": F.coalesce(r("remote_ip"), r("client_ip"), at("remote_ip")), "time": F.col("__f"), "method": F.coalesce(r("method"), F.lit("")), "url": F.coalesce(r("uri"), F.lit("")),
+        "ip": F.coalesce(r("remote_ip"), r("client_ip"), at("remote_ip")), "time": when, "method": F.coalesce(r("method"), F.lit("")), "url": F.coalesce(r("uri"), F.lit("")),
         "status": at("status"), "bytes": F.coalesce(at("size").try_cast("double").cast("bigint").cast("string"), F.lit("")), "request_length": at("request_length"),
         "upstream_addr": at("upstream"), "host": F.coalesce(r("host"), F.lit("")), "request_id": at("request_id"), "referer": header("referer"), "ua": header("user-agent"),
     }
@@ -362,11 +384,11 @@ def _caddy(lines: DataFrame) -> DataFrame:
         return F.when(n.isNotNull(), number_ms(n, unit_ms)).when(at(k) != "", duration_ms(at(k), unit_ms))
 
     extra = {
-        "numeric_time": F.col("__f").try_cast("double").isNotNull(), "unmatched": F.col("__j.request").isNull(),
+        "numeric_time": when.try_cast("double").isNotNull(), "unmatched": F.col("__j.request").isNull(),
         "request_time_ms": F.coalesce(amount("duration_ms", True), amount("duration"), amount("duration_ns"), F.lit(0).cast("bigint")),
         "upstream_response_time_ms": F.coalesce(amount("upstream_duration"), F.lit(0).cast("bigint")),
     }
-    return _shared(fields.get, j, layouts, None, extra)
+    return _shared(fields.get, layouts, None, extra)
 
 
 def parse_report(parsed: DataFrame) -> DataFrame:

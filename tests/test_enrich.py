@@ -123,3 +123,13 @@ def test_shared_folder_needed(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         J.folder(Session())
+
+
+@pytest.mark.parametrize("descending", [True, False])
+def test_pages_behind_a_row(spark, descending):
+    log = spark.createDataFrame([(i, None if i % 4 == 0 else i % 3) for i in range(1, 30)], "id long, status_code int")
+    want, got, after = [tuple(r) for r in L.page(log, "status_code", descending, 1, 100).collect()], [], None
+    while rows := L.page_after(log, after, "status_code", descending, 7).collect():
+        got += [tuple(r) for r in rows]
+        after = (rows[-1].status_code, rows[-1].id)
+    assert got == want
