@@ -43,13 +43,16 @@ def samples(train: DataFrame, docs_per_lang: int = 200, bytes_per_doc: int = 150
 
     ``train``: (text, lang). At most ``docs_per_lang`` distinct texts a language,
     each giving at most ``bytes_per_doc`` characters of sample: these two bounds
-    are what the driver holds per language. Texts of 200 characters or more come
+    are what the driver holds per language. A longer text gives a slice whose place its
+    hash chooses, so any part of a text may teach. Texts of 200 characters or more come
     first, shorter ones fill up where those are missing; samples without a letter
     teach nothing. Texts with the smallest hashes are taken, first within 64 salts,
     so no language gathers in one task.
     """
+    h = F.xxhash64("text")
+    first = F.pmod(h, F.greatest(F.length("text") - bytes_per_doc, F.lit(0)) + 1).cast("int") + 1
     t = train.where("lang is not null and text is not null").select(
-        "lang", (F.length("text") < 200).alias("short"), F.xxhash64("text").alias("h"), F.substring("text", 1, bytes_per_doc).alias("s")
+        "lang", (F.length("text") < 200).alias("short"), h.alias("h"), F.substring("text", first, F.lit(bytes_per_doc)).alias("s")
     ).where(F.col("s").rlike(r"\p{L}"))
     salted = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("short", "h", "s")
     top = t.withColumn("k", F.row_number().over(salted)).where(F.col("k") <= docs_per_lang).drop("k").distinct()

@@ -238,18 +238,23 @@ def shown_text(text: Column, spans: Column) -> Column:
     return F.transform(words, lambda w: F.array_join(F.transform(spans, lambda s, i: stretch(w, s, i)), ""))[0]
 
 
-def mixed_texts(docs: DataFrame, block_words: int = 128, shard_slots: int = 1 << 16) -> DataFrame:
+def mixed_texts(docs: DataFrame, block_words: int = 128, shard_slots: int = 1 << 16, by_shard: bool = True) -> DataFrame:
     """The mix as documents: a row per output shard, document and pass, holding the words that the shard shows of it.
 
     Columns of ``docs`` (doc_id, text, lang, source, n_chars) after shard; the draws
     decide which words of a document lie in which shard. Documents of which nothing
-    is shown have no row; one may have several.
+    is shown have no row; one may have several. Rows of a document grow with the
+    number of shards; without ``by_shard`` it has a row per pass, two at most, with
+    all that the mix takes of it in that pass, in its first shard.
     """
     docs = stable(docs)
     packed, _, slots = mix(docs, block_words=block_words, shard_slots=shard_slots)
-    shown = placements(packed, slots, block_words).groupBy("rid", "shard", "pass").agg(
-        F.array_sort(F.collect_list(F.struct("from_word", "to_word"))).alias("spans")
-    )
+    shown = placements(packed, slots, block_words)
+    spans = F.array_sort(F.collect_list(F.struct("from_word", "to_word"))).alias("spans")
+    if by_shard:
+        shown = shown.groupBy("rid", "shard", "pass").agg(spans)
+    else:
+        shown = shown.groupBy("rid", "pass").agg(spans, F.min("shard").alias("shard"))
     d = with_row_id(docs).join(shown.hint("merge"), "rid")
     text = shown_text(F.col("text"), F.col("spans"))
     return d.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select("shard", *docs.columns)

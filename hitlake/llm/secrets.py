@@ -1,6 +1,8 @@
 """Secret scans (operator 4). DataFrame functions only on the main path.
 
-Candidates are the runs of 16 or more key-like characters, every one of a word. Each gets
+Candidates are the runs of 16 or more key-like characters, every one of a word, and what
+is assigned to a name with a key word in it (``PASSWORD=hunter2!Xy9``, ``token = "s3cr3t"``)
+when it has six or more characters, of any kind, a letter and a digit among them. Each gets
 features: length, character transitions, dictionary coverage, path signs and
 neighbouring words. Where a word holds several runs, a run's own part of the word is
 the name right before it (``"key":"``, or the run before it and ``:``) and itself; runs
@@ -16,6 +18,10 @@ secret; a candidate without any such neighbour that is an address, a path, all
 digits or all letters is not. Every finding is learnt twice, with and without its
 neighbours, so that the forest also judges by the candidate itself.
 
+What the corpus' own findings do not show, the forest cannot know: a bare key without
+a neighbouring name (as access key ids often stand) is found only if the labelled
+findings hold such. A found value is replaced wherever it stands in its text.
+
 Null texts have no candidates and stay null; empty and very long texts, repeated
 rows, empty tables and extra columns are ordinary; where no findings of both kinds
 exist, nothing is flagged.
@@ -36,6 +42,14 @@ RUN = r"[A-Za-z0-9_+/=-]{16,}"
 GROUP = rf"(?s)(.*?)({RUN}+(?:\.{RUN}+)*+)"
 #: The name, its sign and opening quotes at the end of what stands before a run.
 NAME = r"((?:[^=:,;&?(){}\[\]|]{0,40}[=:]+)?[\"'`\[({<]*)$"
+#: Names of secrets, and a value assigned to one inside a word: the value ends at quotes, brackets, blanks and what parts fields.
+KEYS = r"(?:token|secret|passw|pwd|api.?key|access.?key|private.?key|auth(?!or)|credential)"
+VALUE = r"[^\x20\x09-\x0D\"'`&,;<>(){}\[\]]{6,}+"
+OPEN = r"[\"'`({\[<]*+"
+INSIDE = rf"(?i){KEYS}[A-Za-z0-9_-]{{0,40}}+[\"'`]?[=:]++{OPEN}({VALUE})"
+#: The end of the two words before a value, where they assign to such a name.
+LEFT = rf"(?i){KEYS}[A-Za-z0-9_-]{{0,40}}+[\"'`]? ?[=:]+$"
+RUNS_ONLY = rf"^{RUN}+(?:\.{RUN}+)*+$"
 #: Findings of each kind that are learnt from, and words in the dictionary: what the driver may hold.
 FINDINGS, DICTIONARY = 3000, 300
 MARK = "[SECRET]"
@@ -76,19 +90,46 @@ def _runs(word: Column, before2: Column, before1: Column, after1: Column) -> Col
     return F.flatten(F.flatten(F.transform(zipped, lambda zs: F.transform(zs, lambda z, i: of_group(zs, z, i)))))
 
 
+def _assigned(word: Column, before2: Column, before1: Column, after1: Column) -> Column:
+    """What a word, or the two words before it, assign to a key word's name, where it is not of runs anyhow."""
+    inside = F.zip_with(
+        F.regexp_extract_all(word, F.lit(INSIDE), F.lit(0)), F.regexp_extract_all(word, F.lit(INSIDE), F.lit(1)),
+        lambda a, v: F.struct(F.rtrim(v, F.lit(".:")).alias("core"), a.alias("word")),
+    )
+    lead = F.concat_ws(" ", F.right(before2, F.lit(80)), F.right(before1, F.lit(80)))
+    value = F.rtrim(F.regexp_extract(word, rf"^{OPEN}({VALUE})", 1), F.lit(".:"))
+    after = F.when(before1.rlike("[=:]$") & lead.rlike(LEFT), F.array(F.struct(value.alias("core"), word.alias("word")))).otherwise(F.array())
+    mixed = F.filter(
+        F.concat(after, inside),
+        lambda c: (F.length(c["core"]) >= 6) & c["core"].rlike("[0-9]") & c["core"].rlike("[A-Za-z]") & ~c["core"].rlike(RUNS_ONLY),
+    )
+    return F.transform(mixed, lambda c: F.struct(
+        c["core"].alias("core"), c["word"].alias("word"), before2.alias("before2"), before1.alias("before1"), after1.alias("after1")
+    ))
+
+
+def _part_of(run: Column, values: Column) -> Column:
+    """A run inside a value, or one that is a name, its ``=`` and the start of a value: the value stands for it."""
+    tail = F.substring_index(run, "=", -1)
+    named = F.contains(run, F.lit("=")) & (tail != "")
+    return F.exists(values, lambda v: F.contains(v["core"], run) | (named & F.startswith(v["core"], tail)))
+
+
 def candidates(text: Column) -> Column:
     """array<struct<core, word, before2, before1, after1>> of a text."""
     words = F.split(F.coalesce(text, F.lit("")), GAP)
 
     def found(ws: Column) -> Column:
-        each = F.transform(
-            ws,
-            lambda w, i: F.when(
-                (F.length(w) >= 16) & w.rlike(RUN),
-                _runs(w, F.coalesce(F.get(ws, i - 2), F.lit("")), F.coalesce(F.get(ws, i - 1), F.lit("")), F.coalesce(F.get(ws, i + 1), F.lit(""))),
-            ),
-        )
-        return F.flatten(F.filter(each, lambda c: c.isNotNull()))
+        def of_word(w: Column, i: Column) -> Column:
+            near = [F.coalesce(F.get(ws, i + k), F.lit("")) for k in (-2, -1, 1)]
+            runs = F.when((F.length(w) >= 16) & w.rlike(RUN), _runs(w, *near))
+            # most words end here: what is assigned has a digit, and its sign in the word or before it
+            may = (F.length(w) >= 6) & w.rlike("[0-9]") & (w.rlike("[=:]") | near[1].rlike("[=:]$"))
+            values = F.when(may, _assigned(w, *near))
+            both = F.concat(F.filter(runs, lambda r: ~_part_of(r["core"], values)), values)
+            return F.when(runs.isNotNull() & values.isNotNull(), both).otherwise(F.coalesce(runs, values))
+
+        return F.flatten(F.filter(F.transform(ws, of_word), lambda c: c.isNotNull()))
 
     # a one-element transform binds the words once, so they are split once
     return F.flatten(F.transform(F.array(words), found))
@@ -175,19 +216,22 @@ def scan(docs: DataFrame, threshold: float = 0.5, labelled: DataFrame | None = N
     words = dictionary(text_only)
     rule = forest(labelled if labelled is not None else findings(text_only, words)) or "0D"
     c = F.transform(candidates(F.col("text")), lambda c: F.struct(c["core"].alias("core"), features(c, words).alias("f")))
-    found = docs.drop("n_candidates", "secrets", "max_score", "redacted").withColumn("__c", c)
-    scored = F.expr(f"transform(__c, c -> named_struct('core', c.core, 'score', element_at(transform(array(c.f), f -> {rule}), 1)))")
-    found = found.withColumn("__s", scored)
-    secrets = F.array_distinct(F.transform(F.filter("__s", lambda s: s["score"] > threshold), lambda s: s["core"]))
+    found = docs.drop("n_candidates", "secrets", "max_score", "redacted")
+    taken = {x.lower() for x in found.columns}
+    work, marks = [x for x in (f"__{i}" for i in range(len(taken) + 2)) if x not in taken][:2]
+    found = found.withColumn(work, c)
+    scored = F.expr(f"transform({work}, c -> named_struct('core', c.core, 'score', element_at(transform(array(c.f), f -> {rule}), 1)))")
+    found = found.withColumn(marks, scored)
+    secrets = F.array_distinct(F.transform(F.filter(marks, lambda s: s["score"] > threshold), lambda s: s["core"]))
     found = found.withColumn("secrets", secrets)
     # longest first: a secret may be a part of another
     longest = F.array_sort("secrets", lambda a, b: F.length(b) - F.length(a))
     redacted = F.aggregate(longest, F.col("text"), lambda t, s: F.replace(t, s, F.lit(MARK)))
     return (
-        found.withColumn("n_candidates", F.size("__c").cast("long"))
-        .withColumn("max_score", F.array_max(F.transform("__s", lambda s: s["score"])))
+        found.withColumn("n_candidates", F.size(work).cast("long"))
+        .withColumn("max_score", F.array_max(F.transform(marks, lambda s: s["score"])))
         .withColumn("redacted", redacted)
-        .drop("__c", "__s")
+        .drop(work, marks)
     )
 
 

@@ -189,6 +189,16 @@ def test_mixed_blocks(docs):
     assert taken == {d: r.taken for d, r in op.items() if r.taken}
     for shard in {t.shard for t in texts}:
         assert sum(len(t.text.encode().split()) for t in texts if t.shard == shard) == sum(len(w) for s, w in shown.values() if s == shard)
+    whole = mixing.mixed_texts(docs.select("doc_id", "text", "lang", "source", "n_chars"), block_words=16, shard_slots=50, by_shard=False).collect()
+    per, first = {}, {}
+    for t in whole:
+        per.setdefault(t.doc_id, []).append(t)
+    for t in texts:
+        first[t.doc_id] = min(t.shard, first.get(t.doc_id, t.shard))
+    assert {d: sum(len(t.text.encode().split()) for t in ts) for d, ts in per.items()} == taken
+    assert all(len(ts) <= 2 and min(t.shard for t in ts) == first[d] for d, ts in per.items())
+    full = [d for d, r in op.items() if r.taken == 2 * r["size"] > 0]  # taken twice as a whole: twice the text itself
+    assert full and all([t.text for t in per[d]] == [original[d].strip()] * 2 for d in full if original[d] == original[d].rstrip())
 
 
 def test_permutation(spark):
