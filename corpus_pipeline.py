@@ -38,9 +38,9 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mix sources to target weights: a row per output shard, document and pass with the words shown."""
+    """Mix sources to target weights: a row per document and pass with the words taken of it; who is taken twice has two rows."""
     release(spark)
-    return mixing.mixed_texts(docs.select(_COLUMNS)).select(_COLUMNS)
+    return mixing.mixed_texts(docs.select(_COLUMNS), by_shard=False).select(_COLUMNS)
 
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
