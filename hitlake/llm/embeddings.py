@@ -7,11 +7,13 @@ dimensions carry most of a product. Rows are range-partitioned by label and by c
 the two leading components, as wide as the threshold's chord is long, on sampled
 splitters and packed into tiles. A tile meets tiles of the cells that its box reaches
 into; a full cell's tiles are dealt out by salt. Of those, pairs go on whose boxes
-over the leading components lie within the chord. In a pair of tiles, products are summed a few dimensions at a time; what
+over the leading components lie within the chord. Pairs of tiles are worked on by blocks of
+``RUN`` tiles that follow each other: a task gets the tiles of two blocks once for all pairs
+between them. In a pair of tiles, products are summed a few dimensions at a time; what
 the rest can still add is bounded by the product of the suffix norms, and pairs
 that cannot reach the threshold any more drop out; a tile pair without candidates
-stops. Pairs within 1e-9 of the threshold are decided again on the unturned
-vectors in double precision.
+stops. Turned vectors travel in single precision; pairs within ``NEAR`` of the threshold, more
+than that rounding can move a product, are decided on the vectors themselves in double precision.
 
 Vectors of very large or very small numbers are scaled by a power of two first, which
 changes no cosine. Null, zero or non-finite vectors, and rows without a label, link with nothing;
@@ -29,6 +31,10 @@ from pyspark.sql import functions as F
 from .common import components, cut, with_row_id
 
 TILE, BLOCK, BOX = 512, 8, 6
+#: Tiles of a block; a task holds two.
+RUN = 8
+#: Rounding a unit vector to single precision moves it by 6e-8 at most, a product by 1.2e-7.
+NEAR = 1e-6
 #: Tiles of a cell that one task matches with their neighbours.
 CELL_TILES = 256
 
@@ -78,7 +84,7 @@ def axes(distinct: DataFrame, dim: int) -> np.ndarray:
     return np.linalg.eigh((m + m.T) / 2)[1][:, ::-1].copy()
 
 
-_TILE_SCHEMA = "tile string, label string, dim int, ids array<long>, n array<long>, turned binary, raw binary, lo array<double>, hi array<double>"
+_TILE_SCHEMA = "tile string, label string, dim int, ids array<long>, n array<long>, turned binary, lo array<double>, hi array<double>"
 
 
 def tiles(distinct: DataFrame, turn: dict[int, np.ndarray], width: float, tile: int = TILE) -> DataFrame:
@@ -100,7 +106,7 @@ def tiles(distinct: DataFrame, turn: dict[int, np.ndarray], width: float, tile:
             )
 
     def pack(batches):
-        part, no = TaskContext.get().partitionId(), 0
+        part, no, run, in_run = TaskContext.get().partitionId(), 0, 0, 0
         key, held = None, []
 
         def flush():
@@ -108,17 +114,19 @@ def tiles(distinct: DataFrame, turn: dict[int, np.ndarray], width: float, tile:
             t = (m / np.linalg.norm(m, axis=1, keepdims=True)) @ turn[key[1]]
             box = t[:, :BOX]
             return pa.RecordBatch.from_arrays(
-                [pa.array([f"{part}-{no}"]), pa.array([key[0]]), pa.array([key[1]], pa.int32()), pa.array([[h[1] for h in held]], pa.list_(pa.int64())),
-                 pa.array([[h[2] for h in held]], pa.list_(pa.int64())), pa.array([t.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary()),
+                [pa.array([f"{part}-{run}-{no}"]), pa.array([key[0]]), pa.array([key[1]], pa.int32()), pa.array([[h[1] for h in held]], pa.list_(pa.int64())),
+                 pa.array([[h[2] for h in held]], pa.list_(pa.int64())), pa.array([t.astype("f4").tobytes()], pa.binary()),
                  pa.array([box.min(axis=0).tolist()], pa.list_(pa.float64())), pa.array([box.max(axis=0).tolist()], pa.list_(pa.float64()))],
-                names=["tile", "label", "dim", "ids", "n", "turned", "raw", "lo", "hi"],
+                names=["tile", "label", "dim", "ids", "n", "turned", "lo", "hi"],
             )
 
         for b in batches:
             for label, dim, v, rep, n_ in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 if held and ((label, dim) != key or len(held) >= tile):
                     yield flush()
-                    held, no = [], no + 1
+                    held, no, in_run = [], no + 1, in_run + 1
+                    if (label, dim) != key or in_run == RUN:  # a block's tiles have one label
+                        run, in_run = run + 1, 0
                 key = (label, dim)
                 held.append((v, rep, n_))
         if held:
@@ -131,31 +139,24 @@ def tiles(distinct: DataFrame, turn: dict[int, np.ndarray], width: float, tile:
     return rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "rep").mapInArrow(pack, _TILE_SCHEMA)
 
 
-def compare(a: dict, b: dict, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Linked (i, j) of two tiles, by leading dimensions first."""
-    d = a["dim"]
-    x, y = (np.frombuffer(t["turned"]).reshape(-1, d) for t in (a, b))
+def compare(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j) of two tiles' turned vectors whose product is above the threshold less ``NEAR``, by leading dimensions first, and which of them are within ``NEAR`` of it."""
+    d, least = x.shape[1], threshold - NEAR
     total = np.zeros((len(x), len(y)))
     for lo in range(0, d, BLOCK):
         total += x[:, lo : lo + BLOCK] @ y[:, lo : lo + BLOCK].T
         rest = np.linalg.norm(x[:, lo + BLOCK :], axis=1)[:, None] * np.linalg.norm(y[:, lo + BLOCK :], axis=1)[None, :]
-        i, j = np.nonzero(total + rest >= threshold - 1e-9)
+        i, j = np.nonzero(total + rest >= least)
         if len(i) * 8 < total.size:  # few are left: finish them one by one
             dots = np.empty(len(i))
             for k in range(0, len(i), 1 << 16):
                 dots[k : k + (1 << 16)] = np.einsum("ij,ij->i", x[i[k : k + (1 << 16)]], y[j[k : k + (1 << 16)]])
             break
     else:
-        i, j = np.nonzero(total >= threshold - 1e-9)
+        i, j = np.nonzero(total >= least)
         dots = total[i, j]
-    near = np.flatnonzero(np.abs(dots - threshold) <= 1e-9)
-    if len(near):
-        u, v = (np.frombuffer(t["raw"]).reshape(-1, d) for t in (a, b))
-        for k in near:
-            p, q = u[i[k]], v[j[k]]
-            dots[k] = (p @ q) / (np.sqrt(p @ p) * np.sqrt(q @ q))
-    keep = dots >= threshold
-    return i[keep], j[keep]
+    keep = dots >= least
+    return i[keep], j[keep], dots[keep] <= threshold + NEAR
 
 
 def chord(threshold: float) -> float:
@@ -193,38 +194,53 @@ def tile_pairs(tile: DataFrame, threshold: float) -> DataFrame:
 
 
 def tile_links(tile: DataFrame, threshold: float) -> DataFrame:
-    """Per tile pair: (kind, a, b): kind 0: b links counted for vector a; kind 1: a spanning edge."""
+    """Per pair of blocks (kind, a, b): kind 0: b links counted for vector a; kind 1: a spanning edge; kind 2: a pair to decide."""
     pairs = tile_pairs(tile, threshold)
-    pairs = pairs.select(F.concat_ws("/", "tile", "other").alias("pair"), F.explode(F.array_distinct(F.array("tile", "other"))).alias("tile"))
-    body = pairs.join(tile.select("tile", "dim", "ids", "n", "turned", "raw"), "tile")
+    block = lambda c: F.substring_index(c, "-", 2)  # noqa: E731  (a tile's name is partition, block, number)
+    job = F.array_join(F.array_sort(F.array(block("tile"), block("other"))), "/").alias("job")
+    sides = F.array(F.struct("tile", "other"), F.struct(F.col("other").alias("tile"), F.lit(None).cast("string").alias("other")))
+    needed = pairs.select(job, F.inline(sides)).groupBy("job", "tile").agg(F.collect_list("other").alias("others"))  # 2 * RUN others at most
+    body = needed.join(tile.select("tile", "dim", "ids", "n", "turned"), "tile")
 
     def link(t: pa.Table) -> pa.Table:
-        r = t.to_pylist()
-        a, b = r[0], r[-1]
-        i, j = compare(a, b, threshold)
-        ids_a, ids_b = np.array(a["ids"]), np.array(b["ids"])
-        n_a, n_b = np.array(a["n"]), np.array(b["n"])
-        if len(r) == 1:
-            i, j = i[i < j], j[i < j]
-        off = 0 if len(r) == 1 else len(ids_a)
-        ids = ids_a if len(r) == 1 else np.concatenate([ids_a, ids_b])
-        j2 = j + off
-        links = np.bincount(i, weights=n_b[j], minlength=len(ids)) + np.bincount(j2, weights=n_a[i], minlength=len(ids))
-        label = np.arange(len(ids))
-        while True:
-            new = label.copy()
-            np.minimum.at(new, i, label[j2])
-            np.minimum.at(new, j2, label[i])
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
+        r = t.to_pylist()  # 2 * RUN tiles at most
+        x = {a["tile"]: np.frombuffer(a["turned"], "f4").reshape(-1, a["dim"]).astype("f8") for a in r}
+        ids, n = (np.concatenate([np.array(a[c], "i8") for a in r]) for c in ("ids", "n"))
+        first = dict(zip([a["tile"] for a in r], np.cumsum([0] + [len(a["ids"]) for a in r]).tolist(), strict=False))
+        links, label = np.zeros(len(ids), "i8"), np.arange(len(ids))
+        near_a, near_b = [], []
+        for a in r:
+            for other in a["others"]:
+                i, j, near = compare(x[a["tile"]], x[other], threshold)
+                if other == a["tile"]:
+                    once = i < j
+                    i, j, near = i[once], j[once], near[once]
+                i, j = i + first[a["tile"]], j + first[other]
+                near_a.append(ids[i[near]]), near_b.append(ids[j[near]])
+                i, j = i[~near], j[~near]
+                np.add.at(links, i, n[j])
+                np.add.at(links, j, n[i])
+                while (label[i] != label[j]).any():  # the least place of each component so far
+                    low = np.minimum(label[i], label[j])
+                    np.minimum.at(label, label[i], low)
+                    np.minimum.at(label, label[j], low)
+                    while (label[label] != label).any():
+                        label = label[label]
         c, e = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(ids)))
-        return pa.table(
-            {"kind": pa.array([0] * len(c) + [1] * len(e), pa.int32()), "a": pa.array(np.concatenate([ids[c], ids[e]])), "b": pa.array(np.concatenate([links[c].astype("i8"), ids[label[e]]]))}
-        )
+        near_a, near_b = np.concatenate(near_a), np.concatenate(near_b)
+        kind = np.repeat(np.arange(3), [len(c), len(e), len(near_a)]).astype("i4")
+        return pa.table({"kind": kind, "a": np.concatenate([ids[c], ids[e], near_a]), "b": np.concatenate([links[c], ids[label[e]], near_b])})
 
-    return body.groupBy("pair").applyInArrow(link, "kind int, a long, b long")
+    return body.groupBy("job").applyInArrow(link, "kind int, a long, b long")
+
+
+def decided(pairs: DataFrame, distinct: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, n_a, n_b): of pairs (a, b) of vectors those whose cosine, in double precision, reaches the threshold."""
+    own = lambda k: distinct.select(F.col("rep").alias(k), F.col("v").alias(f"v_{k}"), F.col("n").alias(f"n_{k}"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
+    both = pairs.join(own("a"), "a").join(own("b"), "b")
+    cosine = dot("v_a", "v_b") / (F.sqrt(dot("v_a", "v_a")) * F.sqrt(dot("v_b", "v_b")))
+    return both.where(cosine >= threshold).select("a", "b", "n_a", "n_b")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tile: int = TILE) -> DataFrame:
@@ -234,8 +250,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tile: int = TIL
     distinct = cut(distinct_vectors(rows))
     dims = [r.dim for r in distinct.select("dim").distinct().collect()]  # a few vector lengths
     found = cut(tile_links(cut(tiles(distinct, {d: axes(distinct, d) for d in dims}, chord(threshold) ** 0.5, tile)), threshold))
-    counts = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
-    roots = components(found.where("kind = 1").select("a", "b")).select(F.col("node").alias("rep"), "root")
+    more = cut(decided(found.where("kind = 2").select("a", "b"), distinct, threshold))
+    both_ways = F.array(F.struct("a", F.col("n_b").alias("b")), F.struct(F.col("b").alias("a"), F.col("n_a").alias("b")))
+    counts = found.where("kind = 0").select("a", "b").unionByName(more.select(F.inline(both_ways)))
+    counts = counts.groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
+    roots = components(found.where("kind = 1").select("a", "b").unionByName(more.select("a", "b"))).select(F.col("node").alias("rep"), "root")
     named = distinct.join(counts, "rep", "left").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = named.join(least, "root").select("label", "dim", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
