@@ -460,16 +460,19 @@ def decode(vocab: Vocabulary, ids: np.ndarray) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
+def _model() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def sample_segmentations(docs: DataFrame, model: str | None = None, samples: int = 2, seed: int = 5, theta: float = 0.5) -> DataFrame:
     """A row per document and segmentation.
 
     (doc_id, sample, n_pieces, ids binary little-endian uint32, log_prob, inclusion,
     log_inclusion, decoded): whole texts, in the tasks that read them; no shuffle.
     """
-    if model is None:
-        import public_tokenizers
-
-        model = str(public_tokenizers.path("piece_bpe_32k.model"))
+    model = model or _model()
     names = ["doc_id", "sample", "n_pieces", "ids", "log_prob", "inclusion", "log_inclusion", "decoded"]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
 
@@ -502,6 +505,23 @@ def sample_segmentations(docs: DataFrame, model: str | None = None, samples: int
     )
 
 
+def decode_pieces(rows: DataFrame, model: str | None = None) -> DataFrame:
+    """``rows`` (ids: little-endian uint32, as ``sample_segmentations`` gives them) with the decoded text in a column ``text``.
+
+    Null ids give a null text, no ids an empty one; a column of that name is replaced.
+    """
+    at = model or _model()
+
+    def decoded(batches):
+        vocab = vocabulary(at, 0.5)
+        for b in batches:
+            texts = [None if x is None else decode(vocab, np.frombuffer(x, "<u4")) for x in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], names=[*b.schema.names[:-1], "text"])
+
+    kept = rows.select(*[F.col(f"`{c}`") for c in rows.columns if c.lower() != "text"])
+    return kept.withColumn("text", F.col("ids")).mapInArrow(decoded, kept.withColumn("text", F.lit(None).cast("string")).schema)
+
+
 def op10_pieces(docs: DataFrame) -> DataFrame:
     got = sample_segmentations(docs)
     return got.select("doc_id", "sample", "n_pieces", F.crc32("ids").alias("ids_crc32"), "log_prob", "inclusion", "log_inclusion", "decoded")

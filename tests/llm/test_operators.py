@@ -2,11 +2,13 @@
 
 import hashlib
 import itertools
+import math
 import random
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hitlake.llm import embeddings, language_id, minhash, mixing, pieces, quality, secrets, substrings, suffixes, token_output
 from hitlake.llm.common import among, components, ship
@@ -109,6 +111,22 @@ def test_embeddings(spark):
     assert got == sorted((i, n[i], root[i], root[i] == i) for i in root)
 
 
+def test_embeddings_at_the_threshold(spark):
+    ship(spark)
+    gaps = [s * x for x in (0, 1e-15, 1e-9, 1e-7, 5e-7, 9e-7, 2e-6, 1e-4) for s in (1, -1)]
+    v = [[1.0, 0.0, 0.0]] + [[0.93 + x, math.sqrt(1 - (0.93 + x) ** 2) * math.cos(k), math.sqrt(1 - (0.93 + x) ** 2) * math.sin(k)] for k, x in enumerate(gaps)]
+    v = [[3.7 * y for y in x] if i % 3 else x for i, x in enumerate(v)]
+    data = [(i, x) for i, x in enumerate(v)] + [(3, v[3]), (50, v[0]), (51, v[0]), (None, v[5]), (None, [0.0, -1.0, -1.0])]
+    # products within 1e-14 of the threshold depend on the order of summing
+    dot = lambda p, q: sum(a * b for a, b in zip(p, q, strict=True))
+    links = [sum(i != j and dot(p, q) / (math.sqrt(dot(p, p)) * math.sqrt(dot(q, q))) >= 0.93 for j, (_, q) in enumerate(data)) for i, (_, p) in enumerate(data)]
+    assert len(set(links)) > 3
+    df = spark.createDataFrame([(i, x, 1) for i, x in data], "vec_id long, embedding array<double>, label int").repartition(3)
+    got = embeddings.near_duplicates(df, tile=2).collect()
+    order = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert sorted(((r.vec_id, r.n_links) for r in got), key=order) == sorted(((i, n) for (i, _), n in zip(data, links, strict=True)), key=order)
+
+
 def test_embeddings_of_extreme_size(spark):
     ship(spark)
     v = [[1e200, 0.0], [1e200, 1.0], [1.0, 0.0], [1e-200, 0.0], [5e-324, 0.0], [1.7e308, 1.7e308], [1.0, 1.0], [0.0, 1e-310]]
@@ -406,3 +424,14 @@ def test_chunk_paths_agree():
     for _ in range(5000):
         t = "".join(rng.choice(" \nab▁") for _ in range(rng.randint(1, 9)))
         assert pieces.chunks(t) == pieces._CHUNK.findall(pieces.SPACE + t.replace(" ", pieces.SPACE))
+
+
+def test_pieces_decode(spark):
+    ship(spark)
+    texts = ["", "ein Haus, das brennt", " two  blanks ", "día 中文 \U0001f600\n\tx", "a" * 5000, None]
+    df = spark.createDataFrame([(i, t, "y") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
+    drawn = pieces.sample_segmentations(df, samples=2)
+    back = pieces.decode_pieces(drawn.withColumn("TEXT", F.lit("old"))).collect()
+    assert {r.doc_id for r in back} == set(range(len(texts))) and len(back) >= len(texts)
+    assert all(r.text == (texts[r.doc_id] or "") for r in back)
+    assert [r.text for r in pieces.decode_pieces(spark.createDataFrame([(None,)], "ids binary")).collect()] == [None]
