@@ -304,6 +304,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 2) -> Dat
 
 
 def op5_minhash(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept. A null id is never the smallest of a group that has others; a group of null ids alone has a null component_id and each of its rows is kept."""
     return near_duplicates(docs).drop("rid", "root")
 
 
