@@ -100,7 +100,8 @@ def discover_hosts(log: DataFrame, source: str | None = None) -> DataFrame:
 
 def sanitize(c: Column, limit: int) -> Column:
     """No NUL, '?' for runs of invalid UTF-8, at most ``limit`` bytes on a character boundary."""
-    c = F.regexp_replace(F.regexp_replace(F.make_valid_utf8(c), "\ufffd+", "?"), "\u0000", "")
+    c = F.make_valid_utf8(c)
+    c = F.replace(F.when(c.contains("\ufffd"), F.regexp_replace(c, "\ufffd+", "?")).otherwise(c), F.lit("\u0000"), F.lit(""))
     # a character of 2 to 4 bytes that the limit cuts has lost its end: its lead byte and what follows go
     cut = F.regexp_replace(F.hex(F.substring(F.encode(c, "UTF-8"), 1, limit)), "^((?:..)*?)(?:[CD].|E.(?:..)?|F.(?:..){0,2})$", "$1")
     return F.when(F.octet_length(c) <= limit, c).otherwise(F.decode(F.unhex(cut), "UTF-8"))

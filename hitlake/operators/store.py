@@ -117,11 +117,24 @@ def _parts_of(new: DataFrame, base: str, mine: str) -> dict[str, list[dict]]:
         new.unpersist()
 
 
-def _staged(log: DataFrame, base: str, mine: str) -> DataFrame:
-    """Sanitised hits with their day, written: what follows reads them several times."""
-    rows = sanitize_hits(log.select(*NAMES)).withColumn("day", day())
+def set_aside(rows: DataFrame, base: str, mine: str) -> DataFrame:
+    """``rows`` written beside the tables and read back: what follows reads them several times. ``put_away`` removes them."""
     rows.write.parquet(f"{base}/staged/part={mine}")
-    return log.sparkSession.read.schema(rows.schema).parquet(f"{base}/staged/part={mine}")
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{base}/staged/part={mine}")
+
+
+def put_away(spark: SparkSession, base: str, mine: str) -> None:
+    V.drop(spark, f"{base}/staged/part={mine}")
+
+
+def _staged(log: DataFrame, base: str, mine: str) -> DataFrame:
+    """Sanitised hits with their day, set aside."""
+    return set_aside(sanitize_hits(log.select(*NAMES)).withColumn("day", day()), base, mine)
+
+
+def is_loaded(spark: SparkSession, base: str, batch: tuple[str, int]) -> bool:
+    """Whether a load of this batch (stream, number) was committed."""
+    return V.latest(spark, base)["batches"].get(batch[0], -1) >= batch[1]
 
 
 def write_batch(log: DataFrame, base: str, batch: tuple[str, int] | None = None, more: dict[str, DataFrame] | None = None) -> None:
@@ -153,7 +166,7 @@ def write_batch(log: DataFrame, base: str, batch: tuple[str, int] | None = None,
         more = {"rejected_hits": bad, **(more or {})}
     new |= _write_parts(more or {}, base, mine, 0)
     V.commit(spark, base, old, V.added(old, new), batch)
-    V.drop(spark, f"{base}/staged/part={mine}")
+    put_away(spark, base, mine)
 
 
 def rebuild(spark: SparkSession, base: str) -> None:
@@ -175,7 +188,7 @@ def replace_range(log: DataFrame, base: str, start: int, end: int, site: str) ->
     all_ = kept.select(new.columns).unionByName(M.dedup_new(new, new.limit(0)))
     parts = _parts_of(all_, base, mine)
     V.commit(spark, base, old, V.added({"tables": V.hide(old["tables"], _OF_HITS, site, first, last)}, parts))
-    V.drop(spark, f"{base}/staged/part={mine}")
+    put_away(spark, base, mine)
 
 
 def _day_of(spark: SparkSession, at: int) -> date:

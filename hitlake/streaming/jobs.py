@@ -49,12 +49,19 @@ def ingest(stream: DataFrame, base: str, fmt="nginx", site: str = "site", checkp
     source = stream if "source_id" in stream.columns else stream.withColumn("source_id", F.lit(""))
 
     def load(batch: DataFrame, batch_id: int) -> None:
+        spark, mine = batch.sparkSession, store.V.new_part()
+        if store.is_loaded(spark, base, (name, batch_id)):
+            return
         if "file" in batch.columns:
-            lines, seen = files.new_lines(batch, store.read_table(batch.sparkSession, base, "seen_files"))
+            lines, seen = files.new_lines(batch, store.read_table(spark, base, "seen_files"))
             more = {"seen_files": seen}
-        else:
-            lines, more = E.stream_fingerprints(batch.select("line", "source_id")), None
-        store.write_batch(as_hits(P.parse_lines(lines, fmt)[0], site), base, (name, batch_id), more)
+        else:  # equal lines are one hit: one of them is parsed
+            lines, more = E.stream_fingerprints(batch.select("line", "source_id").distinct()), None
+        parsed = P.parse_lines(lines, fmt)[0]
+        # agents are classified by a join of these rows with themselves, which would parse each line twice
+        parsed = store.set_aside(parsed.select(*[c for c in parsed.columns if c in (*store.NAMES, "ua")]), base, mine)
+        store.write_batch(as_hits(parsed, site), base, (name, batch_id), more)
+        store.put_away(spark, base, mine)
 
     w = source.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint or f"{base}/_stream")
     return w.trigger(availableNow=True)
