@@ -56,7 +56,7 @@ def suppress_duplicates(stream: DataFrame, key: str, at: str = "timestamp", ttl:
 _SESSION = "start_ts long, end_ts long, entry_url string, exit_url string, page_count long"
 
 
-def running_sessions(stream: DataFrame, gap: int = GAP, late: str | None = None) -> DataFrame:
+def running_sessions(stream: DataFrame, gap: int = GAP, late: str | None = None, buckets: int = 4096) -> DataFrame:
     """Page views (visitor, timestamp, id, url) as sessions, in update mode: a row for each session that a batch began or went on with.
 
     A visitor's state is the last session. A hit older than its end changes no session (hits
@@ -64,34 +64,44 @@ def running_sessions(stream: DataFrame, gap: int = GAP, late: str | None = None)
     it, another begins a new one. The last row of a (visitor, start_ts) holds. With ``late``
     (and a column ts) visitors are forgotten when the watermark has passed their last session by
     the gap; without it they stay, as in the stored table of last sessions.
+
+    Visitors lie in ``buckets`` by hash, a group of the state store each: a group costs
+    milliseconds a batch, which most visitors' few hits are not worth.
     """
     pv = stream.where("pageview_flag = 1")
-    cols = [*VISITOR, "timestamp", "id", "url"]
-    pv = pv.select(*cols) if late is None else pv.withWatermark("ts", late).select(*cols, "ts")
-
-    def step(visitor: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+    bucket = F.pmod(F.xxhash64(*VISITOR), F.lit(buckets)).alias("__bucket")
+    cols, n = [*VISITOR, "timestamp", "id", "url"], len(VISITOR)
+    pv = pv.select(bucket, *cols) if late is None else pv.withWatermark("ts", late).select(bucket, *cols, "ts")
+
+    def step(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = {tuple(x[:n]): [int(x[n]), int(x[n + 1]), x[n + 2], x[n + 3], int(x[n + 4])] for x in zip(*state.get, strict=True)} if state.exists else {}
+        out: dict[tuple, tuple] = {}
+        seen = set()
+        if not state.hasTimedOut:
+            frame = pd.concat(list(frames), ignore_index=True).sort_values(["timestamp", "id"])  # a bucket's hits of one batch
+            for visitor, t, url in zip(zip(*[frame[c] for c in VISITOR], strict=True), frame["timestamp"], frame["url"], strict=True):
+                t, now = int(t), last.get(visitor)
+                seen.add(visitor)
+                if now is not None and t < now[1]:
+                    continue
+                if now is None or t - now[1] > gap:
+                    now = last[visitor] = [t, t, url, url, 1]
+                else:
+                    now[1], now[3], now[4] = t, url, now[4] + 1
+                out[(visitor, now[0])] = (*visitor, *now)
+        passed = None if late is None else state.getCurrentWatermarkMs()
+        if passed is not None:
+            last = {v: x for v, x in last.items() if v in seen or (x[1] + gap) * 1000 >= passed}
+        if last:
+            state.update(tuple(list(c) for c in zip(*((*v, *x) for v, x in last.items()), strict=True)))
+            if passed is not None:
+                state.setTimeoutTimestamp(max(min(x[1] + gap for x in last.values()) * 1000, passed + 1))
+        elif state.exists:
             state.remove()
-            return
-        now = list(state.get) if state.exists else None
-        frame = pd.concat(list(frames), ignore_index=True).sort_values(["timestamp", "id"])  # a visitor's hits of one batch
-        out: dict[int, tuple] = {}
-        for t, url in zip(frame["timestamp"], frame["url"], strict=True):
-            t = int(t)
-            if now is not None and t < now[1]:
-                continue
-            if now is None or t - now[1] > gap:
-                now = [t, t, url, url, 1]
-            else:
-                now[1], now[3], now[4] = t, url, now[4] + 1
-            out[now[0]] = (*visitor, *now)
-        if now is not None:
-            state.update(tuple(now))
-            if late is not None:
-                state.setTimeoutTimestamp(max((now[1] + gap) * 1000, state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(list(out.values()), columns=[*VISITOR, "start_ts", "end_ts", "entry_url", "exit_url", "page_count"])
 
     timeout = GroupStateTimeout.NoTimeout if late is None else GroupStateTimeout.EventTimeTimeout
     schema = ", ".join(f"{c} string" for c in VISITOR) + ", " + _SESSION
-    return pv.groupBy(*VISITOR).applyInPandasWithState(step, schema, _SESSION, "update", timeout)
+    held = ", ".join(f"{c.split()[0]} array<{c.split()[1]}>" for c in schema.split(", "))
+    return pv.groupBy("__bucket").applyInPandasWithState(step, schema, held, "update", timeout)
