@@ -21,8 +21,10 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +37,13 @@ from .common import cut, pick
 
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _UNIT = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+_RUNS = [x + " " for x in [" ", *_SPACE.replace(" ", "")]]
 #: How byte-level BPE cuts a text before merging (its published pattern, a fixed value).
 _CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Units of other characters go through the library's own cutting.
 _LATIN = re.compile("[\t\n\r -~¡-ɏ]*")
+#: Signs that are one piece together where they stand between letters and the end of a unit.
+_SIGNS = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum())
 #: Units, and words in them, kept per Python worker; beyond it that cache starts anew.
 CACHE_UNITS, CACHE_WORDS = 400_000, 1_000_000
 _loaded: dict[str, tuple] = {}
@@ -51,12 +56,19 @@ def byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
-def units(text: str) -> list[str]:
-    """Pieces of a text that byte-level BPE encodes independently: a space belongs to the next word."""
-    if "  " in text:
-        return _UNIT.findall(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+def spaced_out(text: str) -> bool:
+    """Whether a space follows white space: pieces of white space are then longer than one character, and a text can't be split at its spaces."""
+    return any(x in text for x in (_RUNS[:6] if text.isascii() else _RUNS))
+
+
+class Units(dict):
+    """What stands between two spaces -> ids of it and the space before it; what is new goes to ``unit``."""
+
+    unit: Callable[[str], bytes]
+
+    def __missing__(self, x: str) -> bytes:
+        ids = self[x] = self.unit(" " + x)
+        return ids
 
 
 def _tokenizer(path: str):
@@ -65,7 +77,7 @@ def _tokenizer(path: str):
 
         t = Tokenizer.from_file(path)
         special = [x.content for x in t.get_added_tokens_decoder().values()]
-        _loaded[path] = (t, special, {}, {}, plain_byte_level(t.to_str()))
+        _loaded[path] = (t, special, Units(), {}, plain_byte_level(t.to_str()), [struct.pack("<I", i) for i in range(t.get_vocab_size(with_added_tokens=True))])
     return _loaded[path]
 
 
@@ -85,7 +97,7 @@ def encoder(path: str):
     string of a special token to the library whole. So does every text where the file's
     settings are not plain byte-level BPE.
     """
-    tok, special, cache, words, plain = _tokenizer(path)
+    tok, special, cache, words, plain, packed = _tokenizer(path)
     model, table = tok.model, byte_chars()
     latin1 = bytes(range(256)).decode("latin-1")
     mapped = str.maketrans(latin1, "".join(table[i] for i in range(256)))
@@ -93,15 +105,33 @@ def encoder(path: str):
     def raw(text: str) -> bytes:
         return array("I", tok.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def fresh(w: str) -> bytes:
+        plain_letters = w[0] == " " and w.isascii() and w[1:].isalpha()
+        own = table[32] + w[1:] if plain_letters else w.encode().decode("latin-1").translate(mapped)
+        return b"".join([packed[t.id] for t in model.tokenize(own)])
+
     def word(w: str) -> bytes:
-        ids = words.get(w)
+        ids = words.get(w) or (cache.get(w[1:]) if w[0] == " " else None)
         if ids is None:
-            got = model.tokenize(w.encode().decode("latin-1").translate(mapped))
-            ids = words[w] = array("I", [t.id for t in got]).tobytes()
+            ids = words[w] = fresh(w)
         return ids
 
     def unit(u: str) -> bytes:
-        return b"".join(map(word, _CUT.findall(u))) if _LATIN.fullmatch(u) else raw(u)
+        if not (u.isascii() or _LATIN.fullmatch(u)):
+            return raw(u)
+        own = u[1:] if u[:1] == " " else u
+        if own.isalpha():
+            return words.get(u) or fresh(u)
+        base = own.rstrip(_SIGNS)
+        if base.isalpha():  # letters and signs after them
+            at = len(u) - len(own) + len(base)
+            return word(u[:at]) + word(u[at:])
+        head, end, tail = u.partition("\n")
+        if end and head and tail and not (head[-1].isspace() or tail[0].isspace()):  # a line's last word and the next one's first
+            return unit(head) + word(end) + unit(tail)
+        return b"".join(map(word, _CUT.findall(u)))
+
+    cache.unit = unit
 
     def encode(texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -114,11 +144,13 @@ def encoder(path: str):
                 out.append(b"")
             elif not plain or any(s in text for s in special):
                 out.append(raw(text))
+            elif spaced_out(text):
+                us = _UNIT.findall(text)
+                ids = {u: unit(u) for u in set(us)}
+                out.append(b"".join(map(ids.__getitem__, us)))
             else:
-                us = units(text)
-                for u in set(us).difference(cache):
-                    cache[u] = unit(u)
-                out.append(b"".join(map(cache.__getitem__, us)))
+                first, *rest = text.split(" ")
+                out.append(unit(first) + b"".join(map(cache.__getitem__, rest)))
         return out
 
     return encode
