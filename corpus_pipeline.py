@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitlake.llm import language_id, minhash, mixing, pieces, secrets
-from hitlake.llm.common import release, scratch, shared_dir, ship
+from hitlake.llm.common import release, scratch, shared_dir, ship, small_batches
 
 _COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -63,6 +63,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    small_batches(spark)
     top = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
         with scratch(spark):  # what a stage writes on its way goes when its own result is written

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows as W
-from .common import among, components, cut, stable, with_row_id
+from .common import among, components, cut, small_batches, stable, with_row_id
 
 BANDS, ROWS = 72, 7
 BINS = BANDS * ROWS
@@ -286,6 +286,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 2) -> Dat
     different texts share a component_id without being linked. It is null where
     there are no shingles.
     """
+    small_batches(docs.sparkSession)
     own = with_row_id(docs.select("doc_id", "text"))
     sk = cut(sketches(own, shingle))
     first = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid")
