@@ -43,9 +43,9 @@ SPACE = "▁"
 #: Characters (and steps of a walk) up to which all chunks are worked on together; beyond, each alone. At most 65534.
 LONGEST = 2048
 #: Characters of text that are worked on together: about 400 bytes of memory each.
-STRETCH = 250_000
+STRETCH = 100_000
 #: Characters of distinct chunks whose lattices a worker keeps (about 90 bytes each) before it starts anew.
-KEPT = 1_000_000
+KEPT = 500_000
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 _OTHER = 1 << 20  # a code of _OTHER + c stands for the byte pieces of character c
 _MULT = np.uint64(0x9E3779B97F4A7C55)
