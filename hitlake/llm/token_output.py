@@ -25,10 +25,11 @@ import struct
 import zlib
 from array import array
 from collections.abc import Callable
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,15 +38,25 @@ from .common import cut, pick
 
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _UNIT = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-_RUNS = [x + " " for x in [" ", *_SPACE.replace(" ", "")]]
 #: How byte-level BPE cuts a text before merging (its published pattern, a fixed value).
-_CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Units of other characters go through the library's own cutting.
-_LATIN = re.compile("[\t\n\r -~¡-ɏ]*")
-#: Signs that are one piece together where they stand between letters and the end of a unit.
-_SIGNS = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum())
-#: Units, and words in them, kept per Python worker; beyond it that cache starts anew.
-CACHE_UNITS, CACHE_WORDS = 400_000, 1_000_000
+_CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Texts of these characters are cut here; units of others go through the library's own cutting.
+_CHARS = "\t\n\r -~¡-ɏ"
+_LATIN = re.compile(f"[{_CHARS}]*")
+_LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
+#: ``_CUT`` for them, with their letters and numbers spelled out.
+_LATIN_CUT = re.compile(
+    _CUT.replace(r"?\p{L}", f"?[{_LETTERS}]").replace(r"?\p{N}", f"?[{_NUMBERS}]").replace(r"\p{L}\p{N}", _LETTERS + _NUMBERS)
+)
+#: Texts that are not split by ``_MARKS``: a space follows white space (pieces of white space are then longer than one character) or other characters.
+_APART = f"[{_SPACE}] |[^{_CHARS}]"
+#: Where a text of Latin characters is split, always between pieces: at a sign after a letter, around a line's end between words, before a space.
+_MARK = "\x01"
+_MARKS = [(rf"([A-Za-zÀ-ÖØ-öø-ɏ])([!-/:-@\[-`{{-~])", rf"\1{_MARK}\2"), (r"(\S)\n(\S)", f"\\1{_MARK}\n{_MARK}\\2")]
+#: Pieces, and units of other characters, met lately; twice as many at most are kept per Python worker.
+CACHE_PIECES, CACHE_UNITS = 400_000, 50_000
+#: Bytes of texts that are encoded together (whole texts).
+TOGETHER = 4 << 20
 _loaded: dict[str, tuple] = {}
 
 
@@ -56,18 +67,28 @@ def byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
-def spaced_out(text: str) -> bool:
-    """Whether a space follows white space: pieces of white space are then longer than one character, and a text can't be split at its spaces."""
-    return any(x in text for x in (_RUNS[:6] if text.isascii() else _RUNS))
+class Lately(dict):
+    """String -> ids, by ``make`` where it was not met lately.
 
+    When ``most`` strings are in, those met neither since the last such time nor in
+    the stretch before it are dropped: most new strings never come again, and
+    those that do stay.
+    """
 
-class Units(dict):
-    """What stands between two spaces -> ids of it and the space before it; what is new goes to ``unit``."""
+    make: Callable[[str], bytes]
 
-    unit: Callable[[str], bytes]
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
 
     def __missing__(self, x: str) -> bytes:
-        ids = self[x] = self.unit(" " + x)
+        ids = self.old.get(x)
+        if ids is None:
+            ids = self.make(x)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[x] = ids
         return ids
 
 
@@ -77,7 +98,7 @@ def _tokenizer(path: str):
 
         t = Tokenizer.from_file(path)
         special = [x.content for x in t.get_added_tokens_decoder().values()]
-        _loaded[path] = (t, special, Units(), {}, plain_byte_level(t.to_str()), [struct.pack("<I", i) for i in range(t.get_vocab_size(with_added_tokens=True))])
+        _loaded[path] = (t, special, Lately(CACHE_PIECES), Lately(CACHE_UNITS), plain_byte_level(t.to_str()), [struct.pack("<I", i) for i in range(t.get_vocab_size(with_added_tokens=True))])
     return _loaded[path]
 
 
@@ -90,14 +111,15 @@ def plain_byte_level(settings: str) -> bool:
 
 
 def encoder(path: str):
-    """A function list of texts -> list of ids as little-endian uint32 bytes.
+    """A function texts -> list of ids as little-endian uint32 bytes; null texts are empty.
 
-    Units and words met before are looked up; a new word goes to the library's BPE
-    model, a new unit of other than Latin characters or a text that holds the
-    string of a special token to the library whole. So does every text where the file's
+    A text is split between pieces, and what is there is looked up once for all texts
+    given, which are then put together from the ids found. A new piece goes to the library's
+    BPE model; a new unit of other than Latin characters or a text that holds the
+    string of a special token goes to the library whole. So does every text where the file's
     settings are not plain byte-level BPE.
     """
-    tok, special, cache, words, plain, packed = _tokenizer(path)
+    tok, special, pieces, units, plain, packed = _tokenizer(path)
     model, table = tok.model, byte_chars()
     latin1 = bytes(range(256)).decode("latin-1")
     mapped = str.maketrans(latin1, "".join(table[i] for i in range(256)))
@@ -110,48 +132,42 @@ def encoder(path: str):
         own = table[32] + w[1:] if plain_letters else w.encode().decode("latin-1").translate(mapped)
         return b"".join([packed[t.id] for t in model.tokenize(own)])
 
-    def word(w: str) -> bytes:
-        ids = words.get(w) or (cache.get(w[1:]) if w[0] == " " else None)
-        if ids is None:
-            ids = words[w] = fresh(w)
-        return ids
-
-    def unit(u: str) -> bytes:
-        if not (u.isascii() or _LATIN.fullmatch(u)):
-            return raw(u)
-        own = u[1:] if u[:1] == " " else u
-        if own.isalpha():
-            return words.get(u) or fresh(u)
-        base = own.rstrip(_SIGNS)
-        if base.isalpha():  # letters and signs after them
-            at = len(u) - len(own) + len(base)
-            return word(u[:at]) + word(u[at:])
-        head, end, tail = u.partition("\n")
-        if end and head and tail and not (head[-1].isspace() or tail[0].isspace()):  # a line's last word and the next one's first
-            return unit(head) + word(end) + unit(tail)
-        return b"".join(map(word, _CUT.findall(u)))
-
-    cache.unit = unit
-
-    def encode(texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for text in texts:
-            if len(cache) > CACHE_UNITS:
-                cache.clear()
-            if len(words) > CACHE_WORDS:
-                words.clear()
-            if not text:
-                out.append(b"")
-            elif not plain or any(s in text for s in special):
-                out.append(raw(text))
-            elif spaced_out(text):
-                us = _UNIT.findall(text)
-                ids = {u: unit(u) for u in set(us)}
-                out.append(b"".join(map(ids.__getitem__, us)))
-            else:
-                first, *rest = text.split(" ")
-                out.append(unit(first) + b"".join(map(cache.__getitem__, rest)))
-        return out
+    def new(x: str) -> bytes:
+        if x.isalpha() or (x[:1] == " " and x[1:].isalpha()):
+            return fresh(x)
+        cut = _LATIN_CUT.findall(x)
+        return fresh(x) if len(cut) == 1 else b"".join(map(pieces.__getitem__, cut))
+
+    pieces.make, units.make = new, raw
+
+    def apart(text: str) -> bytes:
+        us = _UNIT.findall(text)
+        ids = {u: pieces[u] if _LATIN.fullmatch(u) else units[u] for u in set(us)}
+        return b"".join(map(ids.__getitem__, us))
+
+    def split(texts: pa.Array) -> list[bytes]:
+        for where, mark in _MARKS:
+            texts = pc.replace_substring_regex(texts, where, mark)
+        lists = pc.split_pattern(pc.replace_substring(texts, " ", _MARK + " "), _MARK)
+        at = lists.offsets.to_numpy()
+        coded = lists.values[at[0] : at[-1]].dictionary_encode()
+        code = coded.indices.to_numpy()
+        ids = list(map(pieces.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)))
+        size = np.fromiter(map(len, ids), "i8", len(ids)) // 4
+        n = size[code]
+        end = np.concatenate([[0], np.cumsum(n)])
+        place = np.repeat((np.cumsum(size) - size)[code] - end[:-1], n) + np.arange(end[-1])
+        flat = np.frombuffer(b"".join(ids), "<u4")[place].tobytes()
+        return [flat[a:z] for a, z in pairwise((4 * end[at - at[0]]).tolist())]
+
+    def encode(texts: list[str] | pa.Array) -> list[bytes]:
+        col = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("")
+        whole = np.full(len(col), not plain)
+        for x in special:
+            whole |= pc.match_substring(col, x).to_numpy(zero_copy_only=False)
+        own = ~(whole | pc.match_substring_regex(col, _APART).to_numpy(zero_copy_only=False))
+        out = iter(split(col.filter(pa.array(own))) if own.any() else [])
+        return [next(out) if own[i] else (raw if whole[i] else apart)(col[i].as_py()) for i in range(len(col))]
 
     return encode
 
@@ -207,9 +223,11 @@ def write_blocks(docs: DataFrame, tokenizer: str, end_id: int = 0, block_ids: in
             )
 
         for b in batches:
-            ids_of, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for at in range(0, len(texts), 64):
-                for d, ids in zip(ids_of[at : at + 64], encode(texts[at : at + 64]), strict=True):
+            ids_of, texts = b.column(0).to_pylist(), b.column(1)
+            group = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy()) // TOGETHER
+            edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+            for at, to in pairwise(edges):
+                for d, ids in zip(ids_of[at:to], encode(texts[at:to]), strict=True):
                     held.append((d, ids + end))
                     size += len(ids) // 4 + 1
                     if size >= block_ids:
