@@ -41,19 +41,18 @@ _UNIT = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: How byte-level BPE cuts a text before merging (its published pattern, a fixed value).
 _CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts of these characters are cut here; units of others go through the library's own cutting.
-_CHARS = "\t\n\r -~¡-ɏ"
-_LATIN = re.compile(f"[{_CHARS}]*")
+_LATIN = re.compile("[\t\n\r -~¡-ɏ]*")
 _LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 #: ``_CUT`` for them, with their letters and numbers spelled out.
 _LATIN_CUT = re.compile(
     _CUT.replace(r"?\p{L}", f"?[{_LETTERS}]").replace(r"?\p{N}", f"?[{_NUMBERS}]").replace(r"\p{L}\p{N}", _LETTERS + _NUMBERS)
 )
-#: Texts that are not split by ``_MARKS``: a space follows white space (pieces of white space are then longer than one character) or other characters.
-_APART = f"[{_SPACE}] |[^{_CHARS}]"
-#: Where a text of Latin characters is split, always between pieces: at a sign after a letter, around a line's end between words, before a space.
+#: Where a text is split, always between pieces: at a sign after a letter, around a line's end between words, before a space.
 _MARK = "\x01"
-_MARKS = [(rf"([A-Za-zÀ-ÖØ-öø-ɏ])([!-/:-@\[-`{{-~])", rf"\1{_MARK}\2"), (r"(\S)\n(\S)", f"\\1{_MARK}\n{_MARK}\\2")]
-#: Pieces, and units of other characters, met lately; twice as many at most are kept per Python worker.
+_MARKS = [(r"([A-Za-zÀ-ÖØ-öø-ɏ])([!-/:-@\[-`{-~])", rf"\1{_MARK}\2"), (f"([^{_SPACE}])\n([^{_SPACE}])", f"\\1{_MARK}\n{_MARK}\\2")]
+#: Texts that are not: a space follows white space (pieces of white space are then longer than one character).
+_APART = f"[{_SPACE}] |{_MARK}"
+#: Pieces, and units of other characters in texts that are not split, met lately; twice as many at most are kept per Python worker.
 CACHE_PIECES, CACHE_UNITS = 400_000, 50_000
 #: Bytes of texts that are encoded together (whole texts).
 TOGETHER = 4 << 20
@@ -133,6 +132,8 @@ def encoder(path: str):
         return b"".join([packed[t.id] for t in model.tokenize(own)])
 
     def new(x: str) -> bytes:
+        if not (x.isascii() or _LATIN.fullmatch(x)):
+            return raw(x)
         if x.isalpha() or (x[:1] == " " and x[1:].isalpha()):
             return fresh(x)
         cut = _LATIN_CUT.findall(x)
